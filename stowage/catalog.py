@@ -121,7 +121,7 @@ def q_consumption_priority(spark, sf):
 
 @register("consumption_orders", O.select_all("consumption_orders"))
 def q_consumption_orders(spark, sf):
-    return con.consumption_orders(stages(spark, sf).raw_consumption())
+    return stages(spark, sf).cons_orders()
 
 
 @register("consumption_movement", O.select_all("consumption_movement"))

@@ -19,19 +19,30 @@ PARETO_CUT = 0.80
 HISTOGRAM_BOUND_ROWS = 2_000_000
 
 
-def consumption_priority(cons: DataFrame) -> DataFrame:
-    """A1: line-down order lines per material; H when any, else L."""
+def consumption_stats(cons: DataFrame) -> DataFrame:
+    """A1 + A2 in one pass: per material, line-down order lines and exact distinct orders.
+
+    Two-level aggregation: (material, order) first, so a hot material is spread
+    over its orders and reduced map-side; then per material, where the count of
+    non-null order keys is the exact distinct count.
+    """
     c = cons.filter(F.col("material").isNotNull())
-    agg = c.groupBy("material").agg(
-        F.count_if(F.col("order_type") == LINE_DOWN_ORDER_TYPE).cast("bigint").alias("line_down_orders"))
-    return agg.select("material", F.when(F.col("line_down_orders") > 0, "H").otherwise("L").alias("priority"),
-                      "line_down_orders")
+    per_order = c.groupBy("material", "order_no").agg(
+        F.count_if(F.col("order_type") == LINE_DOWN_ORDER_TYPE).alias("ld"))
+    return per_order.groupBy("material").agg(
+        F.sum("ld").cast("bigint").alias("line_down_orders"),
+        F.count("order_no").cast("bigint").alias("orders"))
 
 
-def consumption_orders(cons: DataFrame) -> DataFrame:
+def consumption_priority(stats: DataFrame) -> DataFrame:
+    """A1: line-down order lines per material; H when any, else L."""
+    return stats.select("material", F.when(F.col("line_down_orders") > 0, "H").otherwise("L").alias("priority"),
+                        "line_down_orders")
+
+
+def consumption_orders(stats: DataFrame) -> DataFrame:
     """A2: exact distinct (non-null) orders per material."""
-    c = cons.filter(F.col("material").isNotNull())
-    return c.groupBy("material").agg(F.count_distinct("order_no").cast("bigint").alias("orders"))
+    return stats.select("material", "orders")
 
 
 def _share_ok(cum_before, value, j, total) -> F.Column:
@@ -87,9 +98,16 @@ def _kth_material(block: DataFrame, k_col: str, range_parts: int) -> DataFrame:
     return ranked.filter(F.col("_rn") == F.col("r")).select(F.col("material").alias("cut_material"))
 
 
-def consumption_movement(cons: DataFrame, range_parts: int = 64) -> DataFrame:
-    """Pareto movement per material (H inside the first 80% of orders, else M), with Orders."""
-    orders = consumption_orders(cons)
+def consumption_movement(stats: DataFrame, range_parts: int | None = None) -> DataFrame:
+    """Pareto movement per material (H inside the first 80% of orders, else M), with Orders.
+
+    ``stats`` is the per-material table of ``consumption_stats``; it is read
+    several times (histogram, tagging, the straddling block), so callers pass a
+    materialised copy.
+    """
+    if range_parts is None:
+        range_parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    orders = consumption_orders(stats)
     blocks = small(pareto_blocks(orders), HISTOGRAM_BOUND_ROWS)
     tagged = orders.join(blocks, "orders", "inner")
     # at most one block straddles the cut: its first k materials (by key) are H

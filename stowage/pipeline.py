@@ -17,6 +17,7 @@ from stowage.operators import cost_center as cc
 from stowage.operators import master as mst
 from stowage.operators import parts as prt
 from stowage.operators import stock as stk
+from stowage.session import materialize
 from stowage.sources import fixtures as fx
 
 
@@ -61,11 +62,17 @@ class Stages:
     def cc_loaded(self):
         return self._get("cc_loaded", lambda: cc.cost_center_loaded(self.cc_tech()))
 
+    def cons_stats(self):
+        return self._get("cons_stats", lambda: materialize(con.consumption_stats(self.raw_consumption()), "consumption_stats"))
+
     def cons_priority(self):
-        return self._get("cons_prio", lambda: con.consumption_priority(self.raw_consumption()))
+        return self._get("cons_prio", lambda: con.consumption_priority(self.cons_stats()))
+
+    def cons_orders(self):
+        return self._get("cons_orders", lambda: con.consumption_orders(self.cons_stats()))
 
     def cons_movement(self):
-        return self._get("cons_mov", lambda: con.consumption_movement(self.raw_consumption()))
+        return self._get("cons_mov", lambda: con.consumption_movement(self.cons_stats()))
 
     def cons_tech(self):
         return self._get("cons_tech", lambda: con.consumption_tech(self.raw_consumption(), self.cc_loaded()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("STOWAGE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
@@ -53,3 +55,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="stowage-ckpt-", dir="/tmp")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` as parquet under the reliable checkpoint folder and continue from the copy.
+
+    Used for reduced tables read by several branches of a plan (per-material
+    consumption stats): the facts are scanned once, the lineage is cut, and the
+    written table survives executor loss.  The read-back also carries real size
+    statistics, so AQE can pick broadcast joins from measured sizes.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
