@@ -17,6 +17,7 @@ from stowage import oracle as O
 from stowage.functions import cleaning as fn
 from stowage.operators import categories as cat
 from stowage.operators import consumption as con
+from stowage.operators import curves as cur
 from stowage.operators import master as mst
 from stowage.pipeline import stages
 
@@ -246,6 +247,99 @@ def q_category_options(spark, sf):
     return cat.category_options(s.category_summary(), s.category_type())
 
 
+# --- curves ---------------------------------------------------------------------------------------------
+def _r4(df, cols):
+    return df.select(*[F.bround(F.col(c), 4).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+_BLOCKS_SQL = """
+SELECT category, tech, demand, CAST(count(*) AS BIGINT) AS cnt, CAST(min(k) AS BIGINT) AS rank_start,
+  CAST(max(k) AS BIGINT) AS rank_end, min(y) AS cum_start, max(y) AS cum_end
+FROM {p}_ranked GROUP BY category, tech, demand"""
+
+
+@register("curve_points_forward", O.with_ctes(_BLOCKS_SQL.format(p="fwd")))
+def q_curve_points_forward(spark, sf):
+    s = stages(spark, sf)
+    b = cur.curve_blocks(cur.forward_demand(s.enriched()))
+    return b.select("category", "tech", "demand", "cnt", "rank_start", "rank_end", "cum_start", "cum_end")
+
+
+@register("curve_points_reserve", O.with_ctes(_BLOCKS_SQL.format(p="res")))
+def q_curve_points_reserve(spark, sf):
+    s = stages(spark, sf)
+    b = cur.curve_blocks(cur.reserve_demand(s.enriched()))
+    return b.select("category", "tech", "demand", "cnt", "rank_start", "rank_end", "cum_start", "cum_end")
+
+
+_FIT_SQL = """
+SELECT category, tech, n, total, n_distinct, round(fit_x, 4) AS fit_x, round(fit_y, 4) AS fit_y FROM {p}_fit"""
+
+
+@register("curve_fit_forward", O.with_ctes(_FIT_SQL.format(p="fwd")))
+def q_curve_fit_forward(spark, sf):
+    return _r4(stages(spark, sf).fwd_fit().drop("fit_sse"), {"fit_x", "fit_y"})
+
+
+@register("curve_fit_reserve", O.with_ctes(_FIT_SQL.format(p="res")))
+def q_curve_fit_reserve(spark, sf):
+    return _r4(stages(spark, sf).res_fit().drop("fit_sse"), {"fit_x", "fit_y"})
+
+
+_PTS_SQL = "SELECT category, tech, rule, break_idx, round(x, 4) AS x, round(y, 4) AS y FROM {p}_points"
+
+
+@register("curve_forward", O.with_ctes(_PTS_SQL.format(p="fwd")))
+def q_curve_forward(spark, sf):
+    return _r4(stages(spark, sf).fwd_points(), {"x", "y"})
+
+
+@register("curve_reserve", O.with_ctes(_PTS_SQL.format(p="res")))
+def q_curve_reserve(spark, sf):
+    return _r4(stages(spark, sf).res_points(), {"x", "y"})
+
+
+@register("curve_concavity", O.with_ctes("""
+SELECT category, tech, round(s1, 4) AS slope1, round(s2, 4) AS slope2,
+  CASE WHEN s2 <= s1 + 1e-9 THEN 1 ELSE 0 END AS concave FROM (
+  SELECT category, tech, y1 / NULLIF(x1, 0) AS s1, (y2 - y1) / NULLIF(x2 - x1, 0) AS s2 FROM (
+    SELECT category, tech, max(CASE WHEN break_idx = 1 THEN x END) AS x1, max(CASE WHEN break_idx = 1 THEN y END) AS y1,
+      max(CASE WHEN break_idx = 2 THEN x END) AS x2, max(CASE WHEN break_idx = 2 THEN y END) AS y2
+    FROM fwd_points WHERE rule = 'fitted' GROUP BY category, tech) a) b"""))
+def q_curve_concavity(spark, sf):
+    return _r4(cur.curve_concavity(stages(spark, sf).fwd_points()), {"slope1", "slope2"})
+
+
+@register("curve_interpolate", O.with_ctes("""
+SELECT category, tech, q, round(x_eval, 4) AS x_eval, round(
+  CASE WHEN x <= x1 THEN CASE WHEN x1 > 0 THEN y1 * x / x1 ELSE y1 END
+       ELSE CASE WHEN x2 > x1 THEN y1 + (y2 - y1) * (x - x1) / (x2 - x1) ELSE y2 END END, 4) AS y_eval
+FROM (SELECT w.*, a.q, a.x_eval, greatest(0.0, least(a.x_eval, w.x2)) AS x FROM (
+        SELECT category, tech, max(CASE WHEN break_idx = 1 THEN x END) AS x1, max(CASE WHEN break_idx = 1 THEN y END) AS y1,
+          max(CASE WHEN break_idx = 2 THEN x END) AS x2, max(CASE WHEN break_idx = 2 THEN y END) AS y2
+        FROM fwd_points GROUP BY category, tech) w
+      JOIN (SELECT c.category, c.tech_name AS tech, q.q, c.num_sku * q.q AS x_eval FROM category_tech c
+            CROSS JOIN (VALUES (0.25), (0.5), (0.75)) AS q(q)) a ON w.category = a.category AND w.tech = a.tech) z"""))
+def q_curve_interpolate(spark, sf):
+    s = stages(spark, sf)
+    qs = spark.createDataFrame([(0.25,), (0.5,), (0.75,)], "q double")
+    at = s.category_tech().select("category", F.col("tech_name").alias("tech"), "num_sku").crossJoin(F.broadcast(qs)) \
+        .select("category", "tech", "q", (F.col("num_sku") * F.col("q")).alias("x_eval"))
+    return _r4(cur.interpolate(s.fwd_points(), at), {"x_eval", "y_eval"})
+
+
+@register("curve_json_import", O.with_ctes("""
+SELECT 'breakpoints' AS param, category, tech, break_idx, round(x, 4) AS value FROM fwd_points
+UNION ALL SELECT 'pieceval', category, tech, break_idx, round(y, 4) FROM fwd_points
+UNION ALL SELECT 'breakpoints', category, tech, break_idx, round(x, 4) FROM res_points
+UNION ALL SELECT 'pieceval', category, tech, break_idx, round(y, 4) FROM res_points"""))
+def q_curve_json_import(spark, sf):
+    s = stages(spark, sf)
+    pts = s.fwd_points().unionByName(s.res_points())
+    back = cur.curves_from_json(cur.curves_to_json(pts))
+    return _r4(back, {"value"})
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

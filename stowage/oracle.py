@@ -242,3 +242,95 @@ def with_ctes(body: str) -> str:
 
 def select_all(cte: str, cols: str = "*") -> str:
     return with_ctes(f"SELECT {cols} FROM {cte}")
+
+# --- curves: brute force over ranked rows ------------------------------------------------------------
+CTE["curve_grid"] = """
+SELECT COALESCE(p.priority, '') || COALESCE(m.movement, '') || COALESCE(s.size, '') AS category
+FROM (SELECT DISTINCT priority FROM parts_normalized WHERE priority IS NOT NULL) p
+CROSS JOIN (SELECT DISTINCT movement FROM parts_normalized WHERE movement IS NOT NULL) m
+CROSS JOIN (SELECT DISTINCT size FROM dim_size WHERE size IS NOT NULL) s"""
+
+CTE["fwd_rows"] = """
+SELECT category, tech, material, demand FROM (
+  SELECT category, 'ASSEMBLY' AS tech, material, ld_orders_per_user AS demand, ASSEMBLY AS flag FROM parts_enriched
+  UNION ALL SELECT category, 'BODY', material, ld_orders_per_user, BODY FROM parts_enriched
+  UNION ALL SELECT category, 'PAINT', material, ld_orders_per_user, PAINT FROM parts_enriched
+  UNION ALL SELECT category, 'UNK', material, ld_orders_per_user, UNK FROM parts_enriched) x
+WHERE flag = 1"""
+
+CTE["res_rows"] = """SELECT category, '' AS tech, material, orders AS demand FROM parts_enriched"""
+
+
+def _fit_ctes(prefix: str, rows: str) -> None:
+    CTE[f"{prefix}_ranked"] = f"""
+SELECT category, tech, demand, CAST(k AS DOUBLE) AS k, y,
+  sum(y) OVER w AS py, sum(k * y) OVER w AS pxy, sum(y * y) OVER w AS pyy
+FROM (SELECT category, tech, demand,
+        row_number() OVER (PARTITION BY category, tech ORDER BY demand DESC, material) AS k,
+        sum(demand) OVER (PARTITION BY category, tech ORDER BY demand DESC, material ROWS UNBOUNDED PRECEDING) AS y
+      FROM {rows}) r
+WINDOW w AS (PARTITION BY category, tech ORDER BY k ROWS UNBOUNDED PRECEDING)"""
+    CTE[f"{prefix}_stats"] = f"""
+SELECT category, tech, CAST(count(*) AS BIGINT) AS n, max(y) AS total,
+  CAST(count(DISTINCT demand) AS BIGINT) AS n_distinct, sum(y) AS ty, sum(k * y) AS txy, sum(y * y) AS tyy
+FROM {prefix}_ranked GROUP BY category, tech"""
+    CTE[f"{prefix}_cand"] = f"""
+SELECT category, tech, k, n,
+  -- (a) two free lines
+  (pxy * k - px1 * py) / (k * px2 - px1 * px1) AS sl,
+  ((rxy * mr - rx1 * ry) / (mr * rx2 - rx1 * rx1)) AS sr,
+  mr, px1, px2, py, pxy, pyy, rx1, rx2, ry, rxy, ryy, tx1, tx2, ty, txy, tyy
+FROM (SELECT r.category, r.tech, r.k, CAST(s.n AS DOUBLE) AS n, CAST(s.n AS DOUBLE) - r.k AS mr,
+        r.k * (r.k + 1) / 2 AS px1, r.k * (r.k + 1) * (2 * r.k + 1) / 6 AS px2, r.py, r.pxy, r.pyy,
+        CAST(s.n AS DOUBLE) * (CAST(s.n AS DOUBLE) + 1) / 2 AS tx1,
+        CAST(s.n AS DOUBLE) * (CAST(s.n AS DOUBLE) + 1) * (2 * CAST(s.n AS DOUBLE) + 1) / 6 AS tx2,
+        s.ty, s.txy, s.tyy,
+        CAST(s.n AS DOUBLE) * (CAST(s.n AS DOUBLE) + 1) / 2 - r.k * (r.k + 1) / 2 AS rx1,
+        CAST(s.n AS DOUBLE) * (CAST(s.n AS DOUBLE) + 1) * (2 * CAST(s.n AS DOUBLE) + 1) / 6
+          - r.k * (r.k + 1) * (2 * r.k + 1) / 6 AS rx2,
+        s.ty - r.py AS ry, s.txy - r.pxy AS rxy, s.tyy - r.pyy AS ryy
+      FROM {prefix}_ranked r JOIN {prefix}_stats s ON r.category = s.category AND r.tech = s.tech
+      WHERE s.n > 2 AND s.n_distinct > 1 AND r.k < s.n) z"""
+    CTE[f"{prefix}_scored"] = f"""
+SELECT category, tech, greatest(sse, 0.0) AS sse, bp_x, bp_y FROM (
+  SELECT category, tech,
+    ((k * pyy - py * py) - (k * pxy - px1 * py) * (k * pxy - px1 * py) / (k * px2 - px1 * px1)) / k
+    + ((mr * ryy - ry * ry) - (mr * rxy - rx1 * ry) * (mr * rxy - rx1 * ry) / (mr * rx2 - rx1 * rx1)) / mr AS sse,
+    cross_x AS bp_x, il + sl * cross_x AS bp_y
+  FROM (SELECT *, (ir - il) / (sl - sr) AS cross_x FROM (
+          SELECT *, (py - sl * px1) / k AS il, (ry - sr * rx1) / mr AS ir FROM {prefix}_cand
+          WHERE k >= 2 AND mr >= 2) a WHERE sl <> sr) b
+  WHERE cross_x >= k AND cross_x <= k + 1
+  UNION ALL
+  SELECT category, tech, (cyy - beta * cxy - gamma * chy) / n AS sse, k AS bp_x,
+    (ty - beta * tx1 - gamma * sh) / n + beta * k AS bp_y
+  FROM (SELECT *, (chh * cxy - cxh * chy) / det AS beta, (cxx * chy - cxh * cxy) / det AS gamma FROM (
+          SELECT *, cxx * chh - cxh * cxh AS det FROM (
+            SELECT category, tech, k, n, tx1, ty, sh,
+              n * tx2 - tx1 * tx1 AS cxx, n * sxh - tx1 * sh AS cxh, n * shh - sh * sh AS chh,
+              n * txy - tx1 * ty AS cxy, n * syh - sh * ty AS chy, n * tyy - ty * ty AS cyy
+            FROM (SELECT *, rx1 - mr * k AS sh, rx2 - 2 * k * rx1 + mr * k * k AS shh,
+                    rx2 - k * rx1 AS sxh, rxy - k * ry AS syh FROM {prefix}_cand WHERE k >= 2) h) h2) h3
+        WHERE det <> 0) h4) u"""
+    CTE[f"{prefix}_fit"] = f"""
+SELECT s.category, s.tech, s.n, s.total, s.n_distinct, b.bp_x AS fit_x, b.bp_y AS fit_y
+FROM {prefix}_stats s LEFT JOIN (
+  SELECT category, tech, arg_min(bp_x, (sse, bp_x)) AS bp_x, arg_min(bp_y, (sse, bp_x)) AS bp_y
+  FROM {prefix}_scored GROUP BY category, tech) b ON s.category = b.category AND s.tech = b.tech"""
+    CTE[f"{prefix}_points"] = f"""
+SELECT category, tech, CASE WHEN deg THEN 'degenerate' ELSE 'fitted' END AS rule, p.break_idx, p.x, p.y
+FROM (SELECT g.category, g.tech, CAST(COALESCE(f.n, 0) AS DOUBLE) AS n, COALESCE(f.total, 0.0) AS total,
+        (COALESCE(f.n, 0) <= 2 OR COALESCE(f.n_distinct, 0) <= 1) AS deg, f.fit_x, f.fit_y
+      FROM {prefix}_grid g LEFT JOIN {prefix}_fit f ON g.category = f.category AND g.tech = f.tech) q,
+LATERAL (SELECT 0 AS break_idx, 0.0 AS x, 0.0 AS y
+         UNION ALL SELECT 1, CASE WHEN q.deg THEN floor(q.n / 2) ELSE q.fit_x END,
+                   CASE WHEN q.deg THEN q.total * 0.5 WHEN q.fit_y >= q.total THEN q.total * 0.8 ELSE q.fit_y END
+         UNION ALL SELECT 2, q.n, q.total) p"""
+
+
+_fit_ctes("fwd", "fwd_rows")
+_fit_ctes("res", "res_rows")
+CTE["fwd_grid"] = """
+SELECT g.category, t.tech FROM curve_grid g
+CROSS JOIN (SELECT * FROM (VALUES ('ASSEMBLY'), ('BODY'), ('PAINT'), ('UNK')) AS v(tech)) t"""
+CTE["res_grid"] = "SELECT category, '' AS tech FROM curve_grid"

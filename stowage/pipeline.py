@@ -11,7 +11,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from stowage.operators import categories as cat
+from stowage.operators import curves as cur
 from stowage.operators import consumption as con
 from stowage.operators import cost_center as cc
 from stowage.operators import master as mst
@@ -95,7 +98,7 @@ class Stages:
 
     def parts(self):
         """M8-normalized parts: the table every category build reads."""
-        return self._get("p8", lambda: prt.parts_normalized(self.parts_full()))
+        return self._get("p8", lambda: materialize(prt.parts_normalized(self.parts_full()), "parts"))
 
     # categories --------------------------------------------------------------
     def enriched(self):
@@ -113,5 +116,27 @@ class Stages:
                                                                  self.dim("dim_type_size")))
 
 
+    # curves ------------------------------------------------------------------
+    def grid(self):
+        return self._get("grid", lambda: cat.category_grid(self.parts(), self.dim("dim_size")))
+
+    def fwd_fit(self):
+        return self._get("fwd_fit", lambda: cur.curve_fit(cur.forward_demand(self.enriched())))
+
+    def res_fit(self):
+        return self._get("res_fit", lambda: cur.curve_fit(cur.reserve_demand(self.enriched())))
+
+    def fwd_points(self):
+        def build():
+            g = self.grid().select("category").join(
+                self.spark.createDataFrame([(t,) for t in fx.ALL_TECHS], "tech string"), how="cross")
+            return cur.curve_points(self.fwd_fit(), g)
+        return self._get("fwd_points", build)
+
+    def res_points(self):
+        return self._get("res_points", lambda: cur.curve_points(
+            self.res_fit(), self.grid().select("category", F.lit("").alias("tech"))))
+
+
 def stages(spark: SparkSession, sf_dir: str) -> Stages:
     return Stages(spark, sf_dir)
