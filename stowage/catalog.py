@@ -20,6 +20,9 @@ from stowage.operators import consumption as con
 from stowage.operators import curves as cur
 from stowage.operators import master as mst
 from stowage.pipeline import stages
+from stowage.plans import plan_vars as pv
+from stowage.plans import reports as rep
+from stowage.sources import fixtures as fx
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -340,6 +343,239 @@ def q_curve_json_import(spark, sf):
     return _r4(back, {"value"})
 
 
+# --- plan table -----------------------------------------------------------------------------------------
+_PLAN_COLS = "plan_id, variable, index_1, index_2, index_3, index_4, value, row_no"
+
+
+@register("plan_load", O.with_ctes(f"SELECT {_PLAN_COLS} FROM plan_vars"))
+def q_plan_load(spark, sf):
+    # plan written as text (as a planner's CSV would be) and coerced back
+    txt = stages(spark, sf).plan().withColumn("value", F.format_string("%.17g", "value"))
+    return pv.load_plan_text(txt).select(*_PLAN_COLS.split(", "))
+
+
+@register("plan_nonzero", O.with_ctes(f"SELECT {_PLAN_COLS} FROM plan_vars WHERE abs(value) > 1e-6"))
+def q_plan_nonzero(spark, sf):
+    return pv.nonzero(stages(spark, sf).plan())
+
+
+@register("plan_parse_names", O.with_ctes(f"SELECT {_PLAN_COLS} FROM plan_vars"))
+def q_plan_parse_names(spark, sf):
+    return pv.parse_names(pv.variable_names(stages(spark, sf).plan())).select(*_PLAN_COLS.split(", "))
+
+
+@register("plan_cost", O.with_ctes("SELECT plan_id, value FROM plan_vars WHERE variable = 'objective value'"))
+def q_plan_cost(spark, sf):
+    return pv.family(stages(spark, sf).plan(), "objective value").select("plan_id", "value")
+
+
+# --- reports --------------------------------------------------------------------------------------------
+@register("parts_located", O.with_ctes("SELECT material, category, storage_type, location, type FROM parts_located"))
+def q_parts_located(spark, sf):
+    return stages(spark, sf).located().select("material", "category", "storage_type", "location", "type")
+
+
+@register("rel_named", O.with_ctes("SELECT * FROM lt_named WHERE code IN (SELECT storage_type FROM stock_sized)"))
+def q_rel_named(spark, sf):
+    # relationship rows with names, restricted to bin codes that hold stock so it reads the exports
+    s = stages(spark, sf)
+    used = s.stock().select(F.col("storage_type").alias("code")).distinct()
+    return s.lt_named().join(used, "code", "left_semi")
+
+
+@register("report_units_change", O.select_all("report_units_change"))
+def q_report_units_change(spark, sf):
+    s = stages(spark, sf)
+    return rep.units_change(s.plan(), s.lt_named())
+
+
+@register("report_buy", O.with_ctes(
+    "SELECT index_1 AS type, index_2 AS location, value AS units FROM plan_vars WHERE variable = 'BuyUnits'"))
+def q_report_buy(spark, sf):
+    return rep.buys(stages(spark, sf).plan())
+
+
+@register("report_relocations", O.with_ctes(
+    "SELECT index_1 AS type, index_2 AS from_location, index_3 AS to_location, value AS units FROM plan_vars "
+    "WHERE variable = 'RelocUnits'"))
+def q_report_relocations(spark, sf):
+    return rep.relocations(stages(spark, sf).plan())
+
+
+@register("report_alloc_counts", O.select_all("report_alloc_counts"))
+def q_report_alloc_counts(spark, sf):
+    s = stages(spark, sf)
+    return rep.alloc_report(s.located(), s.plan(), "count")
+
+
+@register("report_alloc_cubic", O.select_all("report_alloc_cubic"))
+def q_report_alloc_cubic(spark, sf):
+    s = stages(spark, sf)
+    return rep.alloc_report(s.located(), s.plan(), "cubic")
+
+
+@register("report_reserve_counts", O.select_all("report_reserve_counts"))
+def q_report_reserve_counts(spark, sf):
+    s = stages(spark, sf)
+    return rep.reserve_report(s.located(), s.plan(), "count")
+
+
+@register("report_reserve_cubic", O.select_all("report_reserve_cubic"))
+def q_report_reserve_cubic(spark, sf):
+    s = stages(spark, sf)
+    return rep.reserve_report(s.located(), s.plan(), "cubic")
+
+
+@register("report_forward_reserve", O.select_all("report_forward_reserve"))
+def q_report_forward_reserve(spark, sf):
+    return rep.forward_reserve(stages(spark, sf).plan())
+
+
+@register("map_current", O.select_all("map_current"))
+def q_map_current(spark, sf):
+    return stages(spark, sf).map_current()
+
+
+@register("map_recommended", O.select_all("map_recommended"))
+def q_map_recommended(spark, sf):
+    return stages(spark, sf).map_recommended()
+
+
+@register("map_units_pivot", O.with_ctes(
+    "SELECT u.* FROM units_cur_pivot u WHERE u.location IN (SELECT location FROM parts_located)"))
+def q_map_units_pivot(spark, sf):
+    s = stages(spark, sf)
+    used = s.located().select("location").filter(F.col("location").isNotNull()).distinct()
+    return rep.units_pivot(s.lt_named(), fx.TYPE_NAMES).join(used, "location", "left_semi")
+
+
+@register("map_units_pivot_rec", O.select_all("units_rec_pivot"))
+def q_map_units_pivot_rec(spark, sf):
+    return rep.units_pivot_recommended(stages(spark, sf).plan(), fx.TYPE_NAMES)
+
+
+@register("map_units_tidy", O.with_ctes("""
+SELECT location, type, units FROM (
+  SELECT location, 'CABINET' AS type, current_cabinet AS units FROM units_cur_pivot
+  UNION ALL SELECT location, 'MEZZANINE', current_mezzanine FROM units_cur_pivot
+  UNION ALL SELECT location, 'SHELF', current_shelf FROM units_cur_pivot
+  UNION ALL SELECT location, 'LIFT', current_lift FROM units_cur_pivot
+  UNION ALL SELECT location, 'RACK', current_rack FROM units_cur_pivot) x
+WHERE location IN (SELECT location FROM parts_located)"""))
+def q_map_units_tidy(spark, sf):
+    s = stages(spark, sf)
+    used = s.located().select("location").filter(F.col("location").isNotNull()).distinct()
+    wide = rep.units_pivot(s.lt_named(), fx.TYPE_NAMES).join(used, "location", "left_semi")
+    return rep.map_units_tidy(wide, fx.TYPE_NAMES)
+
+
+@register("map_totals", O.select_all("map_totals"))
+def q_map_totals(spark, sf):
+    return rep.map_totals(stages(spark, sf).map_current())
+
+
+@register("map_radius", O.with_ctes("""
+SELECT location, CAST(materials AS DOUBLE) AS value,
+  CASE WHEN mn = mx THEN 30.0 ELSE 10.0 + (materials - mn) / (mx - mn) * 20.0 END AS radius
+FROM (SELECT *, min(CAST(materials AS DOUBLE)) OVER () AS mn, max(CAST(materials AS DOUBLE)) OVER () AS mx FROM map_totals) x"""))
+def q_map_radius(spark, sf):
+    return rep.map_radius(rep.map_totals(stages(spark, sf).map_current()))
+
+
+@register("map_breakdown", O.with_ctes(
+    "SELECT location, category, material_count, total_cubic_ft, total_ldo FROM map_current "
+    "ORDER BY location, material_count DESC, category"))
+def q_map_breakdown(spark, sf):
+    return rep.map_breakdown(stages(spark, sf).map_current())
+
+
+@register("travel_savings", O.with_ctes("""
+SELECT COALESCE(c.m, 0.0) AS current_minutes, COALESCE(r.m, 0.0) AS recommended_minutes,
+  (COALESCE(c.m, 0.0) - COALESCE(r.m, 0.0)) / 60.0 AS saved_hours,
+  (COALESCE(c.m, 0.0) - COALESCE(r.m, 0.0)) * s.rate AS saved_money
+FROM (SELECT sum(total_ldo * travel_time) AS m FROM map_current WHERE lat IS NOT NULL) c,
+     (SELECT sum(rec_ldo * travel_time) AS m FROM map_recommended) r,
+     (SELECT max(line_down_cost) AS rate FROM dim_system) s"""))
+def q_travel_savings(spark, sf):
+    s = stages(spark, sf)
+    return rep.travel_savings(s.map_current(), s.map_recommended(), s.dim("dim_system"))
+
+
+def _pivot_sql(src: str, names: list[str], fmt: bool) -> str:
+    def f(e):
+        return (f"CASE WHEN {e} = 0 THEN NULL WHEN {e} > 0 AND {e} < 0.01 THEN 0.01 ELSE round_even({e}, 2) END"
+                if fmt else e)
+    cols = ",\n  ".join(f"{f(f'sum(CASE WHEN type = {chr(39)}{n}{chr(39)} THEN pct END)')} AS {n.lower()}"
+                        for n in names)
+    return f"SELECT category, location,\n  {cols}\nFROM ({src}) x GROUP BY category, location"
+
+
+_TYPES = ["CABINET", "MEZZANINE", "SHELF", "LIFT", "RACK"]
+
+
+@register("pivot_forward", O.with_ctes(_pivot_sql(
+    "SELECT category, location, type, value AS pct FROM plan_pct WHERE variable = 'SKUuniquePct'", _TYPES, True)))
+def q_pivot_forward(spark, sf):
+    return rep.pivot_forward(stages(spark, sf).plan(), fx.TYPE_NAMES)
+
+
+@register("pivot_forward_reserve", O.with_ctes(_pivot_sql(
+    "SELECT category, location, type, value AS pct FROM plan_pct WHERE variable = 'SKUuniquePct' UNION ALL "
+    "SELECT category, location, type || '_Reserve', value FROM plan_pct WHERE variable = 'ResSKUuniquePct'",
+    _TYPES + [t + "_Reserve" for t in _TYPES], True)))
+def q_pivot_forward_reserve(spark, sf):
+    return rep.pivot_forward_reserve(stages(spark, sf).plan(), fx.TYPE_NAMES)
+
+
+@register("pivot_relocations", O.with_ctes("SELECT from_location, to_location, " + ", ".join(
+    f"COALESCE(sum(CASE WHEN type = '{t}' THEN units END), 0.0) AS {t.lower()}" for t in _TYPES) + """
+FROM (SELECT index_1 AS type, index_2 AS from_location, COALESCE(index_3, 'Unknown') AS to_location, value AS units
+      FROM plan_vars WHERE variable = 'RelocUnits') x GROUP BY from_location, to_location"""))
+def q_pivot_relocations(spark, sf):
+    return rep.pivot_relocations(stages(spark, sf).plan(), fx.TYPE_NAMES)
+
+
+@register("tidy_alloc", O.with_ctes("""
+SELECT category, type, location, 'Current' AS metric, current_pct AS value, 'Current - ' || type AS segment
+FROM report_alloc_counts
+UNION ALL
+SELECT category, type, location, 'Recommended', recommended_pct, 'Recommended - ' || type FROM report_alloc_counts"""))
+def q_tidy_alloc(spark, sf):
+    s = stages(spark, sf)
+    return rep.tidy_alloc(rep.alloc_report(s.located(), s.plan(), "count"))
+
+
+@register("tidy_units", O.with_ctes("""
+SELECT type, location, 'Current' AS metric, current_units AS units FROM report_units_change
+UNION ALL SELECT type, location, 'Recommended', recommended_units FROM report_units_change"""))
+def q_tidy_units(spark, sf):
+    s = stages(spark, sf)
+    return rep.tidy_units(rep.units_change(s.plan(), s.lt_named()))
+
+
+@register("tidy_phase_percent", O.with_ctes("""
+SELECT COALESCE(a.category, f.category) AS category, COALESCE(a.type, f.type) AS type,
+  COALESCE(a.location, f.location) AS location, p.phase,
+  CASE p.phase WHEN 'Current' THEN COALESCE(a.current_pct, 0.0) WHEN 'Forward' THEN COALESCE(f.forward_pct, 0.0)
+       ELSE COALESCE(f.reserve_pct, 0.0) END AS pct
+FROM report_alloc_counts a
+FULL OUTER JOIN report_forward_reserve f ON a.category = f.category AND a.type = f.type AND a.location = f.location
+CROSS JOIN (VALUES ('Current'), ('Forward'), ('Reserve')) AS p(phase)"""))
+def q_tidy_phase_percent(spark, sf):
+    s = stages(spark, sf)
+    return rep.tidy_phase_percent(rep.alloc_report(s.located(), s.plan(), "count"), rep.forward_reserve(s.plan()))
+
+
+@register("display_percent", O.with_ctes("""
+SELECT variable, index_1, index_2, index_3, value,
+  CASE WHEN value = 0 THEN NULL WHEN value > 0 AND value < 0.01 THEN 0.01 ELSE round_even(value, 2) END AS display
+FROM plan_vars WHERE variable IN ('SKUuniquePct', 'SKUcubicPct', 'ResSKUuniquePct', 'ResSKUcubicPct')"""))
+def q_display_percent(spark, sf):
+    p = stages(spark, sf).plan().filter(F.col("variable").isin(
+        "SKUuniquePct", "SKUcubicPct", "ResSKUuniquePct", "ResSKUcubicPct"))
+    return p.select("variable", "index_1", "index_2", "index_3", "value", fn.display_percent("value").alias("display"))
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -334,3 +334,165 @@ CTE["fwd_grid"] = """
 SELECT g.category, t.tech FROM curve_grid g
 CROSS JOIN (SELECT * FROM (VALUES ('ASSEMBLY'), ('BODY'), ('PAINT'), ('UNK')) AS v(tech)) t"""
 CTE["res_grid"] = "SELECT category, '' AS tech FROM curve_grid"
+
+# --- plan fixture -----------------------------------------------------------------------------------
+CTE["loc_types"] = """
+SELECT lt.type_id, t.type, lt.location_id, l.location, l.location_priority, CAST(lt.current_units AS DOUBLE) AS current_units
+FROM dim_location_type lt JOIN dim_location l ON lt.location_id = l.location_id JOIN dim_type t ON lt.type_id = t.type_id"""
+
+CTE["cat_pairs"] = """
+SELECT c.category, c.size_id, lt.type_id, lt.type, lt.location_id, lt.location, lt.location_priority, lt.current_units
+FROM category_summary c JOIN dim_type_size ts ON ts.size_id = c.size_id JOIN loc_types lt ON lt.type_id = ts.type_id"""
+
+CTE["plan_base"] = """
+SELECT 'base' AS plan_id, v.variable, p.category AS index_1, p.type AS index_2, p.location AS index_3,
+       CAST(NULL AS VARCHAR) AS index_4, 1.0 / count(*) OVER (PARTITION BY p.category, v.variable) AS value
+FROM cat_pairs p CROSS JOIN (VALUES ('SKUuniquePct'), ('SKUcubicPct')) AS v(variable)
+UNION ALL
+SELECT 'base', v.variable, p.category, p.type, p.location, NULL, 0.005
+FROM cat_pairs p JOIN dim_priority pr ON pr.location_priority = p.location_priority AND pr.reserve_allowed = 1
+CROSS JOIN (VALUES ('ResSKUuniquePct'), ('ResSKUcubicPct')) AS v(variable)
+UNION ALL
+SELECT 'base', 'SKUStoreUnits', category, type, location, NULL,
+       current_units / count(*) OVER (PARTITION BY type_id, location_id) FROM cat_pairs
+UNION ALL
+SELECT 'base', 'BuyUnits', type, location, NULL, NULL, 3.0 FROM loc_types WHERE type = 'RACK' AND location = 'EAST'
+UNION ALL
+SELECT 'base', 'RelocUnits', type, location, 'NORTH', NULL, 10.0 FROM loc_types WHERE type = 'CABINET' AND location = 'SOUTH'
+UNION ALL
+SELECT 'base', 'StoreUnits', type, location, NULL, NULL,
+  current_units + CASE WHEN type = 'RACK' AND location = 'EAST' THEN 3.0 ELSE 0.0 END
+  + CASE WHEN type = 'CABINET' AND location = 'NORTH' THEN 10.0 ELSE 0.0 END
+  - CASE WHEN type = 'CABINET' AND location = 'SOUTH' THEN 10.0 ELSE 0.0 END
+FROM loc_types
+UNION ALL
+SELECT 'base', 'AllocFracUnique', p.category, p.type, p.location, t.tech_name,
+       1.0 / count(*) OVER (PARTITION BY p.category, t.tech_name)
+FROM cat_pairs p JOIN dim_tech_location tl ON tl.location_id = p.location_id JOIN dim_tech t ON t.tech_id = tl.tech_id"""
+
+CTE["plan_vars"] = """
+SELECT *, CAST(row_number() OVER (ORDER BY variable NULLS FIRST, index_1 NULLS FIRST, index_2 NULLS FIRST,
+  index_3 NULLS FIRST, index_4 NULLS FIRST) AS BIGINT) AS row_no
+FROM plan_base"""
+
+# --- reports -------------------------------------------------------------------------------------------
+CTE["lt_named"] = """
+SELECT lt.code, l.location, t.type, CAST(lt.current_units AS DOUBLE) AS current_units, lt.location_id, lt.type_id
+FROM dim_location_type lt JOIN dim_location l ON lt.location_id = l.location_id JOIN dim_type t ON lt.type_id = t.type_id"""
+
+CTE["parts_located"] = """
+SELECT p.*, n.location, n.type FROM parts_enriched p LEFT JOIN lt_named n ON p.storage_type = n.code"""
+
+CTE["plan_pct"] = """
+SELECT variable, index_1 AS category, index_2 AS type, index_3 AS location, value FROM plan_vars
+WHERE variable IN ('SKUuniquePct', 'SKUcubicPct', 'ResSKUuniquePct', 'ResSKUcubicPct')"""
+
+
+def _alloc_sql(measure: str) -> str:
+    m = "CAST(count(DISTINCT material) AS DOUBLE)" if measure == "count" else "COALESCE(sum(sku_cubic_ft), 0.0)"
+    var = "SKUuniquePct" if measure == "count" else "SKUcubicPct"
+    return f"""
+SELECT COALESCE(c.category, r.category) AS category, COALESCE(c.type, r.type) AS type,
+  COALESCE(c.location, r.location) AS location, COALESCE(c.cur, 0.0) AS current_{measure},
+  COALESCE(t.tot, 0.0) AS total_{measure}, COALESCE(c.cur / NULLIF(t.tot, 0), 0.0) AS current_pct,
+  COALESCE(r.value, 0.0) AS recommended_pct, COALESCE(r.value, 0.0) * COALESCE(t.tot, 0.0) AS recommended_{measure}
+FROM (SELECT category, type, location, {m} AS cur FROM parts_located
+      WHERE type IS NOT NULL AND location IS NOT NULL GROUP BY 1, 2, 3) c
+FULL OUTER JOIN (SELECT * FROM plan_pct WHERE variable = '{var}') r
+  ON c.category = r.category AND c.type = r.type AND c.location = r.location
+LEFT JOIN (SELECT category, {m} AS tot FROM parts_located GROUP BY 1) t ON t.category = COALESCE(c.category, r.category)"""
+
+
+def _reserve_sql(measure: str) -> str:
+    m = "CAST(count(DISTINCT material) AS DOUBLE)" if measure == "count" else "COALESCE(sum(sku_cubic_ft), 0.0)"
+    var = "ResSKUuniquePct" if measure == "count" else "ResSKUcubicPct"
+    return f"""
+SELECT r.category, r.type, r.location, r.value AS reserve_pct, COALESCE(t.tot, 0.0) AS total_{measure},
+  r.value * COALESCE(t.tot, 0.0) AS reserve_{measure}
+FROM (SELECT * FROM plan_pct WHERE variable = '{var}') r
+LEFT JOIN (SELECT category, {m} AS tot FROM parts_located GROUP BY 1) t ON t.category = r.category"""
+
+
+CTE["report_alloc_counts"] = _alloc_sql("count")
+CTE["report_alloc_cubic"] = _alloc_sql("cubic")
+CTE["report_reserve_counts"] = _reserve_sql("count")
+CTE["report_reserve_cubic"] = _reserve_sql("cubic")
+
+CTE["report_forward_reserve"] = """
+SELECT COALESCE(f.category, r.category) AS category, COALESCE(f.type, r.type) AS type,
+  COALESCE(f.location, r.location) AS location, COALESCE(f.value, 0.0) AS forward_pct, COALESCE(r.value, 0.0) AS reserve_pct
+FROM (SELECT * FROM plan_pct WHERE variable = 'SKUuniquePct') f
+FULL OUTER JOIN (SELECT * FROM plan_pct WHERE variable = 'ResSKUuniquePct') r
+  ON f.category = r.category AND f.type = r.type AND f.location = r.location"""
+
+CTE["report_units_change"] = """
+SELECT r.index_1 AS type, r.index_2 AS location, COALESCE(c.cu, 0.0) AS current_units, r.value AS recommended_units
+FROM (SELECT * FROM plan_vars WHERE variable = 'StoreUnits') r
+LEFT JOIN (SELECT type, location, sum(current_units) AS cu FROM lt_named GROUP BY 1, 2) c
+  ON c.type = r.index_1 AND c.location = r.index_2"""
+
+CTE["units_cur_pivot"] = """
+SELECT location,
+  COALESCE(sum(CASE WHEN type = 'CABINET' THEN current_units END), 0.0) AS current_cabinet,
+  COALESCE(sum(CASE WHEN type = 'MEZZANINE' THEN current_units END), 0.0) AS current_mezzanine,
+  COALESCE(sum(CASE WHEN type = 'SHELF' THEN current_units END), 0.0) AS current_shelf,
+  COALESCE(sum(CASE WHEN type = 'LIFT' THEN current_units END), 0.0) AS current_lift,
+  COALESCE(sum(CASE WHEN type = 'RACK' THEN current_units END), 0.0) AS current_rack,
+  sum(current_units) AS current_total
+FROM lt_named GROUP BY location"""
+
+CTE["units_rec_pivot"] = """
+SELECT index_2 AS location,
+  COALESCE(sum(CASE WHEN index_1 = 'CABINET' THEN value END), 0.0) AS recommended_cabinet,
+  COALESCE(sum(CASE WHEN index_1 = 'MEZZANINE' THEN value END), 0.0) AS recommended_mezzanine,
+  COALESCE(sum(CASE WHEN index_1 = 'SHELF' THEN value END), 0.0) AS recommended_shelf,
+  COALESCE(sum(CASE WHEN index_1 = 'LIFT' THEN value END), 0.0) AS recommended_lift,
+  COALESCE(sum(CASE WHEN index_1 = 'RACK' THEN value END), 0.0) AS recommended_rack,
+  sum(value) AS recommended_total
+FROM plan_vars WHERE variable = 'StoreUnits' GROUP BY index_2"""
+
+CTE["map_current"] = """
+SELECT c.location, c.category, c.total_ldo, c.material_count, c.total_cubic_ft,
+  t.loc_total_materials, t.loc_total_cubic_ft, t.loc_total_ldo,
+  u.current_cabinet, u.current_mezzanine, u.current_shelf, u.current_lift, u.current_rack, u.current_total,
+  l.lat, l.lon, l.travel_time
+FROM (SELECT location, category, COALESCE(sum(line_down_orders), 0.0) AS total_ldo,
+        CAST(count(DISTINCT material) AS BIGINT) AS material_count, COALESCE(sum(sku_cubic_ft), 0.0) AS total_cubic_ft
+      FROM parts_located WHERE location IS NOT NULL GROUP BY 1, 2) c
+LEFT JOIN (SELECT location, CAST(sum(material_count) AS BIGINT) AS loc_total_materials,
+             sum(total_cubic_ft) AS loc_total_cubic_ft, sum(total_ldo) AS loc_total_ldo
+           FROM (SELECT location, category, COALESCE(sum(line_down_orders), 0.0) AS total_ldo,
+                   count(DISTINCT material) AS material_count, COALESCE(sum(sku_cubic_ft), 0.0) AS total_cubic_ft
+                 FROM parts_located WHERE location IS NOT NULL GROUP BY 1, 2) x GROUP BY location) t ON t.location = c.location
+LEFT JOIN units_cur_pivot u ON u.location = c.location
+LEFT JOIN dim_location l ON l.location = c.location"""
+
+CTE["map_recommended"] = """
+SELECT o.location, o.category, o.rec_cubic_ft, o.rec_materials, o.rec_ldo,
+  t.loc_rec_materials, t.loc_rec_cubic_ft, t.loc_rec_ldo, l.lat, l.lon, l.travel_time
+FROM (SELECT v.location, v.category, v.cubic_pct * tt.cat_cubic_ft AS rec_cubic_ft,
+        COALESCE(u.unique_pct, 0.0) * tt.cat_materials AS rec_materials, COALESCE(u.unique_pct, 0.0) * tt.cat_ldo AS rec_ldo
+      FROM (SELECT category, location, sum(value) AS cubic_pct FROM plan_pct WHERE variable = 'SKUcubicPct' GROUP BY 1, 2) v
+      LEFT JOIN (SELECT category, location, sum(value) AS unique_pct FROM plan_pct WHERE variable = 'SKUuniquePct'
+                 GROUP BY 1, 2) u ON u.category = v.category AND u.location = v.location
+      LEFT JOIN (SELECT category, COALESCE(sum(line_down_orders), 0.0) AS cat_ldo,
+                   CAST(count(DISTINCT material) AS DOUBLE) AS cat_materials, COALESCE(sum(sku_cubic_ft), 0.0) AS cat_cubic_ft
+                 FROM parts_located GROUP BY 1) tt ON tt.category = v.category) o
+LEFT JOIN (SELECT location, sum(rec_materials) AS loc_rec_materials, sum(rec_cubic_ft) AS loc_rec_cubic_ft,
+             sum(rec_ldo) AS loc_rec_ldo FROM (
+             SELECT v.location, v.cubic_pct * tt.cat_cubic_ft AS rec_cubic_ft,
+               COALESCE(u.unique_pct, 0.0) * tt.cat_materials AS rec_materials, COALESCE(u.unique_pct, 0.0) * tt.cat_ldo AS rec_ldo
+             FROM (SELECT category, location, sum(value) AS cubic_pct FROM plan_pct WHERE variable = 'SKUcubicPct' GROUP BY 1, 2) v
+             LEFT JOIN (SELECT category, location, sum(value) AS unique_pct FROM plan_pct WHERE variable = 'SKUuniquePct'
+                        GROUP BY 1, 2) u ON u.category = v.category AND u.location = v.location
+             LEFT JOIN (SELECT category, COALESCE(sum(line_down_orders), 0.0) AS cat_ldo,
+                          CAST(count(DISTINCT material) AS DOUBLE) AS cat_materials,
+                          COALESCE(sum(sku_cubic_ft), 0.0) AS cat_cubic_ft
+                        FROM parts_located GROUP BY 1) tt ON tt.category = v.category) q GROUP BY location) t
+  ON t.location = o.location
+LEFT JOIN dim_location l ON l.location = o.location"""
+
+CTE["map_totals"] = """
+SELECT location, lat, lon, CAST(sum(material_count) AS BIGINT) AS materials, sum(total_cubic_ft) AS cubic_ft,
+  sum(total_ldo) AS ldo, max(current_total) AS units, max(travel_time) AS travel_time
+FROM map_current WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY location, lat, lon"""

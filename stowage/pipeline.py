@@ -20,6 +20,8 @@ from stowage.operators import cost_center as cc
 from stowage.operators import master as mst
 from stowage.operators import parts as prt
 from stowage.operators import stock as stk
+from stowage.plans import plan_vars as pv
+from stowage.plans import reports as rep
 from stowage.session import materialize
 from stowage.sources import fixtures as fx
 
@@ -138,5 +140,28 @@ class Stages:
             self.res_fit(), self.grid().select("category", F.lit("").alias("tech"))))
 
 
+    # plan and reports ----------------------------------------------------------
+    def lt_named(self):
+        return self._get("lt_named", lambda: rep.location_type_named(
+            self.dim("dim_location_type"), self.dim("dim_location"), self.dim("dim_type")))
+
+    def plan(self):
+        return self._get("plan", lambda: pv.fixture_plan(
+            self.category_summary(), self.dim("dim_location_type"), self.dim("dim_location"), self.dim("dim_type"),
+            self.dim("dim_type_size"), self.dim("dim_priority"), self.dim("dim_tech_location"),
+            self.dim("dim_tech")))
+
+    def located(self):
+        return self._get("located", lambda: rep.parts_located(self.enriched(), self.lt_named()))
+
+    def map_current(self):
+        return self._get("map_current", lambda: rep.map_current(self.located(), self.lt_named(),
+                                                                self.dim("dim_location"), fx.TYPE_NAMES))
+
+    def map_recommended(self):
+        return self._get("map_rec", lambda: rep.map_recommended(self.located(), self.plan(),
+                                                                self.dim("dim_location")))
+
+
 def stages(spark: SparkSession, sf_dir: str) -> Stages:
     return Stages(spark, sf_dir)
