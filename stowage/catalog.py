@@ -20,6 +20,7 @@ from stowage.operators import consumption as con
 from stowage.operators import curves as cur
 from stowage.operators import master as mst
 from stowage.pipeline import stages
+from stowage.plans import audit as au
 from stowage.plans import plan_vars as pv
 from stowage.plans import reports as rep
 from stowage.sources import fixtures as fx
@@ -576,6 +577,247 @@ def q_display_percent(spark, sf):
     return p.select("variable", "index_1", "index_2", "index_3", "value", fn.display_percent("value").alias("display"))
 
 
+# --- plan audit -------------------------------------------------------------------------------------------
+def _audit_stage(spark, sf):
+    s = stages(spark, sf)
+    return s, s.plan()
+
+
+@register("audit_self_reloc", O.with_ctes(O._audit(
+    "self_reloc", ["index_1", "index_2"], "value", "0.0", "eq",
+    "SELECT * FROM plan_vars WHERE variable = 'RelocUnits' AND index_2 = index_3")))
+def q_audit_self_reloc(spark, sf):
+    return au.self_reloc(stages(spark, sf).plan())
+
+
+@register("audit_budget", O.with_ctes(O._audit("budget", [], "c", "budget", "le", """
+SELECT i.plan_id, COALESCE(b.c, 0.0) + COALESCE(r.c, 0.0) AS c, (SELECT max(plan_budget) FROM dim_system) AS budget
+FROM (SELECT DISTINCT plan_id FROM plan_vars) i
+LEFT JOIN (SELECT p.plan_id, sum(p.value * t.buy_cost) AS c FROM plan_vars p JOIN dim_type t ON t.type = p.index_1
+           WHERE p.variable = 'BuyUnits' GROUP BY 1) b ON b.plan_id = i.plan_id
+LEFT JOIN (SELECT p.plan_id, sum(p.value * t.reloc_cost / 2) AS c FROM plan_vars p JOIN dim_type t ON t.type = p.index_1
+           WHERE p.variable = 'RelocUnits' GROUP BY 1) r ON r.plan_id = i.plan_id""")))
+def q_audit_budget(spark, sf):
+    s, p = _audit_stage(spark, sf)
+    return au.budget(p, s.dim("dim_type"), s.dim("dim_system"))
+
+
+@register("audit_space", O.with_ctes(O._audit("space", ["location"], "used", "floor_space * sf", "le", """
+SELECT u.plan_id, u.location, u.used, l.floor_space, (SELECT max(space_factor) FROM dim_system) AS sf
+FROM (SELECT p.plan_id, p.location, sum(p.value * t.sqft_req) AS used FROM pv2 p JOIN dim_type t ON t.type = p.type
+      WHERE p.variable = 'StoreUnits' GROUP BY 1, 2) u JOIN dim_location l ON l.location = u.location""")))
+def q_audit_space(spark, sf):
+    s, p = _audit_stage(spark, sf)
+    return au.space(p, s.dim("dim_type"), s.dim("dim_location"), s.dim("dim_system"))
+
+
+@register("audit_units_split", O.with_ctes(O._audit("units_split", ["type", "location"], "u", "sp", "eq", """
+SELECT COALESCE(a.plan_id, b.plan_id) AS plan_id, COALESCE(a.type, b.type) AS type,
+  COALESCE(a.location, b.location) AS location, COALESCE(a.value, 0.0) AS u, COALESCE(b.sp, 0.0) AS sp
+FROM (SELECT * FROM pv2 WHERE variable = 'StoreUnits') a
+FULL OUTER JOIN (SELECT plan_id, type, location, sum(value) AS sp FROM pv3 WHERE variable = 'SKUStoreUnits'
+                 GROUP BY 1, 2, 3) b ON a.plan_id = b.plan_id AND a.type = b.type AND a.location = b.location""")))
+def q_audit_units_split(spark, sf):
+    return au.units_split(stages(spark, sf).plan())
+
+
+@register("audit_flow", O.with_ctes(O._audit("flow", ["type", "location"], "value",
+                                             "COALESCE(cur, 0.0) + COALESCE(buy, 0.0) + COALESCE(inb, 0.0) - COALESCE(outb, 0.0)",
+                                             "eq", """
+SELECT s.plan_id, s.type, s.location, s.value, c.cur, b.value AS buy, i.inb, o.outb
+FROM (SELECT * FROM pv2 WHERE variable = 'StoreUnits') s
+LEFT JOIN (SELECT * FROM pv2 WHERE variable = 'BuyUnits') b ON b.plan_id = s.plan_id AND b.type = s.type AND b.location = s.location
+LEFT JOIN (SELECT plan_id, index_1 AS type, index_3 AS location, sum(value) AS inb FROM plan_vars
+           WHERE variable = 'RelocUnits' AND index_2 <> index_3 GROUP BY 1, 2, 3) i
+  ON i.plan_id = s.plan_id AND i.type = s.type AND i.location = s.location
+LEFT JOIN (SELECT plan_id, index_1 AS type, index_2 AS location, sum(value) AS outb FROM plan_vars
+           WHERE variable = 'RelocUnits' AND index_2 <> index_3 GROUP BY 1, 2, 3) o
+  ON o.plan_id = s.plan_id AND o.type = s.type AND o.location = s.location
+LEFT JOIN (SELECT type, location, sum(current_units) AS cur FROM lt_named GROUP BY 1, 2) c
+  ON c.type = s.type AND c.location = s.location""")))
+def q_audit_flow(spark, sf):
+    s, p = _audit_stage(spark, sf)
+    return au.flow(p, s.lt_named())
+
+
+@register("audit_cover_volume", O.with_ctes(O._audit("cover_volume", ["category"], "s", "1.0", "eq", """
+SELECT plan_id, index_1 AS category, sum(value) AS s FROM plan_vars
+WHERE variable IN ('SKUcubicPct', 'ResSKUcubicPct') GROUP BY 1, 2""")))
+def q_audit_cover_volume(spark, sf):
+    return au.cover_volume(stages(spark, sf).plan())
+
+
+@register("audit_cover_unique", O.with_ctes(O._audit("cover_unique", ["category"], "s", "1.0", "ge", """
+SELECT plan_id, index_1 AS category, sum(value) AS s FROM plan_vars WHERE variable = 'SKUuniquePct' GROUP BY 1, 2""")))
+def q_audit_cover_unique(spark, sf):
+    return au.cover_unique(stages(spark, sf).plan())
+
+
+@register("audit_share_ratio", O.with_ctes(O._audit("share_ratio", ["category", "type", "location", "kind"],
+                                                    "cubic", "1.2 * uniq", "le", "SELECT * FROM shares")))
+def q_audit_share_ratio(spark, sf):
+    return au.share_ratio(stages(spark, sf).plan())
+
+
+@register("audit_min_volume", O.with_ctes(O._audit(
+    "min_volume", ["category", "type", "location", "kind"], "sku_cubic_ft * cubic", "uniq * num_sku * min_vol", "ge",
+    "SELECT s.*, c.num_sku, c.sku_cubic_ft, c.min_vol FROM shares s JOIN category_summary c ON c.category = s.category")))
+def q_audit_min_volume(spark, sf):
+    s, p = _audit_stage(spark, sf)
+    return au.min_volume(p, s.category_summary())
+
+
+@register("audit_sku_capacity", O.with_ctes(O._audit(
+    "sku_capacity", ["category", "type", "location", "kind"],
+    "COALESCE(units, 0.0) * COALESCE(max_sku_per_unit, 0.0)", "num_sku * uniq", "ge", """
+SELECT s.*, u.value AS units, c.num_sku, t.max_sku_per_unit FROM shares s
+LEFT JOIN (SELECT * FROM pv3 WHERE variable = 'SKUStoreUnits') u
+  ON u.plan_id = s.plan_id AND u.category = s.category AND u.type = s.type AND u.location = s.location
+JOIN category_summary c ON c.category = s.category
+LEFT JOIN category_type t ON t.category = s.category AND t.type = s.type""")))
+def q_audit_sku_capacity(spark, sf):
+    s, p = _audit_stage(spark, sf)
+    return au.sku_capacity(p, s.category_summary(), s.category_type())
+
+
+@register("audit_volume", O.with_ctes(O._audit(
+    "volume", ["category", "type", "location"], "COALESCE(units, 0.0) * COALESCE(cubic_capacity, 0.0)",
+    "COALESCE(sku_cubic_ft, 0.0) * COALESCE(cubic, 0.0)", "ge", """
+SELECT COALESCE(u.plan_id, h.plan_id) AS plan_id, COALESCE(u.category, h.category) AS category,
+  COALESCE(u.type, h.type) AS type, COALESCE(u.location, h.location) AS location, u.value AS units, h.cubic,
+  c.sku_cubic_ft, t.cubic_capacity
+FROM (SELECT * FROM pv3 WHERE variable = 'SKUStoreUnits') u
+FULL OUTER JOIN (SELECT plan_id, category, type, location, sum(cubic) AS cubic FROM shares GROUP BY 1, 2, 3, 4) h
+  ON u.plan_id = h.plan_id AND u.category = h.category AND u.type = h.type AND u.location = h.location
+LEFT JOIN category_summary c ON c.category = COALESCE(u.category, h.category)
+LEFT JOIN dim_type t ON t.type = COALESCE(u.type, h.type)""")))
+def q_audit_volume(spark, sf):
+    s, p = _audit_stage(spark, sf)
+    return au.volume(p, s.category_summary(), s.dim("dim_type"))
+
+
+@register("audit_type_category", O.with_ctes(
+    O._audit("type_category_share", ["category", "type", "location"], "value",
+             "CAST(COALESCE(compatible_strict, 0) AS DOUBLE)", "le", """
+SELECT p.*, t.compatible_strict FROM (SELECT * FROM pv3 WHERE variable = 'SKUuniquePct') p
+LEFT JOIN category_type t ON t.category = p.category AND t.type = p.type""") + " UNION ALL " +
+    O._audit("type_category_units", ["category", "type", "location"], "value",
+             "1000.0 * CAST(COALESCE(compatible_strict, 0) AS DOUBLE)", "le", """
+SELECT p.*, t.compatible_strict FROM (SELECT * FROM pv3 WHERE variable = 'SKUStoreUnits') p
+LEFT JOIN category_type t ON t.category = p.category AND t.type = p.type""")))
+def q_audit_type_category(spark, sf):
+    s, p = _audit_stage(spark, sf)
+    return au.type_category(p, s.category_type())
+
+
+@register("audit_tech_location", O.with_ctes(O._audit(
+    "tech_location", ["category", "type", "location", "tech"], "alloc", "COALESCE(ok, 0.0)", "le", """
+SELECT a.*, k.ok FROM alloc a LEFT JOIN (
+  SELECT l.location, t.tech_name AS tech, 1.0 AS ok FROM dim_tech_location tl
+  JOIN dim_location l ON l.location_id = tl.location_id JOIN dim_tech t ON t.tech_id = tl.tech_id) k
+ON k.location = a.location AND k.tech = a.tech""")))
+def q_audit_tech_location(spark, sf):
+    s, p = _audit_stage(spark, sf)
+    return au.tech_location(p, s.tech_loc_named())
+
+
+@register("audit_alloc_total", O.with_ctes(O._audit("alloc_total", ["category", "tech"], "s", "1.0", "eq",
+                                                    "SELECT plan_id, category, tech, sum(alloc) AS s FROM alloc GROUP BY 1, 2, 3")))
+def q_audit_alloc_total(spark, sf):
+    return au.alloc_total(stages(spark, sf).plan())
+
+
+def _alloc_rule(rule):
+    def q(spark, sf):
+        s, p = _audit_stage(spark, sf)
+        return au.alloc_rules(p, s.category_summary(), s.category_tech(), len(fx.ALL_TECHS)).filter(
+            F.col("rule") == rule)
+    return q
+
+
+register("audit_alloc_cover", O.with_ctes(O._audit("alloc_cover", ["category", "type", "location"], "s", "need", "ge",
+                                                    "SELECT * FROM alloc_tot")))(_alloc_rule("alloc_cover"))
+register("audit_alloc_capacity", O.with_ctes(O._audit("alloc_capacity", ["category", "type", "location"], "s",
+                                                       "4.0 * need", "le", "SELECT * FROM alloc_tot")))(
+    _alloc_rule("alloc_capacity"))
+register("audit_alloc_limit", O.with_ctes(O._audit("alloc_limit", ["category", "type", "location", "tech"], "alloc_sku",
+                                                    "COALESCE(need, 0.0)", "le", """
+SELECT a.*, n.need FROM alloc_sku a LEFT JOIN need n
+  ON n.plan_id = a.plan_id AND n.category = a.category AND n.type = a.type AND n.location = a.location""")))(
+    _alloc_rule("alloc_limit"))
+
+
+@register("audit_reserve_location", O.with_ctes(O._audit(
+    "reserve_location", ["category", "type", "location", "m"], "v", "COALESCE(ra, 0.0)", "le", """
+SELECT s.plan_id, s.category, s.type, s.location, x.m, CASE x.m WHEN 'unique' THEN s.uniq ELSE s.cubic END AS v,
+  CAST(lr.reserve_allowed AS DOUBLE) AS ra
+FROM shares s CROSS JOIN (VALUES ('unique'), ('cubic')) AS x(m)
+LEFT JOIN (SELECT l.location, p.reserve_allowed FROM dim_location l JOIN dim_priority p
+           ON p.location_priority = l.location_priority) lr ON lr.location = s.location
+WHERE s.kind = 'reserve'""")))
+def q_audit_reserve_location(spark, sf):
+    s, p = _audit_stage(spark, sf)
+    return au.reserve_location(p, s.loc_reserve())
+
+
+@register("audit_ld_cumulative", O.with_ctes(
+    "SELECT plan_id, category, tech, p, round(x_eval, 4) AS x_eval, round(y_eval, 4) AS y_eval FROM ld_cum"))
+def q_audit_ld_cumulative(spark, sf):
+    return _r4(stages(spark, sf).ld_cum(), {"x_eval", "y_eval"})
+
+
+@register("audit_ld_increment", O.with_ctes(
+    "SELECT plan_id, category, tech, p, round(x_eval, 4) AS x_eval, round(y_eval, 4) AS y_eval, round(inc, 4) AS inc "
+    "FROM ld_inc"))
+def q_audit_ld_increment(spark, sf):
+    return _r4(au.ld_increment(stages(spark, sf).ld_cum()), {"x_eval", "y_eval", "inc"})
+
+
+@register("audit_reserve_orders", O.with_ctes(
+    "SELECT plan_id, category, location, tech, round(x_eval, 4) AS x_eval, round(y_eval, 4) AS y_eval FROM res_orders"))
+def q_audit_reserve_orders(spark, sf):
+    return _r4(stages(spark, sf).res_orders(), {"x_eval", "y_eval"})
+
+
+@register("audit_cost", O.with_ctes("""
+SELECT plan_id, term, round(COALESCE(v, 0.0), 4) AS value FROM (
+  SELECT plan_id, 'buy' AS term, sum(p.value * t.buy_invest) AS v FROM plan_vars p JOIN dim_type t ON t.type = p.index_1
+  WHERE p.variable = 'BuyUnits' GROUP BY 1
+  UNION ALL
+  SELECT plan_id, 'relocation', sum(p.value * t.reloc_invest / 2) FROM plan_vars p JOIN dim_type t ON t.type = p.index_1
+  WHERE p.variable = 'RelocUnits' AND p.index_2 <> p.index_3 GROUP BY 1
+  UNION ALL
+  SELECT plan_id, 'line_down', sum((SELECT max(line_down_cost) FROM dim_system) * pr.travel_time * i.inc)
+  FROM ld_inc i JOIN dim_priority pr ON pr.location_priority = i.p GROUP BY 1
+  UNION ALL
+  SELECT plan_id, 'reserve', sum((SELECT max(reserve_cost) FROM dim_system) / (c.line_down_orders + 1) * r.y_eval)
+  FROM res_orders r JOIN category_summary c ON c.category = r.category GROUP BY 1
+  UNION ALL
+  SELECT plan_id, 'penalty', sum(t.penalty * p.value) FROM (SELECT * FROM pv3 WHERE variable = 'SKUStoreUnits') p
+  JOIN category_type t ON t.category = p.category AND t.type = p.type GROUP BY 1) a
+UNION ALL
+SELECT plan_id, 'total', round(sum(COALESCE(v, 0.0)), 4) FROM (
+  SELECT plan_id, sum(p.value * t.buy_invest) AS v FROM plan_vars p JOIN dim_type t ON t.type = p.index_1
+  WHERE p.variable = 'BuyUnits' GROUP BY 1
+  UNION ALL
+  SELECT plan_id, sum(p.value * t.reloc_invest / 2) FROM plan_vars p JOIN dim_type t ON t.type = p.index_1
+  WHERE p.variable = 'RelocUnits' AND p.index_2 <> p.index_3 GROUP BY 1
+  UNION ALL
+  SELECT plan_id, sum((SELECT max(line_down_cost) FROM dim_system) * pr.travel_time * i.inc)
+  FROM ld_inc i JOIN dim_priority pr ON pr.location_priority = i.p GROUP BY 1
+  UNION ALL
+  SELECT plan_id, sum((SELECT max(reserve_cost) FROM dim_system) / (c.line_down_orders + 1) * r.y_eval)
+  FROM res_orders r JOIN category_summary c ON c.category = r.category GROUP BY 1
+  UNION ALL
+  SELECT plan_id, sum(t.penalty * p.value) FROM (SELECT * FROM pv3 WHERE variable = 'SKUStoreUnits') p
+  JOIN category_type t ON t.category = p.category AND t.type = p.type GROUP BY 1) b GROUP BY plan_id"""))
+def q_audit_cost(spark, sf):
+    s, p = _audit_stage(spark, sf)
+    c = au.cost(p, s.dim("dim_type"), s.dim("dim_system"), s.dim("dim_priority"), s.category_summary(),
+                s.category_type(), au.ld_increment(s.ld_cum()), s.res_orders())
+    return _r4(c, {"value"})
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

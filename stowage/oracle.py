@@ -496,3 +496,70 @@ CTE["map_totals"] = """
 SELECT location, lat, lon, CAST(sum(material_count) AS BIGINT) AS materials, sum(total_cubic_ft) AS cubic_ft,
   sum(total_ldo) AS ldo, max(current_total) AS units, max(travel_time) AS travel_time
 FROM map_current WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY location, lat, lon"""
+
+# --- audits ------------------------------------------------------------------------------------------------
+def _audit(rule: str, keys: list[str], lhs: str, rhs: str, sense: str, src: str) -> str:
+    bad = {"le": f"({lhs}) > ({rhs}) + 1e-6", "ge": f"({lhs}) < ({rhs}) - 1e-6",
+           "eq": f"abs(({lhs}) - ({rhs})) > 1e-6", "info": "false"}[sense]
+    ks = [f"CAST({k} AS VARCHAR)" for k in keys] + ["CAST(NULL AS VARCHAR)"] * (4 - len(keys))
+    kcols = ", ".join(f"{k} AS key_{i}" for i, k in enumerate(ks, 1))
+    return (f"SELECT plan_id, '{rule}' AS rule, {kcols}, CAST({lhs} AS DOUBLE) AS lhs, CAST({rhs} AS DOUBLE) AS rhs, "
+            f"CASE WHEN {bad} THEN 1 ELSE 0 END AS violated FROM ({src}) src")
+
+
+CTE["pv3"] = """SELECT plan_id, variable, index_1 AS category, index_2 AS type, index_3 AS location, value FROM plan_vars"""
+CTE["pv2"] = """SELECT plan_id, variable, index_1 AS type, index_2 AS location, value FROM plan_vars"""
+CTE["alloc"] = """
+SELECT plan_id, index_1 AS category, index_2 AS type, index_3 AS location, index_4 AS tech, value AS alloc
+FROM plan_vars WHERE variable = 'AllocFracUnique'"""
+CTE["shares"] = """
+SELECT COALESCE(u.plan_id, c.plan_id) AS plan_id, COALESCE(u.category, c.category) AS category,
+  COALESCE(u.type, c.type) AS type, COALESCE(u.location, c.location) AS location, 'forward' AS kind,
+  COALESCE(u.value, 0.0) AS uniq, COALESCE(c.value, 0.0) AS cubic
+FROM (SELECT * FROM pv3 WHERE variable = 'SKUuniquePct') u
+FULL OUTER JOIN (SELECT * FROM pv3 WHERE variable = 'SKUcubicPct') c
+  ON u.plan_id = c.plan_id AND u.category = c.category AND u.type = c.type AND u.location = c.location
+UNION ALL
+SELECT COALESCE(u.plan_id, c.plan_id), COALESCE(u.category, c.category), COALESCE(u.type, c.type),
+  COALESCE(u.location, c.location), 'reserve', COALESCE(u.value, 0.0), COALESCE(c.value, 0.0)
+FROM (SELECT * FROM pv3 WHERE variable = 'ResSKUuniquePct') u
+FULL OUTER JOIN (SELECT * FROM pv3 WHERE variable = 'ResSKUcubicPct') c
+  ON u.plan_id = c.plan_id AND u.category = c.category AND u.type = c.type AND u.location = c.location"""
+CTE["alloc_sku"] = """
+SELECT a.*, a.alloc * COALESCE(ct.num_sku, 0.0) AS alloc_sku FROM alloc a
+LEFT JOIN category_tech ct ON ct.category = a.category AND ct.tech_name = a.tech"""
+CTE["need"] = """
+SELECT u.plan_id, u.category, u.type, u.location, u.value * c.num_sku AS need
+FROM (SELECT * FROM pv3 WHERE variable = 'SKUuniquePct') u JOIN category_summary c ON c.category = u.category"""
+CTE["alloc_tot"] = """
+SELECT COALESCE(a.plan_id, n.plan_id) AS plan_id, COALESCE(a.category, n.category) AS category,
+  COALESCE(a.type, n.type) AS type, COALESCE(a.location, n.location) AS location, COALESCE(a.s, 0.0) AS s,
+  COALESCE(n.need, 0.0) AS need
+FROM (SELECT plan_id, category, type, location, sum(alloc_sku) AS s FROM alloc_sku GROUP BY 1, 2, 3, 4) a
+FULL OUTER JOIN need n ON a.plan_id = n.plan_id AND a.category = n.category AND a.type = n.type AND a.location = n.location"""
+CTE["fwd_wide"] = """
+SELECT category, tech, max(CASE WHEN break_idx = 1 THEN x END) AS x1, max(CASE WHEN break_idx = 1 THEN y END) AS y1,
+  max(CASE WHEN break_idx = 2 THEN x END) AS x2, max(CASE WHEN break_idx = 2 THEN y END) AS y2
+FROM fwd_points GROUP BY category, tech"""
+CTE["res_wide"] = CTE["fwd_wide"].replace("fwd_points", "res_points")
+
+
+def _interp(at: str, wide: str, cols: str) -> str:
+    return f"""
+SELECT {cols}, x_eval, CASE WHEN x <= x1 THEN CASE WHEN x1 > 0 THEN y1 * x / x1 ELSE y1 END
+       ELSE CASE WHEN x2 > x1 THEN y1 + (y2 - y1) * (x - x1) / (x2 - x1) ELSE y2 END END AS y_eval
+FROM (SELECT a.*, w.x1, w.y1, w.x2, w.y2, greatest(0.0, least(a.x_eval, w.x2)) AS x
+      FROM ({at}) a JOIN {wide} w ON w.category = a.category AND w.tech = a.tech) z"""
+
+
+CTE["ld_cum"] = _interp("""
+SELECT a.plan_id, a.category, a.tech, p.location_priority AS p, sum(a.alloc_sku) AS x_eval
+FROM (SELECT s.*, l.location_priority FROM alloc_sku s JOIN dim_location l ON l.location = s.location) a
+JOIN dim_priority p ON a.location_priority <= p.location_priority
+GROUP BY a.plan_id, a.category, a.tech, p.location_priority""", "fwd_wide", "plan_id, category, tech, p")
+CTE["ld_inc"] = """
+SELECT *, y_eval - COALESCE(lag(y_eval) OVER (PARTITION BY plan_id, category, tech ORDER BY p), 0.0) AS inc FROM ld_cum"""
+CTE["res_orders"] = _interp("""
+SELECT r.plan_id, r.category, r.location, sum(r.value * c.num_sku) AS x_eval, '' AS tech
+FROM (SELECT * FROM pv3 WHERE variable = 'ResSKUuniquePct') r JOIN category_summary c ON c.category = r.category
+GROUP BY r.plan_id, r.category, r.location""", "res_wide", "plan_id, category, location, tech")

@@ -20,6 +20,7 @@ from stowage.operators import cost_center as cc
 from stowage.operators import master as mst
 from stowage.operators import parts as prt
 from stowage.operators import stock as stk
+from stowage.plans import audit as au
 from stowage.plans import plan_vars as pv
 from stowage.plans import reports as rep
 from stowage.session import materialize
@@ -163,5 +164,26 @@ class Stages:
                                                                 self.dim("dim_location")))
 
 
+    def tech_loc_named(self):
+        def build():
+            l = self.dim("dim_location").select("location_id", "location")
+            t = self.dim("dim_tech").select("tech_id", F.col("tech_name").alias("tech"))
+            return self.dim("dim_tech_location").join(l, "location_id").join(t, "tech_id").select("location", "tech")
+        return self._get("tl_named", build)
+
+    def loc_reserve(self):
+        return self._get("loc_res", lambda: self.dim("dim_location").join(
+            self.dim("dim_priority").select("location_priority", "reserve_allowed"), "location_priority")
+            .select("location", "location_priority", "reserve_allowed"))
+
+    def ld_cum(self):
+        return self._get("ld_cum", lambda: au.ld_cumulative(
+            self.plan(), self.category_tech(), self.dim("dim_location"), self.dim("dim_priority"), self.fwd_points()))
+
+    def res_orders(self):
+        return self._get("res_orders", lambda: au.reserve_orders(self.plan(), self.category_summary(),
+                                                                 self.res_points()))
+
+
 def stages(spark: SparkSession, sf_dir: str) -> Stages:
     return Stages(spark, sf_dir)
