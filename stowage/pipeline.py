@@ -78,10 +78,12 @@ class Stages:
         return self._get("cons_orders", lambda: con.consumption_orders(self.cons_stats()))
 
     def cons_movement(self):
-        return self._get("cons_mov", lambda: con.consumption_movement(self.cons_stats()))
+        return self._get("cons_mov", lambda: materialize(con.consumption_movement(self.cons_stats()),
+                                                         "consumption_movement"))
 
     def cons_tech(self):
-        return self._get("cons_tech", lambda: con.consumption_tech(self.raw_consumption(), self.cc_loaded()))
+        return self._get("cons_tech", lambda: materialize(
+            con.consumption_tech(self.raw_consumption(), self.cc_loaded()), "consumption_tech"))
 
     # parts chain -----------------------------------------------------------
     def parts_from_stock(self):
