@@ -20,7 +20,9 @@ from stowage.operators import consumption as con
 from stowage.operators import curves as cur
 from stowage.operators import master as mst
 from stowage.pipeline import stages
+from stowage.operators import dims as dm
 from stowage.plans import audit as au
+from stowage.plans import params as pm
 from stowage.plans import plan_vars as pv
 from stowage.plans import reports as rep
 from stowage.sources import fixtures as fx
@@ -818,6 +820,208 @@ def q_audit_cost(spark, sf):
     return _r4(c, {"value"})
 
 
+# --- model sets, parameters, dimension maintenance ---------------------------------------------------------
+@register("model_sets", O.with_ctes("""
+SELECT DISTINCT 'priority' AS set_name, priority AS member FROM parts_normalized WHERE priority IS NOT NULL
+UNION ALL SELECT DISTINCT 'movement', movement FROM parts_normalized WHERE movement IS NOT NULL
+UNION ALL SELECT DISTINCT 'sizes', size FROM dim_size
+UNION ALL SELECT DISTINCT 'skus', category FROM curve_grid
+UNION ALL SELECT DISTINCT 'users', tech_name FROM dim_tech
+UNION ALL SELECT DISTINCT 'locs', location FROM dim_location
+UNION ALL SELECT DISTINCT 'types', type FROM dim_type
+UNION ALL SELECT DISTINCT 'priorities', CAST(location_priority AS VARCHAR) FROM dim_location
+UNION ALL SELECT DISTINCT 'secondary', l.location FROM dim_location l JOIN dim_priority p
+  ON p.location_priority = l.location_priority WHERE p.reserve_allowed = 1
+UNION ALL SELECT 'locations_upto_' || CAST(p.location_priority AS VARCHAR), l.location
+  FROM dim_location l JOIN (SELECT DISTINCT location_priority FROM dim_location) p
+  ON l.location_priority <= p.location_priority"""))
+def q_model_sets(spark, sf):
+    s = stages(spark, sf)
+    return pm.model_sets(s.parts(), s.dim("dim_size"), s.dim("dim_location"), s.dim("dim_type"), s.dim("dim_tech"),
+                         s.dim("dim_priority"), s.grid())
+
+
+_PARAM_SQL = """
+SELECT 'i_sku.' || k AS param, CAST(category AS VARCHAR) AS key_1, CAST(NULL AS VARCHAR) AS key_2,
+  CAST(NULL AS VARCHAR) AS key_3, v AS value
+FROM (SELECT category, 'num_sku' AS k, CAST(num_sku AS DOUBLE) AS v FROM category_summary
+      UNION ALL SELECT category, 'total_stock', total_stock FROM category_summary
+      UNION ALL SELECT category, 'total_orders', total_orders FROM category_summary
+      UNION ALL SELECT category, 'line_down_orders', line_down_orders FROM category_summary
+      UNION ALL SELECT category, 'min_vol', min_vol FROM category_summary
+      UNION ALL SELECT category, 'sku_cubic_ft', sku_cubic_ft FROM category_summary) a
+UNION ALL
+SELECT 'i_sku_user.' || k, category, tech_name, NULL, v
+FROM (SELECT category, tech_name, 'num_sku' AS k, num_sku AS v FROM category_tech
+      UNION ALL SELECT category, tech_name, 'ld_orders_per_user', ld_orders_per_user FROM category_tech
+      UNION ALL SELECT category, tech_name, 'orders_per_user', orders_per_user FROM category_tech) b
+UNION ALL
+SELECT 'i_sku_type.' || k, category, type, NULL, v
+FROM (SELECT category, type, 'max_sku_per_unit' AS k, max_sku_per_unit AS v FROM category_type
+      UNION ALL SELECT category, type, 'compatible', CAST(compatible AS DOUBLE) FROM category_type
+      UNION ALL SELECT category, type, 'penalty', CAST(penalty AS DOUBLE) FROM category_type
+      UNION ALL SELECT category, type, 'cubic_capacity_per_unit', cubic_capacity_per_unit FROM category_type) c
+UNION ALL
+SELECT 'i_type.' || k, type, NULL, NULL, v
+FROM (SELECT type, 'sqft_req' AS k, sqft_req AS v FROM dim_type UNION ALL SELECT type, 'buy_cost', buy_cost FROM dim_type
+      UNION ALL SELECT type, 'buy_invest', buy_invest FROM dim_type UNION ALL SELECT type, 'reloc_cost', reloc_cost FROM dim_type
+      UNION ALL SELECT type, 'reloc_invest', reloc_invest FROM dim_type
+      UNION ALL SELECT type, 'cubic_capacity', cubic_capacity FROM dim_type) d
+UNION ALL
+SELECT 'i_loc.' || k, location, NULL, NULL, v
+FROM (SELECT location, 'floor_space' AS k, floor_space AS v FROM dim_location
+      UNION ALL SELECT location, 'travel_time', travel_time FROM dim_location) e
+UNION ALL
+SELECT 'i_locpriority.' || k, CAST(location_priority AS VARCHAR), NULL, NULL, v
+FROM (SELECT location_priority, 'travel_time' AS k, travel_time AS v FROM dim_priority
+      UNION ALL SELECT location_priority, 'reserve_allowed', CAST(reserve_allowed AS DOUBLE) FROM dim_priority) f
+UNION ALL
+SELECT 'system.' || k, team, NULL, NULL, v
+FROM (SELECT team, 'line_down_cost' AS k, line_down_cost AS v FROM dim_system
+      UNION ALL SELECT team, 'plan_budget', plan_budget FROM dim_system
+      UNION ALL SELECT team, 'space_factor', space_factor FROM dim_system
+      UNION ALL SELECT team, 'reserve_cost', reserve_cost FROM dim_system) g
+UNION ALL
+SELECT 'i_loc_user.compatible', t.tech_name, l.location, NULL,
+  CASE WHEN tl.tech_id IS NOT NULL THEN 1.0 ELSE 0.0 END
+FROM dim_tech t CROSS JOIN dim_location l
+LEFT JOIN dim_tech_location tl ON tl.tech_id = t.tech_id AND tl.location_id = l.location_id
+UNION ALL
+SELECT 'i_type_loc.current_units', t.type, l.location, NULL, COALESCE(CAST(u.cu AS DOUBLE), 0.0)
+FROM dim_type t CROSS JOIN dim_location l
+LEFT JOIN (SELECT type_id, location_id, sum(current_units) AS cu FROM dim_location_type GROUP BY 1, 2) u
+  ON u.type_id = t.type_id AND u.location_id = l.location_id"""
+
+
+@register("param_long", O.with_ctes(_PARAM_SQL))
+def q_param_long(spark, sf):
+    s = stages(spark, sf)
+    ct = s.category_type()
+    groups = {
+        "i_sku": (s.category_summary(), ["category"], ["num_sku", "total_stock", "total_orders", "line_down_orders",
+                                                       "min_vol", "sku_cubic_ft"]),
+        "i_sku_user": (s.category_tech(), ["category", "tech_name"], ["num_sku", "ld_orders_per_user",
+                                                                      "orders_per_user"]),
+        "i_sku_type": (ct, ["category", "type"], ["max_sku_per_unit", "compatible", "penalty",
+                                                  "cubic_capacity_per_unit"]),
+        "i_type": (s.dim("dim_type"), ["type"], ["sqft_req", "buy_cost", "buy_invest", "reloc_cost", "reloc_invest",
+                                                 "cubic_capacity"]),
+        "i_loc": (s.dim("dim_location"), ["location"], ["floor_space", "travel_time"]),
+        "i_locpriority": (s.dim("dim_priority"), ["location_priority"], ["travel_time", "reserve_allowed"]),
+        "system": (s.dim("dim_system"), ["team"], ["line_down_cost", "plan_budget", "space_factor", "reserve_cost"]),
+        "i_loc_user": (pm.loc_tech_grid(s.dim("dim_tech"), s.dim("dim_location"), s.dim("dim_tech_location")),
+                       ["tech_name", "location"], ["compatible"]),
+        "i_type_loc": (pm.type_loc_grid(s.dim("dim_type"), s.dim("dim_location"), s.dim("dim_location_type")),
+                       ["type", "location"], ["current_units"]),
+    }
+    return pm.param_long(groups)
+
+
+@register("sanitize_name", O.with_ctes("""
+SELECT DISTINCT department,
+  NULLIF(regexp_replace(regexp_replace(upper(trim(department)), '[^A-Z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), '')
+    AS indicator
+FROM raw_cost_center"""))
+def q_sanitize_name(spark, sf):
+    d = stages(spark, sf).raw_cost_center().select("department").distinct()
+    return d.select("department", fn.sanitize_name("department").alias("indicator"))
+
+
+_COUNT_TABLES = ["raw_stock", "raw_master", "raw_cost_center", "raw_consumption", "stock_sized", "master_flags",
+                 "cost_center_loaded", "parts_normalized", "category_summary", "category_tech", "category_type",
+                 "dim_tech", "dim_token_map", "dim_size", "dim_type", "dim_priority", "dim_location",
+                 "dim_location_type", "dim_tech_location", "dim_type_size", "dim_system"]
+
+
+@register("dim_row_counts", O.with_ctes(" UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", CAST(count(*) AS BIGINT) AS rows FROM {t}" for t in _COUNT_TABLES)))
+def q_dim_row_counts(spark, sf):
+    s = stages(spark, sf)
+    src = {"raw_stock": s.raw_stock(), "raw_master": s.raw_master(), "raw_cost_center": s.raw_cost_center(),
+           "raw_consumption": s.raw_consumption(), "stock_sized": s.stock(), "master_flags": s.master(),
+           "cost_center_loaded": s.cc_loaded(), "parts_normalized": s.parts(),
+           "category_summary": s.category_summary(), "category_tech": s.category_tech(),
+           "category_type": s.category_type()}
+    for t in _COUNT_TABLES:
+        if t.startswith("dim_"):
+            src[t] = s.dim(t)
+    return dm.row_counts(src)
+
+
+_UNMATCHED_SQL = """
+SELECT DISTINCT upper(trim(t.token)) AS value, 'UNK' AS tech_name FROM master_tokens t
+WHERE NOT (t.token IS NULL OR upper(trim(t.token)) IN ('<NA>', 'NAN', 'NONE', ''))
+  AND NOT EXISTS (SELECT 1 FROM token_map m WHERE contains(upper(t.token), m.value))"""
+
+
+def _unmatched_tokens(s):
+    toks = mst.master_tokens(s.raw_master()).filter(~fn.is_missing_like("token"))
+    mp = F.broadcast(mst.token_map_norm(s.dim("dim_token_map")))
+    un = toks.join(mp, F.upper(toks.token).contains(mp.value), "left_anti")
+    return un.select(fn.norm_key("token").alias("value"), F.lit("UNK").alias("tech_name")).distinct()
+
+
+@register("dim_upsert", O.with_ctes(f"""
+SELECT value, tech_name FROM token_map WHERE value NOT IN (SELECT value FROM ({_UNMATCHED_SQL}) u)
+UNION ALL {_UNMATCHED_SQL}"""))
+def q_dim_upsert(spark, sf):
+    s = stages(spark, sf)
+    return dm.upsert(mst.token_map_norm(s.dim("dim_token_map")), _unmatched_tokens(s), ["value"])
+
+
+@register("dim_delete", O.with_ctes("""
+SELECT m.value, m.tech_name FROM token_map m
+WHERE EXISTS (SELECT 1 FROM master_tokens t WHERE contains(upper(t.token), m.value)
+              AND NOT (t.token IS NULL OR upper(trim(t.token)) IN ('<NA>', 'NAN', 'NONE', '')))"""))
+def q_dim_delete(spark, sf):
+    s = stages(spark, sf)
+    mp = mst.token_map_norm(s.dim("dim_token_map"))
+    toks = mst.master_tokens(s.raw_master()).filter(~fn.is_missing_like("token"))
+    used = mp.join(toks, F.upper(toks.token).contains(mp.value), "left_semi").select("value")
+    unused = mp.select("value").join(used, "value", "left_anti")
+    return dm.delete(mp, unused, ["value"])
+
+
+@register("dim_replace_group", O.with_ctes("""
+SELECT lt.location_id, lt.type_id, lt.code, lt.current_units FROM dim_location_type lt
+WHERE lt.location_id NOT IN (SELECT DISTINCT d.location_id FROM dim_location_type d
+                             JOIN (SELECT DISTINCT storage_type FROM parts_normalized) p ON p.storage_type = d.code)
+UNION ALL
+SELECT d.location_id, d.type_id, d.code, CAST(count(p.material) AS INTEGER) AS current_units
+FROM dim_location_type d JOIN parts_normalized p ON p.storage_type = d.code
+GROUP BY d.location_id, d.type_id, d.code"""))
+def q_dim_replace_group(spark, sf):
+    s = stages(spark, sf)
+    lt = s.dim("dim_location_type")
+    counts = s.parts().groupBy(F.col("storage_type").alias("code")).agg(F.count("material").cast("int").alias("n"))
+    rows = lt.join(counts, "code", "inner").select("location_id", "type_id", "code", F.col("n").alias("current_units"))
+    return dm.replace_group(lt.select("location_id", "type_id", "code", "current_units"), rows, ["location_id"])
+
+
+@register("dim_location_derive", O.with_ctes("""
+SELECT l.location_id, l.floor_space, l.location_priority, l.lat, l.lon, upper(trim(l.location)) AS location,
+  CAST(trunc(p.travel_time) AS INTEGER) AS travel_time, p.reserve_allowed
+FROM dim_location l LEFT JOIN dim_priority p ON p.location_priority = l.location_priority
+WHERE l.location IN (SELECT location FROM parts_located)"""))
+def q_dim_location_derive(spark, sf):
+    s = stages(spark, sf)
+    used = s.located().select("location").filter(F.col("location").isNotNull()).distinct()
+    return dm.derive_location(s.dim("dim_location").join(used, "location", "left_semi"), s.dim("dim_priority"))
+
+
+@register("src_csv_roundtrip", O.select_all("raw_stock", "material, code, total_stock_raw"))
+def q_src_csv_roundtrip(spark, sf):
+    from stowage.session import ensure_checkpoint_dir
+    from stowage.sources.files import read_export, write_csv
+    import uuid
+    s = stages(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/stock-{uuid.uuid4().hex}"
+    export = s.raw_stock().select(F.col("material").alias("Material"), F.col("code").alias("Storage Type"),
+                                  F.col("total_stock_raw").alias("Total Stock"))
+    write_csv(export, path)
+    return read_export(spark, path, {"material": "material", " storage  TYPE ": "code", "total stock": "total_stock_raw"})
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
