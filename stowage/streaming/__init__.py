@@ -1,0 +1,5 @@
+"""Streaming operators: none.
+
+The reference processes whole-file uploads only (no watermark, window, trigger or
+incremental state), so this package intentionally holds no operators.
+"""
