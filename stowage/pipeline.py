@@ -110,15 +110,15 @@ class Stages:
         return self._get("enr", lambda: cat.parts_enriched(self.parts(), self.dim("dim_size")))
 
     def category_summary(self):
-        return self._get("i_sku", lambda: cat.category_summary(self.enriched()))
+        return self._get("i_sku", lambda: materialize(cat.category_summary(self.enriched()), "i_sku", True))
 
     def category_tech(self):
-        return self._get("i_sku_user", lambda: cat.category_tech(self.enriched(), self.category_summary(),
-                                                                 self.dim("dim_tech")))
+        return self._get("i_sku_user", lambda: materialize(cat.category_tech(
+            self.enriched(), self.category_summary(), self.dim("dim_tech")), "i_sku_user", True))
 
     def category_type(self):
-        return self._get("i_sku_type", lambda: cat.category_type(self.category_summary(), self.dim("dim_type"),
-                                                                 self.dim("dim_type_size")))
+        return self._get("i_sku_type", lambda: materialize(cat.category_type(
+            self.category_summary(), self.dim("dim_type"), self.dim("dim_type_size")), "i_sku_type", True))
 
 
     # curves ------------------------------------------------------------------
@@ -135,12 +135,12 @@ class Stages:
         def build():
             g = self.grid().select("category").join(
                 self.spark.createDataFrame([(t,) for t in fx.ALL_TECHS], "tech string"), how="cross")
-            return cur.curve_points(self.fwd_fit(), g)
+            return materialize(cur.curve_points(self.fwd_fit(), g), "curve_forward", True)
         return self._get("fwd_points", build)
 
     def res_points(self):
-        return self._get("res_points", lambda: cur.curve_points(
-            self.res_fit(), self.grid().select("category", F.lit("").alias("tech"))))
+        return self._get("res_points", lambda: materialize(cur.curve_points(
+            self.res_fit(), self.grid().select("category", F.lit("").alias("tech"))), "curve_reserve", True))
 
 
     # plan and reports ----------------------------------------------------------
@@ -149,10 +149,10 @@ class Stages:
             self.dim("dim_location_type"), self.dim("dim_location"), self.dim("dim_type")))
 
     def plan(self):
-        return self._get("plan", lambda: pv.fixture_plan(
+        return self._get("plan", lambda: materialize(pv.fixture_plan(
             self.category_summary(), self.dim("dim_location_type"), self.dim("dim_location"), self.dim("dim_type"),
             self.dim("dim_type_size"), self.dim("dim_priority"), self.dim("dim_tech_location"),
-            self.dim("dim_tech")))
+            self.dim("dim_tech")), "plan_vars", True))
 
     def located(self):
         return self._get("located", lambda: rep.parts_located(self.enriched(), self.lt_named()))
@@ -189,3 +189,22 @@ class Stages:
 
 def stages(spark: SparkSession, sf_dir: str) -> Stages:
     return Stages(spark, sf_dir)
+
+
+def workflow_outputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The whole workflow in one build: every persisted table and report from the raw exports.
+
+    Intermediate stage tables are written once and shared by all outputs of this run.
+    """
+    s = stages(spark, sf_dir)
+    located, plan = s.located(), s.plan()
+    return {
+        "parts": s.parts(),
+        "i_sku": s.category_summary(), "i_sku_user": s.category_tech(), "i_sku_type": s.category_type(),
+        "curve_forward": s.fwd_points(), "curve_reserve": s.res_points(),
+        "alloc_counts": rep.alloc_report(located, plan, "count"),
+        "alloc_cubic": rep.alloc_report(located, plan, "cubic"),
+        "units_change": rep.units_change(plan, s.lt_named()),
+        "map_current": s.map_current(), "map_recommended": s.map_recommended(),
+        "ld_cumulative": s.ld_cum(), "reserve_orders": s.res_orders(),
+    }

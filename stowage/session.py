@@ -57,7 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df, name: str = "stage"):
+def materialize(df, name: str = "stage", bounded: bool = False):
     """Write ``df`` as parquet under the reliable checkpoint folder and continue from the copy.
 
     Used for reduced tables read by several branches of a plan (per-material
@@ -68,5 +68,6 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    # tables with a bound independent of the data (category, curve, plan tables) go to one file
+    (df.coalesce(1) if bounded else df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
