@@ -100,19 +100,12 @@ def group_stats(blocks: DataFrame) -> DataFrame:
         .alias("t_yy"))
 
 
-def _line(m, x1, x2, y1, xy, yy):
-    """OLS line on a point set from its sums: (slope, intercept, sse)."""
-    cxx = m * x2 - x1 * x1
-    cxy = m * xy - x1 * y1
-    cyy = m * yy - y1 * y1
-    slope = F.try_divide(cxy, cxx)
-    icpt = F.try_divide(y1 - slope * x1, m)
-    sse = F.try_divide(cyy - F.try_divide(cxy * cxy, cxx), m)
-    return slope, icpt, sse
-
-
 def candidates(blocks: DataFrame, stats: DataFrame) -> DataFrame:
-    """Score every split k (1 <= k < n) of every fitted group; both candidate kinds."""
+    """Score every split k (1 <= k < n) of every fitted group; both candidate kinds.
+
+    Computed as a chain of small projections (prefix sums, then centred moments,
+    then fits) so each generated expression stays small.
+    """
     fit_groups = stats.filter((F.col("n") > 2) & (F.col("n_distinct") > 1))
     b = blocks.join(fit_groups, ["category", "tech"], "inner")
     # chunk each block, then explode a bounded range per chunk row
@@ -121,46 +114,52 @@ def candidates(blocks: DataFrame, stats: DataFrame) -> DataFrame:
     lo = F.col("_chunk") * CHUNK + 1
     hi = F.least(F.col("cnt"), (F.col("_chunk") + 1) * CHUNK)
     b = b.withColumn("t", F.explode(F.sequence(lo, hi)))
-    t = F.col("t").cast("double")
-    r0, c0, d = F.col("r0"), F.col("c0"), F.col("demand")
-    n = F.col("n").cast("double")
+    c = F.col
+    t = c("t").cast("double")
+    r0, c0, d = c("r0"), c("c0"), c("demand")
+    n = c("n").cast("double")
     k = r0 + t
-    # prefix sums up to k
-    px1, px2 = k * (k + 1) / 2, k * (k + 1) * (2 * k + 1) / 6
-    py = F.col("s_y") + _sum_y(r0, c0, d, t)
-    pxy = F.col("s_xy") + _sum_xy(r0, c0, d, t)
-    pyy = F.col("s_yy") + _sum_yy(r0, c0, d, t)
-    tx1, tx2 = n * (n + 1) / 2, n * (n + 1) * (2 * n + 1) / 6
-    ty, txy, tyy = F.col("t_y"), F.col("t_xy"), F.col("t_yy")
-    c = b.select("category", "tech", "n", "total", k.alias("k"), px1.alias("px1"), px2.alias("px2"),
-                 py.alias("py"), pxy.alias("pxy"), pyy.alias("pyy"), tx1.alias("tx1"), tx2.alias("tx2"),
-                 ty.alias("ty"), txy.alias("txy"), tyy.alias("tyy")).filter(F.col("k") < F.col("n"))
-    K, N = F.col("k"), F.col("n").cast("double")
-    mR = N - K
-    rx1, rx2 = F.col("tx1") - F.col("px1"), F.col("tx2") - F.col("px2")
-    ry, rxy, ryy = F.col("ty") - F.col("py"), F.col("txy") - F.col("pxy"), F.col("tyy") - F.col("pyy")
-    # (a) two free lines meeting inside [k, k+1]
-    sL, iL, eL = _line(K, F.col("px1"), F.col("px2"), F.col("py"), F.col("pxy"), F.col("pyy"))
-    sR, iR, eR = _line(mR, rx1, rx2, ry, rxy, ryy)
-    cross = F.try_divide(iR - iL, sL - sR)
-    ok_a = (K >= 2) & (mR >= 2) & (sL != sR) & (cross >= K) & (cross <= K + 1)
-    a = struct_cand(ok_a, eL + eR, cross, iL + sL * cross, 0)
-    # (b) joined fit with the hinge at x = k (regressors 1, x, (x-k)+)
-    sx, sxx, sy, sxy, syy = F.col("tx1"), F.col("tx2"), F.col("ty"), F.col("txy"), F.col("tyy")
-    sh = rx1 - mR * K
-    shh = rx2 - 2 * K * rx1 + mR * K * K
-    sxh = rx2 - K * rx1
-    syh = rxy - K * ry
-    cxx, cxh, chh = N * sxx - sx * sx, N * sxh - sx * sh, N * shh - sh * sh
-    cxy, chy, cyy = N * sxy - sx * sy, N * syh - sh * sy, N * syy - sy * sy
-    det = cxx * chh - cxh * cxh
-    beta = F.try_divide(chh * cxy - cxh * chy, det)
-    gamma = F.try_divide(cxx * chy - cxh * cxy, det)
-    alpha = (sy - beta * sx - gamma * sh) / N
-    sse_b = (cyy - beta * cxy - gamma * chy) / N
-    ok_b = (K >= 2) & (det != 0)
-    bb = struct_cand(ok_b, sse_b, K, alpha + beta * K, 1)
-    out = c.select("category", "tech", F.explode(F.array(a, bb)).alias("c")).select("category", "tech", "c.*")
+    # 1. prefix sums up to k (closed forms inside the block) and group totals
+    p = b.select("category", "tech", n.alias("N"), k.alias("K"),
+                 (k * (k + 1) / 2).alias("px1"), (k * (k + 1) * (2 * k + 1) / 6).alias("px2"),
+                 (c("s_y") + _sum_y(r0, c0, d, t)).alias("py"), (c("s_xy") + _sum_xy(r0, c0, d, t)).alias("pxy"),
+                 (c("s_yy") + _sum_yy(r0, c0, d, t)).alias("pyy"),
+                 (n * (n + 1) / 2).alias("tx1"), (n * (n + 1) * (2 * n + 1) / 6).alias("tx2"),
+                 c("t_y").alias("ty"), c("t_xy").alias("txy"), c("t_yy").alias("tyy")).filter(c("K") < c("N"))
+    # 2. right-side sums
+    p = p.select("*", (c("N") - c("K")).alias("mR"), (c("tx1") - c("px1")).alias("rx1"),
+                 (c("tx2") - c("px2")).alias("rx2"), (c("ty") - c("py")).alias("ry"),
+                 (c("txy") - c("pxy")).alias("rxy"), (c("tyy") - c("pyy")).alias("ryy"))
+    # 3. centred moments: left, right, and the hinge regressor h = (x - k)+ over all points
+    K, N, mR = c("K"), c("N"), c("mR")
+    p = p.select("category", "tech", "K", "N", "mR", "px1", "py", "rx1", "ry", "tx1", "ty",
+                 (K * c("px2") - c("px1") * c("px1")).alias("lxx"), (K * c("pxy") - c("px1") * c("py")).alias("lxy"),
+                 (K * c("pyy") - c("py") * c("py")).alias("lyy"),
+                 (mR * c("rx2") - c("rx1") * c("rx1")).alias("rxx"), (mR * c("rxy") - c("rx1") * c("ry")).alias("rxy_"),
+                 (mR * c("ryy") - c("ry") * c("ry")).alias("ryy_"),
+                 (c("rx1") - mR * K).alias("sh"), (c("rx2") - 2 * K * c("rx1") + mR * K * K).alias("shh"),
+                 (c("rx2") - K * c("rx1")).alias("sxh"), (c("rxy") - K * c("ry")).alias("syh"),
+                 "tx2", "txy", "tyy")
+    p = p.select("*", (N * c("tx2") - c("tx1") * c("tx1")).alias("cxx"),
+                 (N * c("sxh") - c("tx1") * c("sh")).alias("cxh"), (N * c("shh") - c("sh") * c("sh")).alias("chh"),
+                 (N * c("txy") - c("tx1") * c("ty")).alias("cxy"), (N * c("syh") - c("sh") * c("ty")).alias("chy"),
+                 (N * c("tyy") - c("ty") * c("ty")).alias("cyy"))
+    # 4. fits: two free lines, and the joined (hinge) fit
+    p = p.select("*", F.try_divide(c("lxy"), c("lxx")).alias("sL"), F.try_divide(c("rxy_"), c("rxx")).alias("sR"),
+                 F.try_divide(c("lyy") - F.try_divide(c("lxy") * c("lxy"), c("lxx")), K).alias("eL"),
+                 F.try_divide(c("ryy_") - F.try_divide(c("rxy_") * c("rxy_"), c("rxx")), mR).alias("eR"),
+                 (c("cxx") * c("chh") - c("cxh") * c("cxh")).alias("det"))
+    p = p.select("*", F.try_divide(c("py") - c("sL") * c("px1"), K).alias("iL"),
+                 F.try_divide(c("ry") - c("sR") * c("rx1"), mR).alias("iR"),
+                 F.try_divide(c("chh") * c("cxy") - c("cxh") * c("chy"), c("det")).alias("beta"),
+                 F.try_divide(c("cxx") * c("chy") - c("cxh") * c("cxy"), c("det")).alias("gamma"))
+    p = p.select("*", F.try_divide(c("iR") - c("iL"), c("sL") - c("sR")).alias("cross"),
+                 ((c("ty") - c("beta") * c("tx1") - c("gamma") * c("sh")) / N).alias("alpha"))
+    ok_a = (K >= 2) & (mR >= 2) & (c("sL") != c("sR")) & (c("cross") >= K) & (c("cross") <= K + 1)
+    a = struct_cand(ok_a, c("eL") + c("eR"), c("cross"), c("iL") + c("sL") * c("cross"), 0)
+    sse_b = (c("cyy") - c("beta") * c("cxy") - c("gamma") * c("chy")) / N
+    bb = struct_cand((K >= 2) & (c("det") != 0), sse_b, K, c("alpha") + c("beta") * K, 1)
+    out = p.select("category", "tech", F.explode(F.array(a, bb)).alias("c")).select("category", "tech", "c.*")
     return out.filter(F.coalesce(F.col("ok"), F.lit(False)))
 
 
