@@ -7,6 +7,7 @@ same logical subtree is reused (Spark then reuses its exchanges).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,16 @@ class Stages:
             self._memo[key] = build()
         return self._memo[key]
 
+    def prefetch(self, *steps: str) -> None:
+        """Build independent stage tables as concurrent Spark jobs (one driver thread each).
+
+        The steps must not share un-built memo keys; their common lazy inputs are
+        created first by the caller.
+        """
+        with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+            for f in [pool.submit(getattr(self, st)) for st in steps]:
+                f.result()
+
     def dim(self, name: str) -> DataFrame:
         return self._get(("dim", name), lambda: fx.dim(self.spark, name))
 
@@ -103,7 +114,11 @@ class Stages:
 
     def parts(self):
         """M8-normalized parts: the table every category build reads."""
-        return self._get("p8", lambda: materialize(prt.parts_normalized(self.parts_full()), "parts"))
+        def build():
+            self.raw_consumption(), self.cc_loaded()          # shared lazy inputs, created once
+            self.prefetch("cons_movement", "cons_tech")          # independent consumption stage tables
+            return materialize(prt.parts_normalized(self.parts_full()), "parts")
+        return self._get("p8", build)
 
     # categories --------------------------------------------------------------
     def enriched(self):
@@ -197,6 +212,8 @@ def workflow_outputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     Intermediate stage tables are written once and shared by all outputs of this run.
     """
     s = stages(spark, sf_dir)
+    s.category_summary(), s.grid()
+    s.prefetch("category_tech", "category_type", "fwd_points", "res_points")
     located, plan = s.located(), s.plan()
     return {
         "parts": s.parts(),
