@@ -19,6 +19,7 @@ from stowage.operators import categories as cat
 from stowage.operators import consumption as con
 from stowage.operators import curves as cur
 from stowage.operators import master as mst
+from stowage.operators import stock as stk
 from stowage.pipeline import stages
 from stowage.operators import dims as dm
 from stowage.plans import audit as au
@@ -94,6 +95,12 @@ def q_stock_sized(spark, sf):
     return stages(spark, sf).stock()
 
 
+@register("stock_rejects", O.with_ctes(
+    "SELECT * FROM stock_sized WHERE total_stock IS NULL OR size_id IS NULL"))
+def q_stock_rejects(spark, sf):
+    return stk.stock_rejects(stages(spark, sf).stock())
+
+
 @register("master_tokens", O.select_all("master_tokens"))
 def q_master_tokens(spark, sf):
     return mst.master_tokens(stages(spark, sf).raw_master())

@@ -74,6 +74,14 @@ def curve_blocks(demand: DataFrame) -> DataFrame:
                     "r0", "c0", "s_y", "s_xy", "s_yy")
 
 
+# Closed-form partial sums over rows 1..t of a block (r0 rows and c0 demand before it, demand d each),
+# as SQL text with the same operation order as the column helpers below.
+_SUM_Y = "{t} * c0 + demand * {t} * ({t} + 1) / 2"
+_SUM_XY = ("r0 * c0 * {t} + (r0 * demand + c0) * {t} * ({t} + 1) / 2"
+           " + demand * {t} * ({t} + 1) * (2 * {t} + 1) / 6")
+_SUM_YY = "{t} * c0 * c0 + c0 * demand * {t} * ({t} + 1) + demand * demand * {t} * ({t} + 1) * (2 * {t} + 1) / 6"
+
+
 def _sum_y(r0, c0, d, t):
     return t * c0 + d * t * (t + 1) / 2
 
@@ -114,58 +122,43 @@ def candidates(blocks: DataFrame, stats: DataFrame) -> DataFrame:
     lo = F.col("_chunk") * CHUNK + 1
     hi = F.least(F.col("cnt"), (F.col("_chunk") + 1) * CHUNK)
     b = b.withColumn("t", F.explode(F.sequence(lo, hi)))
-    c = F.col
-    t = c("t").cast("double")
-    r0, c0, d = c("r0"), c("c0"), c("demand")
-    n = c("n").cast("double")
-    k = r0 + t
+    # Spark SQL expression text: one JVM call per projection instead of one per operator.
+    t, k, n = "CAST(t AS DOUBLE)", "(r0 + CAST(t AS DOUBLE))", "CAST(n AS DOUBLE)"
     # 1. prefix sums up to k (closed forms inside the block) and group totals
-    p = b.select("category", "tech", n.alias("N"), k.alias("K"),
-                 (k * (k + 1) / 2).alias("px1"), (k * (k + 1) * (2 * k + 1) / 6).alias("px2"),
-                 (c("s_y") + _sum_y(r0, c0, d, t)).alias("py"), (c("s_xy") + _sum_xy(r0, c0, d, t)).alias("pxy"),
-                 (c("s_yy") + _sum_yy(r0, c0, d, t)).alias("pyy"),
-                 (n * (n + 1) / 2).alias("tx1"), (n * (n + 1) * (2 * n + 1) / 6).alias("tx2"),
-                 c("t_y").alias("ty"), c("t_xy").alias("txy"), c("t_yy").alias("tyy")).filter(c("K") < c("N"))
+    p = b.selectExpr(
+        "category", "tech", f"{n} AS N", f"{k} AS K",
+        f"{k} * ({k} + 1) / 2 AS px1", f"{k} * ({k} + 1) * (2 * {k} + 1) / 6 AS px2",
+        f"s_y + ({_SUM_Y.format(t=t)}) AS py", f"s_xy + ({_SUM_XY.format(t=t)}) AS pxy",
+        f"s_yy + ({_SUM_YY.format(t=t)}) AS pyy",
+        f"{n} * ({n} + 1) / 2 AS tx1", f"{n} * ({n} + 1) * (2 * {n} + 1) / 6 AS tx2",
+        "t_y AS ty", "t_xy AS txy", "t_yy AS tyy").where("K < N")
     # 2. right-side sums
-    p = p.select("*", (c("N") - c("K")).alias("mR"), (c("tx1") - c("px1")).alias("rx1"),
-                 (c("tx2") - c("px2")).alias("rx2"), (c("ty") - c("py")).alias("ry"),
-                 (c("txy") - c("pxy")).alias("rxy"), (c("tyy") - c("pyy")).alias("ryy"))
+    p = p.selectExpr("*", "N - K AS mR", "tx1 - px1 AS rx1", "tx2 - px2 AS rx2", "ty - py AS ry",
+                     "txy - pxy AS rxy", "tyy - pyy AS ryy")
     # 3. centred moments: left, right, and the hinge regressor h = (x - k)+ over all points
-    K, N, mR = c("K"), c("N"), c("mR")
-    p = p.select("category", "tech", "K", "N", "mR", "px1", "py", "rx1", "ry", "tx1", "ty",
-                 (K * c("px2") - c("px1") * c("px1")).alias("lxx"), (K * c("pxy") - c("px1") * c("py")).alias("lxy"),
-                 (K * c("pyy") - c("py") * c("py")).alias("lyy"),
-                 (mR * c("rx2") - c("rx1") * c("rx1")).alias("rxx"), (mR * c("rxy") - c("rx1") * c("ry")).alias("rxy_"),
-                 (mR * c("ryy") - c("ry") * c("ry")).alias("ryy_"),
-                 (c("rx1") - mR * K).alias("sh"), (c("rx2") - 2 * K * c("rx1") + mR * K * K).alias("shh"),
-                 (c("rx2") - K * c("rx1")).alias("sxh"), (c("rxy") - K * c("ry")).alias("syh"),
-                 "tx2", "txy", "tyy")
-    p = p.select("*", (N * c("tx2") - c("tx1") * c("tx1")).alias("cxx"),
-                 (N * c("sxh") - c("tx1") * c("sh")).alias("cxh"), (N * c("shh") - c("sh") * c("sh")).alias("chh"),
-                 (N * c("txy") - c("tx1") * c("ty")).alias("cxy"), (N * c("syh") - c("sh") * c("ty")).alias("chy"),
-                 (N * c("tyy") - c("ty") * c("ty")).alias("cyy"))
+    p = p.selectExpr(
+        "category", "tech", "K", "N", "mR", "px1", "py", "rx1", "ry", "tx1", "ty", "tx2", "txy", "tyy",
+        "K * px2 - px1 * px1 AS lxx", "K * pxy - px1 * py AS lxy", "K * pyy - py * py AS lyy",
+        "mR * rx2 - rx1 * rx1 AS rxx", "mR * rxy - rx1 * ry AS rxy_", "mR * ryy - ry * ry AS ryy_",
+        "rx1 - mR * K AS sh", "rx2 - 2 * K * rx1 + mR * K * K AS shh", "rx2 - K * rx1 AS sxh",
+        "rxy - K * ry AS syh")
+    p = p.selectExpr("*", "N * tx2 - tx1 * tx1 AS cxx", "N * sxh - tx1 * sh AS cxh", "N * shh - sh * sh AS chh",
+                     "N * txy - tx1 * ty AS cxy", "N * syh - sh * ty AS chy", "N * tyy - ty * ty AS cyy")
     # 4. fits: two free lines, and the joined (hinge) fit
-    p = p.select("*", F.try_divide(c("lxy"), c("lxx")).alias("sL"), F.try_divide(c("rxy_"), c("rxx")).alias("sR"),
-                 F.try_divide(c("lyy") - F.try_divide(c("lxy") * c("lxy"), c("lxx")), K).alias("eL"),
-                 F.try_divide(c("ryy_") - F.try_divide(c("rxy_") * c("rxy_"), c("rxx")), mR).alias("eR"),
-                 (c("cxx") * c("chh") - c("cxh") * c("cxh")).alias("det"))
-    p = p.select("*", F.try_divide(c("py") - c("sL") * c("px1"), K).alias("iL"),
-                 F.try_divide(c("ry") - c("sR") * c("rx1"), mR).alias("iR"),
-                 F.try_divide(c("chh") * c("cxy") - c("cxh") * c("chy"), c("det")).alias("beta"),
-                 F.try_divide(c("cxx") * c("chy") - c("cxh") * c("cxy"), c("det")).alias("gamma"))
-    p = p.select("*", F.try_divide(c("iR") - c("iL"), c("sL") - c("sR")).alias("cross"),
-                 ((c("ty") - c("beta") * c("tx1") - c("gamma") * c("sh")) / N).alias("alpha"))
-    ok_a = (K >= 2) & (mR >= 2) & (c("sL") != c("sR")) & (c("cross") >= K) & (c("cross") <= K + 1)
-    a = struct_cand(ok_a, c("eL") + c("eR"), c("cross"), c("iL") + c("sL") * c("cross"), 0)
-    sse_b = (c("cyy") - c("beta") * c("cxy") - c("gamma") * c("chy")) / N
-    bb = struct_cand((K >= 2) & (c("det") != 0), sse_b, K, c("alpha") + c("beta") * K, 1)
-    out = p.select("category", "tech", F.explode(F.array(a, bb)).alias("c")).select("category", "tech", "c.*")
-    return out.filter(F.coalesce(F.col("ok"), F.lit(False)))
-
-
-def struct_cand(ok, sse, bx, by, kind):
-    return F.struct(ok.alias("ok"), F.greatest(sse, F.lit(0.0)).alias("sse"), bx.alias("bp_x"),
-                    by.alias("bp_y"), F.lit(kind).alias("kind"))
+    p = p.selectExpr("*", "try_divide(lxy, lxx) AS sL", "try_divide(rxy_, rxx) AS sR",
+                     "try_divide(lyy - try_divide(lxy * lxy, lxx), K) AS eL",
+                     "try_divide(ryy_ - try_divide(rxy_ * rxy_, rxx), mR) AS eR",
+                     "cxx * chh - cxh * cxh AS det")
+    p = p.selectExpr("*", "try_divide(py - sL * px1, K) AS iL", "try_divide(ry - sR * rx1, mR) AS iR",
+                     "try_divide(chh * cxy - cxh * chy, det) AS beta", "try_divide(cxx * chy - cxh * cxy, det) AS gamma")
+    p = p.selectExpr("*", "try_divide(iR - iL, sL - sR) AS cross", "(ty - beta * tx1 - gamma * sh) / N AS alpha")
+    cand = p.selectExpr("category", "tech", """explode(array(
+        named_struct('ok', K >= 2 AND mR >= 2 AND sL != sR AND cross >= K AND cross <= K + 1,
+                     'sse', greatest(eL + eR, 0.0), 'bp_x', cross, 'bp_y', iL + sL * cross, 'kind', 0),
+        named_struct('ok', K >= 2 AND det != 0,
+                     'sse', greatest((cyy - beta * cxy - gamma * chy) / N, 0.0), 'bp_x', K,
+                     'bp_y', alpha + beta * K, 'kind', 1))) AS c""")
+    return cand.selectExpr("category", "tech", "c.*").where("coalesce(ok, false)")
 
 
 def curve_fit(demand: DataFrame) -> DataFrame:
