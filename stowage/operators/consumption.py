@@ -17,6 +17,8 @@ PARETO_CUT = 0.80
 # counts c_1 < c_2 < ... sum to at most the number of order lines N, so there are
 # at most sqrt(2N) of them (about 1.1M rows at 6e11 order lines): safe to broadcast.
 HISTOGRAM_BOUND_ROWS = 2_000_000
+# Largest straddling block ranked inside a single task; larger blocks use the distributed search.
+LOCAL_RANK_LIMIT = 1_000_000
 
 
 def consumption_stats(cons: DataFrame) -> DataFrame:
@@ -98,12 +100,15 @@ def _kth_material(block: DataFrame, k_col: str, range_parts: int) -> DataFrame:
     return ranked.filter(F.col("_rn") == F.col("r")).select(F.col("material").alias("cut_material"))
 
 
-def consumption_movement(stats: DataFrame, range_parts: int | None = None) -> DataFrame:
+def consumption_movement(stats: DataFrame, range_parts: int | None = None,
+                         local_rank_limit: int = LOCAL_RANK_LIMIT) -> DataFrame:
     """Pareto movement per material (H inside the first 80% of orders, else M), with Orders.
 
     ``stats`` is the per-material table of ``consumption_stats``; it is read
     several times (histogram, tagging, the straddling block), so callers pass a
-    materialised copy.
+    materialised copy.  The one block that straddles the cut is sized first (a
+    one-row read of the histogram): up to ``local_rank_limit`` rows it is ranked
+    in one task, beyond that by the distributed k-th key search.
     """
     if range_parts is None:
         range_parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -111,13 +116,20 @@ def consumption_movement(stats: DataFrame, range_parts: int | None = None) -> Da
     blocks = small(pareto_blocks(orders), HISTOGRAM_BOUND_ROWS)
     tagged = orders.join(blocks, "orders", "inner")
     # at most one block straddles the cut: its first k materials (by key) are H
-    straddle = tagged.filter((F.col("k_fast") > 0) & (F.col("k_fast") < F.col("n"))).select("material", "k_fast")
-    cut = small(_kth_material(straddle, "k_fast", range_parts), 1)
-    j = tagged.join(cut, F.lit(True), "left")
-    movement = (F.when(F.col("k_fast") >= F.col("n"), F.lit("H"))
-                .when(F.col("k_fast") <= 0, F.lit("M"))
-                .when(F.col("material") <= F.col("cut_material"), F.lit("H"))
-                .otherwise(F.lit("M")))
+    straddling = (F.col("k_fast") > 0) & (F.col("k_fast") < F.col("n"))
+    size = blocks.filter(straddling).select("n").collect()
+    base = (F.when(F.col("k_fast") >= F.col("n"), F.lit("H")).when(F.col("k_fast") <= 0, F.lit("M")))
+    if not size:
+        return tagged.select("material", base.alias("movement"), "orders")
+    straddle = tagged.filter(straddling).select("material", "k_fast")
+    if size[0][0] <= local_rank_limit:
+        # bounded by the check above: one ordered task over at most local_rank_limit rows
+        ranked = straddle.withColumn("_rn", F.row_number().over(Window.orderBy("material")))
+        cut = ranked.filter(F.col("_rn") == F.col("k_fast")).select(F.col("material").alias("cut_material"))
+    else:
+        cut = _kth_material(straddle, "k_fast", range_parts)
+    j = tagged.join(small(cut, 1), F.lit(True), "left")
+    movement = base.when(F.col("material") <= F.col("cut_material"), F.lit("H")).otherwise(F.lit("M"))
     return j.select("material", movement.alias("movement"), "orders")
 
 
