@@ -77,7 +77,7 @@ class Stages:
         return self._get("cc_tech", lambda: cc.cost_center_tech(self.raw_cost_center()))
 
     def cc_loaded(self):
-        return self._get("cc_loaded", lambda: cc.cost_center_loaded(self.cc_tech()))
+        return self._get("cc_loaded", lambda: materialize(cc.cost_center_loaded(self.cc_tech()), "cost_center"))
 
     def cons_stats(self):
         return self._get("cons_stats", lambda: materialize(con.consumption_stats(self.raw_consumption()), "consumption_stats"))
@@ -115,7 +115,7 @@ class Stages:
     def parts(self):
         """M8-normalized parts: the table every category build reads."""
         def build():
-            self.raw_consumption(), self.cc_loaded()          # shared lazy inputs, created once
+            self.raw_consumption(), self.cc_loaded()          # shared inputs, created once
             self.prefetch("cons_movement", "cons_tech")          # independent consumption stage tables
             return materialize(prt.parts_normalized(self.parts_full()), "parts")
         return self._get("p8", build)
