@@ -74,3 +74,15 @@ def test_interpolate(spark):
                                "category string, tech string, x_eval double")
     ys = sorted(r.y_eval for r in cur.interpolate(pts, at).collect())
     assert ys == [4.0, 10.0, 12.0]
+
+
+def test_chunked_candidates_match_single_chunk(spark, monkeypatch):
+    """A hot group whose equal-demand blocks span many chunks gives the same fit as one chunk per block."""
+    ds = [9] * 7 + [4] * 23 + [1] * 40 + [0] * 17
+    demand = spark.createDataFrame([("HOT", "T", f"m{i:04d}", float(d)) for i, d in enumerate(ds)],
+                                   "category string, tech string, material string, demand double")
+    whole = cur.curve_fit(demand).first()
+    monkeypatch.setattr(cur, "CHUNK", 3)
+    chunked = cur.curve_fit(demand).first()
+    assert (whole.n, whole.total) == (chunked.n, chunked.total) == (len(ds), float(sum(ds)))
+    assert abs(whole.fit_x - chunked.fit_x) < 1e-9 and abs(whole.fit_y - chunked.fit_y) < 1e-9

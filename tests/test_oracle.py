@@ -42,3 +42,10 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() > 0 and "category" in df.columns
+
+
+def test_workflow_outputs_smoke(spark):
+    from stowage.pipeline import workflow_outputs
+    outs = workflow_outputs(spark, SF001)
+    assert {"parts", "i_sku", "curve_forward", "map_current", "ld_cumulative"} <= set(outs)
+    assert outs["parts"].count() > 0 and outs["i_sku"].count() > 0
