@@ -334,7 +334,7 @@ FROM (SELECT w.*, a.q, a.x_eval, greatest(0.0, least(a.x_eval, w.x2)) AS x FROM
       JOIN (SELECT c.category, c.tech_name AS tech, q.q, c.num_sku * q.q AS x_eval FROM category_tech c
             CROSS JOIN (VALUES (0.25), (0.5), (0.75)) AS q(q)) a ON w.category = a.category AND w.tech = a.tech) z"""))
 def q_curve_interpolate(spark, sf):
-    s = stages(spark, sf)
+    s = stages(spark, sf).parallel("category_tech", "fwd_points")
     qs = spark.createDataFrame([(0.25,), (0.5,), (0.75,)], "q double")
     at = s.category_tech().select("category", F.col("tech_name").alias("tech"), "num_sku").crossJoin(F.broadcast(qs)) \
         .select("category", "tech", "q", (F.col("num_sku") * F.col("q")).alias("x_eval"))
@@ -347,7 +347,7 @@ UNION ALL SELECT 'pieceval', category, tech, break_idx, round(y, 4) FROM fwd_poi
 UNION ALL SELECT 'breakpoints', category, tech, break_idx, round(x, 4) FROM res_points
 UNION ALL SELECT 'pieceval', category, tech, break_idx, round(y, 4) FROM res_points"""))
 def q_curve_json_import(spark, sf):
-    s = stages(spark, sf)
+    s = stages(spark, sf).parallel("fwd_points", "res_points")
     pts = s.fwd_points().unionByName(s.res_points())
     back = cur.curves_from_json(cur.curves_to_json(pts))
     return _r4(back, {"value"})
@@ -772,20 +772,23 @@ def q_audit_reserve_location(spark, sf):
 @register("audit_ld_cumulative", O.with_ctes(
     "SELECT plan_id, category, tech, p, round(x_eval, 4) AS x_eval, round(y_eval, 4) AS y_eval FROM ld_cum"))
 def q_audit_ld_cumulative(spark, sf):
-    return _r4(stages(spark, sf).ld_cum(), {"x_eval", "y_eval"})
+    s = stages(spark, sf).parallel("category_tech", "fwd_points", "plan")
+    return _r4(s.ld_cum(), {"x_eval", "y_eval"})
 
 
 @register("audit_ld_increment", O.with_ctes(
     "SELECT plan_id, category, tech, p, round(x_eval, 4) AS x_eval, round(y_eval, 4) AS y_eval, round(inc, 4) AS inc "
     "FROM ld_inc"))
 def q_audit_ld_increment(spark, sf):
-    return _r4(au.ld_increment(stages(spark, sf).ld_cum()), {"x_eval", "y_eval", "inc"})
+    s = stages(spark, sf).parallel("category_tech", "fwd_points", "plan")
+    return _r4(au.ld_increment(s.ld_cum()), {"x_eval", "y_eval", "inc"})
 
 
 @register("audit_reserve_orders", O.with_ctes(
     "SELECT plan_id, category, location, tech, round(x_eval, 4) AS x_eval, round(y_eval, 4) AS y_eval FROM res_orders"))
 def q_audit_reserve_orders(spark, sf):
-    return _r4(stages(spark, sf).res_orders(), {"x_eval", "y_eval"})
+    s = stages(spark, sf).parallel("res_points", "plan")
+    return _r4(s.res_orders(), {"x_eval", "y_eval"})
 
 
 @register("audit_cost", O.with_ctes("""
@@ -821,7 +824,8 @@ SELECT plan_id, 'total', round(sum(COALESCE(v, 0.0)), 4) FROM (
   SELECT plan_id, sum(t.penalty * p.value) FROM (SELECT * FROM pv3 WHERE variable = 'SKUStoreUnits') p
   JOIN category_type t ON t.category = p.category AND t.type = p.type GROUP BY 1) b GROUP BY plan_id"""))
 def q_audit_cost(spark, sf):
-    s, p = _audit_stage(spark, sf)
+    s = stages(spark, sf).parallel("category_tech", "category_type", "fwd_points", "res_points", "plan")
+    p = s.plan()
     c = au.cost(p, s.dim("dim_type"), s.dim("dim_system"), s.dim("dim_priority"), s.category_summary(),
                 s.category_type(), au.ld_increment(s.ld_cum()), s.res_orders())
     return _r4(c, {"value"})

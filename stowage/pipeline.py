@@ -52,6 +52,12 @@ class Stages:
     def dim(self, name: str) -> DataFrame:
         return self._get(("dim", name), lambda: fx.dim(self.spark, name))
 
+    def parallel(self, *steps: str) -> "Stages":
+        """Build the shared category inputs, then the given independent stage tables concurrently."""
+        self.parts(), self.enriched(), self.category_summary(), self.grid()
+        self.prefetch(*steps)
+        return self
+
     # raw exports -----------------------------------------------------------
     def raw_stock(self):
         return self._get("raw_stock", lambda: fx.raw_stock(self.spark, self.sf_dir))
@@ -211,9 +217,7 @@ def workflow_outputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     Intermediate stage tables are written once and shared by all outputs of this run.
     """
-    s = stages(spark, sf_dir)
-    s.category_summary(), s.grid()
-    s.prefetch("category_tech", "category_type", "fwd_points", "res_points")
+    s = stages(spark, sf_dir).parallel("category_tech", "category_type", "fwd_points", "res_points", "plan")
     located, plan = s.located(), s.plan()
     return {
         "parts": s.parts(),
