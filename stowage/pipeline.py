@@ -107,7 +107,8 @@ class Stages:
         return self._get("p1", lambda: prt.parts_from_stock(self.stock()))
 
     def parts_with_master(self):
-        return self._get("p2", lambda: prt.parts_with_master(self.parts_from_stock(), self.master()))
+        return self._get("p2", lambda: materialize(prt.parts_with_master(self.parts_from_stock(), self.master()),
+                                                   "parts_base"))
 
     def parts_with_priority(self):
         return self._get("p4", lambda: prt.parts_with_priority(self.parts_with_master(), self.cons_priority()))
@@ -121,8 +122,9 @@ class Stages:
     def parts(self):
         """M8-normalized parts: the table every category build reads."""
         def build():
-            self.raw_consumption(), self.cc_loaded()          # shared inputs, created once
-            self.prefetch("cons_movement", "cons_tech")          # independent consumption stage tables
+            self.raw_consumption()                               # shared lazy input, created once
+            # independent stage tables: stock+master merge, Pareto movement, consumption tech
+            self.prefetch("parts_with_master", "cons_movement", "cons_tech")
             return materialize(prt.parts_normalized(self.parts_full()), "parts")
         return self._get("p8", build)
 
