@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stowage.operators.cost_center import cost_center_key
 from stowage.operators.joins import small
+from stowage.session import materialize
 from stowage.sources.fixtures import ALL_TECHS, CONCRETE_TECHS, UNKNOWN_TECH
 
 # Order type of a line-down order; Pareto cut for fast movers.
@@ -113,7 +114,8 @@ def consumption_movement(stats: DataFrame, range_parts: int | None = None,
     if range_parts is None:
         range_parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     orders = consumption_orders(stats)
-    blocks = small(pareto_blocks(orders), HISTOGRAM_BOUND_ROWS)
+    # the histogram is read twice (size check, tagging): written once, it is at most sqrt(2N) rows
+    blocks = small(materialize(pareto_blocks(orders), "pareto_blocks", bounded=True), HISTOGRAM_BOUND_ROWS)
     tagged = orders.join(blocks, "orders", "inner")
     # at most one block straddles the cut: its first k materials (by key) are H
     straddling = (F.col("k_fast") > 0) & (F.col("k_fast") < F.col("n"))
