@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import mixing, sharding, simhash
+from stowage.llm import mixing, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,10 @@ def op2_shard_bytes(spark, sf_dir):
 @register("op10_simhash_variants")
 def op10_simhash_variants(spark, sf_dir):
     return simhash.simhash_classes(table(spark, sf_dir, "documents"), width=3, max_bits=3)
+
+
+@register("op6_pack_hilbert")
+def op6_pack_hilbert(spark, sf_dir):
+    out = packing.pack(table(spark, sf_dir, "documents"), length=2048, tokenizer="byte_bpe_50k")
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                      "offset")
