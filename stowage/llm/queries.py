@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import mixing, packing, sharding, simhash
+from stowage.llm import mixing, packing, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,14 @@ def op6_pack_hilbert(spark, sf_dir):
     out = packing.pack(table(spark, sf_dir, "documents"), length=2048, tokenizer="byte_bpe_50k")
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                       "offset")
+
+
+@register("op5_toxicity_nb")
+def op5_toxicity_nb(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=5, held=0)
+
+
+@register("op8_quality_neighbours")
+def op8_quality_neighbours(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=4, held=2,
+                                 threshold=0.7)
