@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import mixing, packing, pii, quality, sharding, simhash, toxicity
+from stowage.llm import mixing, packing, pii, quality, rules, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op8_quality_neighbours(spark, sf_dir):
 def op9_pii_weak_labels(spark, sf_dir):
     out = pii.find_pii(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@register("op4_quality_rules")
+def op4_quality_rules(spark, sf_dir):
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
