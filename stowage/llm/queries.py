@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import mixing, packing, pii, quality, rules, sharding, simhash, toxicity
+from stowage.llm import mixing, packing, pii, quality, rules, search, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,18 @@ def op9_pii_weak_labels(spark, sf_dir):
 @register("op4_quality_rules")
 def op4_quality_rules(spark, sf_dir):
     return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+@register("op3_top_products", r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op3_top_products(spark, sf_dir):
+    return search.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024.0)
