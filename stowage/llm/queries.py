@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import mixing, packing, pii, quality, rules, search, sharding, simhash, toxicity
+from stowage.llm import lm, mixing, packing, pii, quality, rules, search, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,8 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
 def op3_top_products(spark, sf_dir):
     return search.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024.0)
+
+
+@register("op7_lm_context_mixing")
+def op7_lm_context_mixing(spark, sf_dir):
+    return lm.score_language(table(spark, sf_dir, "documents"), mod=7, held=2)
