@@ -187,6 +187,7 @@ def pack(docs: DataFrame, length: int = 2048, tokenizer: str = "byte_bpe_50k", f
     folder = folder or tokenizer_dir()
     rows = docs.select(F.col(id_col).alias("id"), row_seq().alias("seq"),
                        token_rows(docs, folder, tokenizer, text_col).alias("t")).select("id", "seq", "t.*")
+    rows = stage_table(rows, "pack-tokens")  # else range partitioning, which samples first, tokenizes twice
     sorted_ = rows.repartitionByRange("curve", "id", "seq").sortWithinPartitions("curve", "id", "seq")
     kind = dict(rows.dtypes)["id"]
     cols = f"id {kind}, seq long, curve long, n long, wide boolean, ids binary, before long"
