@@ -62,6 +62,7 @@ def variant_keys(fps: DataFrame, max_bits: int) -> DataFrame:
     one bit share the variant of this bit, on different sides.
     """
     m = segments_for(max_bits)
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # narrow rows, many keys
     cuts = [BITS * k // m for k in range(m + 1)]
     rows = []
     for s in range(m):
