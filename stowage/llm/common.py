@@ -29,9 +29,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows that Spark's Parquet reader holds at a time; its 4,096 are too many for rows of long texts or packed arrays.
+READ_ROWS = 256
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the bytes of Arrow batches of this session (see BATCH_BYTES)."""
+    """Bound this session's batches by BATCH_BYTES and READ_ROWS, so that long values don't pile up in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -97,9 +97,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", m
     Without documents of both classes the score is the constant share of label 1 (0.5 without labels).
     """
     sample, sizes = labelled_sample(docs, labels, label_col, per_class, mod, held, id_col, text_col)
-    if len(sizes) < 2:
-        share = 0.5 if not sizes else float(next(iter(sizes)))
-        return ToxicModel(np.full(SLOTS, -1, np.int16), np.zeros(0), 0.0 if share == 0.5 else 20.0 * (2 * share - 1))
+    docs0, docs1 = (sample.where(F.col("label") == c).count() for c in (0, 1))
+    if not (docs0 and docs1):
+        share = 0.5 if not sizes else float(np.clip(sizes.get(1, 0) / sum(sizes.values()), 1e-9, 1 - 1e-9))
+        return ToxicModel(np.full(SLOTS, -1, np.int16), np.zeros(0), float(np.log(share / (1 - share))))
 
     def grams(batches):
         n = np.zeros((2, SLOTS), dtype=np.int64)
@@ -115,7 +116,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", m
     n0, n1 = np.zeros(SLOTS), np.zeros(SLOTS)
     slot = found["slot"].to_numpy()
     n0[slot], n1[slot] = found["n0"].to_numpy(), found["n1"].to_numpy()
-    docs0, docs1 = (sample.where(F.col("label") == c).count() for c in (0, 1))
     ratio = np.log((n1 + 1) / (n1 + 1).sum()) - np.log((n0 + 1) / (n0 + 1).sum())
     both, total = n0 + n1, docs0 + docs1
     chi = (n1 * (docs0 - n0) - n0 * (docs1 - n1)) ** 2 * total / np.maximum(
