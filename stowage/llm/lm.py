@@ -26,14 +26,14 @@ STRETCH = 128
 #: What a bit's counts start from.
 DELTA = 0.2
 #: Text whose equal words are scored at once; bits after which online weights are refined.
-STEP_BYTES, STEP_BITS = 8 << 20, 1 << 14
+STEP_BYTES, STEP_BITS = 4 << 20, 1 << 14
 #: Gates: evidence in the word's slot, evidence in the four bytes' slot, first byte of a word or not.
 LEVELS_WORD, LEVELS_FOUR = 8, 4  # at most 8
 GATES = LEVELS_WORD * LEVELS_FOUR * 2
 #: Buckets of the adaptive map over a mixed prediction, and the prediction at its ends.
 CELLS, EDGE = 33, 8.0
 #: Slots of one row of a written table; words held before a task passes its counts on.
-CHUNK, HELD = 1 << 14, 300_000
+CHUNK, HELD = 1 << 11, 300_000
 #: Words whose counts are broadcast for look-up; the counts of all others are joined.
 HEAD = 1 << 16
 
@@ -145,6 +145,15 @@ def _levels(n: np.ndarray, top: int, per: int) -> np.ndarray:
     return np.searchsorted(2.0 ** (per * np.arange(top - 1)) - 0.5, n).astype(np.int16)
 
 
+def _entries(k: int, counts: np.ndarray) -> np.ndarray:
+    """Table entries of slots of predictor ``k`` from their counts of zeros and ones."""
+    f = np.log(counts.astype(np.float32) + np.float32(DELTA))
+    x = np.clip(np.rint((f[:, 1] - f[:, 0]) * STRETCH), -4095, 4095).astype(np.int16) << 3
+    if k >= 2:
+        x |= _levels(counts.sum(1), *((LEVELS_FOUR, 3), (LEVELS_WORD, 2))[k - 2])
+    return x
+
+
 class Mixer:
     """K stretched predictions by slot, gated weights over them, and the adaptive map of what they mix to."""
 
@@ -157,11 +166,8 @@ class Mixer:
     def load(self, counts: list[np.ndarray]) -> None:
         """Take the stretches and evidence from the counts of zeros and ones of each predictor's slots."""
         for k, c in enumerate(counts):
-            f = np.log(c.astype(np.float32) + np.float32(DELTA))
-            x = np.rint((f[:, 1] - f[:, 0]) * STRETCH).astype(np.int16) << 3
-            if k >= 2:
-                x |= _levels(c.sum(1), *((LEVELS_FOUR, 3), (LEVELS_WORD, 2))[k - 2])
-            self.table[k] = x
+            for at in range(0, len(c), CHUNK):
+                self.table[k][at:at + CHUNK] = _entries(k, c[at:at + CHUNK])
 
     def mix(self, s: Symbols, sym, slots):
         """(gate, inputs, mixed prediction in the stretched domain, its cell) of each bit."""
@@ -213,8 +219,6 @@ class Learner(Mixer):
         self.square = np.full((K, GATES), 1e-4)
 
     def learn(self, s: Symbols) -> None:
-        keys: list[list[np.ndarray]] = [[] for _ in SLOT_BITS]
-        often = []
         for sym, slots, bit in _bits(s):
             gate, x, z, cell = self.mix(s, sym, slots)
             n = s.weight[sym]
@@ -227,21 +231,17 @@ class Learner(Mixer):
             self.seen += seen
             self.cells.reshape(-1)[:] += np.bincount(cell + bit * np.int32(GATES * CELLS), weights=n,
                                                      minlength=2 * GATES * CELLS)
-            often.append(n)
+            often = n.astype(np.int32)
             for k in range(K):
-                keys[k].append((slots[k].view(np.int32) << 1) | bit)
-        n = np.concatenate(often).astype(np.int32)
-        for k in range(K):
-            np.add.at(self.counts[k].reshape(-1), np.concatenate(keys[k]), n)
+                np.add.at(self.counts[k].reshape(-1), (slots[k].view(np.int32) << 1) | bit, often)
 
     def rows(self):
         """The task's share of the model, as rows (table, chunk, whole numbers): sums of shares are the model."""
         for k, c in enumerate(self.counts):
-            flat = c.reshape(-1)
-            for at in range(0, len(flat), CHUNK):
-                part = flat[at:at + CHUNK]
+            for at in range(0, len(c), CHUNK):
+                part = c[at:at + CHUNK]
                 if part.any():
-                    yield k, at // CHUNK, part
+                    yield k, at // CHUNK, part.ravel()
         yield K, 0, np.rint(self.cells.ravel()).astype(np.int64)
         yield K + 1, 0, np.concatenate([np.rint(self.weight * self.seen * 1024).astype(np.int64).ravel(),
                                         np.rint(self.seen).astype(np.int64)])
@@ -303,24 +303,27 @@ def _learn(batches):
                 yield from word_rows()
     if steps:
         yield from word_rows()
-        for table, part, share in learner.rows():
-            yield pa.RecordBatch.from_arrays([pa.array([table], pa.int32()), pa.array([part], pa.int32()),
-                                              pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()),
-                                              pa.array([share.astype("<i8").tobytes()], pa.binary())], schema=_SCHEMA)
+        shares = list(learner.rows())
+        for at in range(0, len(shares), 64):
+            table, part, share = zip(*shares[at:at + 64])
+            yield pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(part, pa.int32()),
+                                              pa.nulls(len(table), pa.binary()), pa.nulls(len(table), pa.int64()),
+                                              pa.array([x.tobytes() for x in share], pa.binary())], schema=_SCHEMA)
 
 
 def _sum_shares(batches):
-    """Sum of the shares of each (kind, part), from rows sorted by it, one at a time."""
+    """Sum of the shares of each (kind, part), from rows sorted by it, one at a time; of slots, their entries."""
     now, total = None, None
     schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("share", pa.binary())])
 
     def row():
+        out = total if now[0] >= K else _entries(now[0], total.reshape(-1, 2))
         return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()),
-                                           pa.array([total.tobytes()], pa.binary())], schema=schema)
+                                           pa.array([out.tobytes()], pa.binary())], schema=schema)
 
     for b in batches:
         for kind, part, share in zip(*(b.column(c).to_pylist() for c in ("kind", "part", "share"))):
-            x = np.frombuffer(share, dtype="<i8")
+            x = np.frombuffer(share, dtype="<i4" if kind < K else "<i8").astype(np.int64)
             if (kind, part) == now:
                 total = total + x
             else:
@@ -356,17 +359,17 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     shares = (learnt.where("kind >= 0").select("kind", "part", "share").repartition("kind", "part")
               .sortWithinPartitions("kind", "part").mapInArrow(_sum_shares, "kind int, part int, share binary"))
     mixer = Mixer()
-    counts = [np.zeros(2 << b, dtype=np.int64) for b in SLOT_BITS]
     for r in shares.collect():  # as many rows as the model has chunks
-        x = np.frombuffer(r["share"], dtype="<i8")
         if r["kind"] < K:
-            counts[r["kind"]][r["part"] * CHUNK:r["part"] * CHUNK + len(x)] = x
-        elif r["kind"] == K:
+            x = np.frombuffer(r["share"], dtype="<i2")
+            mixer.table[r["kind"]][r["part"] * CHUNK:r["part"] * CHUNK + len(x)] = x
+            continue
+        x = np.frombuffer(r["share"], dtype="<i8")
+        if r["kind"] == K:
             mixer.cells = x.reshape(2, -1).astype(float)
         else:
             w, seen = x[:GATES * K].reshape(K, GATES), x[GATES * K:]
             mixer.weight = np.where(seen > 0, w / 1024 / np.maximum(seen, 1), 0.35).astype(np.float32)
-    mixer.load([c.reshape(-1, 2) for c in counts])
     totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     head = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
     return Model(mixer, mixer.refined(), totals["n"] or 0, totals["v"], head), words
