@@ -18,20 +18,25 @@ PARETO_CUT = 0.80
 # counts c_1 < c_2 < ... sum to at most the number of order lines N, so there are
 # at most sqrt(2N) of them (about 1.1M rows at 6e11 order lines): safe to broadcast.
 HISTOGRAM_BOUND_ROWS = 2_000_000
-# Largest straddling block ranked inside a single task; larger blocks use the distributed search.
-LOCAL_RANK_LIMIT = 1_000_000
+# Rounds of the search for the border material; each leaves about 1 / shuffle partitions of the rows.
+SEARCH_ROUNDS = 2
 
 
-def consumption_stats(cons: DataFrame) -> DataFrame:
+def consumption_lines(cons: DataFrame) -> DataFrame:
+    """Order lines reduced to (material, order, cost center) with the line-down lines of each; A1-A3 all follow from it."""
+    return cons.groupBy("material", "order_no", "cost_center").agg(
+        F.count_if(F.col("order_type") == LINE_DOWN_ORDER_TYPE).alias("line_down"))
+
+
+def consumption_stats(lines: DataFrame) -> DataFrame:
     """A1 + A2 in one pass: per material, line-down order lines and exact distinct orders.
 
     Two-level aggregation: (material, order) first, so a hot material is spread
     over its orders and reduced map-side; then per material, where the count of
     non-null order keys is the exact distinct count.
     """
-    c = cons.filter(F.col("material").isNotNull())
-    per_order = c.groupBy("material", "order_no").agg(
-        F.count_if(F.col("order_type") == LINE_DOWN_ORDER_TYPE).alias("ld"))
+    c = lines.filter(F.col("material").isNotNull())
+    per_order = c.groupBy("material", "order_no").agg(F.sum("line_down").alias("ld"))
     return per_order.groupBy("material").agg(
         F.sum("ld").cast("bigint").alias("line_down_orders"),
         F.count("order_no").cast("bigint").alias("orders"))
@@ -80,58 +85,55 @@ def pareto_blocks(orders: DataFrame) -> DataFrame:
     return h.withColumn("k_fast", k.cast("bigint")).select("orders", "n", "cum_before", "total", "k_fast")
 
 
-def _kth_material(block: DataFrame, k_col: str, range_parts: int) -> DataFrame:
-    """Exact k-th smallest material of one block, without sorting the block in one task.
+def _range_of_kth(block: DataFrame, parts: int) -> DataFrame:
+    """Of rows (material, k) the range that holds the k-th smallest material, with k counted within it.
 
-    1. range-partition the block by material and summarise each range (min, max, count);
-       the summary is a fact about the data, valid whatever the partitioning;
-    2. running counts over the (small) summary locate the range holding rank k;
-    3. only that range (about n / range_parts rows) is ranked to find the k-th key.
+    The rows are range-partitioned and summarised (min, max, count of each range); the
+    summary is a fact about the data, valid whatever the partitioning, and has
+    ``parts`` rows.
     """
-    ranged = block.repartitionByRange(range_parts, "material").withColumn("_pid", F.spark_partition_id())
+    ranged = block.repartitionByRange(parts, "material").withColumn("_pid", F.spark_partition_id())
     summary = ranged.groupBy("_pid").agg(F.min("material").alias("lo"), F.max("material").alias("hi"),
-                                         F.count(F.lit(1)).alias("cnt"), F.max(k_col).alias("k"))
+                                         F.count(F.lit(1)).alias("cnt"), F.max("k").alias("k"))
     w = Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumn("off", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
     target = summary.filter((F.col("off") < F.col("k")) & (F.col("k") <= F.col("off") + F.col("cnt"))) \
         .select("lo", "hi", (F.col("k") - F.col("off")).alias("r"))
-    t = small(target, range_parts)
+    t = small(target, 1)
     inside = block.join(t, (block.material >= t.lo) & (block.material <= t.hi), "inner")
-    ranked = inside.withColumn("_rn", F.row_number().over(Window.orderBy("material")))
-    return ranked.filter(F.col("_rn") == F.col("r")).select(F.col("material").alias("cut_material"))
+    return inside.select("material", F.col("r").alias("k"))
+
+
+def _kth_material(block: DataFrame, parts: int) -> DataFrame:
+    """Exact k-th smallest material of the rows (material, k), without sorting them in one task.
+
+    SEARCH_ROUNDS ranges in ranges leave about n / parts ** SEARCH_ROUNDS rows, which are ranked.
+    """
+    for _ in range(SEARCH_ROUNDS):
+        block = _range_of_kth(block, parts)
+    ranked = block.withColumn("_rn", F.row_number().over(Window.orderBy("material")))
+    return ranked.filter(F.col("_rn") == F.col("k")).select(F.col("material").alias("cut_material"))
 
 
-def consumption_movement(stats: DataFrame, range_parts: int | None = None,
-                         local_rank_limit: int = LOCAL_RANK_LIMIT) -> DataFrame:
+def consumption_movement(stats: DataFrame, range_parts: int | None = None) -> DataFrame:
     """Pareto movement per material (H inside the first 80% of orders, else M), with Orders.
 
     ``stats`` is the per-material table of ``consumption_stats``; it is read
     several times (histogram, tagging, the straddling block), so callers pass a
-    materialised copy.  The one block that straddles the cut is sized first (a
-    one-row read of the histogram): up to ``local_rank_limit`` rows it is ranked
-    in one task, beyond that by the distributed k-th key search.
+    materialised copy.  The first materials by key of the one block that straddles the cut are
+    found by a distributed search for the border key, the same at every size.
     """
     if range_parts is None:
-        range_parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        range_parts = max(2, int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     orders = consumption_orders(stats)
-    # the histogram is read twice (size check, tagging): written once, it is at most sqrt(2N) rows
+    # the histogram is read twice (search, tagging): written once, it is at most sqrt(2N) rows
     blocks = small(materialize(pareto_blocks(orders), "pareto_blocks", bounded=True), HISTOGRAM_BOUND_ROWS)
     tagged = orders.join(blocks, "orders", "inner")
-    # at most one block straddles the cut: its first k materials (by key) are H
     straddling = (F.col("k_fast") > 0) & (F.col("k_fast") < F.col("n"))
-    size = blocks.filter(straddling).select("n").collect()
-    base = (F.when(F.col("k_fast") >= F.col("n"), F.lit("H")).when(F.col("k_fast") <= 0, F.lit("M")))
-    if not size:
-        return tagged.select("material", base.alias("movement"), "orders")
-    straddle = tagged.filter(straddling).select("material", "k_fast")
-    if size[0][0] <= local_rank_limit:
-        # bounded by the check above: one ordered task over at most local_rank_limit rows
-        ranked = straddle.withColumn("_rn", F.row_number().over(Window.orderBy("material")))
-        cut = ranked.filter(F.col("_rn") == F.col("k_fast")).select(F.col("material").alias("cut_material"))
-    else:
-        cut = _kth_material(straddle, "k_fast", range_parts)
+    cut = _kth_material(tagged.filter(straddling).select("material", F.col("k_fast").alias("k")), range_parts)
     j = tagged.join(small(cut, 1), F.lit(True), "left")
-    movement = base.when(F.col("material") <= F.col("cut_material"), F.lit("H")).otherwise(F.lit("M"))
+    movement = (F.when(F.col("k_fast") >= F.col("n"), F.lit("H")).when(F.col("k_fast") <= 0, F.lit("M"))
+                .when(F.col("material") <= F.col("cut_material"), F.lit("H")).otherwise(F.lit("M")))
     return j.select("material", movement.alias("movement"), "orders")
 
 

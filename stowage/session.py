@@ -20,10 +20,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    parts = shuffle_partitions or int(os.environ.get("STOWAGE_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("STOWAGE_SHUFFLE_PARTITIONS")
+    if not parts and master and master.startswith("local"):
+        parts = 8
+    if parts:  # otherwise the cluster's own setting holds
+        b = b.config("spark.sql.shuffle.partitions", str(parts))
     spark = (
-        b.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
+        b.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -68,6 +71,7 @@ def materialize(df, name: str = "stage", bounded: bool = False):
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    # tables with a bound independent of the data (category, curve, plan tables) go to one file
-    (df.coalesce(1) if bounded else df).write.mode("overwrite").parquet(path)
+    # tables with a bound independent of the data (category, curve, plan tables) go to one file, after an exchange:
+    # what computes them keeps its own parallelism
+    (df.repartition(1) if bounded else df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

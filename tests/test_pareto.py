@@ -15,11 +15,10 @@ def brute(orders: dict[str, int]) -> dict[str, str]:
     return dict(zip(df.m, ["H" if s <= 0.80 else "M" for s in share]))
 
 
-def run(spark, orders: dict[str, int], parts: int = 4, local_limit: int = 0):
-    """local_limit=0 forces the distributed k-th key search; a large limit takes the one-task path."""
+def run(spark, orders: dict[str, int], parts: int = 4):
     stats = spark.createDataFrame([(m, 0, o) for m, o in orders.items()],
                                   "material string, line_down_orders long, orders long")
-    out = con.consumption_movement(stats, range_parts=parts, local_rank_limit=local_limit)
+    out = con.consumption_movement(stats, range_parts=parts)
     return {r.material: r.movement for r in out.collect()}
 
 
@@ -32,7 +31,6 @@ def test_pareto_random_with_big_tie_blocks(spark):
             orders[f"m{rng.randrange(10**6):06d}"] = rng.choice([1, 1, 1, 2, 2, 3, 5, 40, 41])
         want = brute(orders)
         assert run(spark, orders) == want, trial
-        assert run(spark, orders, local_limit=10**6) == want, trial
 
 
 def test_pareto_all_equal_and_zero(spark):
@@ -40,3 +38,9 @@ def test_pareto_all_equal_and_zero(spark):
     assert run(spark, eq, parts=3) == brute(eq)
     zero = {f"z{i}": 0 for i in range(5)}
     assert set(run(spark, zero).values()) == {"H"}
+
+
+def test_pareto_tie_block_over_many_ranges(spark):
+    """One block of equal counts straddles the cut, and each search round cuts it into many ranges."""
+    orders = {f"k{i:05d}": 2 for i in range(5000)} | {f"a{i}": 100 for i in range(20)}
+    assert run(spark, orders, parts=16) == brute(orders)
