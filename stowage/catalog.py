@@ -20,6 +20,7 @@ from stowage.operators import consumption as con
 from stowage.operators import curves as cur
 from stowage.operators import master as mst
 from stowage.operators import stock as stk
+from stowage import jobs
 from stowage.pipeline import stages
 from stowage.operators import dims as dm
 from stowage.plans import audit as au
@@ -74,13 +75,15 @@ def q_clean_float(spark, sf):
                     fn.clean_float(raw, strip_commas=False).alias("value_plain"))
 
 
-@register("clean_ts", None)
+@register("clean_ts", """
+SELECT o_orderkey, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS parsed, CAST(NULL AS BIGINT) AS parsed_bad FROM orders""")
 def q_clean_ts(spark, sf):
     # Stock exports carry no date column; the parse is exercised on the order dates as text.
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderdate")
     txt = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
     bad = F.concat(txt, F.lit("x"))
-    return o.select("o_orderkey", fn.clean_ts(txt).alias("parsed"), fn.clean_ts(bad).alias("parsed_bad"))
+    return o.select("o_orderkey", F.unix_micros(fn.clean_ts(txt)).alias("parsed"),
+                    F.unix_micros(fn.clean_ts(bad)).alias("parsed_bad"))
 
 
 # --- sources -----------------------------------------------------------------------------------
@@ -90,15 +93,24 @@ def q_src_stock_raw(spark, sf):
 
 
 # --- stock / master / cost center ----------------------------------------------------------------
-@register("stock_sized", O.select_all("stock_sized"))
+_STOCK_SQL = """SELECT material, CAST(total_stock AS DOUBLE) AS total_stock, size, CAST(size_id AS DOUBLE) AS size_id,
+  storage_type, CAST(type_id AS DOUBLE) AS type_id FROM stock_sized"""
+
+
+def _stock_row(df):
+    # numbers that may be null are compared as doubles
+    return df.select("material", F.col("total_stock").cast("double"), "size", F.col("size_id").cast("double"),
+                     "storage_type", F.col("type_id").cast("double"))
+
+
+@register("stock_sized", O.with_ctes(_STOCK_SQL))
 def q_stock_sized(spark, sf):
-    return stages(spark, sf).stock()
+    return _stock_row(stages(spark, sf).stock())
 
 
-@register("stock_rejects", O.with_ctes(
-    "SELECT * FROM stock_sized WHERE total_stock IS NULL OR size_id IS NULL"))
+@register("stock_rejects", O.with_ctes(_STOCK_SQL + " WHERE total_stock IS NULL OR size_id IS NULL"))
 def q_stock_rejects(spark, sf):
-    return stk.stock_rejects(stages(spark, sf).stock())
+    return _stock_row(stk.stock_rejects(stages(spark, sf).stock()))
 
 
 @register("master_tokens", O.select_all("master_tokens"))
@@ -109,7 +121,7 @@ def q_master_tokens(spark, sf):
 @register("master_tech_long", O.select_all("master_tech_long"))
 def q_master_tech_long(spark, sf):
     s = stages(spark, sf)
-    return mst.master_tech_long(s.raw_master(), s.dim("dim_token_map"))
+    return mst.master_tech_long(s.raw_master(), s.token_map())
 
 
 @register("master_flags", O.select_all("master_flags"))
@@ -182,11 +194,6 @@ def q_parts_with_tech(spark, sf):
     return stages(spark, sf).parts_full()
 
 
-@register("parts_full", O.select_all("parts_full"))
-def q_parts_full(spark, sf):
-    return stages(spark, sf).parts_full()
-
-
 @register("parts_normalized", O.select_all("parts_normalized"))
 def q_parts_normalized(spark, sf):
     return stages(spark, sf).parts()
@@ -385,12 +392,41 @@ def q_parts_located(spark, sf):
     return stages(spark, sf).located().select("material", "category", "storage_type", "location", "type")
 
 
-@register("rel_named", O.with_ctes("SELECT * FROM lt_named WHERE code IN (SELECT storage_type FROM stock_sized)"))
+@register("rel_named", O.with_ctes("""
+SELECT r.code, l.location, t.type, r.current_units, r.location_id, r.type_id FROM dim_location_type r
+LEFT JOIN dim_location l ON l.location_id = r.location_id LEFT JOIN dim_type t ON t.type_id = r.type_id"""))
 def q_rel_named(spark, sf):
-    # relationship rows with names, restricted to bin codes that hold stock so it reads the exports
     s = stages(spark, sf)
-    used = s.stock().select(F.col("storage_type").alias("code")).distinct()
-    return s.lt_named().join(used, "code", "left_semi")
+    return rep.relation_named(s.dim("dim_location_type"), s.dim("dim_location"), "location_id", "location",
+                              s.dim("dim_type"), "type_id", "type")
+
+
+@register("rel_tech_location", O.with_ctes("""
+SELECT r.tech_id, r.location_id, t.tech_name, l.location FROM dim_tech_location r
+LEFT JOIN dim_tech t ON t.tech_id = r.tech_id LEFT JOIN dim_location l ON l.location_id = r.location_id"""))
+def q_rel_tech_location(spark, sf):
+    s = stages(spark, sf)
+    return rep.relation_named(s.dim("dim_tech_location"), s.dim("dim_tech"), "tech_id", "tech_name",
+                              s.dim("dim_location"), "location_id", "location")
+
+
+@register("rel_type_size", O.with_ctes("""
+SELECT r.type_id, r.size_id, r.max_sku_per_unit, t.type, z.size FROM dim_type_size r
+LEFT JOIN dim_type t ON t.type_id = r.type_id LEFT JOIN dim_size z ON z.size_id = r.size_id"""))
+def q_rel_type_size(spark, sf):
+    s = stages(spark, sf)
+    return rep.relation_named(s.dim("dim_type_size"), s.dim("dim_type"), "type_id", "type", s.dim("dim_size"),
+                              "size_id", "size")
+
+
+@register("rel_fk_filter", O.with_ctes("""
+SELECT r.location_id, r.type_id, r.code, r.current_units FROM dim_location_type r
+WHERE r.location_id IN (SELECT location_id FROM dim_location) AND r.type_id IN (SELECT type_id FROM dim_type)"""))
+def q_rel_fk_filter(spark, sf):
+    s = stages(spark, sf)
+    return dm.fk_filter(s.dim("dim_location_type"), [(s.dim("dim_location"), ["location_id"]),
+                                                     (s.dim("dim_type"), ["type_id"])]).select(
+        "location_id", "type_id", "code", "current_units")
 
 
 @register("report_units_change", O.select_all("report_units_change"))
@@ -400,13 +436,13 @@ def q_report_units_change(spark, sf):
 
 
 @register("report_buy", O.with_ctes(
-    "SELECT index_1 AS type, index_2 AS location, value AS units FROM plan_vars WHERE variable = 'BuyUnits'"))
+    "SELECT plan_id, index_1 AS type, index_2 AS location, value AS units FROM plan_vars WHERE variable = 'BuyUnits'"))
 def q_report_buy(spark, sf):
     return rep.buys(stages(spark, sf).plan())
 
 
 @register("report_relocations", O.with_ctes(
-    "SELECT index_1 AS type, index_2 AS from_location, index_3 AS to_location, value AS units FROM plan_vars "
+    "SELECT plan_id, index_1 AS type, index_2 AS from_location, index_3 AS to_location, value AS units FROM plan_vars "
     "WHERE variable = 'RelocUnits'"))
 def q_report_relocations(spark, sf):
     return rep.relocations(stages(spark, sf).plan())
@@ -438,7 +474,14 @@ def q_report_reserve_cubic(spark, sf):
 
 @register("report_forward_reserve", O.select_all("report_forward_reserve"))
 def q_report_forward_reserve(spark, sf):
-    return rep.forward_reserve(stages(spark, sf).plan())
+    s = stages(spark, sf)
+    return rep.forward_reserve(s.located(), s.plan(), "count")
+
+
+@register("report_forward_reserve_cubic", O.select_all("report_forward_reserve_cubic"))
+def q_report_forward_reserve_cubic(spark, sf):
+    s = stages(spark, sf)
+    return rep.forward_reserve(s.located(), s.plan(), "cubic")
 
 
 @register("map_current", O.select_all("map_current"))
@@ -451,12 +494,9 @@ def q_map_recommended(spark, sf):
     return stages(spark, sf).map_recommended()
 
 
-@register("map_units_pivot", O.with_ctes(
-    "SELECT u.* FROM units_cur_pivot u WHERE u.location IN (SELECT location FROM parts_located)"))
+@register("map_units_pivot", O.select_all("units_cur_pivot"))
 def q_map_units_pivot(spark, sf):
-    s = stages(spark, sf)
-    used = s.located().select("location").filter(F.col("location").isNotNull()).distinct()
-    return rep.units_pivot(s.lt_named(), fx.TYPE_NAMES).join(used, "location", "left_semi")
+    return rep.units_pivot(stages(spark, sf).lt_named(), fx.TYPE_NAMES)
 
 
 @register("map_units_pivot_rec", O.select_all("units_rec_pivot"))
@@ -464,19 +504,10 @@ def q_map_units_pivot_rec(spark, sf):
     return rep.units_pivot_recommended(stages(spark, sf).plan(), fx.TYPE_NAMES)
 
 
-@register("map_units_tidy", O.with_ctes("""
-SELECT location, type, units FROM (
-  SELECT location, 'CABINET' AS type, current_cabinet AS units FROM units_cur_pivot
-  UNION ALL SELECT location, 'MEZZANINE', current_mezzanine FROM units_cur_pivot
-  UNION ALL SELECT location, 'SHELF', current_shelf FROM units_cur_pivot
-  UNION ALL SELECT location, 'LIFT', current_lift FROM units_cur_pivot
-  UNION ALL SELECT location, 'RACK', current_rack FROM units_cur_pivot) x
-WHERE location IN (SELECT location FROM parts_located)"""))
+@register("map_units_tidy", O.with_ctes(" UNION ALL ".join(
+    f"SELECT location, '{t}' AS type, current_{t.lower()} AS units FROM units_cur_pivot" for t in fx.TYPE_NAMES)))
 def q_map_units_tidy(spark, sf):
-    s = stages(spark, sf)
-    used = s.located().select("location").filter(F.col("location").isNotNull()).distinct()
-    wide = rep.units_pivot(s.lt_named(), fx.TYPE_NAMES).join(used, "location", "left_semi")
-    return rep.map_units_tidy(wide, fx.TYPE_NAMES)
+    return rep.map_units_tidy(rep.units_pivot(stages(spark, sf).lt_named(), fx.TYPE_NAMES), fx.TYPE_NAMES)
 
 
 @register("map_totals", O.select_all("map_totals"))
@@ -484,6 +515,17 @@ def q_map_totals(spark, sf):
     return rep.map_totals(stages(spark, sf).map_current())
 
 
+@register("map_totals_recommended", O.select_all("map_totals_rec"))
+def q_map_totals_recommended(spark, sf):
+    return rep.map_totals_recommended(stages(spark, sf).map_recommended())
+
+
+@register("map_breakdown_recommended", O.with_ctes(
+    "SELECT plan_id, location, category, rec_materials, rec_cubic_ft, rec_ldo FROM map_recommended"))
+def q_map_breakdown_recommended(spark, sf):
+    return rep.map_breakdown_recommended(stages(spark, sf).map_recommended())
+
+
 @register("map_radius", O.with_ctes("""
 SELECT location, CAST(materials AS DOUBLE) AS value,
   CASE WHEN mn = mx THEN 30.0 ELSE 10.0 + (materials - mn) / (mx - mn) * 20.0 END AS radius
@@ -500,11 +542,12 @@ def q_map_breakdown(spark, sf):
 
 
 @register("travel_savings", O.with_ctes("""
-SELECT COALESCE(c.m, 0.0) AS current_minutes, COALESCE(r.m, 0.0) AS recommended_minutes,
+SELECT r.plan_id, COALESCE(c.m, 0.0) AS current_minutes, COALESCE(r.m, 0.0) AS recommended_minutes,
   (COALESCE(c.m, 0.0) - COALESCE(r.m, 0.0)) / 60.0 AS saved_hours,
   (COALESCE(c.m, 0.0) - COALESCE(r.m, 0.0)) * s.rate AS saved_money
 FROM (SELECT sum(total_ldo * travel_time) AS m FROM map_current WHERE lat IS NOT NULL) c,
-     (SELECT sum(rec_ldo * travel_time) AS m FROM map_recommended) r,
+     (SELECT plan_id, sum(CASE WHEN lat IS NOT NULL THEN rec_ldo * travel_time END) AS m FROM map_recommended
+      GROUP BY plan_id) r,
      (SELECT max(line_down_cost) AS rate FROM dim_system) s"""))
 def q_travel_savings(spark, sf):
     s = stages(spark, sf)
@@ -517,73 +560,98 @@ def _pivot_sql(src: str, names: list[str], fmt: bool) -> str:
                 if fmt else e)
     cols = ",\n  ".join(f"{f(f'sum(CASE WHEN type = {chr(39)}{n}{chr(39)} THEN pct END)')} AS {n.lower()}"
                         for n in names)
-    return f"SELECT category, location,\n  {cols}\nFROM ({src}) x GROUP BY category, location"
+    return f"SELECT plan_id, category, location,\n  {cols}\nFROM ({src}) x GROUP BY plan_id, category, location"
 
 
-_TYPES = ["CABINET", "MEZZANINE", "SHELF", "LIFT", "RACK"]
+_TYPES = fx.TYPE_NAMES
 
 
 @register("pivot_forward", O.with_ctes(_pivot_sql(
-    "SELECT category, location, type, value AS pct FROM plan_pct WHERE variable = 'SKUuniquePct'", _TYPES, True)))
+    "SELECT plan_id, category, location, type, value AS pct FROM plan_pct WHERE variable = 'SKUuniquePct'", _TYPES, True)))
 def q_pivot_forward(spark, sf):
     return rep.pivot_forward(stages(spark, sf).plan(), fx.TYPE_NAMES)
 
 
 @register("pivot_forward_reserve", O.with_ctes(_pivot_sql(
-    "SELECT category, location, type, value AS pct FROM plan_pct WHERE variable = 'SKUuniquePct' UNION ALL "
-    "SELECT category, location, type || '_Reserve', value FROM plan_pct WHERE variable = 'ResSKUuniquePct'",
+    "SELECT plan_id, category, location, type, value AS pct FROM plan_pct WHERE variable = 'SKUuniquePct' UNION ALL "
+    "SELECT plan_id, category, location, type || '_Reserve', value FROM plan_pct WHERE variable = 'ResSKUuniquePct'",
     _TYPES + [t + "_Reserve" for t in _TYPES], True)))
 def q_pivot_forward_reserve(spark, sf):
     return rep.pivot_forward_reserve(stages(spark, sf).plan(), fx.TYPE_NAMES)
 
 
-@register("pivot_relocations", O.with_ctes("SELECT from_location, to_location, " + ", ".join(
+@register("pivot_forward_cubic", O.with_ctes(_pivot_sql(
+    "SELECT plan_id, category, location, type, value AS pct FROM plan_pct WHERE variable = 'SKUcubicPct'", _TYPES, True)))
+def q_pivot_forward_cubic(spark, sf):
+    return rep.pivot_forward(stages(spark, sf).plan(), fx.TYPE_NAMES, "cubic")
+
+
+@register("pivot_forward_reserve_cubic", O.with_ctes(_pivot_sql(
+    "SELECT plan_id, category, location, type, value AS pct FROM plan_pct WHERE variable = 'SKUcubicPct' UNION ALL "
+    "SELECT plan_id, category, location, type || '_Reserve', value FROM plan_pct WHERE variable = 'ResSKUcubicPct'",
+    _TYPES + [t + "_Reserve" for t in _TYPES], True)))
+def q_pivot_forward_reserve_cubic(spark, sf):
+    return rep.plan_pivots(stages(spark, sf).plan(), fx.TYPE_NAMES)["forward_reserve_cubic"]
+
+
+@register("pivot_relocations", O.with_ctes("SELECT plan_id, from_location, to_location, " + ", ".join(
     f"COALESCE(sum(CASE WHEN type = '{t}' THEN units END), 0.0) AS {t.lower()}" for t in _TYPES) + """
-FROM (SELECT index_1 AS type, index_2 AS from_location, COALESCE(index_3, 'Unknown') AS to_location, value AS units
-      FROM plan_vars WHERE variable = 'RelocUnits') x GROUP BY from_location, to_location"""))
+FROM (SELECT plan_id, index_1 AS type, index_2 AS from_location, COALESCE(index_3, 'Unknown') AS to_location, value AS units
+      FROM plan_vars WHERE variable = 'RelocUnits') x GROUP BY plan_id, from_location, to_location"""))
 def q_pivot_relocations(spark, sf):
     return rep.pivot_relocations(stages(spark, sf).plan(), fx.TYPE_NAMES)
 
 
 @register("tidy_alloc", O.with_ctes("""
-SELECT category, type, location, 'Current' AS metric, current_pct AS value, 'Current - ' || type AS segment
+SELECT plan_id, category, type, location, 'Current' AS metric, current_pct AS value, 'Current - ' || type AS segment
 FROM report_alloc_counts
 UNION ALL
-SELECT category, type, location, 'Recommended', recommended_pct, 'Recommended - ' || type FROM report_alloc_counts"""))
+SELECT plan_id, category, type, location, 'Recommended', recommended_pct, 'Recommended - ' || type FROM report_alloc_counts"""))
 def q_tidy_alloc(spark, sf):
     s = stages(spark, sf)
     return rep.tidy_alloc(rep.alloc_report(s.located(), s.plan(), "count"))
 
 
 @register("tidy_units", O.with_ctes("""
-SELECT type, location, 'Current' AS metric, current_units AS units FROM report_units_change
-UNION ALL SELECT type, location, 'Recommended', recommended_units FROM report_units_change"""))
+SELECT plan_id, type, location, 'Current' AS metric, current_units AS units FROM report_units_change
+UNION ALL SELECT plan_id, type, location, 'Recommended', recommended_units FROM report_units_change"""))
 def q_tidy_units(spark, sf):
     s = stages(spark, sf)
     return rep.tidy_units(rep.units_change(s.plan(), s.lt_named()))
 
 
-@register("tidy_phase_percent", O.with_ctes("""
-SELECT COALESCE(a.category, f.category) AS category, COALESCE(a.type, f.type) AS type,
+_PHASE_SQL = """
+SELECT COALESCE(a.plan_id, f.plan_id) AS plan_id, COALESCE(a.category, f.category) AS category, COALESCE(a.type, f.type) AS type,
   COALESCE(a.location, f.location) AS location, p.phase,
   CASE p.phase WHEN 'Current' THEN COALESCE(a.current_pct, 0.0) WHEN 'Forward' THEN COALESCE(f.forward_pct, 0.0)
        ELSE COALESCE(f.reserve_pct, 0.0) END AS pct
 FROM report_alloc_counts a
-FULL OUTER JOIN report_forward_reserve f ON a.category = f.category AND a.type = f.type AND a.location = f.location
-CROSS JOIN (VALUES ('Current'), ('Forward'), ('Reserve')) AS p(phase)"""))
-def q_tidy_phase_percent(spark, sf):
-    s = stages(spark, sf)
-    return rep.tidy_phase_percent(rep.alloc_report(s.located(), s.plan(), "count"), rep.forward_reserve(s.plan()))
+FULL OUTER JOIN report_forward_reserve f
+  ON a.plan_id = f.plan_id AND a.category = f.category AND a.type = f.type AND a.location = f.location
+CROSS JOIN (VALUES ('Current'), ('Forward'), ('Reserve')) AS p(phase)"""
+
+
+def _phase(measure):
+    def q(spark, sf):
+        s = stages(spark, sf)
+        return rep.tidy_phase_percent(rep.alloc_report(s.located(), s.plan(), measure),
+                                      rep.forward_reserve(s.located(), s.plan(), measure))
+    return q
+
+
+register("tidy_phase_percent", O.with_ctes(_PHASE_SQL))(_phase("count"))
+register("tidy_phase_percent_cubic", O.with_ctes(_PHASE_SQL.replace("report_alloc_counts", "report_alloc_cubic").replace(
+    "report_forward_reserve", "report_forward_reserve_cubic")))(_phase("cubic"))
 
 
 @register("display_percent", O.with_ctes("""
-SELECT variable, index_1, index_2, index_3, value,
+SELECT plan_id, variable, index_1, index_2, index_3, value,
   CASE WHEN value = 0 THEN NULL WHEN value > 0 AND value < 0.01 THEN 0.01 ELSE round_even(value, 2) END AS display
 FROM plan_vars WHERE variable IN ('SKUuniquePct', 'SKUcubicPct', 'ResSKUuniquePct', 'ResSKUcubicPct')"""))
 def q_display_percent(spark, sf):
     p = stages(spark, sf).plan().filter(F.col("variable").isin(
         "SKUuniquePct", "SKUcubicPct", "ResSKUuniquePct", "ResSKUcubicPct"))
-    return p.select("variable", "index_1", "index_2", "index_3", "value", fn.display_percent("value").alias("display"))
+    return p.select("plan_id", "variable", "index_1", "index_2", "index_3", "value", fn.display_percent("value").alias("display"))
 
 
 # --- plan audit -------------------------------------------------------------------------------------------
@@ -605,16 +673,17 @@ FROM (SELECT DISTINCT plan_id FROM plan_vars) i
 LEFT JOIN (SELECT p.plan_id, sum(p.value * t.buy_cost) AS c FROM plan_vars p JOIN dim_type t ON t.type = p.index_1
            WHERE p.variable = 'BuyUnits' GROUP BY 1) b ON b.plan_id = i.plan_id
 LEFT JOIN (SELECT p.plan_id, sum(p.value * t.reloc_cost / 2) AS c FROM plan_vars p JOIN dim_type t ON t.type = p.index_1
-           WHERE p.variable = 'RelocUnits' GROUP BY 1) r ON r.plan_id = i.plan_id""")))
+           WHERE p.variable = 'RelocUnits' AND p.index_2 <> p.index_3 GROUP BY 1) r ON r.plan_id = i.plan_id""")))
 def q_audit_budget(spark, sf):
     s, p = _audit_stage(spark, sf)
     return au.budget(p, s.dim("dim_type"), s.dim("dim_system"))
 
 
 @register("audit_space", O.with_ctes(O._audit("space", ["location"], "used", "floor_space * sf", "le", """
-SELECT u.plan_id, u.location, u.used, l.floor_space, (SELECT max(space_factor) FROM dim_system) AS sf
-FROM (SELECT p.plan_id, p.location, sum(p.value * t.sqft_req) AS used FROM pv2 p JOIN dim_type t ON t.type = p.type
-      WHERE p.variable = 'StoreUnits' GROUP BY 1, 2) u JOIN dim_location l ON l.location = u.location""")))
+SELECT i.plan_id, l.location, COALESCE(u.used, 0.0) AS used, l.floor_space, (SELECT max(space_factor) FROM dim_system) AS sf
+FROM plan_list i CROSS JOIN dim_location l
+LEFT JOIN (SELECT p.plan_id, p.location, sum(p.value * t.sqft_req) AS used FROM pv2 p JOIN dim_type t ON t.type = p.type
+      WHERE p.variable = 'StoreUnits' GROUP BY 1, 2) u ON l.location = u.location AND u.plan_id = i.plan_id""")))
 def q_audit_space(spark, sf):
     s, p = _audit_stage(spark, sf)
     return au.space(p, s.dim("dim_type"), s.dim("dim_location"), s.dim("dim_system"))
@@ -633,8 +702,13 @@ def q_audit_units_split(spark, sf):
 @register("audit_flow", O.with_ctes(O._audit("flow", ["type", "location"], "value",
                                              "COALESCE(cur, 0.0) + COALESCE(buy, 0.0) + COALESCE(inb, 0.0) - COALESCE(outb, 0.0)",
                                              "eq", """
-SELECT s.plan_id, s.type, s.location, s.value, c.cur, b.value AS buy, i.inb, o.outb
-FROM (SELECT * FROM pv2 WHERE variable = 'StoreUnits') s
+SELECT s.plan_id, s.type, s.location, COALESCE(v.value, 0.0) AS value, c.cur, b.value AS buy, i.inb, o.outb
+FROM (SELECT plan_id, type, location FROM pv2 WHERE variable IN ('StoreUnits', 'BuyUnits')
+      UNION SELECT plan_id, index_1, index_2 FROM plan_vars WHERE variable = 'RelocUnits' AND index_2 <> index_3
+      UNION SELECT plan_id, index_1, index_3 FROM plan_vars WHERE variable = 'RelocUnits' AND index_2 <> index_3
+      UNION SELECT pl.plan_id, n.type, n.location FROM plan_list pl, lt_named n) s
+LEFT JOIN (SELECT * FROM pv2 WHERE variable = 'StoreUnits') v
+  ON v.plan_id = s.plan_id AND v.type = s.type AND v.location = s.location
 LEFT JOIN (SELECT * FROM pv2 WHERE variable = 'BuyUnits') b ON b.plan_id = s.plan_id AND b.type = s.type AND b.location = s.location
 LEFT JOIN (SELECT plan_id, index_1 AS type, index_3 AS location, sum(value) AS inb FROM plan_vars
            WHERE variable = 'RelocUnits' AND index_2 <> index_3 GROUP BY 1, 2, 3) i
@@ -650,16 +724,19 @@ def q_audit_flow(spark, sf):
 
 
 @register("audit_cover_volume", O.with_ctes(O._audit("cover_volume", ["category"], "s", "1.0", "eq", """
-SELECT plan_id, index_1 AS category, sum(value) AS s FROM plan_vars
-WHERE variable IN ('SKUcubicPct', 'ResSKUcubicPct') GROUP BY 1, 2""")))
+SELECT e.plan_id, e.category, COALESCE((SELECT sum(value) FROM plan_vars v WHERE v.plan_id = e.plan_id
+  AND v.index_1 = e.category AND v.variable IN ('SKUcubicPct', 'ResSKUcubicPct')), 0.0) AS s FROM every_cat e""")))
 def q_audit_cover_volume(spark, sf):
-    return au.cover_volume(stages(spark, sf).plan())
+    s, p = _audit_stage(spark, sf)
+    return au.cover_volume(p, s.category_summary())
 
 
 @register("audit_cover_unique", O.with_ctes(O._audit("cover_unique", ["category"], "s", "1.0", "ge", """
-SELECT plan_id, index_1 AS category, sum(value) AS s FROM plan_vars WHERE variable = 'SKUuniquePct' GROUP BY 1, 2""")))
+SELECT e.plan_id, e.category, COALESCE((SELECT sum(value) FROM plan_vars v WHERE v.plan_id = e.plan_id
+  AND v.index_1 = e.category AND v.variable = 'SKUuniquePct'), 0.0) AS s FROM every_cat e""")))
 def q_audit_cover_unique(spark, sf):
-    return au.cover_unique(stages(spark, sf).plan())
+    s, p = _audit_stage(spark, sf)
+    return au.cover_unique(p, s.category_summary())
 
 
 @register("audit_share_ratio", O.with_ctes(O._audit("share_ratio", ["category", "type", "location", "kind"],
@@ -706,9 +783,9 @@ def q_audit_volume(spark, sf):
 
 
 @register("audit_type_category", O.with_ctes(
-    O._audit("type_category_share", ["category", "type", "location"], "value",
+    O._audit("type_category_alloc", ["category", "type", "location", "tech"], "alloc",
              "CAST(COALESCE(compatible_strict, 0) AS DOUBLE)", "le", """
-SELECT p.*, t.compatible_strict FROM (SELECT * FROM pv3 WHERE variable = 'SKUuniquePct') p
+SELECT p.*, t.compatible_strict FROM alloc p
 LEFT JOIN category_type t ON t.category = p.category AND t.type = p.type""") + " UNION ALL " +
     O._audit("type_category_units", ["category", "type", "location"], "value",
              "1000.0 * CAST(COALESCE(compatible_strict, 0) AS DOUBLE)", "le", """
@@ -731,9 +808,12 @@ def q_audit_tech_location(spark, sf):
 
 
 @register("audit_alloc_total", O.with_ctes(O._audit("alloc_total", ["category", "tech"], "s", "1.0", "eq",
-                                                    "SELECT plan_id, category, tech, sum(alloc) AS s FROM alloc GROUP BY 1, 2, 3")))
+                                                    """
+SELECT e.*, COALESCE((SELECT sum(a.alloc) FROM alloc a WHERE a.plan_id = e.plan_id AND a.category = e.category
+  AND a.tech = e.tech), 0.0) AS s FROM every_cat_tech e""")))
 def q_audit_alloc_total(spark, sf):
-    return au.alloc_total(stages(spark, sf).plan())
+    s, p = _audit_stage(spark, sf)
+    return au.alloc_total(p, s.category_summary(), s.dim("dim_tech"))
 
 
 def _alloc_rule(rule):
@@ -967,7 +1047,7 @@ WHERE NOT (t.token IS NULL OR upper(trim(t.token)) IN ('<NA>', 'NAN', 'NONE', ''
 
 def _unmatched_tokens(s):
     toks = mst.master_tokens(s.raw_master()).filter(~fn.is_missing_like("token"))
-    mp = F.broadcast(mst.token_map_norm(s.dim("dim_token_map")))
+    mp = F.broadcast(mst.token_map_norm(s.token_map()))
     un = toks.join(mp, F.upper(toks.token).contains(mp.value), "left_anti")
     return un.select(fn.norm_key("token").alias("value"), F.lit("UNK").alias("tech_name")).distinct()
 
@@ -977,7 +1057,7 @@ SELECT value, tech_name FROM token_map WHERE value NOT IN (SELECT value FROM ({_
 UNION ALL {_UNMATCHED_SQL}"""))
 def q_dim_upsert(spark, sf):
     s = stages(spark, sf)
-    return dm.upsert(mst.token_map_norm(s.dim("dim_token_map")), _unmatched_tokens(s), ["value"])
+    return dm.upsert(mst.token_map_norm(s.token_map()), _unmatched_tokens(s), ["value"])
 
 
 @register("dim_delete", O.with_ctes("""
@@ -986,9 +1066,10 @@ WHERE EXISTS (SELECT 1 FROM master_tokens t WHERE contains(upper(t.token), m.val
               AND NOT (t.token IS NULL OR upper(trim(t.token)) IN ('<NA>', 'NAN', 'NONE', '')))"""))
 def q_dim_delete(spark, sf):
     s = stages(spark, sf)
-    mp = mst.token_map_norm(s.dim("dim_token_map"))
+    mp = mst.token_map_norm(s.token_map())
     toks = mst.master_tokens(s.raw_master()).filter(~fn.is_missing_like("token"))
-    used = mp.join(toks, F.upper(toks.token).contains(mp.value), "left_semi").select("value")
+    # the tokens are the data-sized side: the map is sent to them
+    used = toks.join(F.broadcast(mp), F.upper(toks.token).contains(mp.value)).select(mp.value).distinct()
     unused = mp.select("value").join(used, "value", "left_anti")
     return dm.delete(mp, unused, ["value"])
 
@@ -1013,11 +1094,10 @@ def q_dim_replace_group(spark, sf):
 SELECT l.location_id, l.floor_space, l.location_priority, l.lat, l.lon, upper(trim(l.location)) AS location,
   CAST(trunc(p.travel_time) AS INTEGER) AS travel_time, p.reserve_allowed
 FROM dim_location l LEFT JOIN dim_priority p ON p.location_priority = l.location_priority
-WHERE l.location IN (SELECT location FROM parts_located)"""))
+"""))
 def q_dim_location_derive(spark, sf):
     s = stages(spark, sf)
-    used = s.located().select("location").filter(F.col("location").isNotNull()).distinct()
-    return dm.derive_location(s.dim("dim_location").join(used, "location", "left_semi"), s.dim("dim_priority"))
+    return dm.derive_location(s.dim("dim_location"), s.dim("dim_priority"))
 
 
 @register("src_csv_roundtrip", O.select_all("raw_stock", "material, code, total_stock_raw"))
@@ -1033,6 +1113,62 @@ def q_src_csv_roundtrip(spark, sf):
     return read_export(spark, path, {"material": "material", " storage  TYPE ": "code", "total stock": "total_stock_raw"})
 
 
+# --- jobs: export file -> headers -> types -> contract -> table in a workspace (D20) -----------------------
+def _job(build, export, columns):
+    def q(spark, sf):
+        import uuid
+
+        from stowage.session import ensure_checkpoint_dir
+        from stowage.sources.files import Workspace, write_csv
+        s = stages(spark, sf)
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{uuid.uuid4().hex}"
+        path = write_csv(export(s), f"{root}/export")
+        ws = Workspace(spark, f"{root}/workspace")
+        return ws.read(build(s, ws, path)).select(*columns)
+    return q
+
+
+def _renamed(df, names):
+    return df.select(*[F.col(c).alias(h) for c, h in names.items()])
+
+
+register("job_stock", O.with_ctes("""
+SELECT material, size, CAST(total_stock AS BIGINT) AS total_stock, CAST(size_id AS INTEGER) AS size_id, storage_type
+FROM stock_sized WHERE total_stock IS NOT NULL AND size_id IS NOT NULL"""))(_job(
+    lambda s, ws, p: jobs.build_stock(ws, p, s.dim("dim_location_type"), s.dim("dim_size")),
+    lambda s: _renamed(s.raw_stock(), {"row_no": "Row", "material": " MATERIAL ", "code": "Storage  Type",
+                                       "total_stock_raw": "total stock"}),
+    ["material", "size", "total_stock", "size_id", "storage_type"]))
+register("job_master", O.select_all("master_flags"))(_job(
+    lambda s, ws, p: jobs.build_master(ws, p, s.dim("dim_token_map")),
+    lambda s: _renamed(s.raw_master(), {"row_no": "row", "material": "Material", "years": "Years",
+                                        "mrp_controller": "MRP Controller", "std_desc": "Std Desc",
+                                        "priority": "Priority"}),
+    ["material", "priority", "movement", *fx.ALL_TECHS]))
+register("job_cost_center", O.select_all("cost_center_loaded"))(_job(
+    lambda s, ws, p: jobs.build_cost_center(ws, p),
+    lambda s: _renamed(s.raw_cost_center(), {"cost_center": "Cost Center", "department": "Department"}),
+    ["cost_center", *fx.ALL_TECHS]))
+register("job_consumption", O.with_ctes("""
+SELECT m.material, m.movement, m.orders, p.priority, p.line_down_orders FROM consumption_movement m
+JOIN consumption_priority p ON p.material = m.material"""))(_job(
+    lambda s, ws, p: jobs.build_consumption(ws, p),
+    lambda s: _renamed(s.raw_consumption(), {"material": "Material", "movement_type": "Movement type",
+                                             "cost_center": "Cost Center", "order_no": "Order",
+                                             "order_type": "Order Type"}),
+    ["material", "movement", "orders", "priority", "line_down_orders"]))
+
+
+@register("parts_by_group", O.with_ctes("""
+SELECT location, category, storage_type, material, total_stock FROM parts_located
+WHERE location = (SELECT min(location) FROM parts_located) AND type IS NOT NULL"""))
+def q_parts_by_group(spark, sf):
+    s = stages(spark, sf)
+    first = s.located().agg(F.min("location").alias("location"))
+    one = s.located().join(F.broadcast(first), "location").filter(F.col("type").isNotNull())  # one row
+    return one.select("location", "category", "storage_type", "material", "total_stock")
+
+
 def queries() -> dict[str, Builder]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

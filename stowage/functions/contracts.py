@@ -81,7 +81,8 @@ def enforce_output(df: DataFrame, name: str, defaults: dict | None = None) -> Da
 
 
 # Cleaning variant per column type and input family (V5): the stock and consumption exports strip
-# every non-numeric character from integers; master and cost-center exports strip only commas.
+# every non-numeric character from integers and commas from floats; master and cost-center exports strip only the
+# commas of integers, so a float with a comma becomes null.
 _INT_RULE = {"stock": clean_int, "consumption": clean_int, "master": clean_int_commas,
              "cost_center": clean_int_commas}
 
@@ -95,7 +96,7 @@ def coerce(df: DataFrame, types: dict[str, str], family: str = "stock") -> DataF
         if t in ("int", "bigint", "long"):
             exprs[c] = _INT_RULE.get(family, clean_int)(c)
         elif t in ("double", "float"):
-            exprs[c] = clean_float(c, strip_commas=family in ("stock", "consumption", "master", "cost_center"))
+            exprs[c] = clean_float(c, strip_commas=family in ("stock", "consumption"))
         elif t == "timestamp":
             exprs[c] = clean_ts(c)
         elif t == "string":

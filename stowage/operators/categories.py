@@ -38,7 +38,7 @@ def category_summary(enriched: DataFrame) -> DataFrame:
     agg = enriched.groupBy("category").agg(
         F.min("priority").alias("priority"), F.min("movement").alias("movement"), F.min("size").alias("size"),
         F.min("size_id").alias("size_id"),
-        F.count_distinct("material").cast("bigint").alias("num_sku"),
+        F.count("material").cast("bigint").alias("num_sku"),  # parts has one row per material
         F.coalesce(F.sum("total_stock"), F.lit(0.0)).alias("total_stock"),
         F.coalesce(F.sum("orders"), F.lit(0.0)).alias("total_orders"),
         F.coalesce(F.sum("line_down_orders"), F.lit(0.0)).alias("line_down_orders"),
@@ -95,15 +95,20 @@ def category_type(summary: DataFrame, types: DataFrame, type_size: DataFrame) ->
     )
 
 
-def category_grid(parts: DataFrame, sizes: DataFrame) -> DataFrame:
+def category_letters(parts: DataFrame) -> DataFrame:
+    """The (priority, movement) pairs of the parts: one small aggregate, from which both lists follow."""
+    return parts.groupBy("priority", "movement").agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_grid(letters_: DataFrame, sizes: DataFrame) -> DataFrame:
     """All category keys priority x movement x size.
 
-    Priorities and movements are the distinct non-null values of the parts table
+    Priorities and movements are the distinct non-null values of :func:`category_letters`
     (falling back to H/M/L when empty), sizes come from the size dimension.
     """
     def letters(col: str) -> DataFrame:
-        vals = parts.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
-        fallback = parts.sparkSession.createDataFrame([("H",), ("M",), ("L",)], "v string")
+        vals = letters_.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
+        fallback = letters_.sparkSession.createDataFrame([("H",), ("M",), ("L",)], "v string")
         has = vals.limit(1).select(F.lit(1).alias("_has"))
         fb = fallback.join(has, F.lit(True), "left_anti")
         return vals.unionByName(fb)

@@ -209,14 +209,14 @@ def curve_concavity(points: DataFrame) -> DataFrame:
 def interpolate(points: DataFrame, at: DataFrame, x_col: str = "x_eval") -> DataFrame:
     """Value of each 3-point curve at ``at[x_col]`` (clamped to the curve's range)."""
     w = curve_wide(points)
-    j = at.join(small(w, 4096), ["category", "tech"], "inner")
+    j = at.join(w, ["category", "tech"], "left")  # a group without a curve has no reach: y is 0
     x = F.greatest(F.lit(0.0), F.least(F.col(x_col), F.col("x2")))
     seg1 = F.when(F.col("x1") > 0, F.col("y1") * x / F.col("x1")).otherwise(F.col("y1"))
     seg2 = F.when(F.col("x2") > F.col("x1"),
                   F.col("y1") + (F.col("y2") - F.col("y1")) * (x - F.col("x1")) / (F.col("x2") - F.col("x1"))) \
         .otherwise(F.col("y2"))
     y = F.when(x <= F.col("x1"), seg1).otherwise(seg2)
-    return j.select(*at.columns, y.alias("y_eval"))
+    return j.select(*at.columns, F.coalesce(y, F.lit(0.0)).alias("y_eval"))
 
 
 def curves_to_json(points: DataFrame) -> DataFrame:

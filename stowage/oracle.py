@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 
-from stowage.sources.fixtures import ADAPTER_SQL, DIM_SQL
+from stowage.operators.dims import DEFAULT_TOKEN_MAP
+from stowage.sources.fixtures import ADAPTER_SQL, DIM_SQL, TYPE_NAMES, dim_text
 
 CTE: dict[str, str] = {}
 CTE.update({k: v.strip() for k, v in ADAPTER_SQL.items()})
-CTE.update(DIM_SQL)
+CTE.update({k: dim_text(k) for k in DIM_SQL})
 
 CTE["stock_rows"] = r"""
 SELECT row_no, material, code,
@@ -44,7 +45,10 @@ SELECT material, CAST(i - 1 AS INTEGER) AS pos, trim(tok) AS token FROM (
     FROM master_dedup) a) b"""
 
 CTE["token_map"] = """
-SELECT upper(trim(value)) AS value, min(upper(trim(tech_name))) AS tech_name FROM dim_token_map
+SELECT upper(trim(value)) AS value, min(upper(trim(tech_name))) AS tech_name FROM (
+  SELECT value, tech_name FROM dim_token_map
+  UNION ALL SELECT value, tech_name FROM (VALUES """ + ", ".join(str(x) for x in DEFAULT_TOKEN_MAP) + """) AS d(value, tech_name)
+  WHERE NOT EXISTS (SELECT 1 FROM dim_token_map)) m
 WHERE value IS NOT NULL GROUP BY 1"""
 
 CTE["master_tech_long"] = """
@@ -344,36 +348,67 @@ CTE["cat_pairs"] = """
 SELECT c.category, c.size_id, lt.type_id, lt.type, lt.location_id, lt.location, lt.location_priority, lt.current_units
 FROM category_summary c JOIN dim_type_size ts ON ts.size_id = c.size_id JOIN loc_types lt ON lt.type_id = ts.type_id"""
 
+CTE["pairs_plan"] = """
+SELECT p.*, pr.reserve_allowed, count(*) OVER (PARTITION BY p.category) AS np,
+  sum(pr.reserve_allowed) OVER (PARTITION BY p.category) AS nr
+FROM cat_pairs p JOIN dim_priority pr ON pr.location_priority = p.location_priority"""
+
+CTE["units_plan"] = """
+SELECT y.*, y.current_units + y.buy + y.inb - y.outb AS units FROM (
+  SELECT x.*, CASE WHEN x.location_id = x.first_id
+                   THEN (SELECT count(*) FROM loc_types o WHERE o.type = x.type AND o.location_priority = 3
+                           AND o.location_id <> x.first_id) ELSE 0 END AS inb
+  FROM (
+    SELECT l.*, u.nu, f.first_id, f.first_loc, CASE WHEN l.location_priority = 2 THEN COALESCE(u.nu, 0) ELSE 0 END AS buy,
+      CASE WHEN l.location_priority = 3 AND l.location_id <> f.first_id THEN 1 ELSE 0 END AS outb
+    FROM loc_types l
+    LEFT JOIN (SELECT type_id, location_id, count(*) AS nu FROM cat_pairs GROUP BY 1, 2) u
+      ON u.type_id = l.type_id AND u.location_id = l.location_id
+    JOIN (SELECT type, min(location_id) AS first_id, arg_min(location, location_id) AS first_loc FROM loc_types
+          GROUP BY type) f ON f.type = l.type) x) y"""
+
 CTE["plan_base"] = """
-SELECT 'base' AS plan_id, v.variable, p.category AS index_1, p.type AS index_2, p.location AS index_3,
-       CAST(NULL AS VARCHAR) AS index_4, 1.0 / count(*) OVER (PARTITION BY p.category, v.variable) AS value
-FROM cat_pairs p CROSS JOIN (VALUES ('SKUuniquePct'), ('SKUcubicPct')) AS v(variable)
-UNION ALL
-SELECT 'base', v.variable, p.category, p.type, p.location, NULL, 0.005
-FROM cat_pairs p JOIN dim_priority pr ON pr.location_priority = p.location_priority AND pr.reserve_allowed = 1
-CROSS JOIN (VALUES ('ResSKUuniquePct'), ('ResSKUcubicPct')) AS v(variable)
-UNION ALL
-SELECT 'base', 'SKUStoreUnits', category, type, location, NULL,
-       current_units / count(*) OVER (PARTITION BY type_id, location_id) FROM cat_pairs
-UNION ALL
-SELECT 'base', 'BuyUnits', type, location, NULL, NULL, 3.0 FROM loc_types WHERE type = 'RACK' AND location = 'EAST'
-UNION ALL
-SELECT 'base', 'RelocUnits', type, location, 'NORTH', NULL, 10.0 FROM loc_types WHERE type = 'CABINET' AND location = 'SOUTH'
+SELECT 'base' AS plan_id, 'SKUuniquePct' AS variable, category AS index_1, type AS index_2, location AS index_3,
+  CAST(NULL AS VARCHAR) AS index_4, CAST(1.0 AS DOUBLE) / np AS value FROM pairs_plan
+UNION ALL SELECT 'base', 'SKUcubicPct', category, type, location, NULL,
+  (CAST(1.0 AS DOUBLE) - CAST(0.005 AS DOUBLE) * nr) / np FROM pairs_plan
 UNION ALL
-SELECT 'base', 'StoreUnits', type, location, NULL, NULL,
-  current_units + CASE WHEN type = 'RACK' AND location = 'EAST' THEN 3.0 ELSE 0.0 END
-  + CASE WHEN type = 'CABINET' AND location = 'NORTH' THEN 10.0 ELSE 0.0 END
-  - CASE WHEN type = 'CABINET' AND location = 'SOUTH' THEN 10.0 ELSE 0.0 END
-FROM loc_types
+SELECT 'base', v.variable, category, type, location, NULL, 0.005 FROM pairs_plan
+CROSS JOIN (VALUES ('ResSKUuniquePct'), ('ResSKUcubicPct')) AS v(variable) WHERE reserve_allowed = 1
+UNION ALL SELECT 'base', 'BuyUnits', type, location, NULL, NULL, buy FROM units_plan WHERE buy > 0
+UNION ALL SELECT 'base', 'RelocUnits', type, location, first_loc, NULL, outb FROM units_plan WHERE outb > 0
+UNION ALL SELECT 'base', 'StoreUnits', type, location, NULL, NULL, units FROM units_plan
+UNION ALL SELECT 'base', 'SKUStoreUnits', p.category, p.type, p.location, NULL, u.units / u.nu
+FROM cat_pairs p JOIN units_plan u ON u.type = p.type AND u.location = p.location
 UNION ALL
 SELECT 'base', 'AllocFracUnique', p.category, p.type, p.location, t.tech_name,
-       1.0 / count(*) OVER (PARTITION BY p.category, t.tech_name)
-FROM cat_pairs p JOIN dim_tech_location tl ON tl.location_id = p.location_id JOIN dim_tech t ON t.tech_id = tl.tech_id"""
+       CAST(1.0 AS DOUBLE) / count(*) OVER (PARTITION BY p.category, t.tech_name)
+FROM cat_pairs p JOIN dim_tech_location tl ON tl.location_id = p.location_id JOIN dim_tech t ON t.tech_id = tl.tech_id
+UNION ALL SELECT 'base', 'LineDownOrders', c.category, c.tech_name, CAST(p.location_priority AS VARCHAR), NULL,
+  c.num_sku + p.location_priority FROM category_tech c CROSS JOIN dim_priority p
+UNION ALL SELECT 'base', 'objective value', NULL, NULL, NULL, NULL, (SELECT count(*) FROM category_summary)"""
+
+CTE["plan_bad"] = """
+SELECT 'bad' AS plan_id, variable, index_1, index_2, index_3, index_4,
+  CASE WHEN variable = 'SKUuniquePct' THEN value * 0.5 WHEN variable = 'SKUcubicPct' THEN value * 2
+       WHEN variable IN ('ResSKUuniquePct', 'ResSKUcubicPct') THEN value * 40 WHEN variable = 'SKUStoreUnits' THEN 0.0
+       WHEN variable = 'BuyUnits' THEN value * 100000 WHEN variable = 'StoreUnits' THEN value * 1000
+       WHEN variable = 'AllocFracUnique' THEN value * 0.5 ELSE value END AS value
+FROM plan_base
+WHERE NOT (variable IN ('SKUuniquePct', 'SKUcubicPct', 'AllocFracUnique')
+           AND index_1 = (SELECT min(category) FROM category_summary))
+  AND NOT (variable = 'StoreUnits' AND index_1 = 'ECONOMY')
+UNION ALL SELECT 'bad', 'RelocUnits', index_1, index_2, index_2, NULL, value + 1 FROM plan_base WHERE variable = 'RelocUnits'
+UNION ALL
+SELECT 'bad', v.variable, c.category, 'SMALL', l.loc, CASE WHEN v.variable = 'AllocFracUnique' THEN 'ASSEMBLY' END, v.value
+FROM category_summary c, (SELECT min(location) AS loc FROM dim_location WHERE location_priority = 1) l,
+  (VALUES ('AllocFracUnique', 0.25), ('SKUStoreUnits', 2000.0), ('ResSKUuniquePct', 0.25)) AS v(variable, value)"""
 
 CTE["plan_vars"] = """
-SELECT *, CAST(row_number() OVER (ORDER BY variable NULLS FIRST, index_1 NULLS FIRST, index_2 NULLS FIRST,
-  index_3 NULLS FIRST, index_4 NULLS FIRST) AS BIGINT) AS row_no
-FROM plan_base"""
+SELECT plan_id, variable, index_1, index_2, index_3, index_4, CAST(value AS DOUBLE) AS value,
+  CAST(row_number() OVER (PARTITION BY plan_id ORDER BY variable NULLS FIRST, index_1 NULLS FIRST, index_2 NULLS FIRST,
+  index_3 NULLS FIRST, index_4 NULLS FIRST, value NULLS FIRST) AS BIGINT) AS row_no
+FROM (SELECT * FROM plan_base UNION ALL SELECT * FROM plan_bad) b"""
 
 # --- reports -------------------------------------------------------------------------------------------
 CTE["lt_named"] = """
@@ -384,77 +419,84 @@ CTE["parts_located"] = """
 SELECT p.*, n.location, n.type FROM parts_enriched p LEFT JOIN lt_named n ON p.storage_type = n.code"""
 
 CTE["plan_pct"] = """
-SELECT variable, index_1 AS category, index_2 AS type, index_3 AS location, value FROM plan_vars
+SELECT plan_id, variable, index_1 AS category, index_2 AS type, index_3 AS location, value FROM plan_vars
 WHERE variable IN ('SKUuniquePct', 'SKUcubicPct', 'ResSKUuniquePct', 'ResSKUcubicPct')"""
+CTE["plan_list"] = "SELECT DISTINCT plan_id FROM plan_vars"
+
+
+def _measure(measure: str) -> tuple[str, str]:
+    if measure == "count":
+        return "CAST(count(DISTINCT material) AS DOUBLE)", "SKUuniquePct"
+    return "COALESCE(sum(sku_cubic_ft), 0.0)", "SKUcubicPct"
 
 
 def _alloc_sql(measure: str) -> str:
-    m = "CAST(count(DISTINCT material) AS DOUBLE)" if measure == "count" else "COALESCE(sum(sku_cubic_ft), 0.0)"
-    var = "SKUuniquePct" if measure == "count" else "SKUcubicPct"
+    m, var = _measure(measure)
     return f"""
-SELECT COALESCE(c.category, r.category) AS category, COALESCE(c.type, r.type) AS type,
-  COALESCE(c.location, r.location) AS location, COALESCE(c.cur, 0.0) AS current_{measure},
+SELECT COALESCE(c.plan_id, r.plan_id) AS plan_id, COALESCE(c.category, r.category) AS category,
+  COALESCE(c.type, r.type) AS type, COALESCE(c.location, r.location) AS location, COALESCE(c.cur, 0.0) AS current_{measure},
   COALESCE(t.tot, 0.0) AS total_{measure}, COALESCE(c.cur / NULLIF(t.tot, 0), 0.0) AS current_pct,
   COALESCE(r.value, 0.0) AS recommended_pct, COALESCE(r.value, 0.0) * COALESCE(t.tot, 0.0) AS recommended_{measure}
-FROM (SELECT category, type, location, {m} AS cur FROM parts_located
-      WHERE type IS NOT NULL AND location IS NOT NULL GROUP BY 1, 2, 3) c
+FROM (SELECT i.plan_id, x.* FROM plan_list i, (
+        SELECT category, type, location, {m} AS cur FROM parts_located
+        WHERE type IS NOT NULL AND location IS NOT NULL GROUP BY 1, 2, 3) x) c
 FULL OUTER JOIN (SELECT * FROM plan_pct WHERE variable = '{var}') r
-  ON c.category = r.category AND c.type = r.type AND c.location = r.location
+  ON c.plan_id = r.plan_id AND c.category = r.category AND c.type = r.type AND c.location = r.location
 LEFT JOIN (SELECT category, {m} AS tot FROM parts_located GROUP BY 1) t ON t.category = COALESCE(c.category, r.category)"""
 
 
 def _reserve_sql(measure: str) -> str:
-    m = "CAST(count(DISTINCT material) AS DOUBLE)" if measure == "count" else "COALESCE(sum(sku_cubic_ft), 0.0)"
-    var = "ResSKUuniquePct" if measure == "count" else "ResSKUcubicPct"
+    m, var = _measure(measure)
     return f"""
-SELECT r.category, r.type, r.location, r.value AS reserve_pct, COALESCE(t.tot, 0.0) AS total_{measure},
+SELECT r.plan_id, r.category, r.type, r.location, r.value AS reserve_pct, COALESCE(t.tot, 0.0) AS total_{measure},
   r.value * COALESCE(t.tot, 0.0) AS reserve_{measure}
-FROM (SELECT * FROM plan_pct WHERE variable = '{var}') r
+FROM (SELECT * FROM plan_pct WHERE variable = 'Res{var}') r
 LEFT JOIN (SELECT category, {m} AS tot FROM parts_located GROUP BY 1) t ON t.category = r.category"""
 
 
+def _forward_reserve_sql(measure: str) -> str:
+    m, var = _measure(measure)
+    return f"""
+SELECT x.plan_id, x.category, x.type, x.location, x.f AS forward_pct, x.r AS reserve_pct,
+  x.f * COALESCE(t.tot, 0.0) AS forward_{measure}, x.r * COALESCE(t.tot, 0.0) AS reserve_{measure}
+FROM (SELECT plan_id, category, type, location, COALESCE(sum(CASE WHEN variable = '{var}' THEN value END), 0.0) AS f,
+        COALESCE(sum(CASE WHEN variable = 'Res{var}' THEN value END), 0.0) AS r
+      FROM plan_pct WHERE variable IN ('{var}', 'Res{var}') GROUP BY 1, 2, 3, 4) x
+LEFT JOIN (SELECT category, {m} AS tot FROM parts_located GROUP BY 1) t ON t.category = x.category"""
+
+
 CTE["report_alloc_counts"] = _alloc_sql("count")
 CTE["report_alloc_cubic"] = _alloc_sql("cubic")
 CTE["report_reserve_counts"] = _reserve_sql("count")
 CTE["report_reserve_cubic"] = _reserve_sql("cubic")
-
-CTE["report_forward_reserve"] = """
-SELECT COALESCE(f.category, r.category) AS category, COALESCE(f.type, r.type) AS type,
-  COALESCE(f.location, r.location) AS location, COALESCE(f.value, 0.0) AS forward_pct, COALESCE(r.value, 0.0) AS reserve_pct
-FROM (SELECT * FROM plan_pct WHERE variable = 'SKUuniquePct') f
-FULL OUTER JOIN (SELECT * FROM plan_pct WHERE variable = 'ResSKUuniquePct') r
-  ON f.category = r.category AND f.type = r.type AND f.location = r.location"""
+CTE["report_forward_reserve"] = _forward_reserve_sql("count")
+CTE["report_forward_reserve_cubic"] = _forward_reserve_sql("cubic")
 
 CTE["report_units_change"] = """
-SELECT r.index_1 AS type, r.index_2 AS location, COALESCE(c.cu, 0.0) AS current_units, r.value AS recommended_units
+SELECT r.plan_id, r.index_1 AS type, r.index_2 AS location, COALESCE(c.cu, 0.0) AS current_units,
+  r.value AS recommended_units
 FROM (SELECT * FROM plan_vars WHERE variable = 'StoreUnits') r
 LEFT JOIN (SELECT type, location, sum(current_units) AS cu FROM lt_named GROUP BY 1, 2) c
   ON c.type = r.index_1 AND c.location = r.index_2"""
 
-CTE["units_cur_pivot"] = """
-SELECT location,
-  COALESCE(sum(CASE WHEN type = 'CABINET' THEN current_units END), 0.0) AS current_cabinet,
-  COALESCE(sum(CASE WHEN type = 'MEZZANINE' THEN current_units END), 0.0) AS current_mezzanine,
-  COALESCE(sum(CASE WHEN type = 'SHELF' THEN current_units END), 0.0) AS current_shelf,
-  COALESCE(sum(CASE WHEN type = 'LIFT' THEN current_units END), 0.0) AS current_lift,
-  COALESCE(sum(CASE WHEN type = 'RACK' THEN current_units END), 0.0) AS current_rack,
-  sum(current_units) AS current_total
+
+def _units_cols(value: str, type_col: str, prefix: str) -> str:
+    return ",\n  ".join(f"COALESCE(sum(CASE WHEN {type_col} = '{t}' THEN {value} END), 0.0) AS {prefix}{t.lower()}"
+                        for t in TYPE_NAMES)
+
+
+CTE["units_cur_pivot"] = f"""
+SELECT location, {_units_cols("current_units", "type", "current_")}, sum(current_units) AS current_total
 FROM lt_named GROUP BY location"""
 
-CTE["units_rec_pivot"] = """
-SELECT index_2 AS location,
-  COALESCE(sum(CASE WHEN index_1 = 'CABINET' THEN value END), 0.0) AS recommended_cabinet,
-  COALESCE(sum(CASE WHEN index_1 = 'MEZZANINE' THEN value END), 0.0) AS recommended_mezzanine,
-  COALESCE(sum(CASE WHEN index_1 = 'SHELF' THEN value END), 0.0) AS recommended_shelf,
-  COALESCE(sum(CASE WHEN index_1 = 'LIFT' THEN value END), 0.0) AS recommended_lift,
-  COALESCE(sum(CASE WHEN index_1 = 'RACK' THEN value END), 0.0) AS recommended_rack,
-  sum(value) AS recommended_total
-FROM plan_vars WHERE variable = 'StoreUnits' GROUP BY index_2"""
+CTE["units_rec_pivot"] = f"""
+SELECT plan_id, index_2 AS location, {_units_cols("value", "index_1", "recommended_")}, sum(value) AS recommended_total
+FROM plan_vars WHERE variable = 'StoreUnits' GROUP BY plan_id, index_2"""
 
 CTE["map_current"] = """
 SELECT c.location, c.category, c.total_ldo, c.material_count, c.total_cubic_ft,
   t.loc_total_materials, t.loc_total_cubic_ft, t.loc_total_ldo,
-  u.current_cabinet, u.current_mezzanine, u.current_shelf, u.current_lift, u.current_rack, u.current_total,
+  u.* EXCLUDE (location),
   l.lat, l.lon, l.travel_time
 FROM (SELECT location, category, COALESCE(sum(line_down_orders), 0.0) AS total_ldo,
         CAST(count(DISTINCT material) AS BIGINT) AS material_count, COALESCE(sum(sku_cubic_ft), 0.0) AS total_cubic_ft
@@ -467,30 +509,33 @@ LEFT JOIN (SELECT location, CAST(sum(material_count) AS BIGINT) AS loc_total_mat
 LEFT JOIN units_cur_pivot u ON u.location = c.location
 LEFT JOIN dim_location l ON l.location = c.location"""
 
+CTE["rec_unique"] = """
+SELECT u.plan_id, u.category, u.location, u.s * t.n AS rec_materials, u.s * f.v AS rec_ldo
+FROM (SELECT plan_id, category, location, sum(value) AS s FROM plan_pct WHERE variable = 'SKUuniquePct' GROUP BY 1, 2, 3) u
+LEFT JOIN (SELECT category, CAST(count(DISTINCT material) AS DOUBLE) AS n FROM parts_located GROUP BY 1) t
+  ON t.category = u.category
+LEFT JOIN (SELECT plan_id, index_1 AS category, arg_min(value, row_no) AS v FROM plan_vars
+           WHERE variable = 'LineDownOrders' AND value IS NOT NULL GROUP BY 1, 2) f
+  ON f.plan_id = u.plan_id AND f.category = u.category"""
+CTE["rec_volume"] = """
+SELECT u.plan_id, u.category, u.location, u.s * t.v AS rec_cubic_ft
+FROM (SELECT plan_id, category, location, sum(value) AS s FROM plan_pct WHERE variable = 'SKUcubicPct' GROUP BY 1, 2, 3) u
+LEFT JOIN (SELECT category, COALESCE(sum(sku_cubic_ft), 0.0) AS v FROM parts_located GROUP BY 1) t ON t.category = u.category"""
 CTE["map_recommended"] = """
-SELECT o.location, o.category, o.rec_cubic_ft, o.rec_materials, o.rec_ldo,
-  t.loc_rec_materials, t.loc_rec_cubic_ft, t.loc_rec_ldo, l.lat, l.lon, l.travel_time
-FROM (SELECT v.location, v.category, v.cubic_pct * tt.cat_cubic_ft AS rec_cubic_ft,
-        COALESCE(u.unique_pct, 0.0) * tt.cat_materials AS rec_materials, COALESCE(u.unique_pct, 0.0) * tt.cat_ldo AS rec_ldo
-      FROM (SELECT category, location, sum(value) AS cubic_pct FROM plan_pct WHERE variable = 'SKUcubicPct' GROUP BY 1, 2) v
-      LEFT JOIN (SELECT category, location, sum(value) AS unique_pct FROM plan_pct WHERE variable = 'SKUuniquePct'
-                 GROUP BY 1, 2) u ON u.category = v.category AND u.location = v.location
-      LEFT JOIN (SELECT category, COALESCE(sum(line_down_orders), 0.0) AS cat_ldo,
-                   CAST(count(DISTINCT material) AS DOUBLE) AS cat_materials, COALESCE(sum(sku_cubic_ft), 0.0) AS cat_cubic_ft
-                 FROM parts_located GROUP BY 1) tt ON tt.category = v.category) o
-LEFT JOIN (SELECT location, sum(rec_materials) AS loc_rec_materials, sum(rec_cubic_ft) AS loc_rec_cubic_ft,
-             sum(rec_ldo) AS loc_rec_ldo FROM (
-             SELECT v.location, v.cubic_pct * tt.cat_cubic_ft AS rec_cubic_ft,
-               COALESCE(u.unique_pct, 0.0) * tt.cat_materials AS rec_materials, COALESCE(u.unique_pct, 0.0) * tt.cat_ldo AS rec_ldo
-             FROM (SELECT category, location, sum(value) AS cubic_pct FROM plan_pct WHERE variable = 'SKUcubicPct' GROUP BY 1, 2) v
-             LEFT JOIN (SELECT category, location, sum(value) AS unique_pct FROM plan_pct WHERE variable = 'SKUuniquePct'
-                        GROUP BY 1, 2) u ON u.category = v.category AND u.location = v.location
-             LEFT JOIN (SELECT category, COALESCE(sum(line_down_orders), 0.0) AS cat_ldo,
-                          CAST(count(DISTINCT material) AS DOUBLE) AS cat_materials,
-                          COALESCE(sum(sku_cubic_ft), 0.0) AS cat_cubic_ft
-                        FROM parts_located GROUP BY 1) tt ON tt.category = v.category) q GROUP BY location) t
-  ON t.location = o.location
-LEFT JOIN dim_location l ON l.location = o.location"""
+SELECT v.plan_id, v.location, v.category, v.rec_cubic_ft, u.rec_materials, u.rec_ldo,
+  t.loc_rec_materials, c.loc_rec_cubic_ft, t.loc_rec_ldo, p.* EXCLUDE (plan_id, location), l.lat, l.lon, l.travel_time
+FROM rec_volume v
+LEFT JOIN rec_unique u ON u.plan_id = v.plan_id AND u.category = v.category AND u.location = v.location
+LEFT JOIN (SELECT plan_id, location, sum(rec_materials) AS loc_rec_materials, sum(rec_ldo) AS loc_rec_ldo
+           FROM rec_unique GROUP BY 1, 2) t ON t.plan_id = v.plan_id AND t.location = v.location
+LEFT JOIN (SELECT plan_id, location, sum(rec_cubic_ft) AS loc_rec_cubic_ft FROM rec_volume GROUP BY 1, 2) c
+  ON t.plan_id = c.plan_id AND t.location = c.location
+LEFT JOIN units_rec_pivot p ON p.plan_id = v.plan_id AND p.location = v.location
+LEFT JOIN dim_location l ON l.location = v.location"""
+CTE["map_totals_rec"] = """
+SELECT plan_id, location, lat, lon, sum(rec_materials) AS materials, sum(rec_cubic_ft) AS cubic_ft, sum(rec_ldo) AS ldo,
+  max(recommended_total) AS units, max(travel_time) AS travel_time
+FROM map_recommended WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY plan_id, location, lat, lon"""
 
 CTE["map_totals"] = """
 SELECT location, lat, lon, CAST(sum(material_count) AS BIGINT) AS materials, sum(total_cubic_ft) AS cubic_ft,
@@ -544,22 +589,29 @@ FROM fwd_points GROUP BY category, tech"""
 CTE["res_wide"] = CTE["fwd_wide"].replace("fwd_points", "res_points")
 
 
+CTE["every_cat"] = "SELECT i.plan_id, c.category FROM plan_list i, category_summary c"
+CTE["every_cat_tech"] = "SELECT e.plan_id, e.category, t.tech_name AS tech FROM every_cat e, dim_tech t"
+
+
 def _interp(at: str, wide: str, cols: str) -> str:
     return f"""
-SELECT {cols}, x_eval, CASE WHEN x <= x1 THEN CASE WHEN x1 > 0 THEN y1 * x / x1 ELSE y1 END
-       ELSE CASE WHEN x2 > x1 THEN y1 + (y2 - y1) * (x - x1) / (x2 - x1) ELSE y2 END END AS y_eval
+SELECT {cols}, x_eval, COALESCE(CASE WHEN x <= x1 THEN CASE WHEN x1 > 0 THEN y1 * x / x1 ELSE y1 END
+       ELSE CASE WHEN x2 > x1 THEN y1 + (y2 - y1) * (x - x1) / (x2 - x1) ELSE y2 END END, 0.0) AS y_eval
 FROM (SELECT a.*, w.x1, w.y1, w.x2, w.y2, greatest(0.0, least(a.x_eval, w.x2)) AS x
-      FROM ({at}) a JOIN {wide} w ON w.category = a.category AND w.tech = a.tech) z"""
+      FROM ({at}) a LEFT JOIN {wide} w ON w.category = a.category AND w.tech = a.tech) z"""
 
 
 CTE["ld_cum"] = _interp("""
-SELECT a.plan_id, a.category, a.tech, p.location_priority AS p, sum(a.alloc_sku) AS x_eval
-FROM (SELECT s.*, l.location_priority FROM alloc_sku s JOIN dim_location l ON l.location = s.location) a
-JOIN dim_priority p ON a.location_priority <= p.location_priority
-GROUP BY a.plan_id, a.category, a.tech, p.location_priority""", "fwd_wide", "plan_id, category, tech, p")
+SELECT e.plan_id, e.category, e.tech, p.location_priority AS p,
+  COALESCE((SELECT sum(s.alloc_sku) FROM alloc_sku s JOIN dim_location l ON l.location = s.location
+            WHERE s.plan_id = e.plan_id AND s.category = e.category AND s.tech = e.tech
+              AND l.location_priority <= p.location_priority), 0.0) AS x_eval
+FROM every_cat_tech e, dim_priority p""", "fwd_wide", "plan_id, category, tech, p")
 CTE["ld_inc"] = """
 SELECT *, y_eval - COALESCE(lag(y_eval) OVER (PARTITION BY plan_id, category, tech ORDER BY p), 0.0) AS inc FROM ld_cum"""
 CTE["res_orders"] = _interp("""
-SELECT r.plan_id, r.category, r.location, sum(r.value * c.num_sku) AS x_eval, '' AS tech
-FROM (SELECT * FROM pv3 WHERE variable = 'ResSKUuniquePct') r JOIN category_summary c ON c.category = r.category
-GROUP BY r.plan_id, r.category, r.location""", "res_wide", "plan_id, category, location, tech")
+SELECT e.plan_id, e.category, l.location, '' AS tech,
+  COALESCE((SELECT sum(r.value * c.num_sku) FROM pv3 r JOIN category_summary c ON c.category = r.category
+            WHERE r.variable = 'ResSKUuniquePct' AND r.plan_id = e.plan_id AND r.category = e.category
+              AND r.location = l.location), 0.0) AS x_eval
+FROM every_cat e, dim_location l""", "res_wide", "plan_id, category, location, tech")

@@ -18,6 +18,7 @@ from stowage.operators import categories as cat
 from stowage.operators import curves as cur
 from stowage.operators import consumption as con
 from stowage.operators import cost_center as cc
+from stowage.operators import dims as dm
 from stowage.operators import master as mst
 from stowage.operators import parts as prt
 from stowage.operators import stock as stk
@@ -26,6 +27,7 @@ from stowage.plans import plan_vars as pv
 from stowage.plans import reports as rep
 from stowage.session import materialize
 from stowage.sources import fixtures as fx
+from stowage.sources import plan_fixture as pf
 
 
 @dataclass
@@ -50,12 +52,15 @@ class Stages:
                 f.result()
 
     def dim(self, name: str) -> DataFrame:
-        return self._get(("dim", name), lambda: fx.dim(self.spark, name))
+        """A dimension table, derived from the given tables and written once per build."""
+        return self._get(("dim", name), lambda: materialize(fx.dim(self.spark, self.sf_dir, name), name, True))
 
     def parallel(self, *steps: str) -> "Stages":
         """Build the shared category inputs, then the given independent stage tables concurrently."""
-        self.parts(), self.enriched(), self.category_summary(), self.grid()
-        self.prefetch(*steps)
+        self.parts(), self.enriched(), self.category_summary(), self.grid(), self.category_tech()
+        for d in fx.DIM_SQL:
+            self.dim(d)
+        self.prefetch(*[st for st in steps if st != "category_tech"])
         return self
 
     # raw exports -----------------------------------------------------------
@@ -77,7 +82,10 @@ class Stages:
                                                           self.dim("dim_size")))
 
     def master(self):
-        return self._get("master", lambda: mst.master_flags(self.raw_master(), self.dim("dim_token_map")))
+        return self._get("master", lambda: mst.master_flags(self.raw_master(), self.token_map()))
+
+    def token_map(self):
+        return self._get("token_map", lambda: dm.token_map_or_default(self.dim("dim_token_map")))
 
     def cc_tech(self):
         return self._get("cc_tech", lambda: cc.cost_center_tech(self.raw_cost_center()))
@@ -85,8 +93,13 @@ class Stages:
     def cc_loaded(self):
         return self._get("cc_loaded", lambda: materialize(cc.cost_center_loaded(self.cc_tech()), "cost_center"))
 
+    def cons_lines(self):
+        """The order lines, reduced to one row per (material, order, center): the one read of the fact."""
+        return self._get("cons_lines", lambda: materialize(con.consumption_lines(self.raw_consumption()),
+                                                           "consumption_lines"))
+
     def cons_stats(self):
-        return self._get("cons_stats", lambda: materialize(con.consumption_stats(self.raw_consumption()), "consumption_stats"))
+        return self._get("cons_stats", lambda: materialize(con.consumption_stats(self.cons_lines()), "consumption_stats"))
 
     def cons_priority(self):
         return self._get("cons_prio", lambda: con.consumption_priority(self.cons_stats()))
@@ -100,7 +113,7 @@ class Stages:
 
     def cons_tech(self):
         return self._get("cons_tech", lambda: materialize(
-            con.consumption_tech(self.raw_consumption(), self.cc_loaded()), "consumption_tech"))
+            con.consumption_tech(self.cons_lines(), self.cc_loaded()), "consumption_tech"))
 
     # parts chain -----------------------------------------------------------
     def parts_from_stock(self):
@@ -122,7 +135,7 @@ class Stages:
     def parts(self):
         """M8-normalized parts: the table every category build reads."""
         def build():
-            self.raw_consumption()                               # shared lazy input, created once
+            self.cons_lines(), self.dim("dim_location_type"), self.dim("dim_size")  # shared inputs, built once
             # independent stage tables: stock+master merge, Pareto movement, consumption tech
             self.prefetch("parts_with_master", "cons_movement", "cons_tech")
             return materialize(prt.parts_normalized(self.parts_full()), "parts")
@@ -146,7 +159,8 @@ class Stages:
 
     # curves ------------------------------------------------------------------
     def grid(self):
-        return self._get("grid", lambda: cat.category_grid(self.parts(), self.dim("dim_size")))
+        return self._get("grid", lambda: materialize(cat.category_grid(
+            materialize(cat.category_letters(self.parts()), "letters", True), self.dim("dim_size")), "grid", True))
 
     def fwd_fit(self):
         return self._get("fwd_fit", lambda: cur.curve_fit(cur.forward_demand(self.enriched())))
@@ -172,10 +186,10 @@ class Stages:
             self.dim("dim_location_type"), self.dim("dim_location"), self.dim("dim_type")))
 
     def plan(self):
-        return self._get("plan", lambda: materialize(pv.fixture_plan(
-            self.category_summary(), self.dim("dim_location_type"), self.dim("dim_location"), self.dim("dim_type"),
-            self.dim("dim_type_size"), self.dim("dim_priority"), self.dim("dim_tech_location"),
-            self.dim("dim_tech")), "plan_vars", True))
+        return self._get("plan", lambda: materialize(pf.fixture_plans(
+            self.category_summary(), self.category_tech(), self.dim("dim_location_type"), self.dim("dim_location"),
+            self.dim("dim_type"), self.dim("dim_type_size"), self.dim("dim_priority"), self.dim("dim_tech_location"),
+            self.dim("dim_tech")), "plan_vars"))
 
     def located(self):
         return self._get("located", lambda: rep.parts_located(self.enriched(), self.lt_named()))
@@ -186,7 +200,7 @@ class Stages:
 
     def map_recommended(self):
         return self._get("map_rec", lambda: rep.map_recommended(self.located(), self.plan(),
-                                                                self.dim("dim_location")))
+                                                                self.dim("dim_location"), fx.TYPE_NAMES))
 
 
     def tech_loc_named(self):
@@ -203,11 +217,12 @@ class Stages:
 
     def ld_cum(self):
         return self._get("ld_cum", lambda: au.ld_cumulative(
-            self.plan(), self.category_tech(), self.dim("dim_location"), self.dim("dim_priority"), self.fwd_points()))
+            self.plan(), self.category_summary(), self.dim("dim_tech"), self.category_tech(), self.dim("dim_location"),
+            self.dim("dim_priority"), self.fwd_points()))
 
     def res_orders(self):
-        return self._get("res_orders", lambda: au.reserve_orders(self.plan(), self.category_summary(),
-                                                                 self.res_points()))
+        return self._get("res_orders", lambda: au.reserve_orders(
+            self.plan(), self.category_summary(), self.dim("dim_location"), self.res_points()))
 
 
 def stages(spark: SparkSession, sf_dir: str) -> Stages:

@@ -3,8 +3,9 @@
 Every rule returns rows of one shape:
 ``plan_id, rule, key_1..key_4, lhs, rhs, violated`` (violated = 0/1), so many
 plans and all rules can be scored in one job.  Inputs are the plan table plus
-the category tables (aggregates of the parts table) and dimensions: all small,
-bounded by categories x types x locations x technologies.
+the category tables (aggregates of the parts table) and dimensions.  Rules that the
+planning model states for every index are evaluated over the full index sets, so
+what a plan leaves out shows as 0.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from stowage.operators.curves import interpolate
 from stowage.operators.joins import small
-from stowage.plans.plan_vars import PLAN_BOUND, family
+from stowage.operators.categories import CATEGORY_BOUND
+from stowage.plans.plan_vars import family, plan_ids
 from stowage.sources.fixtures import DIM_MAX_ROWS
 
 # Tolerance for equality/inequality checks, cap on units per compatible
@@ -74,10 +76,10 @@ def budget(plan: DataFrame, types: DataFrame, system: DataFrame) -> DataFrame:
     t = small(types.select("type", "buy_cost", "reloc_cost"), DIM_MAX_ROWS)
     buy = family(plan, "BuyUnits").join(t, F.col("index_1") == t.type).groupBy("plan_id") \
         .agg(F.sum(F.col("value") * F.col("buy_cost")).alias("c"))
-    rel = family(plan, "RelocUnits").join(t, F.col("index_1") == t.type).groupBy("plan_id") \
+    rel = family(plan, "RelocUnits").filter(F.col("index_2") != F.col("index_3")) \
+        .join(t, F.col("index_1") == t.type).groupBy("plan_id") \
         .agg(F.sum(F.col("value") * F.col("reloc_cost") / 2).alias("c"))
-    ids = plan.select("plan_id").distinct()
-    cost = ids.join(buy, "plan_id", "left").join(rel.withColumnRenamed("c", "r"), "plan_id", "left")
+    cost = plan_ids(plan).join(buy, "plan_id", "left").join(rel.withColumnRenamed("c", "r"), "plan_id", "left")
     sysv = small(system.agg(F.max("plan_budget").alias("budget")), 1)
     j = cost.join(sysv, F.lit(True))
     return _out(j, "budget", [], F.coalesce("c", F.lit(0.0)) + F.coalesce("r", F.lit(0.0)), F.col("budget"), "le")
@@ -89,8 +91,8 @@ def space(plan: DataFrame, types: DataFrame, locations: DataFrame, system: DataF
     used = s.groupBy("plan_id", "location").agg(F.sum(F.col("units") * F.col("sqft_req")).alias("used"))
     cap = locations.select("location", "floor_space").join(
         small(system.agg(F.max("space_factor").alias("sf")), 1), F.lit(True))
-    j = used.join(small(cap, DIM_MAX_ROWS), "location")
-    return _out(j, "space", ["location"], F.col("used"), F.col("floor_space") * F.col("sf"), "le")
+    j = plan_ids(plan).crossJoin(small(cap, DIM_MAX_ROWS)).join(used, ["plan_id", "location"], "left")
+    return _out(j, "space", ["location"], F.coalesce("used", F.lit(0.0)), F.col("floor_space") * F.col("sf"), "le")
 
 
 def units_split(plan: DataFrame) -> DataFrame:
@@ -103,7 +105,7 @@ def units_split(plan: DataFrame) -> DataFrame:
 
 
 def flow(plan: DataFrame, lt_named: DataFrame) -> DataFrame:
-    """store = current + buys + inbound - outbound, per (type, location)."""
+    """store = current + buys + inbound - outbound, for every (type, location) that any of them names."""
     st = _v2(plan, "StoreUnits", "units")
     buy = _v2(plan, "BuyUnits", "buy")
     rel = family(plan, "RelocUnits").filter(F.col("index_2") != F.col("index_3"))
@@ -113,25 +115,33 @@ def flow(plan: DataFrame, lt_named: DataFrame) -> DataFrame:
         .agg(F.sum("value").alias("outb"))
     cur = lt_named.groupBy("type", "location").agg(F.sum("current_units").alias("cur"))
     k = ["plan_id", "type", "location"]
-    j = st.join(buy, k, "left").join(inb, k, "left").join(outb, k, "left").join(small(cur, DIM_MAX_ROWS),
-                                                                                 ["type", "location"], "left")
+    keys = reduce(lambda a, b: a.unionByName(b), [x.select(*k) for x in (
+        st, buy, inb, outb, plan_ids(plan).crossJoin(small(cur.select("type", "location"), DIM_MAX_ROWS)))]).distinct()
+    j = keys.join(st, k, "left").join(buy, k, "left").join(inb, k, "left").join(outb, k, "left") \
+        .join(small(cur, DIM_MAX_ROWS), ["type", "location"], "left")
     rhs = (F.coalesce("cur", F.lit(0.0)) + F.coalesce("buy", F.lit(0.0)) + F.coalesce("inb", F.lit(0.0))
            - F.coalesce("outb", F.lit(0.0)))
-    return _out(j, "flow", ["type", "location"], F.col("units"), rhs, "eq")
+    return _out(j, "flow", ["type", "location"], F.coalesce("units", F.lit(0.0)), rhs, "eq")
 
 
-def cover_volume(plan: DataFrame) -> DataFrame:
+def _per_category(plan: DataFrame, cats: DataFrame, sums: DataFrame) -> DataFrame:
+    """Every category for every plan with its sum, 0 where the plan has no share of it."""
+    every = plan_ids(plan).crossJoin(small(cats.select("category"), CATEGORY_BOUND))
+    return every.join(sums, ["plan_id", "category"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+
+
+def cover_volume(plan: DataFrame, cats: DataFrame) -> DataFrame:
     """C17: forward plus reserve volume shares sum to 1 per category."""
     v = family(plan, "SKUcubicPct").unionByName(family(plan, "ResSKUcubicPct"))
     g = v.groupBy("plan_id", F.col("index_1").alias("category")).agg(F.sum("value").alias("s"))
-    return _out(g, "cover_volume", ["category"], F.col("s"), F.lit(1.0), "eq")
+    return _out(_per_category(plan, cats, g), "cover_volume", ["category"], F.col("s"), F.lit(1.0), "eq")
 
 
-def cover_unique(plan: DataFrame) -> DataFrame:
+def cover_unique(plan: DataFrame, cats: DataFrame) -> DataFrame:
     """Forward unique shares cover the category."""
     g = family(plan, "SKUuniquePct").groupBy("plan_id", F.col("index_1").alias("category")) \
         .agg(F.sum("value").alias("s"))
-    return _out(g, "cover_unique", ["category"], F.col("s"), F.lit(1.0), "ge")
+    return _out(_per_category(plan, cats, g), "cover_unique", ["category"], F.col("s"), F.lit(1.0), "ge")
 
 
 def _shares(plan: DataFrame) -> DataFrame:
@@ -154,7 +164,7 @@ def share_ratio(plan: DataFrame) -> DataFrame:
 
 def min_volume(plan: DataFrame, cats: DataFrame) -> DataFrame:
     """C14: volume placed covers the minimum volume of the SKUs placed."""
-    s = _shares(plan).join(small(cats.select("category", "num_sku", "sku_cubic_ft", "min_vol"), PLAN_BOUND),
+    s = _shares(plan).join(small(cats.select("category", "num_sku", "sku_cubic_ft", "min_vol"), CATEGORY_BOUND),
                            "category")
     return _out(s, "min_volume", ["category", "type", "location", "kind"],
                 F.col("sku_cubic_ft") * F.col("cubic"), F.col("uniq") * F.col("num_sku") * F.col("min_vol"), "ge")
@@ -164,8 +174,8 @@ def sku_capacity(plan: DataFrame, cats: DataFrame, cat_type: DataFrame) -> DataF
     """Units x SKUs-per-unit hold the SKUs placed (forward and reserve)."""
     k = ["plan_id", "category", "type", "location"]
     s = _shares(plan).join(_v3(plan, "SKUStoreUnits", "units"), k, "left")
-    s = s.join(small(cats.select("category", "num_sku"), PLAN_BOUND), "category") \
-        .join(small(cat_type.select("category", "type", "max_sku_per_unit"), PLAN_BOUND), ["category", "type"], "left")
+    s = s.join(small(cats.select("category", "num_sku"), CATEGORY_BOUND), "category") \
+        .join(cat_type.select("category", "type", "max_sku_per_unit"), ["category", "type"], "left")
     return _out(s, "sku_capacity", ["category", "type", "location", "kind"],
                 F.coalesce("units", F.lit(0.0)) * F.coalesce("max_sku_per_unit", F.lit(0.0)),
                 F.col("num_sku") * F.col("uniq"), "ge")
@@ -176,7 +186,7 @@ def volume(plan: DataFrame, cats: DataFrame, types: DataFrame) -> DataFrame:
     k = ["plan_id", "category", "type", "location"]
     sh = _shares(plan).groupBy(*k).agg(F.sum("cubic").alias("cubic"))
     j = _v3(plan, "SKUStoreUnits", "units").join(sh, k, "full_outer") \
-        .join(small(cats.select("category", "sku_cubic_ft"), PLAN_BOUND), "category", "left") \
+        .join(small(cats.select("category", "sku_cubic_ft"), CATEGORY_BOUND), "category", "left") \
         .join(small(types.select("type", "cubic_capacity"), DIM_MAX_ROWS), "type", "left")
     return _out(j, "volume", ["category", "type", "location"],
                 F.coalesce("units", F.lit(0.0)) * F.coalesce("cubic_capacity", F.lit(0.0)),
@@ -184,12 +194,12 @@ def volume(plan: DataFrame, cats: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def type_category(plan: DataFrame, cat_type: DataFrame) -> DataFrame:
-    """Shares and units only on storage types compatible with the category (strict flag)."""
-    ct = small(cat_type.select("category", "type", "compatible_strict"), PLAN_BOUND)
-    u = _v3(plan, "SKUuniquePct", "v").join(ct, ["category", "type"], "left")
+    """Allocations (per technology) and units only on storage types compatible with the category (strict flag)."""
+    ct = cat_type.select("category", "type", "compatible_strict")
+    u = _alloc(plan).join(ct, ["category", "type"], "left")
     n = _v3(plan, "SKUStoreUnits", "v").join(ct, ["category", "type"], "left")
     comp = F.coalesce("compatible_strict", F.lit(0)).cast("double")
-    a = _out(u, "type_category_share", ["category", "type", "location"], F.col("v"), comp, "le")
+    a = _out(u, "type_category_alloc", ["category", "type", "location", "tech"], F.col("alloc"), comp, "le")
     b = _out(n, "type_category_units", ["category", "type", "location"], F.col("v"),
              F.lit(UNITS_PER_COMPATIBLE) * comp, "le")
     return a.unionByName(b)
@@ -203,15 +213,20 @@ def tech_location(plan: DataFrame, tech_loc_named: DataFrame) -> DataFrame:
                 F.coalesce("ok", F.lit(0.0)), "le")
 
 
-def alloc_total(plan: DataFrame) -> DataFrame:
-    """Each (category, tech) allocation sums to 1."""
+def _per_category_tech(plan: DataFrame, cats: DataFrame, techs: DataFrame) -> DataFrame:
+    return (plan_ids(plan).crossJoin(small(cats.select("category"), CATEGORY_BOUND))
+            .crossJoin(small(techs.select(F.col("tech_name").alias("tech")), DIM_MAX_ROWS)))
+
+
+def alloc_total(plan: DataFrame, cats: DataFrame, techs: DataFrame) -> DataFrame:
+    """The allocation of every (category, tech) sums to 1; none counts as 0."""
     g = _alloc(plan).groupBy("plan_id", "category", "tech").agg(F.sum("alloc").alias("s"))
-    return _out(g, "alloc_total", ["category", "tech"], F.col("s"), F.lit(1.0), "eq")
+    g = _per_category_tech(plan, cats, techs).join(g, ["plan_id", "category", "tech"], "left")
+    return _out(g, "alloc_total", ["category", "tech"], F.coalesce("s", F.lit(0.0)), F.lit(1.0), "eq")
 
 
 def _alloc_skus(plan: DataFrame, cat_tech: DataFrame) -> DataFrame:
-    ctn = small(cat_tech.select("category", F.col("tech_name").alias("tech"), F.col("num_sku").alias("tech_sku")),
-                PLAN_BOUND)
+    ctn = cat_tech.select("category", F.col("tech_name").alias("tech"), F.col("num_sku").alias("tech_sku"))
     return _alloc(plan).join(ctn, ["category", "tech"], "left") \
         .withColumn("alloc_sku", F.col("alloc") * F.coalesce("tech_sku", F.lit(0.0)))
 
@@ -220,7 +235,7 @@ def alloc_rules(plan: DataFrame, cats: DataFrame, cat_tech: DataFrame, n_tech: i
     """C19 (cover), C20 (per-tech limit), C22 (aggregate limit)."""
     k = ["plan_id", "category", "type", "location"]
     a = _alloc_skus(plan, cat_tech)
-    need = _v3(plan, "SKUuniquePct", "uniq").join(small(cats.select("category", "num_sku"), PLAN_BOUND), "category")
+    need = _v3(plan, "SKUuniquePct", "uniq").join(small(cats.select("category", "num_sku"), CATEGORY_BOUND), "category")
     need = need.withColumn("need", F.col("uniq") * F.col("num_sku"))
     per = a.join(need.select(*k, "need"), k, "left")
     limit = _out(per, "alloc_limit", ["category", "type", "location", "tech"], F.col("alloc_sku"),
@@ -246,14 +261,18 @@ def reserve_location(plan: DataFrame, loc_reserve: DataFrame) -> DataFrame:
                 F.coalesce("ra", F.lit(0.0)), "le")
 
 
-def ld_cumulative(plan: DataFrame, cat_tech: DataFrame, loc_prio: DataFrame, priorities: DataFrame,
-                  fwd_points: DataFrame) -> DataFrame:
-    """C24 + D14: SKUs within reach up to each priority (J19 range join) and the curve value there."""
+def ld_cumulative(plan: DataFrame, cats: DataFrame, techs: DataFrame, cat_tech: DataFrame, loc_prio: DataFrame,
+                  priorities: DataFrame, fwd_points: DataFrame) -> DataFrame:
+    """C24 + D14: SKUs within reach up to each priority (J19 range join; none counts as 0) and the curve value there,
+    for every category, technology and priority."""
     a = _alloc_skus(plan, cat_tech).join(small(loc_prio.select("location", "location_priority"), DIM_MAX_ROWS),
                                          "location")
     pr = small(priorities.select(F.col("location_priority").alias("p")), DIM_MAX_ROWS)
     reach = a.join(pr, a.location_priority <= pr.p, "inner").groupBy("plan_id", "category", "tech", "p") \
         .agg(F.sum("alloc_sku").alias("x_eval"))
+    every = _per_category_tech(plan, cats, techs).crossJoin(pr)
+    reach = every.join(reach, ["plan_id", "category", "tech", "p"], "left") \
+        .withColumn("x_eval", F.coalesce("x_eval", F.lit(0.0)))
     return interpolate(fwd_points, reach, "x_eval")
 
 
@@ -263,11 +282,14 @@ def ld_increment(cum: DataFrame) -> DataFrame:
     return cum.withColumn("inc", F.col("y_eval") - F.coalesce(F.lag("y_eval").over(w), F.lit(0.0)))
 
 
-def reserve_orders(plan: DataFrame, cats: DataFrame, res_points: DataFrame) -> DataFrame:
-    """C25 + D14: reserve SKUs per (category, location) and the reserve curve value there."""
-    r = _v3(plan, "ResSKUuniquePct", "v").join(small(cats.select("category", "num_sku"), PLAN_BOUND), "category")
-    z = r.groupBy("plan_id", "category", "location").agg(F.sum(F.col("v") * F.col("num_sku")).alias("x_eval")) \
-        .withColumn("tech", F.lit(""))
+def reserve_orders(plan: DataFrame, cats: DataFrame, locations: DataFrame, res_points: DataFrame) -> DataFrame:
+    """C25 + D14: reserve SKUs of every (category, location) and the reserve curve value there."""
+    r = _v3(plan, "ResSKUuniquePct", "v").join(small(cats.select("category", "num_sku"), CATEGORY_BOUND), "category")
+    z = r.groupBy("plan_id", "category", "location").agg(F.sum(F.col("v") * F.col("num_sku")).alias("x_eval"))
+    every = (plan_ids(plan).crossJoin(small(cats.select("category"), CATEGORY_BOUND))
+             .crossJoin(small(locations.select("location"), DIM_MAX_ROWS)))
+    z = every.join(z, ["plan_id", "category", "location"], "left") \
+        .withColumn("x_eval", F.coalesce("x_eval", F.lit(0.0))).withColumn("tech", F.lit(""))
     return interpolate(res_points, z, "x_eval")
 
 
@@ -284,12 +306,12 @@ def cost(plan: DataFrame, types: DataFrame, system: DataFrame, priorities: DataF
     tt = small(priorities.select(F.col("location_priority").alias("p"), "travel_time"), DIM_MAX_ROWS)
     ld = inc.join(tt, "p").join(sysv, F.lit(True)).groupBy("plan_id") \
         .agg(F.sum(F.col("ldc") * F.col("travel_time") * F.col("inc")).alias("v")).withColumn("term", F.lit("line_down"))
-    rs = res_orders.join(small(cats.select("category", "line_down_orders"), PLAN_BOUND), "category") \
+    rs = res_orders.join(small(cats.select("category", "line_down_orders"), CATEGORY_BOUND), "category") \
         .join(sysv, F.lit(True)).groupBy("plan_id") \
         .agg(F.sum(F.col("rc") / (F.col("line_down_orders") + 1) * F.col("y_eval")).alias("v")) \
         .withColumn("term", F.lit("reserve"))
     pen = _v3(plan, "SKUStoreUnits", "u").join(
-        small(cat_type.select("category", "type", "penalty"), PLAN_BOUND), ["category", "type"]) \
+        cat_type.select("category", "type", "penalty"), ["category", "type"]) \
         .groupBy("plan_id").agg(F.sum(F.col("penalty") * F.col("u")).alias("v")).withColumn("term", F.lit("penalty"))
     terms = reduce(lambda a, b: a.unionByName(b), [buy, rel, ld, rs, pen])
     total = terms.groupBy("plan_id").agg(F.sum("v").alias("v")).withColumn("term", F.lit("total"))

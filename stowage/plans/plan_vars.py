@@ -1,29 +1,22 @@
 """Decision-variable table of a storage plan, and its reading helpers.
 
 A plan is the sparse table ``plan_vars(plan_id, variable, index_1..index_4,
-value, row_no)``.  Any external planner can write one; ``fixture_plan`` derives a
-deterministic plan from the category tables (no solver) so every report and
-audit has input that grows with the data.  All plan tables are bounded by the
-dimension product categories x types x locations x technologies.
+value, row_no)``, of any number of plans.  Any external planner can write one.  A
+plan is bounded by the dimension product categories x types x locations x
+technologies; their number is not, so plan tables are never broadcast by hint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions.cleaning import parse_variable
-from stowage.operators.categories import CATEGORY_BOUND
 from stowage.operators.joins import small
 from stowage.sources.fixtures import DIM_MAX_ROWS
 
-# The fixture plan's purchase, relocation and reserve share.
-FIXTURE_BUY = ("RACK", "EAST", 3.0)
-FIXTURE_RELOC = ("CABINET", "SOUTH", "NORTH", 10.0)
-FIXTURE_RESERVE_SHARE = 0.005
 # Values at or below this magnitude are solver noise and dropped.
 NONZERO_EPS = 1e-6
-PLAN_BOUND = CATEGORY_BOUND * DIM_MAX_ROWS * DIM_MAX_ROWS
 
 PLAN_COLS = ["plan_id", "variable", "index_1", "index_2", "index_3", "index_4", "value"]
 
@@ -44,53 +37,8 @@ def category_pairs(summary: DataFrame, lt: DataFrame, type_size: DataFrame) -> D
     return p.join(small(lt, DIM_MAX_ROWS), "type_id", "inner")
 
 
-def _rows(df: DataFrame, variable: str, i1, i2, i3, i4, value) -> DataFrame:
-    null = F.lit(None).cast("string")
-    return df.select(F.lit("base").alias("plan_id"), F.lit(variable).alias("variable"),
-                     *[(F.col(c) if isinstance(c, str) else (null if c is None else c)).cast("string").alias(f"index_{n}")
-                       for n, c in enumerate((i1, i2, i3, i4), 1)],
-                     value.cast("double").alias("value"))
-
-
-def fixture_plan(summary: DataFrame, loc_types: DataFrame, locations: DataFrame, types: DataFrame,
-                 type_size: DataFrame, priorities: DataFrame, tech_loc: DataFrame, techs: DataFrame) -> DataFrame:
-    """Deterministic plan (see FIXTURES.md section 4)."""
-    lt = location_types(loc_types, locations, types)
-    p = category_pairs(summary, lt, type_size)
-    n_pairs = p.groupBy("category").agg(F.count(F.lit(1)).alias("np"))
-    pc = p.join(n_pairs, "category")
-    share = F.lit(1.0) / F.col("np")
-    out = [_rows(pc, "SKUuniquePct", "category", "type", "location", None, share),
-           _rows(pc, "SKUcubicPct", "category", "type", "location", None, share)]
-    res = pc.join(small(priorities.filter(F.col("reserve_allowed") == 1).select("location_priority"), DIM_MAX_ROWS),
-                  "location_priority", "left_semi")
-    out += [_rows(res, "ResSKUuniquePct", "category", "type", "location", None, F.lit(FIXTURE_RESERVE_SHARE)),
-            _rows(res, "ResSKUcubicPct", "category", "type", "location", None, F.lit(FIXTURE_RESERVE_SHARE))]
-    users = p.groupBy("type_id", "location_id").agg(F.count(F.lit(1)).alias("nu"))
-    pu = p.join(users, ["type_id", "location_id"])
-    out.append(_rows(pu, "SKUStoreUnits", "category", "type", "location", None,
-                     F.col("current_units") / F.col("nu")))
-    bt, bl, bv = FIXTURE_BUY
-    rt, rf, rto, rv = FIXTURE_RELOC
-    buy = lt.filter((F.col("type") == bt) & (F.col("location") == bl))
-    out.append(_rows(buy, "BuyUnits", "type", "location", None, None, F.lit(bv)))
-    reloc = lt.filter((F.col("type") == rt) & (F.col("location") == rf))
-    out.append(_rows(reloc, "RelocUnits", "type", "location", F.lit(rto), None, F.lit(rv)))
-    delta = (F.when((F.col("type") == bt) & (F.col("location") == bl), F.lit(bv)).otherwise(F.lit(0.0))
-             + F.when((F.col("type") == rt) & (F.col("location") == rto), F.lit(rv)).otherwise(F.lit(0.0))
-             - F.when((F.col("type") == rt) & (F.col("location") == rf), F.lit(rv)).otherwise(F.lit(0.0)))
-    out.append(_rows(lt, "StoreUnits", "type", "location", None, None, F.col("current_units") + delta))
-    tl = tech_loc.join(small(techs.select("tech_id", "tech_name"), DIM_MAX_ROWS), "tech_id")
-    pt = p.join(small(tl.select("location_id", "tech_name"), DIM_MAX_ROWS), "location_id")
-    n_t = pt.groupBy("category", "tech_name").agg(F.count(F.lit(1)).alias("nt"))
-    ptn = pt.join(n_t, ["category", "tech_name"])
-    out.append(_rows(ptn, "AllocFracUnique", "category", "type", "location", "tech_name", F.lit(1.0) / F.col("nt")))
-    plan = out[0]
-    for o in out[1:]:
-        plan = plan.unionByName(o)
-    # plan tables are bounded by PLAN_BOUND rows, so numbering them in one ordered partition is fine
-    w = Window.orderBy("variable", "index_1", "index_2", "index_3", "index_4")
-    return plan.withColumn("row_no", F.row_number().over(w).cast("bigint"))
+def plan_ids(plan: DataFrame) -> DataFrame:
+    return plan.select("plan_id").distinct()
 
 
 def variable_names(plan: DataFrame) -> DataFrame:

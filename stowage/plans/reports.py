@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions.cleaning import display_percent, minmax_radius
 from stowage.operators.joins import small
-from stowage.plans.plan_vars import PLAN_BOUND, family
+from stowage.plans.plan_vars import family, plan_ids
 from stowage.sources.fixtures import DIM_MAX_ROWS
 
 KEYS = ["category", "type", "location"]
@@ -32,54 +32,67 @@ def location_type_named(loc_types: DataFrame, locations: DataFrame, types: DataF
         "location_id", "type_id")
 
 
+def relation_named(rel: DataFrame, left: DataFrame, left_id: str, left_name: str, right: DataFrame, right_id: str,
+                   right_name: str) -> DataFrame:
+    """Any relationship table with the names of both sides (left joins: rows with an unknown id stay, unnamed)."""
+    l = small(left.select(left_id, left_name), DIM_MAX_ROWS)
+    r = small(right.select(right_id, right_name), DIM_MAX_ROWS)
+    return rel.join(l, left_id, "left").join(r, right_id, "left")
+
+
 def _pct(plan: DataFrame, variable: str, name: str) -> DataFrame:
-    return family(plan, variable).select(F.col("index_1").alias("category"), F.col("index_2").alias("type"),
+    return family(plan, variable).select("plan_id", F.col("index_1").alias("category"), F.col("index_2").alias("type"),
                                          F.col("index_3").alias("location"), F.col("value").alias(name))
 
 
+def _units(plan: DataFrame, name: str) -> DataFrame:
+    return family(plan, "StoreUnits").select("plan_id", F.col("index_1").alias("type"),
+                                             F.col("index_2").alias("location"), F.col("value").alias(name))
+
+
 def units_change(plan: DataFrame, lt_named: DataFrame) -> DataFrame:
-    """D15 + J12: recommended store units per (type, location) with the current units (missing = 0)."""
-    rec = family(plan, "StoreUnits").select(F.col("index_1").alias("type"), F.col("index_2").alias("location"),
-                                            F.col("value").alias("recommended_units"))
+    """D15 + J12: recommended store units per plan, type and location with the current units (missing = 0)."""
     cur = lt_named.groupBy("type", "location").agg(F.sum("current_units").alias("current_units"))
-    j = rec.join(small(cur, DIM_MAX_ROWS), ["type", "location"], "left")
-    return j.select("type", "location", F.coalesce("current_units", F.lit(0.0)).alias("current_units"),
+    j = _units(plan, "recommended_units").join(small(cur, DIM_MAX_ROWS), ["type", "location"], "left")
+    return j.select("plan_id", "type", "location", F.coalesce("current_units", F.lit(0.0)).alias("current_units"),
                     "recommended_units")
 
 
 def buys(plan: DataFrame) -> DataFrame:
-    return family(plan, "BuyUnits").select(F.col("index_1").alias("type"), F.col("index_2").alias("location"),
+    return family(plan, "BuyUnits").select("plan_id", F.col("index_1").alias("type"), F.col("index_2").alias("location"),
                                            F.col("value").alias("units"))
 
 
 def relocations(plan: DataFrame) -> DataFrame:
-    return family(plan, "RelocUnits").select(F.col("index_1").alias("type"), F.col("index_2").alias("from_location"),
+    return family(plan, "RelocUnits").select("plan_id", F.col("index_1").alias("type"),
+                                             F.col("index_2").alias("from_location"),
                                              F.col("index_3").alias("to_location"), F.col("value").alias("units"))
 
 
-def _current(located: DataFrame, measure: F.Column, name: str) -> tuple[DataFrame, DataFrame]:
-    keyed = located.filter(F.col("type").isNotNull() & F.col("location").isNotNull())
-    cell = keyed.groupBy(*KEYS).agg(measure.alias(f"current_{name}"))
-    tot = located.groupBy("category").agg(measure.alias(f"total_{name}"))
-    return cell, tot
+def _measure(measure: str) -> F.Column:
+    # the bin code of a part names one (location, type), so a material is counted once
+    return (F.count("material").cast("double") if measure == "count"
+            else F.coalesce(F.sum("sku_cubic_ft"), F.lit(0.0)))
+
+
+def _variable(measure: str, reserve: bool = False) -> str:
+    return ("Res" if reserve else "") + ("SKUuniquePct" if measure == "count" else "SKUcubicPct")
 
 
 def alloc_report(located: DataFrame, plan: DataFrame, measure: str) -> DataFrame:
-    """A7/A8 + J15: current vs recommended forward allocation per (category, type, location).
+    """A7/A8 + J15: current vs recommended forward allocation per plan and (category, type, location).
 
     ``measure`` = "count" (distinct materials, SKUuniquePct) or "cubic" (volume, SKUcubicPct).
     """
-    if measure == "count":
-        m, var = F.count_distinct("material").cast("double"), "SKUuniquePct"
-    else:
-        m, var = F.coalesce(F.sum("sku_cubic_ft"), F.lit(0.0)), "SKUcubicPct"
-    cell, tot = _current(located, m, measure)
-    rec = _pct(plan, var, "recommended_pct")
-    j = cell.join(rec, KEYS, "full_outer")
-    j = j.join(small(tot, PLAN_BOUND), "category", "left")
+    m = _measure(measure)
+    keyed = located.filter(F.col("type").isNotNull() & F.col("location").isNotNull())
+    cell = keyed.groupBy(*KEYS).agg(m.alias(f"current_{measure}")).crossJoin(plan_ids(plan))  # cells per plan
+    tot = located.groupBy("category").agg(m.alias(f"total_{measure}"))
+    j = cell.join(_pct(plan, _variable(measure), "recommended_pct"), ["plan_id", *KEYS], "full_outer")
+    j = j.join(tot, "category", "left")
     total = F.coalesce(F.col(f"total_{measure}"), F.lit(0.0))
     cur_v = F.coalesce(F.col(f"current_{measure}"), F.lit(0.0))
-    return j.select(*KEYS, cur_v.alias(f"current_{measure}"), total.alias(f"total_{measure}"),
+    return j.select("plan_id", *KEYS, cur_v.alias(f"current_{measure}"), total.alias(f"total_{measure}"),
                     F.coalesce(F.try_divide(F.col(f"current_{measure}"), F.col(f"total_{measure}")), F.lit(0.0))
                     .alias("current_pct"),
                     F.coalesce("recommended_pct", F.lit(0.0)).alias("recommended_pct"),
@@ -87,26 +100,24 @@ def alloc_report(located: DataFrame, plan: DataFrame, measure: str) -> DataFrame
 
 
 def reserve_report(located: DataFrame, plan: DataFrame, measure: str) -> DataFrame:
-    """D16 reserve side: recommended reserve share and amount per (category, type, location)."""
-    if measure == "count":
-        m, var = F.count_distinct("material").cast("double"), "ResSKUuniquePct"
-    else:
-        m, var = F.coalesce(F.sum("sku_cubic_ft"), F.lit(0.0)), "ResSKUcubicPct"
-    tot = located.groupBy("category").agg(m.alias(f"total_{measure}"))
-    rec = _pct(plan, var, "reserve_pct")
-    j = rec.join(small(tot, PLAN_BOUND), "category", "left")
+    """D16 reserve side: recommended reserve share and amount per plan and (category, type, location)."""
+    tot = located.groupBy("category").agg(_measure(measure).alias(f"total_{measure}"))
+    j = _pct(plan, _variable(measure, True), "reserve_pct").join(tot, "category", "left")
     total = F.coalesce(F.col(f"total_{measure}"), F.lit(0.0))
-    return j.select(*KEYS, "reserve_pct", total.alias(f"total_{measure}"),
+    return j.select("plan_id", *KEYS, "reserve_pct", total.alias(f"total_{measure}"),
                     (F.col("reserve_pct") * total).alias(f"reserve_{measure}"))
 
 
-def forward_reserve(plan: DataFrame) -> DataFrame:
-    """Forward and reserve unique shares side by side (missing = 0)."""
-    f = _pct(plan, "SKUuniquePct", "forward_pct")
-    r = _pct(plan, "ResSKUuniquePct", "reserve_pct")
-    j = f.join(r, KEYS, "full_outer")
-    return j.select(*KEYS, F.coalesce("forward_pct", F.lit(0.0)).alias("forward_pct"),
-                    F.coalesce("reserve_pct", F.lit(0.0)).alias("reserve_pct"))
+def forward_reserve(located: DataFrame, plan: DataFrame, measure: str) -> DataFrame:
+    """Forward and reserve shares side by side (missing = 0), with the amounts they stand for."""
+    f = _pct(plan, _variable(measure), "forward_pct")
+    r = _pct(plan, _variable(measure, True), "reserve_pct")
+    tot = located.groupBy("category").agg(_measure(measure).alias("total"))
+    j = f.join(r, ["plan_id", *KEYS], "full_outer").join(tot, "category", "left")
+    fp, rp = F.coalesce("forward_pct", F.lit(0.0)), F.coalesce("reserve_pct", F.lit(0.0))
+    total = F.coalesce("total", F.lit(0.0))
+    return j.select("plan_id", *KEYS, fp.alias("forward_pct"), rp.alias("reserve_pct"),
+                    (fp * total).alias(f"forward_{measure}"), (rp * total).alias(f"reserve_{measure}"))
 
 
 # --- maps -------------------------------------------------------------------------------------------------
@@ -115,7 +126,7 @@ def map_current(located: DataFrame, lt_named: DataFrame, locations: DataFrame, t
     keyed = located.filter(F.col("location").isNotNull())
     cell = keyed.groupBy("location", "category").agg(
         F.coalesce(F.sum("line_down_orders"), F.lit(0.0)).alias("total_ldo"),
-        F.count_distinct("material").cast("bigint").alias("material_count"),
+        F.count("material").cast("bigint").alias("material_count"),
         F.coalesce(F.sum("sku_cubic_ft"), F.lit(0.0)).alias("total_cubic_ft"))
     loc_tot = cell.groupBy("location").agg(F.sum("material_count").cast("bigint").alias("loc_total_materials"),
                                            F.sum("total_cubic_ft").alias("loc_total_cubic_ft"),
@@ -126,54 +137,68 @@ def map_current(located: DataFrame, lt_named: DataFrame, locations: DataFrame, t
             .join(loc, "location", "left"))
 
 
-def units_pivot(lt_named: DataFrame, type_names: list[str], value: str = "current_units",
-                prefix: str = "current_") -> DataFrame:
+def units_pivot(units: DataFrame, type_names: list[str], value: str = "current_units",
+                prefix: str = "current_", by: list[str] = ["location"]) -> DataFrame:
     """Units per location, one column per storage type plus the total (missing = 0)."""
-    p = lt_named.groupBy("location").pivot("type", type_names).agg(F.sum(value))
+    p = units.groupBy(*by).pivot("type", type_names).agg(F.sum(value))
     cols = [F.coalesce(F.col(t), F.lit(0.0)).alias(prefix + t.lower()) for t in type_names]
-    tot = lt_named.groupBy("location").agg(F.sum(value).alias(prefix + "total"))
-    return p.select("location", *cols).join(tot, "location")
+    tot = units.groupBy(*by).agg(F.sum(value).alias(prefix + "total"))
+    return p.select(*by, *cols).join(tot, by)
 
 
 def units_pivot_recommended(plan: DataFrame, type_names: list[str]) -> DataFrame:
-    """Recommended store units per location by type."""
-    rec = family(plan, "StoreUnits").select(F.col("index_1").alias("type"), F.col("index_2").alias("location"),
-                                            F.col("value").alias("units"))
-    return units_pivot(rec, type_names, "units", "recommended_")
+    """Recommended store units per plan and location by type."""
+    return units_pivot(_units(plan, "units"), type_names, "units", "recommended_", ["plan_id", "location"])
 
 
-def map_recommended(located: DataFrame, plan: DataFrame, locations: DataFrame) -> DataFrame:
-    """D17 recommended side (A11, A13, A14, J18): shares times category totals, per location x category.
+def map_recommended(located: DataFrame, plan: DataFrame, locations: DataFrame, type_names: list[str]) -> DataFrame:
+    """D17 recommended side (A11-A14, J18): shares times category totals, per plan, location and category.
 
-    The base is the (category, location) pairs with a forward volume share, as in the reference.
+    Rows are the (category, location) pairs with a forward volume share.  Line-down orders of a
+    category are the plan's first LineDownOrders value; location totals take in every pair with a
+    unique share; the recommended units of the location are joined.
     """
     totals = located.groupBy("category").agg(
-        F.coalesce(F.sum("line_down_orders"), F.lit(0.0)).alias("cat_ldo"),
-        F.count_distinct("material").cast("double").alias("cat_materials"),
+        F.count("material").cast("double").alias("cat_materials"),
         F.coalesce(F.sum("sku_cubic_ft"), F.lit(0.0)).alias("cat_cubic_ft"))
-    vol = _pct(plan, "SKUcubicPct", "v").groupBy("category", "location").agg(F.sum("v").alias("cubic_pct"))
-    uni = _pct(plan, "SKUuniquePct", "u").groupBy("category", "location").agg(F.sum("u").alias("unique_pct"))
-    base = vol.join(uni, ["category", "location"], "left").join(small(totals, PLAN_BOUND), "category", "left")
+    first = family(plan, "LineDownOrders").filter("value IS NOT NULL").groupBy(
+        "plan_id", F.col("index_1").alias("category")).agg(F.min_by("value", "row_no").alias("cat_ldo"))
+    k = ["plan_id", "category", "location"]
+    uni = (_pct(plan, "SKUuniquePct", "u").groupBy(*k).agg(F.sum("u").alias("unique_pct"))
+           .join(totals.select("category", "cat_materials"), "category", "left").join(first, ["plan_id", "category"], "left")
+           .select(*k, (F.col("unique_pct") * F.col("cat_materials")).alias("rec_materials"),
+                   (F.col("unique_pct") * F.col("cat_ldo")).alias("rec_ldo")))
+    vol = (_pct(plan, "SKUcubicPct", "v").groupBy(*k).agg(F.sum("v").alias("cubic_pct"))
+           .join(totals.select("category", "cat_cubic_ft"), "category", "left")
+           .select(*k, (F.col("cubic_pct") * F.col("cat_cubic_ft")).alias("rec_cubic_ft")))
+    at = ["plan_id", "location"]
+    tot = uni.groupBy(*at).agg(F.sum("rec_materials").alias("loc_rec_materials"), F.sum("rec_ldo").alias("loc_rec_ldo"))
+    tot = tot.join(vol.groupBy(*at).agg(F.sum("rec_cubic_ft").alias("loc_rec_cubic_ft")), at, "left")
     loc = small(locations.select("location", "lat", "lon", "travel_time"), DIM_MAX_ROWS)
-    out = base.select("location", "category",
-                      (F.col("cubic_pct") * F.col("cat_cubic_ft")).alias("rec_cubic_ft"),
-                      (F.coalesce("unique_pct", F.lit(0.0)) * F.col("cat_materials")).alias("rec_materials"),
-                      (F.coalesce("unique_pct", F.lit(0.0)) * F.col("cat_ldo")).alias("rec_ldo"))
-    tot = out.groupBy("location").agg(F.sum("rec_materials").alias("loc_rec_materials"),
-                                      F.sum("rec_cubic_ft").alias("loc_rec_cubic_ft"),
-                                      F.sum("rec_ldo").alias("loc_rec_ldo"))
-    return out.join(tot, "location", "left").join(loc, "location", "left")
+    return (vol.join(uni, k, "left").join(tot, at, "left").join(units_pivot_recommended(plan, type_names), at, "left")
+            .join(loc, "location", "left"))
+
+
+def _mapped(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
 def map_totals(current: DataFrame) -> DataFrame:
     """Per mapped location (coordinates required): summed measures, max of the per-location columns."""
-    m = current.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    return m.groupBy("location", "lat", "lon").agg(
+    return _mapped(current).groupBy("location", "lat", "lon").agg(
         F.sum("material_count").cast("bigint").alias("materials"), F.sum("total_cubic_ft").alias("cubic_ft"),
         F.sum("total_ldo").alias("ldo"), F.max("current_total").alias("units"),
         F.max("travel_time").alias("travel_time"))
 
 
+def map_totals_recommended(recommended: DataFrame) -> DataFrame:
+    """A15, recommended side, per plan."""
+    return _mapped(recommended).groupBy("plan_id", "location", "lat", "lon").agg(
+        F.sum("rec_materials").alias("materials"), F.sum("rec_cubic_ft").alias("cubic_ft"),
+        F.sum("rec_ldo").alias("ldo"), F.max("recommended_total").alias("units"),
+        F.max("travel_time").alias("travel_time"))
+
+
 def map_radius(totals: DataFrame, value: str = "materials") -> DataFrame:
     """marker radius scaled 10..30 over all mapped locations (one tiny aggregate, broadcast back)."""
     mm = totals.agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
@@ -184,14 +209,15 @@ def map_radius(totals: DataFrame, value: str = "materials") -> DataFrame:
 
 
 def travel_savings(current: DataFrame, recommended: DataFrame, system: DataFrame) -> DataFrame:
-    """Line-down travel minutes now vs recommended; savings in hours and money (rate from system)."""
-    cur = current.filter(F.col("lat").isNotNull()).agg(
-        F.sum(F.col("total_ldo") * F.col("travel_time")).alias("current_minutes"))
-    rec = recommended.agg(F.sum(F.col("rec_ldo") * F.col("travel_time")).alias("recommended_minutes"))
+    """Line-down travel minutes now vs recommended by each plan, over mapped locations; savings in hours and money."""
+    cur = _mapped(current).agg(F.sum(F.col("total_ldo") * F.col("travel_time")).alias("current_minutes"))
+    rec = recommended.groupBy("plan_id").agg(F.sum(F.when(
+        F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("rec_ldo") * F.col("travel_time")))
+        .alias("recommended_minutes"))
     rate = system.agg(F.max("line_down_cost").alias("rate"))
-    j = cur.join(rec, F.lit(True)).join(rate, F.lit(True))
+    j = rec.join(small(cur, 1), F.lit(True)).join(small(rate, 1), F.lit(True))
     diff = F.coalesce("current_minutes", F.lit(0.0)) - F.coalesce("recommended_minutes", F.lit(0.0))
-    return j.select(F.coalesce("current_minutes", F.lit(0.0)).alias("current_minutes"),
+    return j.select("plan_id", F.coalesce("current_minutes", F.lit(0.0)).alias("current_minutes"),
                     F.coalesce("recommended_minutes", F.lit(0.0)).alias("recommended_minutes"),
                     (diff / 60.0).alias("saved_hours"), (diff * F.col("rate")).alias("saved_money"))
 
@@ -202,6 +228,12 @@ def map_breakdown(current: DataFrame) -> DataFrame:
         .orderBy("location", F.desc("material_count"), "category")
 
 
+def map_breakdown_recommended(recommended: DataFrame) -> DataFrame:
+    """A17, recommended side: per plan and location, categories ordered by materials desc."""
+    return recommended.select("plan_id", "location", "category", "rec_materials", "rec_cubic_ft", "rec_ldo") \
+        .orderBy("plan_id", "location", F.desc("rec_materials"), "category")
+
+
 def map_units_tidy(units_wide: DataFrame, type_names: list[str], prefix: str = "current_") -> DataFrame:
     """One location's (or every location's) unit columns transposed to (type, units)."""
     cols = [prefix + t.lower() for t in type_names]
@@ -211,52 +243,61 @@ def map_units_tidy(units_wide: DataFrame, type_names: list[str], prefix: str = "
 
 # --- pivots and tidy forms ---------------------------------------------------------------------------------
 def pivot_relocations(plan: DataFrame, type_names: list[str]) -> DataFrame:
-    """Origin x destination rows, one column per storage type; unknown destination labelled."""
+    """Origin x destination rows per plan, one column per storage type; unknown destination labelled."""
     r = relocations(plan).withColumn("to_location", F.coalesce("to_location", F.lit("Unknown")))
-    p = r.groupBy("from_location", "to_location").pivot("type", type_names).agg(F.sum("units"))
-    return p.select("from_location", "to_location",
+    p = r.groupBy("plan_id", "from_location", "to_location").pivot("type", type_names).agg(F.sum("units"))
+    return p.select("plan_id", "from_location", "to_location",
                     *[F.coalesce(F.col(t), F.lit(0.0)).alias(t.lower()) for t in type_names])
 
 
-def pivot_forward(plan: DataFrame, type_names: list[str], variable: str = "SKUuniquePct") -> DataFrame:
-    """Forward % by (category, location), one display-formatted column per type."""
-    f = _pct(plan, variable, "pct")
-    p = f.groupBy("category", "location").pivot("type", type_names).agg(F.sum("pct"))
-    return p.select("category", "location", *[display_percent(F.col(t)).alias(t.lower()) for t in type_names])
+def _pivot(pct: DataFrame, names: list[str]) -> DataFrame:
+    p = pct.groupBy("plan_id", "category", "location").pivot("type", names).agg(F.sum("pct"))
+    return p.select("plan_id", "category", "location", *[display_percent(F.col(t)).alias(t.lower()) for t in names])
+
+
+def pivot_forward(plan: DataFrame, type_names: list[str], measure: str = "count") -> DataFrame:
+    """Forward % by plan, category and location, one display-formatted column per type; unique or volume shares."""
+    return _pivot(_pct(plan, _variable(measure), "pct"), type_names)
+
+
+def pivot_forward_reserve(plan: DataFrame, type_names: list[str], measure: str = "count") -> DataFrame:
+    """U1 + R8: forward rows plus reserve rows (type suffixed _Reserve), pivoted by type; unique or volume shares."""
+    r = _pct(plan, _variable(measure, True), "pct").withColumn("type", F.concat("type", F.lit("_Reserve")))
+    return _pivot(_pct(plan, _variable(measure), "pct").unionByName(r),
+                  list(type_names) + [t + "_Reserve" for t in type_names])
 
 
-def pivot_forward_reserve(plan: DataFrame, type_names: list[str]) -> DataFrame:
-    """U1 + R8: forward rows plus reserve rows (type suffixed _Reserve), pivoted by type."""
-    f = _pct(plan, "SKUuniquePct", "pct")
-    r = _pct(plan, "ResSKUuniquePct", "pct").withColumn("type", F.concat("type", F.lit("_Reserve")))
-    u = f.unionByName(r)
-    names = list(type_names) + [t + "_Reserve" for t in type_names]
-    p = u.groupBy("category", "location").pivot("type", names).agg(F.sum("pct"))
-    return p.select("category", "location", *[display_percent(F.col(t)).alias(t.lower()) for t in names])
+def plan_pivots(plan: DataFrame, type_names: list[str]) -> dict[str, DataFrame]:
+    """Every pivot over a plan table in one call."""
+    return {"units": units_pivot_recommended(plan, type_names), "relocations": pivot_relocations(plan, type_names),
+            "forward_count": pivot_forward(plan, type_names), "forward_cubic": pivot_forward(plan, type_names, "cubic"),
+            "forward_reserve_count": pivot_forward_reserve(plan, type_names),
+            "forward_reserve_cubic": pivot_forward_reserve(plan, type_names, "cubic")}
 
 
 def tidy_alloc(report: DataFrame) -> DataFrame:
     """Current / recommended shares as (metric, value) rows with a segment label."""
-    long = report.select(*KEYS, "current_pct", "recommended_pct").unpivot(
-        KEYS, ["current_pct", "recommended_pct"], "metric", "value")
+    keys = ["plan_id", *KEYS]
+    long = report.select(*keys, "current_pct", "recommended_pct").unpivot(
+        keys, ["current_pct", "recommended_pct"], "metric", "value")
     label = F.when(F.col("metric") == "current_pct", "Current").otherwise("Recommended")
-    return long.select(*KEYS, label.alias("metric"), "value",
+    return long.select(*keys, label.alias("metric"), "value",
                        F.concat_ws(" - ", label, F.col("type")).alias("segment"))
 
 
 def tidy_units(units: DataFrame) -> DataFrame:
-    """Current / recommended units per (type, location) as tidy rows."""
-    long = units.unpivot(["type", "location"], ["current_units", "recommended_units"], "metric", "units")
-    return long.select("type", "location",
-                       F.when(F.col("metric") == "current_units", "Current").otherwise("Recommended").alias("metric"),
-                       "units")
+    """Current / recommended units per plan, type and location as tidy rows."""
+    keys = ["plan_id", "type", "location"]
+    long = units.unpivot(keys, ["current_units", "recommended_units"], "metric", "units")
+    return long.select(*keys, F.when(F.col("metric") == "current_units", "Current").otherwise("Recommended")
+                       .alias("metric"), "units")
 
 
 def tidy_phase_percent(alloc: DataFrame, fwd_res: DataFrame) -> DataFrame:
-    """Per (category, type, location) three rows: Current, Forward, Reserve."""
-    j = alloc.select(*KEYS, "current_pct").join(fwd_res, KEYS, "full_outer")
-    return j.select(*KEYS, F.explode(F.array(
-        F.struct(F.lit("Current").alias("phase"), F.coalesce("current_pct", F.lit(0.0)).alias("pct")),
-        F.struct(F.lit("Forward").alias("phase"), F.coalesce("forward_pct", F.lit(0.0)).alias("pct")),
-        F.struct(F.lit("Reserve").alias("phase"), F.coalesce("reserve_pct", F.lit(0.0)).alias("pct")))).alias("r")) \
-        .select(*KEYS, "r.phase", "r.pct")
+    """Per plan and (category, type, location) three rows: Current, Forward, Reserve; either measure."""
+    keys = ["plan_id", *KEYS]
+    j = alloc.select(*keys, "current_pct").join(fwd_res.select(*keys, "forward_pct", "reserve_pct"), keys, "full_outer")
+    return j.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("phase"), F.coalesce(col, F.lit(0.0)).alias("pct"))
+        for name, col in (("Current", "current_pct"), ("Forward", "forward_pct"), ("Reserve", "reserve_pct"))]))
+        .alias("r")).select(*keys, "r.phase", "r.pct")

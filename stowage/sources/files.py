@@ -1,14 +1,11 @@
 """File sources and sinks (S1, S2, S5-S9): delimited exports in, versioned parquet tables out.
 
-Tables live under a workspace root (shared storage on a cluster).  A table is a
-folder of immutable versions plus a small ``_CURRENT`` pointer file: a replace
-writes a new version and then switches the pointer, so readers never see a
-half-written table and no transaction log is needed.
+Tables live under a workspace root (shared storage on a cluster), as folders of
+immutable versions; no transaction log is needed.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
 
@@ -16,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stowage.functions.contracts import ContractError, load_contract
+from stowage.functions.contracts import ContractError
 
 
 def normalize_header(name: str) -> str:
@@ -60,7 +57,11 @@ def align(df: DataFrame, target: T.StructType, rename: dict[str, str] | None = N
 
 
 class Workspace:
-    """Versioned parquet tables under one root folder."""
+    """Versioned parquet tables under one root folder (S5, S6, S7, S8) on any file system that Spark reads.
+
+    A table is a folder of numbered versions; the current one is the last that Spark
+    has committed (its success marker is there), so readers never see a half-written table.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -68,27 +69,24 @@ class Workspace:
     def _dir(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _pointer(self, table: str) -> str:
-        return f"{self._dir(table)}/_CURRENT"
+    def versions(self, table: str) -> list[str]:
+        """Committed versions, oldest first."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self._dir(table)}/v-*/_SUCCESS")
+        found = path.getFileSystem(conf).globStatus(path) or []
+        return sorted(s.getPath().getParent().toString() for s in found)
 
     def current(self, table: str) -> str | None:
-        p = self._pointer(table)
-        if not os.path.exists(p):
-            return None
-        with open(p) as fh:
-            return fh.read().strip() or None
+        return (self.versions(table) or [None])[-1]
 
     def replace(self, table: str, df: DataFrame, schema: T.StructType | None = None,
                 rename: dict[str, str] | None = None) -> str:
-        """Write a new version (aligned to ``schema`` when given) and switch the pointer to it."""
+        """Write a new version (aligned to ``schema`` when given); its commit makes it the current one."""
         out = align(df, schema, rename) if schema is not None else df
-        version = f"{self._dir(table)}/v-{uuid.uuid4().hex}"
+        last = self.current(table)
+        number = int(last.rsplit("/v-", 1)[1].split("-")[0]) + 1 if last else 1
+        version = f"{self._dir(table)}/v-{number:012d}-{uuid.uuid4().hex}"
         out.write.mode("errorifexists").parquet(version)
-        os.makedirs(self._dir(table), exist_ok=True)
-        tmp = self._pointer(table) + ".tmp"
-        with open(tmp, "w") as fh:
-            fh.write(version)
-        os.replace(tmp, self._pointer(table))
         return version
 
     def read(self, table: str) -> DataFrame:
@@ -97,6 +95,10 @@ class Workspace:
             raise ContractError(f"table {table!r} has no current version")
         return self.spark.read.parquet(v)
 
+    def preview(self, table: str, rows: int = 20) -> list:
+        """The first rows of a table, for display."""
+        return self.read(table).limit(rows).collect()
+
     def clear(self, table: str, schema: T.StructType) -> str:
         """Replace with an empty table of the same schema."""
         return self.replace(table, self.spark.createDataFrame([], schema))
@@ -115,7 +117,3 @@ class Workspace:
             else:
                 out[n] = (not require_rows) or (not self.read(n).isEmpty())
         return out
-
-
-def contract_schema(name: str) -> T.StructType:
-    return load_contract(name)

@@ -1,12 +1,10 @@
-"""Adapter views over the driver's tables plus the planner's dimension literals.
+"""Adapter views over the driver's tables, and the planner's dimensions derived from them.
 
 The four raw exports (stock, material master, cost centers, order consumption)
-are derived from the TPC-H-like tables so that their size grows with the scale
-factor.  The dimensions are small configuration tables of our own.
-
-Every dimension below is a fixed value table (our own numbers, see FIXTURES.md);
-the SQL text is plain enough for both Spark SQL and DuckDB, so the oracle side
-reuses it verbatim as CTEs.
+and the ten dimension tables are queries over the TPC-H-like tables, so every
+result changes with them: locations are nations, storage types are part types,
+capacities and prices follow part counts and sizes.  The rules are listed in
+FIXTURES.md.  The dimension texts run in Spark SQL and in DuckDB alike.
 """
 
 from __future__ import annotations
@@ -16,68 +14,84 @@ from pyspark.sql import functions as F
 
 from stowage.sources.tables import read_table
 
-# ---------------------------------------------------------------------------
-# Dimension tables (our own fixture rows, FIXTURES.md section 3)
-# ---------------------------------------------------------------------------
+# Storage types: the part types, numbered so that the sizing rule of the stock export has its cases (1, 3, 4, 5).
+TYPE_NAMES = ["ECONOMY", "SMALL", "MEDIUM", "PROMO", "LARGE", "STANDARD"]
+# Concrete technologies in indicator order, plus the "unknown" bucket.
+CONCRETE_TECHS = ["ASSEMBLY", "BODY", "PAINT"]
+UNKNOWN_TECH = "UNK"
+ALL_TECHS = CONCRETE_TECHS + [UNKNOWN_TECH]
+# Upper bound on rows of any dimension below (25 nations x 6 types / 3, 25 nations x 4 technologies).
+DIM_MAX_ROWS = 256
+
+_TYPES = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(TYPE_NAMES, 1)) + ") AS t(type_id, type)"
+_TECHS = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(ALL_TECHS, 1)) + ") AS k(tech_id, tech_name)"
+
+# Tables that a dimension text may name.
+DIM_TABLES = ["nation", "region", "part", "supplier"]
 DIM_SQL: dict[str, str] = {
-    "dim_tech": (
-        "SELECT * FROM (VALUES (1,'BODY'),(2,'ASSEMBLY'),(3,'PAINT'),(4,'UNK')) AS t(tech_id, tech_name)"
-    ),
-    "dim_token_map": (
-        "SELECT * FROM (VALUES ('A','ASSEMBLY'),('B','BODY'),('P','PAINT'),('BODY','BODY'),"
-        "('LC','UNK'),('UNK','UNK')) AS t(value, tech_name)"
-    ),
+    "dim_tech": f"SELECT tech_id, tech_name FROM {_TECHS}",
+    # the stored token map is empty: the default map takes its place
+    "dim_token_map": "SELECT r_name AS value, r_name AS tech_name FROM {region} WHERE r_regionkey < 0",
     "dim_size": (
-        "SELECT size_id, size, CAST(min_vol AS DOUBLE) AS min_vol, CAST(total_cuft AS DOUBLE) AS total_cuft "
-        "FROM (VALUES (1,'S',0.05,0.02),(2,'M',0.25,0.2),(3,'L',1.0,1.0)) AS t(size_id, size, min_vol, total_cuft)"
+        "SELECT s.size_id, s.size, CAST(s.f * p.low AS DOUBLE) AS min_vol, CAST(s.g * p.low AS DOUBLE) AS total_cuft "
+        "FROM (VALUES (1, 'S', 0.0625, 0.03125), (2, 'M', 0.375, 0.125), (3, 'L', 1.5, 0.75)) AS s(size_id, size, f, g) "
+        "CROSS JOIN (SELECT min(p_size) AS low FROM {part}) p"
     ),
     "dim_type": (
-        "SELECT type_id, type, CAST(sqft AS DOUBLE) AS sqft_req, CAST(bc AS DOUBLE) AS buy_cost, "
-        "CAST(bi AS DOUBLE) AS buy_invest, CAST(rc AS DOUBLE) AS reloc_cost, CAST(ri AS DOUBLE) AS reloc_invest, "
-        "CAST(cap AS DOUBLE) AS cubic_capacity "
-        "FROM (VALUES (1,'CABINET',4,2500,300,20,20,10),(2,'MEZZANINE',500,600000,5000,250000,250000,5000),"
-        "(3,'SHELF',5,1500,150,1000,10,25),(4,'LIFT',100,120000,40000,120000,120000,900),"
-        "(5,'RACK',30,1800,20,150,150,650)) AS t(type_id, type, sqft, bc, bi, rc, ri, cap)"
+        "SELECT t.type_id, t.type, CAST(3 * t.type_id + p.low AS DOUBLE) AS sqft_req, "
+        "CAST(40 * t.type_id + p.top AS DOUBLE) AS buy_cost, CAST(25 * t.type_id + p.low AS DOUBLE) AS buy_invest, "
+        "CAST(12 * t.type_id + p.top AS DOUBLE) AS reloc_cost, CAST(8 * t.type_id + p.low AS DOUBLE) AS reloc_invest, "
+        f"CAST(16 * p.n + t.type_id AS DOUBLE) AS cubic_capacity FROM {_TYPES} "
+        "JOIN (SELECT p_type, max(p_size) AS top, min(p_size) AS low, count(*) AS n FROM {part} GROUP BY p_type) p "
+        "ON p.p_type = t.type"
     ),
     "dim_priority": (
-        "SELECT location_priority, CAST(tt AS DOUBLE) AS travel_time, ra AS reserve_allowed "
-        "FROM (VALUES (1,0,0),(2,8,1),(3,15,1)) AS t(location_priority, tt, ra)"
+        "SELECT x.k + 1 AS location_priority, CAST(7 * x.k + 0.5 AS DOUBLE) AS travel_time, "
+        "CASE WHEN x.k = 0 THEN 0 ELSE 1 END AS reserve_allowed "
+        "FROM (SELECT DISTINCT n_regionkey % 3 AS k FROM {nation}) x"
     ),
     "dim_location": (
-        "SELECT location_id, location, CAST(fs AS DOUBLE) AS floor_space, location_priority, "
-        "CAST(tt AS DOUBLE) AS travel_time, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon "
-        "FROM (VALUES (1,'NORTH',5000,1,0,10.0,20.0),(2,'SOUTH',6000,1,0,10.1,20.1),"
-        "(3,'EAST',40000,2,6,10.2,20.2),(4,'WEST',6000,3,15,10.3,20.3),"
-        "(5,'OVERFLOW',1000000,3,15,NULL,NULL)) AS t(location_id, location, fs, location_priority, tt, lat, lon)"
+        "SELECT n.n_nationkey + 1 AS location_id, n.n_name AS location, "
+        "CAST(300 + 40 * COALESCE(s.n, 0) AS DOUBLE) AS floor_space, n.n_regionkey % 3 + 1 AS location_priority, "
+        "CAST(7 * (n.n_regionkey % 3) + n.n_nationkey % 2 AS DOUBLE) AS travel_time, "
+        "CASE WHEN n.n_nationkey % 6 = 5 THEN NULL ELSE CAST(2 * n.n_nationkey - 24 AS DOUBLE) END AS lat, "
+        "CASE WHEN n.n_nationkey % 6 = 5 THEN NULL ELSE CAST(30 * n.n_regionkey AS DOUBLE) END AS lon "
+        "FROM {nation} n LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM {supplier} GROUP BY s_nationkey) s "
+        "ON s.s_nationkey = n.n_nationkey"
     ),
+    # one row names a location that doesn't exist: foreign-key filters drop it
     "dim_location_type": (
-        "SELECT * FROM (VALUES (1,1,'C1',40),(2,1,'C2',90),(4,1,'C3',15),(3,3,'S1',60),(1,4,'V1',6),"
-        "(2,5,'R1',50),(3,5,'R2',120),(9,1,'XX',5)) AS t(location_id, type_id, code, current_units)"
+        "SELECT n.n_nationkey + 1 AS location_id, t.type_id, "
+        "concat('N', CAST(n.n_nationkey AS STRING), '-', CAST(t.type_id AS STRING)) AS code, "
+        "CAST(COALESCE(s.n, 0) + t.type_id AS INTEGER) AS current_units "
+        f"FROM {{nation}} n JOIN {_TYPES} ON (n.n_nationkey + t.type_id) % 3 = 0 "
+        "LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM {supplier} GROUP BY s_nationkey) s "
+        "ON s.s_nationkey = n.n_nationkey "
+        "UNION ALL SELECT max(n_nationkey) + 100, 1, 'LOST', CAST(count(*) AS INTEGER) FROM {nation}"
     ),
     "dim_tech_location": (
-        "SELECT * FROM (VALUES (1,1),(1,3),(1,5),(2,2),(2,3),(2,5),(3,3),(3,4),(3,5),(4,4),(4,5),(4,9)) "
-        "AS t(tech_id, location_id)"
+        "SELECT k.tech_id, n.n_nationkey + 1 AS location_id "
+        f"FROM {{nation}} n JOIN {_TECHS} ON k.tech_id = 4 OR (n.n_regionkey + k.tech_id) % 2 = 0 "
+        "UNION ALL SELECT 4, max(n_nationkey) + 100 FROM {nation}"
     ),
     "dim_type_size": (
-        "SELECT type_id, size_id, CAST(m AS DOUBLE) AS max_sku_per_unit "
-        "FROM (VALUES (1,1,500),(2,1,300000),(3,2,140),(4,1,20000),(4,2,1500),(5,3,280)) AS t(type_id, size_id, m)"
+        "SELECT t.type_id, z.size_id, CAST(240 * t.type_id - 60 * z.size_id AS DOUBLE) AS max_sku_per_unit "
+        f"FROM {_TYPES} JOIN (VALUES (1), (2), (3)) AS z(size_id) ON 2 * (z.size_id - 1) <= t.type_id "
+        "JOIN (SELECT DISTINCT p_type FROM {part}) p ON p.p_type = t.type"
     ),
     "dim_system": (
-        "SELECT team, CAST(a AS DOUBLE) AS line_down_cost, CAST(b AS DOUBLE) AS plan_budget, "
-        "CAST(c AS DOUBLE) AS space_factor, CAST(d AS DOUBLE) AS reserve_cost "
-        "FROM (VALUES ('T1',800,5000000,0.75,10)) AS t(team, a, b, c, d)"
+        "SELECT min(r_name) AS team, CAST(100 * count(*) AS DOUBLE) AS line_down_cost, "
+        "CAST(5000 * max(p.n) AS DOUBLE) AS plan_budget, CAST(0.625 AS DOUBLE) AS space_factor, "
+        "CAST(2 + count(*) AS DOUBLE) AS reserve_cost "
+        "FROM {region} CROSS JOIN (SELECT count(*) AS n FROM {part}) p"
     ),
 }
 
-# Upper bound on rows of any dimension above; lets callers broadcast them without a size probe.
-DIM_MAX_ROWS = 64
 
-# Concrete technologies in indicator order, plus the "unknown" bucket (matches dim_tech).
-CONCRETE_TECHS = ["ASSEMBLY", "BODY", "PAINT"]
-UNKNOWN_TECH = "UNK"
-ALL_TECHS = CONCRETE_TECHS + [UNKNOWN_TECH]
-# Storage type names of dim_type in type_id order (explicit pivot lists keep output schemas fixed).
-TYPE_NAMES = ["CABINET", "MEZZANINE", "SHELF", "LIFT", "RACK"]
+def dim_text(name: str) -> str:
+    """A dimension's query over tables of their own names (for DuckDB)."""
+    return DIM_SQL[name].format(**{t: t for t in DIM_TABLES})
+
 
 # ---------------------------------------------------------------------------
 # Adapter views (DuckDB text is used by the oracle; Spark builds them below)
@@ -85,21 +99,26 @@ TYPE_NAMES = ["CABINET", "MEZZANINE", "SHELF", "LIFT", "RACK"]
 ADAPTER_SQL: dict[str, str] = {
     "raw_stock": """
 SELECT p_partkey * 2 AS row_no, CAST(p_partkey AS VARCHAR) AS material,
-  CASE p_type WHEN 'ECONOMY' THEN 'C1' WHEN 'SMALL' THEN 'C2' WHEN 'MEDIUM' THEN 'S1'
-              WHEN 'PROMO' THEN 'V1' WHEN 'LARGE' THEN 'R1' ELSE 'R2' END AS code,
+  CASE WHEN p_partkey % 29 = 0 THEN 'BULK' WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'N' || (3 * (p_partkey % 8) + 2) || '-1'
+       WHEN p_type = 'MEDIUM' THEN 'N' || (3 * (p_partkey % 8)) || '-3'
+       WHEN p_type = 'PROMO' THEN 'N' || (3 * (p_partkey % 8) + 2) || '-4'
+       ELSE 'N' || (3 * (p_partkey % 8) + 1) || '-5' END AS code,
   CASE WHEN p_partkey % 10 = 0 THEN concat('1,', lpad(CAST(p_size AS VARCHAR), 3, '0'))
        WHEN p_partkey % 3 = 0 THEN concat(CAST(p_size AS VARCHAR), ' EA')
        ELSE CAST(p_size AS VARCHAR) END AS total_stock_raw
 FROM part
 UNION ALL
-SELECT p_partkey * 2 + 1, CAST(p_partkey AS VARCHAR), 'C3', '7' FROM part WHERE p_partkey % 7 = 0""",
+SELECT p_partkey * 2 + 1, CAST(p_partkey AS VARCHAR), 'N2-1', '7' FROM part WHERE p_partkey % 7 = 0
+UNION ALL
+SELECT -1 - s_suppkey, 'S' || s_suppkey, 'N' || (3 * (s_suppkey % 8)) || '-3', CAST(s_suppkey % 40 AS VARCHAR)
+FROM supplier""",
     "raw_master": """
 SELECT CAST(p_partkey AS VARCHAR) AS material, CAST(p_size AS DOUBLE) AS years,
   CAST(CASE WHEN p_partkey % 11 = 0 THEN 899 ELSE 100 + p_partkey % 7 END AS BIGINT) AS mrp_controller,
   CASE p_partkey % 8 WHEN 0 THEN 'A' WHEN 1 THEN 'B/P' WHEN 2 THEN 'LC' WHEN 3 THEN '?' WHEN 4 THEN NULL
                      WHEN 5 THEN 'A; LC' WHEN 6 THEN 'BODY' ELSE 'ZZ,' END AS std_desc,
   CASE p_partkey % 5 WHEN 0 THEN 'H' WHEN 1 THEN 'm' WHEN 2 THEN 'X' ELSE NULL END AS priority
-FROM part WHERE p_partkey % 13 <> 0""",
+FROM part""",
     "raw_cost_center": """
 SELECT CAST(1000 + s_suppkey AS VARCHAR) AS cost_center,
        concat('TX-', CAST(1 + s_suppkey % 5 AS VARCHAR), '00') AS department FROM supplier
@@ -113,39 +132,49 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 }
 
 
-def dim(spark: SparkSession, name: str) -> DataFrame:
-    """One of the fixed dimension tables, as a DataFrame."""
-    return spark.sql(DIM_SQL[name])
+def dim(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the dimension tables."""
+    used = {t: read_table(spark, sf_dir, t) for t in DIM_TABLES if "{" + t + "}" in DIM_SQL[name]}
+    return spark.sql(DIM_SQL[name], **used)
 
 
 def raw_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stock export: several bins per material, messy stock text (row_no = input order)."""
+    """Stock export: several bins per material, messy stock text, materials unknown to the master (row_no = input order)."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    k = F.col("p_partkey")
+    supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey")
+    k, t, s = F.col("p_partkey"), F.col("p_type"), F.col("s_suppkey")
     size_txt = F.col("p_size").cast("string")
+
+    def bin_code(key, rest: int, type_id: int):
+        return F.concat(F.lit("N"), (3 * (key % 8) + rest).cast("string"), F.lit(f"-{type_id}"))
+
     main = part.select(
         (k * 2).alias("row_no"),
         k.cast("string").alias("material"),
-        F.when(F.col("p_type") == "ECONOMY", "C1").when(F.col("p_type") == "SMALL", "C2")
-        .when(F.col("p_type") == "MEDIUM", "S1").when(F.col("p_type") == "PROMO", "V1")
-        .when(F.col("p_type") == "LARGE", "R1").otherwise("R2").alias("code"),
+        F.when(k % 29 == 0, "BULK").when(t.isin("ECONOMY", "SMALL"), bin_code(k, 2, 1))
+        .when(t == "MEDIUM", bin_code(k, 0, 3)).when(t == "PROMO", bin_code(k, 2, 4))
+        .otherwise(bin_code(k, 1, 5)).alias("code"),
         F.when(k % 10 == 0, F.concat(F.lit("1,"), F.lpad(size_txt, 3, "0")))
         .when(k % 3 == 0, F.concat(size_txt, F.lit(" EA")))
         .otherwise(size_txt).alias("total_stock_raw"),
     )
-    extra = part.filter(k % 7 == 0).select(
+    second = part.filter(k % 7 == 0).select(
         (k * 2 + 1).alias("row_no"), k.cast("string").alias("material"),
-        F.lit("C3").alias("code"), F.lit("7").alias("total_stock_raw"),
+        F.lit("N2-1").alias("code"), F.lit("7").alias("total_stock_raw"),
     )
-    return main.unionByName(extra)
+    unknown = supplier.select(
+        (-1 - s).alias("row_no"), F.concat(F.lit("S"), s.cast("string")).alias("material"),
+        bin_code(s, 0, 3).alias("code"), (s % 40).cast("string").alias("total_stock_raw"),
+    )
+    return main.unionByName(second).unionByName(unknown)
 
 
 def raw_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Material master export, one row per material (some materials missing)."""
+    """Material master export, one row per part."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
     k = F.col("p_partkey")
     r8 = k % 8
-    return part.filter(k % 13 != 0).select(
+    return part.select(
         k.cast("string").alias("material"),
         F.col("p_size").cast("double").alias("years"),
         F.when(k % 11 == 0, F.lit(899)).otherwise(100 + k % 7).cast("bigint").alias("mrp_controller"),

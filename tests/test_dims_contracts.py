@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF001
 from stowage.functions import contracts as ct
 from stowage.operators import dims as dm
 from stowage.plans import params as pm
@@ -8,12 +9,12 @@ from stowage.sources import files, fixtures as fx
 
 
 def test_fk_filter_drops_unknown_location(spark):
-    rel = fx.dim(spark, "dim_tech_location")
-    out = dm.fk_filter(rel, [(fx.dim(spark, "dim_tech"), ["tech_id"]), (fx.dim(spark, "dim_location"), ["location_id"])])
-    assert out.count() == rel.count() - 1 and out.filter(F.col("location_id") == 9).count() == 0
-    lt = dm.fk_filter(fx.dim(spark, "dim_location_type"), [(fx.dim(spark, "dim_location"), ["location_id"]),
-                                                           (fx.dim(spark, "dim_type"), ["type_id"])])
-    assert lt.filter(F.col("code") == "XX").count() == 0
+    rel = fx.dim(spark, SF001, "dim_tech_location")
+    out = dm.fk_filter(rel, [(fx.dim(spark, SF001, "dim_tech"), ["tech_id"]), (fx.dim(spark, SF001, "dim_location"), ["location_id"])])
+    assert out.count() == rel.count() - 1 and out.filter(F.col("location_id") > 25).count() == 0
+    lt = dm.fk_filter(fx.dim(spark, SF001, "dim_location_type"), [(fx.dim(spark, SF001, "dim_location"), ["location_id"]),
+                                                           (fx.dim(spark, SF001, "dim_type"), ["type_id"])])
+    assert lt.filter(F.col("code") == "LOST").count() == 0
 
 
 def test_upsert_delete_replace_group(spark):
@@ -21,31 +22,34 @@ def test_upsert_delete_replace_group(spark):
     ch = spark.createDataFrame([("B", "PAINT"), ("Q", "UNK")], "value string, tech_name string")
     assert sorted(map(tuple, dm.upsert(t, ch, ["value"]).collect())) == [("A", "ASSEMBLY"), ("B", "PAINT"), ("Q", "UNK")]
     assert [r.value for r in dm.delete(t, spark.createDataFrame([("A",)], "value string"), ["value"]).collect()] == ["B"]
-    lt = fx.dim(spark, "dim_location_type")
+    lt = fx.dim(spark, SF001, "dim_location_type")
     rows = spark.createDataFrame([(1, 5, "NEW", 3)], "location_id int, type_id int, code string, current_units int")
     out = dm.replace_group(lt, rows, ["location_id"])
     assert sorted(r.code for r in out.filter(F.col("location_id") == 1).collect()) == ["NEW"]
-    assert out.count() == lt.count() - 2 + 1
+    assert out.count() == lt.filter("location_id <> 1").count() + 1
 
 
 def test_row_counts_next_id_default_map(spark):
-    rc = {r.table: r.rows for r in dm.row_counts({"tech": fx.dim(spark, "dim_tech"),
-                                                   "size": fx.dim(spark, "dim_size")}).collect()}
+    rc = {r.table: r.rows for r in dm.row_counts({"tech": fx.dim(spark, SF001, "dim_tech"),
+                                                   "size": fx.dim(spark, SF001, "dim_size")}).collect()}
     assert rc == {"tech": 4, "size": 3}
-    assert dm.next_id(fx.dim(spark, "dim_tech"), "tech_id").first()[0] == 5
+    assert dm.next_id(fx.dim(spark, SF001, "dim_tech"), "tech_id").first()[0] == 5
     empty = spark.createDataFrame([], "value string, tech_name string")
     assert dm.token_map_or_default(empty).count() == len(dm.DEFAULT_TOKEN_MAP)
-    assert dm.token_map_or_default(fx.dim(spark, "dim_token_map").limit(2)).count() == 2
+    assert dm.token_map_or_default(fx.dim(spark, SF001, "dim_token_map")).count() == len(dm.DEFAULT_TOKEN_MAP)
+    own = spark.createDataFrame([("Q", "PAINT")], "value string, tech_name string")
+    assert [tuple(r) for r in dm.token_map_or_default(own).collect()] == [("Q", "PAINT")]
 
 
 def test_location_derive_and_grids(spark):
-    locs = fx.dim(spark, "dim_location").withColumn("location", F.lower(F.concat(F.lit(" "), "location")))
-    out = {r.location_id: r for r in dm.derive_location(locs, fx.dim(spark, "dim_priority")).collect()}
-    assert out[3].location == "EAST" and out[3].travel_time == 8 and out[3].reserve_allowed == 1
-    g = pm.loc_tech_grid(fx.dim(spark, "dim_tech"), fx.dim(spark, "dim_location"), fx.dim(spark, "dim_tech_location"))
-    assert g.count() == 4 * 5 and g.filter("compatible = 1").count() == 11
-    tl = pm.type_loc_grid(fx.dim(spark, "dim_type"), fx.dim(spark, "dim_location"), fx.dim(spark, "dim_location_type"))
-    assert tl.count() == 25 and tl.filter("type = 'RACK' AND location = 'EAST'").first().current_units == 120.0
+    locs = fx.dim(spark, SF001, "dim_location").withColumn("location", F.lower(F.concat(F.lit(" "), "location")))
+    out = {r.location_id: r for r in dm.derive_location(locs, fx.dim(spark, SF001, "dim_priority")).collect()}
+    assert out[3].location == "NATION_2" and out[3].travel_time == 14 and out[3].reserve_allowed == 1
+    g = pm.loc_tech_grid(fx.dim(spark, SF001, "dim_tech"), fx.dim(spark, SF001, "dim_location"), fx.dim(spark, SF001, "dim_tech_location"))
+    assert g.count() == 4 * 25 and g.filter("tech_name = 'UNK' AND compatible = 1").count() == 25
+    tl = pm.type_loc_grid(fx.dim(spark, SF001, "dim_type"), fx.dim(spark, SF001, "dim_location"), fx.dim(spark, SF001, "dim_location_type"))
+    assert tl.count() == 6 * 25 and tl.filter("type = 'ECONOMY' AND location = 'NATION_2'").first().current_units >= 1.0
+    assert tl.filter("type = 'ECONOMY' AND location = 'NATION_3'").first().current_units == 0.0
 
 
 def test_contracts(spark):
@@ -61,6 +65,8 @@ def test_contracts(spark):
     assert r.UNK == 0 and r.BODY is None
     c = ct.coerce(spark.createDataFrame([("1,2 EA", "3,5")], "a string, b string"), {"a": "int", "b": "double"}, "stock")
     assert tuple(c.first()) == (12, 35.0)
+    c = ct.coerce(spark.createDataFrame([("1,2", "1,5")], "a string, b string"), {"a": "int", "b": "double"}, "master")
+    assert tuple(c.first()) == (12, None)  # only the integers of the master export lose their commas
 
 
 def test_export_read_and_workspace(spark, tmp_path):
@@ -78,3 +84,6 @@ def test_export_read_and_workspace(spark, tmp_path):
                ct.load_contract("stock_output"))
     r = ws.read("parts").first()
     assert r.material == "m1" and r.total_stock is None and ws.ready(["parts"]) == {"parts": True}
+    assert len(ws.preview("parts")) == 1 and len(ws.versions("parts")) == 2
+    by_uri = files.Workspace(spark, f"file://{tmp_path}/ws")  # the same tables by a URI
+    assert by_uri.read("parts").count() == 1 and not (tmp_path / "file:").exists()

@@ -1,4 +1,6 @@
+from conftest import SF001
 from stowage.operators import consumption as con
+from stowage.operators import dims as dm
 from stowage.operators import cost_center as cc
 from stowage.operators import master as mst
 from stowage.operators import stock as stk
@@ -7,19 +9,19 @@ from stowage.sources import fixtures as fx
 
 def test_stock_first_bin_wins_and_sizing(spark):
     raw = spark.createDataFrame([
-        (1, "m1", "S1", "25"), (2, "m1", "C1", "3"),      # first bin (shelf) wins; stock not summed
-        (3, "m2", "S1", None),                            # null stock on a shelf -> M
-        (4, "m3", "V1", "31"), (5, "m4", "V1", "30"),     # lift cutoff is strict
-        (6, "m5", "R1", "1,000"), (7, "m6", "ZZ", "5"),   # rack -> L; unknown bin -> no size
-        (8, None, "C1", "1"),
+        (1, "m1", "N0-3", "25"), (2, "m1", "N2-1", "3"),      # first bin (shelf) wins; stock not summed
+        (3, "m2", "N0-3", None),                            # null stock on a shelf -> M
+        (4, "m3", "N2-4", "31"), (5, "m4", "N2-4", "30"),     # lift cutoff is strict
+        (6, "m5", "N1-5", "1,000"), (7, "m6", "ZZ", "5"),   # rack -> L; unknown bin -> no size
+        (8, None, "N2-1", "1"),
     ], "row_no long, material string, code string, total_stock_raw string")
-    out = {r.material: r for r in stk.stock_sized(raw, fx.dim(spark, "dim_location_type"), fx.dim(spark, "dim_size")).collect()}
+    out = {r.material: r for r in stk.stock_sized(raw, fx.dim(spark, SF001, "dim_location_type"), fx.dim(spark, SF001, "dim_size")).collect()}
     assert set(out) == {"m1", "m2", "m3", "m4", "m5", "m6"}
-    assert (out["m1"].size, out["m1"].total_stock, out["m1"].storage_type) == ("S", 25, "S1")
+    assert (out["m1"].size, out["m1"].total_stock, out["m1"].storage_type) == ("S", 25, "N0-3")
     assert out["m2"].size == "M" and out["m3"].size == "S" and out["m4"].size == "M"
     assert (out["m5"].size, out["m5"].size_id, out["m5"].total_stock) == ("L", 3, 1000)
     assert out["m6"].size is None and out["m6"].size_id is None
-    assert stk.stock_rejects(stk.stock_sized(raw, fx.dim(spark, "dim_location_type"), fx.dim(spark, "dim_size"))).count() == 2
+    assert stk.stock_rejects(stk.stock_sized(raw, fx.dim(spark, SF001, "dim_location_type"), fx.dim(spark, SF001, "dim_size"))).count() == 2
 
 
 def test_master_substring_tokens(spark):
@@ -27,7 +29,7 @@ def test_master_substring_tokens(spark):
         ("a", "PAINT", None, 100, 1), ("b", None, "m", 899, 2), ("c", "ZZ,", "H", 1, 3), ("d", "A; LC", None, 1, 4),
         ("e", " , ", None, 1, 5), ("a", "B", "H", 1, 9),
     ], "material string, std_desc string, priority string, mrp_controller long, row_no long")
-    out = {r.material: r for r in mst.master_flags(raw, fx.dim(spark, "dim_token_map")).collect()}
+    out = {r.material: r for r in mst.master_flags(raw, dm.token_map_or_default(fx.dim(spark, SF001, "dim_token_map"))).collect()}
     a = out["a"]   # first record only; PAINT contains A and P
     assert (a.ASSEMBLY, a.BODY, a.PAINT, a.UNK, a.priority) == (1, 0, 1, 0, None)
     b = out["b"]   # null description -> UNK; controller 899 -> movement L
@@ -58,7 +60,8 @@ def test_cost_center_and_consumption_tech(spark):
 
 def test_consumption_priority_and_orders(spark):
     cons = spark.createDataFrame([("m1", 1, "OR09"), ("m1", 1, "OR09"), ("m1", 2, "OR01"), ("m2", None, "OR01"),
-                                  (None, 5, "OR09")], "material string, order_no long, order_type string")
+                                  (None, 5, "OR09")], "material string, order_no long, order_type string").selectExpr("*", "'1' AS cost_center")
+    cons = con.consumption_lines(cons)
     st = {r.material: r for r in con.consumption_stats(cons).collect()}
     assert set(st) == {"m1", "m2"}
     assert (st["m1"].line_down_orders, st["m1"].orders) == (2, 2)

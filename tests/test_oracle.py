@@ -9,13 +9,13 @@ from conftest import SF001
 
 FAST = ["clean_int", "stock_sized", "master_flags", "cost_center_loaded", "consumption_movement",
         "consumption_tech", "parts_normalized", "category_summary", "category_tech", "category_type",
-        "curve_fit_forward", "curve_forward", "report_alloc_counts", "audit_cost", "param_long"]
+        "curve_fit_forward", "curve_forward", "report_alloc_counts", "audit_cost", "param_long", "job_stock", "job_master", "map_recommended", "audit_flow"]
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ["part", "supplier", "lineitem", "orders"]:
+    for t in ["region", "nation", "part", "supplier", "lineitem", "orders"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF001, t + '.parquet')}')")
     return con
 
