@@ -194,5 +194,6 @@ def simhash_dedup(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: st
     # the first row of each fingerprint, then of each class: both pre-aggregated
     first = rows.groupBy("fp").agg(F.min(F.struct("key_", "seq_")).alias("first")).join(roots, "fp")
     keep = stage_table(first.groupBy("root").agg(F.min("first").alias("first")).select("first.seq_"), "simhash-keep")
-    return (rows.join(keep, "seq_", "left_semi")
+    # always a merge join: were small inputs broadcast, the plan would change with the size
+    return (rows.join(keep.hint("merge"), "seq_", "left_semi")
             .select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]))
