@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.operators.joins import small
+from stowage.session import materialize
 from stowage.sources.fixtures import ALL_TECHS
 
 # Share used when the fitted break reaches the total, and the
@@ -163,7 +163,7 @@ def candidates(blocks: DataFrame, stats: DataFrame) -> DataFrame:
 
 def curve_fit(demand: DataFrame) -> DataFrame:
     """D12 + A18: per group n, total, distinct values, and the best break (before the cap rule)."""
-    blocks = curve_blocks(demand)
+    blocks = materialize(curve_blocks(demand), "curve_blocks")  # read three times: totals, candidates, their join
     stats = group_stats(blocks)
     cand = candidates(blocks, stats)
     best = cand.groupBy("category", "tech").agg(
