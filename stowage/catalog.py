@@ -1145,6 +1145,13 @@ register("job_master", O.select_all("master_flags"))(_job(
                                         "mrp_controller": "MRP Controller", "std_desc": "Std Desc",
                                         "priority": "Priority"}),
     ["material", "priority", "movement", *fx.ALL_TECHS]))
+register("job_dimension", O.with_ctes("""
+SELECT r.location_id, r.type_id, r.code, r.current_units FROM dim_location_type r
+WHERE r.location_id IN (SELECT location_id FROM dim_location) AND r.type_id IN (SELECT type_id FROM dim_type)"""))(_job(
+    lambda s, ws, p: jobs.load_dimension_export(
+        ws, "location_type", p, s.dim("dim_location_type").schema,
+        [(s.dim("dim_location"), ["location_id"]), (s.dim("dim_type"), ["type_id"])]),
+    lambda s: s.dim("dim_location_type"), ["location_id", "type_id", "code", "current_units"]))
 register("job_cost_center", O.select_all("cost_center_loaded"))(_job(
     lambda s, ws, p: jobs.build_cost_center(ws, p),
     lambda s: _renamed(s.raw_cost_center(), {"cost_center": "Cost Center", "department": "Department"}),

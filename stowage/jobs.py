@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stowage.functions.contracts import coerce, enforce_output, load_contract, required_cols, validate
 from stowage.operators import consumption as con
@@ -86,6 +87,14 @@ def load_dimension(ws: Workspace, table: str, rows: DataFrame,
     return table
 
 
+def load_dimension_export(ws: Workspace, table: str, path: str, schema: T.StructType,
+                          parents: list[tuple[DataFrame, list[str]]] = ()) -> str:
+    """S3 from a delimited file: headers by column name, columns cast to ``schema``, foreign keys checked."""
+    raw = read_export(ws.spark, path, {f.name: f.name for f in schema.fields})
+    return load_dimension(ws, table, raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]),
+                          parents)
+
+
 def reset_dimensions(ws: Workspace, dims: dict[str, DataFrame]) -> None:
     """Load every dimension anew from its source."""
     for name, rows in dims.items():
