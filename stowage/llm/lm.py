@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import count
@@ -11,42 +12,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from stowage.llm.common import bound_batches, byte_texts, crc_rest, groups_by_bytes, row_seq, stage_table
 
 #: A text is its words, each ended by a blank, and then this unit; UTF-8 lacks the byte 255.
 END = b"\xff"
-#: Slots (as powers of two) of the predictors: contexts of the last two, three and four bytes, and the word so far.
-SLOT_BITS = (18, 20, 22, 22)
+#: Slots (as powers of two) of the predictors: contexts of the last two and the last four bytes, and the word so far.
+SLOT_BITS = (18, 21, 21)
 K = len(SLOT_BITS)
+#: Times that a word recurs in a task from which it also tells how to weigh what is known of it.
+RECURRING = 8
 #: Step of the online weights.
-RATE = 0.1
+RATE = 0.05
 #: Units of a stretched probability in a table.
 STRETCH = 128
 #: What a bit's counts start from.
-DELTA = 0.2
+DELTA = 0.05
 #: Text whose equal words are scored at once; bits after which online weights are refined.
-STEP_BYTES, STEP_BITS = 4 << 20, 1 << 14
+STEP_BYTES, STEP_BITS = 4 << 20, 1 << 15
 #: Gates: evidence in the word's slot, evidence in the four bytes' slot, first byte of a word or not.
 LEVELS_WORD, LEVELS_FOUR = 8, 4  # at most 8
 GATES = LEVELS_WORD * LEVELS_FOUR * 2
 #: Buckets of the adaptive map over a mixed prediction, and the prediction at its ends.
 CELLS, EDGE = 33, 8.0
 #: Slots of one row of a written table; words held before a task passes its counts on.
-CHUNK, HELD = 1 << 11, 300_000
+CHUNK, HELD = 1 << 11, 700_000
 #: Words whose counts are broadcast for look-up; the counts of all others are joined.
-HEAD = 1 << 16
+HEAD = 1 << 19
 
 
 def _code():
     """A binary code of the 256 bytes: (first entry, length, node and bit of each entry).
 
-    Its shape is Huffman's for guessed frequencies (letters in the usual order), so that a letter takes
+    Its shape is Huffman's for guessed frequencies of bytes in words of western European languages, so that a letter takes
     about four or five bits; the probabilities themselves are learnt, so the guess costs time only.
     """
-    order = list(b" etaonirshdlcumfpgwybvkxjqz.,\xff\xc3\xa9\xa8\xb1\xbc\xa4\xaa\xa7\xad\xb6\xb3\xa1\x9f0123456789-")
-    order += [b for b in range(256) if b not in order]
-    heap = [((r + 2.0) ** -1.2 if r < 28 else (r + 12.0) ** -2.0, b, b) for r, b in enumerate(order)]
+    guess = {0.11: b" en", 0.057: b"itahros", 0.028: b"\xc3uldc", 0.012: b"mpgbf.,", 0.007: b"wyvkzqx\xa9\xa8\xb3\xa4\xbc",
+             0.0025: b"j\xa1\xad\xb1\xb6\xa7\xaa\x9f0123456789-'!\xff"}
+    often = {b: f for f, group in guess.items() for b in group}
+    heap = [(often.get(b, 0.00012), b, b) for b in range(256)]
     heapq.heapify(heap)
     kids, node = {}, 256
     while len(heap) > 1:
@@ -91,8 +96,13 @@ class Symbols:
     weight: np.ndarray
 
 
+def _unit(word: bytes) -> bytes:
+    """A word with its blank; the end of a text stands for the empty word."""
+    return word + b" " if word else END
+
+
 def _types(units: list[bytes], counts: np.ndarray):
-    """(symbols behind the first of each distinct unit, the unit of each, hash of each unit, last two bytes)."""
+    """(symbols behind the first byte of each distinct unit, the unit of each)."""
     lens = np.array([len(u) for u in units])
     data = np.frombuffer(b"".join(units), dtype=np.uint8)
     first = np.cumsum(lens) - lens
@@ -107,21 +117,20 @@ def _types(units: list[bytes], counts: np.ndarray):
     b4 = np.where(place >= 4, np.concatenate([[0, 0, 0, 0], data[:-4]])[:len(data)], 0).astype(np.uint32)
     on = place > 0
     two = b1 | (b2 << np.uint32(8))
-    three = two | (b3 << np.uint32(16))
-    ctx = [_mixed(two[on] + _SEED[0]), _mixed(three[on] + _SEED[1]), _mixed((three | (b4 << np.uint32(24)))[on] + _SEED[2]),
-           _mixed(before[on] + _SEED[3])]
-    last = first + lens - 1
-    whole = run[last] - (run - term)[first]
-    tail = data[last].astype(np.uint32) | (np.where(lens > 1, data[last - 1], 0).astype(np.uint32) << np.uint32(8))
-    return (Symbols(data[on], ctx, np.zeros(int(on.sum()), dtype=bool), counts[unit[on]]), unit[on], whole, tail,
-            data[first])
+    four = two | (b3 << np.uint32(16)) | (b4 << np.uint32(24))
+    ctx = [_mixed(two[on] + _SEED[0]), _mixed(four[on] + _SEED[1]), _mixed(before[on] + _SEED[2])]
+    return Symbols(data[on], ctx, np.zeros(int(on.sum()), dtype=bool), counts[unit[on]]), unit[on]
+
 
+def _starts(pairs: np.ndarray, weight: np.ndarray) -> Symbols:
+    """First bytes of words, each predicted from the three bytes ahead of the blank before (0 ahead of a text).
 
-def _starts(byte: np.ndarray, whole: np.ndarray, tail: np.ndarray, weight: np.ndarray) -> Symbols:
-    """First bytes of units, predicted from the unit before (hash 0 and tail 0 at the start of a text)."""
-    ctx = [_mixed(np.full(len(byte), 0, np.uint32) + _SEED[4]), _mixed((tail & np.uint32(255)) + _SEED[5]),
-           _mixed(tail + _SEED[6]), _mixed(whole + _SEED[7])]
-    return Symbols(byte, ctx, np.ones(len(byte), dtype=bool), weight)
+    ``pairs``: those bytes * 256 + the first byte.
+    """
+    tail = (pairs >> 8).astype(np.uint32)
+    ctx = [_mixed(np.full(len(tail), 0, np.uint32) + _SEED[4]), _mixed((tail & np.uint32(65535)) + _SEED[5]),
+           _mixed(tail + _SEED[6])]
+    return Symbols((pairs & 255).astype(np.uint8), ctx, np.ones(len(tail), dtype=bool), weight)
 
 
 def _bits(s: Symbols):
@@ -149,8 +158,8 @@ def _entries(k: int, counts: np.ndarray) -> np.ndarray:
     """Table entries of slots of predictor ``k`` from their counts of zeros and ones."""
     f = np.log(counts.astype(np.float32) + np.float32(DELTA))
     x = np.clip(np.rint((f[:, 1] - f[:, 0]) * STRETCH), -4095, 4095).astype(np.int16) << 3
-    if k >= 2:
-        x |= _levels(counts.sum(1), *((LEVELS_FOUR, 3), (LEVELS_WORD, 2))[k - 2])
+    if k:
+        x |= _levels(counts.sum(1), *((LEVELS_FOUR, 3), (LEVELS_WORD, 2))[k - 1])
     return x
 
 
@@ -172,7 +181,7 @@ class Mixer:
     def mix(self, s: Symbols, sym, slots):
         """(gate, inputs, mixed prediction in the stretched domain, its cell) of each bit."""
         t = [table[i] for table, i in zip(self.table, slots)]
-        gate = ((t[3] & 7) * np.int16(LEVELS_FOUR) + (t[2] & 7)) * np.int16(2) + s.start[sym]
+        gate = ((t[2] & 7) * np.int16(LEVELS_FOUR) + (t[1] & 7)) * np.int16(2) + s.start[sym]
         x = [(q >> 3).astype(np.float32) for q in t]
         z = x[0] * self.weight[0][gate]
         for k in range(1, K):
@@ -218,7 +227,8 @@ class Learner(Mixer):
         self.seen = np.zeros(GATES)
         self.square = np.full((K, GATES), 1e-4)
 
-    def learn(self, s: Symbols) -> None:
+    def learn(self, s: Symbols, count: bool = True) -> None:
+        """Refine weights and map by what the tables say of ``s``, and count its bits."""
         for sym, slots, bit in _bits(s):
             gate, x, z, cell = self.mix(s, sym, slots)
             n = s.weight[sym]
@@ -231,6 +241,8 @@ class Learner(Mixer):
             self.seen += seen
             self.cells.reshape(-1)[:] += np.bincount(cell + bit * np.int32(GATES * CELLS), weights=n,
                                                      minlength=2 * GATES * CELLS)
+            if not count:
+                continue
             often = n.astype(np.int32)
             for k in range(K):
                 np.add.at(self.counts[k].reshape(-1), (slots[k].view(np.int32) << 1) | bit, often)
@@ -247,28 +259,13 @@ class Learner(Mixer):
                                         np.rint(self.seen).astype(np.int64)])
 
 
-def _step(texts: list[bytes]):
-    """(distinct units, their counts, for each unit of the run its number, first unit of each text)."""
-    number: dict[bytes, int] = defaultdict(count().__next__)
-    ids, size = [], []
-    for t in texts:
-        words = t.lower().split()  # splits at the ASCII blanks
-        words.append(END)
-        size.append(len(words))
-        ids.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
-    ids_ = np.concatenate(ids)
-    units = [w if w == END else w + b" " for w in number]
-    return units, np.bincount(ids_, minlength=len(units)), ids_, np.concatenate([[0], np.cumsum(size)])
-
-
-def _first_bytes(ids, begin, whole, tail, first_byte):
-    """Distinct (unit before, first byte) pairs: (symbols, which pair each unit of the run is)."""
-    prev = np.concatenate([[0], ids[:-1].astype(np.int64) + 1])
-    prev[begin[:-1]] = 0
-    pairs, which, n = np.unique(prev * 256 + first_byte[ids], return_inverse=True, return_counts=True)
-    p = pairs >> 8
-    w, t = np.concatenate([[0], whole]).astype(np.uint32)[p], np.concatenate([[0], tail]).astype(np.uint32)[p]
-    return _starts((pairs & 255).astype(np.uint8), w, t, n), which
+def _first_bytes(texts: list[list[bytes]]) -> np.ndarray:
+    """For each unit of texts (lists of words) the three bytes ahead of its blank and its first byte, as one number."""
+    data = np.frombuffer(b"".join([b"\0\0\0 " + b" ".join(w) + b" \xff" if w else b"\0\0\0 \xff" for w in texts]),
+                         dtype=np.uint8)
+    at = np.flatnonzero(data == 32)
+    d = data.astype(np.int64)
+    return (((d[at - 3] << 8 | d[at - 2]) << 8 | d[at - 1]) << 8) | d[at + 1]
 
 
 _LEARNT = "kind int, part int, word binary, n long, share binary"
@@ -277,32 +274,51 @@ _SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("word", pa.bin
 
 
 def _learn(batches):
-    """Words and their counts (kind -1), and the task's share of the model (kind: table)."""
-    learner, words, steps = Learner(), Counter(), 0
+    """Words and their counts (kind -1), and the task's share of the model (kind: table).
 
-    def word_rows():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), -1, np.int32)), pa.nulls(len(words), pa.int32()),
-                                          pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64()),
-                                          pa.nulls(len(words), pa.binary())], schema=_SCHEMA)
-        words.clear()
+    Equal words of a task are learnt together, weighed by their number, in the order in which they first appear.
+    """
+    learner, held, pairs = Learner(), Counter(), Counter()
+
+    def settle():
+        """Learn from the held words and pass their counts on."""
+        counts = np.array(list(held.values()), dtype=np.int64)
+        units = [_unit(w) for w in held]
+        done = 0
+        for part in (8, 2, 1):  # the first slices are small, as little is known yet
+            to = len(units) // part
+            if to > done:
+                learner.load(learner.counts)
+                learner.learn(_types(units[done:to], counts[done:to])[0])
+                done = to
+        starts = _starts(np.array(list(pairs), dtype=np.int64), np.array(list(pairs.values()), dtype=np.int64))
+        learner.learn(starts)
+        # equal words came all at once, most of them before anything was known: those that recur are predicted again
+        learner.load(learner.counts)
+        again = np.flatnonzero(counts >= RECURRING)
+        if len(again):
+            learner.learn(_types([units[i] for i in again], counts[again])[0], count=False)
+        learner.learn(starts, count=False)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), -1, np.int32)), pa.nulls(len(units), pa.int32()),
+                                          pa.array(list(held), pa.binary()), pa.array(counts),
+                                          pa.nulls(len(units), pa.binary())], schema=_SCHEMA)
+        held.clear()
+        pairs.clear()
 
     for b in batches:
         texts = byte_texts(b.column(0))
-        # the first steps are small, as nothing is known yet
-        for lo, hi in groups_by_bytes(texts, min(STEP_BYTES, 1 << (20 + steps))):
-            steps += 1
-            units, counts, ids, begin = _step(texts[lo:hi])
-            for u, n in zip(units, counts.tolist()):
-                words[u[:-1]] += n  # the end of a text is a token too; its word is empty
-            learner.load(learner.counts)
-            symbols, _, whole, tail, first_byte = _types(units, counts)
-            starts, _ = _first_bytes(ids, begin, whole, tail, first_byte)
-            learner.learn(symbols)
-            learner.learn(starts)
-            if len(words) > HELD:
-                yield from word_rows()
-    if steps:
-        yield from word_rows()
+        for lo, hi in groups_by_bytes(texts, STEP_BYTES):
+            words = [t.lower().split() for t in texts[lo:hi]]  # splits at the ASCII blanks
+            for w in words:
+                held.update(w)
+            held[b""] += len(words)  # the end of a text is a token too; no word is empty
+            found, n = np.unique(_first_bytes(words), return_counts=True)
+            pairs.update(dict(zip(found.tolist(), n.tolist())))
+            if len(held) > HELD:
+                yield from settle()
+    if held:
+        yield from settle()
+    if learner.seen.any():
         shares = list(learner.rows())
         for at in range(0, len(shares), 64):
             table, part, share = zip(*shares[at:at + 64])
@@ -347,8 +363,8 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """(model, word counts) learnt from all rows of ``docs``.
 
-    Each task learns online over its own texts: a step of text is predicted by what the task has seen, the gated
-    weights follow the error, the adaptive map counts where predictions fell, then the step's bits are counted into the
+    Each task learns online over the words of its own texts: a slice is predicted by what the task has seen, the gated
+    weights follow the error, the adaptive map counts where predictions fell, then the slice's bits are counted into the
     predictors' slots.  A predictor's probability is the mean of the bits seen in its slot, so tasks'
     counts add up to those of one pass over everything; maps add up too, and weights are averaged by the bits seen
     at their gate, all in whole numbers, whose sums don't depend on the order.  Shares are shuffled by table and
@@ -371,36 +387,67 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
             w, seen = x[:GATES * K].reshape(K, GATES), x[GATES * K:]
             mixer.weight = np.where(seen > 0, w / 1024 / np.maximum(seen, 1), 0.35).astype(np.float32)
     totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    head = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
+    # words at least as frequent as the count from which there are at most HEAD; counts sum to the tokens, so there
+    # are at most sqrt(2 * tokens) distinct ones
+    upto = F.sum("words").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
+    least = (words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("upto", upto)
+             .where(F.col("upto") <= HEAD).agg(F.min("n")).first()[0])
+    most = words.where(F.col("n") >= least if least else F.lit(False)).toArrow()
+    head = dict(zip(most["word"].to_pylist(), most["n"].to_pylist()))
     return Model(mixer, mixer.refined(), totals["n"] or 0, totals["v"], head), words
 
 
-def _score(model):
+#: Units whose log-probabilities a worker keeps for its next texts, and for which model.
+KEPT = 1_000_000
+_kept: dict[bytes, float] = {}
+_kept_for: list = []
+
+
+def _unit_logs(m: "Model", key, units: list[bytes]) -> np.ndarray:
+    """log10 of the probability of each unit's bytes behind the first, which depend on the unit alone."""
+    if _kept_for != [key] or len(_kept) > KEPT:
+        _kept.clear()
+        _kept_for[:] = [key]
+    new = [u for u in units if u not in _kept]
+    for at in range(0, len(new), 1 << 16):
+        part = new[at:at + (1 << 16)]
+        symbols, unit = _types(part, np.ones(len(part), dtype=np.int64))
+        _kept.update(zip(part, np.bincount(unit, weights=m.mixer.log10(symbols, m.refined), minlength=len(part)).tolist()))
+    return np.fromiter(map(_kept.__getitem__, units), dtype=float, count=len(units))
+
+
+def _score(model, key: str):
     """Of each text: tokens, known tokens and sum of log10(c + 1) among the broadcast words, the other words with
     their counts, and the model's log10 probability."""
     def run(batches):
         m: Model = model.value
-        logs = {w: (n, float(np.log10(n + 1))) for w, n in m.head.items()}
+        logs = dict(zip(m.head, np.log10(np.array(list(m.head.values())) + 1.0).tolist()))
         for b in batches:
             texts = byte_texts(b.column("t"))
             for lo, hi in groups_by_bytes(texts, STEP_BYTES):
-                units, counts, ids, begin = _step(texts[lo:hi])
-                symbols, unit, whole, tail, first_byte = _types(units, counts)
-                inner = np.bincount(unit, weights=m.mixer.log10(symbols, m.refined), minlength=len(units))
-                starts, which = _first_bytes(ids, begin, whole, tail, first_byte)
-                lp = inner[ids] + m.mixer.log10(starts, m.refined)[which]
-                word = [u[:-1] for u in units]
-                there = np.array([w in logs for w in word])
-                value = np.array([logs[w][1] if h else 0.0 for w, h in zip(word, there)])
-                per = np.add.reduceat(np.stack([lp, there[ids], value[ids]]), begin[:-1], axis=1)
-                rare = ~there[ids]
+                words = [t.lower().split() for t in texts[lo:hi]]
+                number: dict[bytes, int] = defaultdict(count().__next__)
+                size = np.array([len(w) + 1 for w in words])
+                begin = np.cumsum(size) - size
+                ids = np.concatenate([np.fromiter(map(number.__getitem__, [*w, b""]), dtype=np.int32, count=n)
+                                      for w, n in zip(words, size.tolist())])
+                word = list(number)
+                value = np.array([logs.get(w, -1.0) for w in word])
+                there = value >= 0
+                value[~there] = 0
+                pairs, which = np.unique(_first_bytes(words), return_inverse=True)
+                lp = (_unit_logs(m, key, [_unit(w) for w in word])[ids]
+                      + m.mixer.log10(_starts(pairs, np.ones(len(pairs))), m.refined)[which])
+                per = np.add.reduceat(np.stack([lp, there[ids], value[ids]]), begin, axis=1)
+                rare = np.flatnonzero(~there[ids])
+                cuts = np.searchsorted(rare, np.append(begin, len(ids)))
                 tails, ns = [], []
-                for a, z in zip(begin[:-1], begin[1:]):
-                    c = Counter(ids[a:z][rare[a:z]].tolist())
+                for a, z in zip(cuts[:-1], cuts[1:]):
+                    c = Counter(ids[rare[a:z]].tolist())
                     tails.append([word[i] for i in c])
                     ns.append(list(c.values()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id")[lo:hi], b.column("seq")[lo:hi], pa.array(np.diff(begin)),
+                    [b.column("id")[lo:hi], b.column("seq")[lo:hi], pa.array(size),
                      pa.array(per[1].astype(np.int64)), pa.array(per[2]), pa.array(per[0]),
                      pa.array(tails, pa.list_(pa.binary())), pa.array(ns, pa.list_(pa.int64()))],
                     names=["id", "seq", "n_tokens", "known", "logs", "score", "rare", "times"])
@@ -411,11 +458,12 @@ def score_language(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "
                    text_col: str = "text") -> DataFrame:
     """Score every whole text by a context-mixing model and a unigram base learnt from the texts that aren't held out.
 
-    A text is the sequence of its words and an end, as it is for the base.  Held out are ids with crc32(id as text) mod ``mod`` equal to ``held``.  A-Z are lower-cased.  The model gives each
-    byte and the end of a text bit by bit: predictors looked up by hashed contexts (the last two, three and four bytes
-    and the word so far; for the first byte of a word the word before) are stretched, weighed by a weight set that
-    the evidence in their slots selects, mixed and refined by an adaptive map; score is log10 of the product, so
-    -score * log2(10) are the text's total bits.  While scoring, nothing is learnt, so scores don't depend
+    A text is the sequence of its words and an end, as it is for the base.  Held out are ids with
+    crc32(id as text) mod ``mod`` equal to ``held``.  A-Z are lower-cased.  The model gives each byte and the end of a
+    text bit by bit: predictors looked up by hashed contexts (the last two and four bytes and the word so far;
+    for the first byte of a word none, two and three bytes ahead of the blank) are stretched, weighed by a weight
+    set that the evidence in their slots selects, mixed and refined by an adaptive map; score is log10 of the
+    product, so -score * log2(10) are the text's total bits.  While scoring, nothing is learnt, so scores don't depend
     on the order of texts.  base_score is the sum over words and the end token of
     log10((c + 1) / (N + V + 1)); the HEAD most frequent words are looked up where the text is, all others by a join.
 
@@ -432,7 +480,7 @@ def score_language(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), row_seq().alias("seq"), F.col(text_col).alias("t"))
     scored = stage_table(rows.mapInArrow(
-        _score(shared), f"id {kind}, seq long, n_tokens long, known long, logs double, score double, "
+        _score(shared, uuid.uuid4().hex), f"id {kind}, seq long, n_tokens long, known long, logs double, score double, "
                         "rare array<binary>, times array<long>"), "lm-scored")
     rare = (scored.select("seq", F.explode(F.arrays_zip("rare", "times")).alias("w"))
             .select("seq", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))

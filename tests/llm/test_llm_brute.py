@@ -217,8 +217,7 @@ def test_language_base_and_order(spark, texts):
 def test_model_is_a_distribution():
     """After any state, the probabilities of all 256 bytes add up to one."""
     learner = lm.Learner()
-    units, counts, ids, begin = lm._step([b"the of the that of", b"the"])
-    symbols, *_ = lm._types(units, counts)
+    symbols, _ = lm._types([b"the ", b"of ", b"that "], np.array([3, 2, 1]))
     learner.learn(symbols)
     learner.load(learner.counts)
     n = 256
@@ -230,9 +229,9 @@ def test_model_is_a_distribution():
 def test_learnt_shares_add_up():
     """Counts of tasks add up to the counts of one task over all their texts."""
     a, b, both = lm.Learner(), lm.Learner(), lm.Learner()
-    for learner, part in ((a, [b"one two three"]), (b, [b"two three four"]), (both, [b"one two three", b"two three four"])):
-        units, counts, _, _ = lm._step(part)
-        learner.learn(lm._types(units, counts)[0])
+    for learner, part in ((a, {b"one ": 1, b"two ": 2}), (b, {b"two ": 3, b"four ": 1}),
+                          (both, {b"one ": 1, b"two ": 5, b"four ": 1})):
+        learner.learn(lm._types(list(part), np.array(list(part.values())))[0])
     for x, y, z in zip(a.counts, b.counts, both.counts):
         assert (x + y == z).all()
 
