@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def crc_rest(doc_id: Column, mod: int) -> Column:
 
 def byte_texts(texts) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; a null text is empty."""
-    return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+    return [b"" if t is None else t for t in texts.cast(pa.binary()).to_pylist()]
 
 
 def groups_by_bytes(texts: list[bytes], most: int):
