@@ -52,14 +52,21 @@ class Stages:
                 f.result()
 
     def dim(self, name: str) -> DataFrame:
-        """A dimension table, derived from the given tables and written once per build."""
-        return self._get(("dim", name), lambda: materialize(fx.dim(self.spark, self.sf_dir, name), name, True))
+        """A dimension table, derived from the given tables; written once per build if it reads a large one."""
+        def build():
+            d = fx.dim(self.spark, self.sf_dir, name)
+            return materialize(d, name, True) if fx.reads_large(name) else d
+        return self._get(("dim", name), build)
+
+    def dims(self, *names: str) -> None:
+        """Build dimension tables as concurrent Spark jobs."""
+        with ThreadPoolExecutor(max_workers=len(names)) as pool:
+            list(pool.map(self.dim, names))
 
     def parallel(self, *steps: str) -> "Stages":
         """Build the shared category inputs, then the given independent stage tables concurrently."""
+        self.dims(*fx.DIM_SQL)
         self.parts(), self.enriched(), self.category_summary(), self.grid(), self.category_tech()
-        for d in fx.DIM_SQL:
-            self.dim(d)
         self.prefetch(*[st for st in steps if st != "category_tech"])
         return self
 
@@ -135,7 +142,8 @@ class Stages:
     def parts(self):
         """M8-normalized parts: the table every category build reads."""
         def build():
-            self.cons_lines(), self.dim("dim_location_type"), self.dim("dim_size")  # shared inputs, built once
+            self.cons_lines()  # shared inputs, built once
+            self.dims("dim_location_type", "dim_size")
             # independent stage tables: stock+master merge, Pareto movement, consumption tech
             self.prefetch("parts_with_master", "cons_movement", "cons_tech")
             return materialize(prt.parts_normalized(self.parts_full()), "parts")
@@ -186,6 +194,9 @@ class Stages:
             self.dim("dim_location_type"), self.dim("dim_location"), self.dim("dim_type")))
 
     def plan(self):
+        if "plan" not in self._memo:
+            self.dims("dim_location_type", "dim_location", "dim_type", "dim_type_size", "dim_priority",
+                      "dim_tech_location", "dim_tech")
         return self._get("plan", lambda: materialize(pf.fixture_plans(
             self.category_summary(), self.category_tech(), self.dim("dim_location_type"), self.dim("dim_location"),
             self.dim("dim_type"), self.dim("dim_type_size"), self.dim("dim_priority"), self.dim("dim_tech_location"),

@@ -88,6 +88,11 @@ DIM_SQL: dict[str, str] = {
 }
 
 
+def reads_large(name: str) -> bool:
+    """Whether a dimension is computed from a table that grows (the others take a few rows of nations or regions)."""
+    return "{part}" in DIM_SQL[name] or "{supplier}" in DIM_SQL[name]
+
+
 def dim_text(name: str) -> str:
     """A dimension's query over tables of their own names (for DuckDB)."""
     return DIM_SQL[name].format(**{t: t for t in DIM_TABLES})
