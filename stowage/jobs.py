@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stowage.functions.contracts import coerce, enforce_output, load_contract, required_cols, validate
+from stowage.functions.contracts import CONTRACTS, coerce, enforce_output, load_contract, required_cols, validate
 from stowage.operators import consumption as con
 from stowage.operators import cost_center as cc
 from stowage.operators import dims as dm
@@ -99,3 +99,13 @@ def reset_dimensions(ws: Workspace, dims: dict[str, DataFrame]) -> None:
     """Load every dimension anew from its source."""
     for name, rows in dims.items():
         load_dimension(ws, name, rows)
+
+
+def save_outputs(ws: Workspace, outputs: dict[str, DataFrame]) -> list[str]:
+    """M9: save the tables of a workflow run under their names; a table of CONTRACTS is checked first (V4)."""
+    for name, df in outputs.items():
+        if name in CONTRACTS:
+            _save(ws, name, df, name)
+        else:
+            ws.replace(name, df)
+    return list(outputs)

@@ -40,3 +40,15 @@ def test_dimension_loads(spark, tmp_path):
         r.type_id for r in dims["dim_location_type"].filter("location_id = 3").collect()}
     listed = [r.location_id for r in dm.listing(dims["dim_location"], ["location_id"]).collect()]
     assert listed == sorted(listed)
+
+
+def test_workflow_outputs_are_saved_by_name(spark, tmp_path):
+    from stowage.pipeline import stages
+
+    s = stages(spark, SF001)
+    ws = files.Workspace(spark, str(tmp_path / "ws"))
+    names = jobs.save_outputs(ws, {"parts": s.parts(), "i_sku": s.category_summary(), "i_sku_user": s.category_tech(),
+                                   "i_sku_type": s.category_type()})
+    assert ws.ready(names) == dict.fromkeys(names, True)
+    assert ws.read("i_sku").columns[:2] == ["category_id", "category"]
+    assert ws.read("i_sku_user").count() == s.category_tech().count()
