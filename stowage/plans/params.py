@@ -16,9 +16,17 @@ from stowage.operators.joins import small
 from stowage.sources.fixtures import DIM_MAX_ROWS
 
 
+# Members of a set whose table has none.
+FALLBACK = {"priority": ["H", "M", "L"], "movement": ["H", "M", "L"], "sizes": ["S", "M", "L"], "priorities": ["1"]}
+
+
 def _set(df: DataFrame, name: str, col: str) -> DataFrame:
-    return df.select(F.lit(name).alias("set_name"), F.col(col).cast("string").alias("member")) \
+    out = df.select(F.lit(name).alias("set_name"), F.col(col).cast("string").alias("member")) \
         .filter(F.col("member").isNotNull()).distinct()
+    if name not in FALLBACK:
+        return out
+    default = df.sparkSession.createDataFrame([(name, m) for m in FALLBACK[name]], "set_name string, member string")
+    return out.unionByName(default.join(out.limit(1).select(F.lit(1).alias("_has")), F.lit(True), "left_anti"))
 
 
 def model_sets(parts: DataFrame, sizes: DataFrame, locations: DataFrame, types: DataFrame, techs: DataFrame,

@@ -76,3 +76,19 @@ def test_parts_key_is_unique(spark):
     parts = entry.queries()["parts_normalized"](spark, SF001)
     assert parts.count() == parts.select("material").distinct().count()
     assert parts.filter(F.col("material").isNull()).count() == 0
+
+
+def test_sets_of_empty_tables_fall_back(spark):
+    from stowage.plans import params as pm
+
+    parts = spark.createDataFrame([], "priority string, movement string")
+    sizes = spark.createDataFrame([], "size string")
+    locs = spark.createDataFrame([], "location string, location_priority int")
+    types, techs = spark.createDataFrame([("t",)], "type string"), spark.createDataFrame([("u",)], "tech_name string")
+    prio = spark.createDataFrame([(1, 1)], "location_priority int, reserve_allowed int")
+    grid = spark.createDataFrame([("HHS",)], "category string")
+    got = {}
+    for r in pm.model_sets(parts, sizes, locs, types, techs, prio, grid).collect():
+        got.setdefault(r.set_name, set()).add(r.member)
+    assert got == {"priority": set("HML"), "movement": set("HML"), "sizes": set("SML"), "priorities": {"1"},
+                   "types": {"t"}, "users": {"u"}, "skus": {"HHS"}}
