@@ -1,9 +1,9 @@
-"""Language-model scores by online logistic mixing of hashed-context bit predictors, beside a unigram base."""
+"""Language-model scores by online logistic mixing of context bit predictors, beside a unigram base."""
 
 from __future__ import annotations
 
 import heapq
-import uuid
+import os
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import count
@@ -18,28 +18,32 @@ from stowage.llm.common import bound_batches, byte_texts, crc_rest, groups_by_by
 
 #: A text is its words, each ended by a blank, and then this unit; UTF-8 lacks the byte 255.
 END = b"\xff"
-#: Slots (as powers of two) of the predictors: contexts of the last two and the last four bytes, and the word so far.
-SLOT_BITS = (18, 21, 21)
+#: Predictors: contexts of the last two, three and four bytes, and the word so far.  Slots (as powers of two) of their
+#: tables while a task learns weights; the counts that score are a table in Spark, as large as the corpus makes it.
+SLOT_BITS = (18, 20, 21, 22)
 K = len(SLOT_BITS)
-#: Times that a word recurs in a task from which it also tells how to weigh what is known of it.
-RECURRING = 8
+#: A task begins new tables when so large a share of the word's slots is in use.
+FULL = 0.25
+#: Slots of a scoring table for each (context, node) that the corpus has, at least.
+ROOM = 4
 #: Step of the online weights.
 RATE = 0.05
 #: Units of a stretched probability in a table.
 STRETCH = 128
 #: What a bit's counts start from.
 DELTA = 0.05
-#: Text whose equal words are scored at once; bits after which online weights are refined.
-STEP_BYTES, STEP_BITS = 4 << 20, 1 << 15
+#: Text whose equal words are scored at once, text that is predicted before it is counted (the first such steps are
+#: smaller), bits after which online weights are refined.
+STEP_BYTES, LEARN_BYTES, FIRST_BYTES, STEP_BITS = 4 << 20, 2 << 20, 1 << 16, 1 << 15
 #: Gates: evidence in the word's slot, evidence in the four bytes' slot, first byte of a word or not.
 LEVELS_WORD, LEVELS_FOUR = 8, 4  # at most 8
 GATES = LEVELS_WORD * LEVELS_FOUR * 2
 #: Buckets of the adaptive map over a mixed prediction, and the prediction at its ends.
 CELLS, EDGE = 33, 8.0
-#: Slots of one row of a written table; words held before a task passes its counts on.
-CHUNK, HELD = 1 << 11, 700_000
-#: Words whose counts are broadcast for look-up; the counts of all others are joined.
-HEAD = 1 << 19
+#: Slots whose entries are made at a time; items held before a task passes their counts on; items of one part.
+CHUNK, HELD, PART = 1 << 16, 700_000, 1 << 17
+#: Items whose counts and scores are broadcast for look-up; those of all others are joined.
+HEAD = 1 << 20
 
 
 def _code():
@@ -75,11 +79,12 @@ def _code():
 
 FIRST, LENGTH, NODE, BIT = _code()
 _RNG = np.random.default_rng(17)
-_BYTE = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
-_PLACE = _RNG.integers(0, 1 << 32, 64, dtype=np.uint32) | np.uint32(1)
+_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64)
 _NODE_MIX = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
 _SEED = _RNG.integers(0, 1 << 32, 8, dtype=np.uint32)
 _ODD = np.uint32(0x9E3779B1)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(255)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -89,11 +94,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Symbols:
-    """Bytes to predict: the byte, its K context hashes, whether it starts a word, how often it counts."""
+    """Bytes to predict: the byte, its K context hashes, whether it starts a word, how often it counts, and a hash of
+    all that is ahead of it in its word (56 bits) with the byte in the lowest eight."""
     byte: np.ndarray
     context: list[np.ndarray]
     start: np.ndarray
     weight: np.ndarray
+    pair: np.ndarray | None = None
 
 
 def _unit(word: bytes) -> bytes:
@@ -101,40 +108,52 @@ def _unit(word: bytes) -> bytes:
     return word + b" " if word else END
 
 
-def _types(units: list[bytes], counts: np.ndarray):
-    """(symbols behind the first byte of each distinct unit, the unit of each)."""
-    lens = np.array([len(u) for u in units])
+def _types(units: list[bytes], counts: np.ndarray, first_of_next: np.ndarray | None = None):
+    """(symbols behind the first byte of each distinct unit, the unit of each).
+
+    Units marked by ``first_of_next`` are a word, its blank and the first byte of the next word, which is the only
+    symbol of theirs: it is predicted from nothing, the last two and three bytes ahead of the blank and the whole word
+    (the empty word ahead of a text).
+    """
+    lens = np.array([len(u) for u in units], dtype=np.int64)
     data = np.frombuffer(b"".join(units), dtype=np.uint8)
     first = np.cumsum(lens) - lens
     unit = np.repeat(np.arange(len(units)), lens)
     place = np.arange(len(data)) - first[unit]
-    term = _BYTE[data] * _PLACE[place & 63]
-    run = np.cumsum(term, dtype=np.uint32)
+    power = np.cumprod(np.full(int(lens.max(initial=0)) + 1, _STEP, dtype=np.uint64), dtype=np.uint64)
+    term = _BYTE[data] * power[place]
+    run = np.cumsum(term, dtype=np.uint64)
     before = run - term - (run - term)[first][unit]  # hash of the unit's bytes ahead of this one
-    b1 = np.concatenate([[0], data[:-1]]).astype(np.uint32)
-    b2 = np.where(place >= 2, np.concatenate([[0, 0], data[:-2]])[:len(data)], 0).astype(np.uint32)
-    b3 = np.where(place >= 3, np.concatenate([[0, 0, 0], data[:-3]])[:len(data)], 0).astype(np.uint32)
-    b4 = np.where(place >= 4, np.concatenate([[0, 0, 0, 0], data[:-4]])[:len(data)], 0).astype(np.uint32)
-    on = place > 0
+    before = (before ^ (before >> np.uint64(31))) * _STEP
+    before ^= before >> np.uint64(29)
+    b1, b2, b3, b4 = (np.where(place >= k, np.concatenate([np.zeros(k, np.uint8), data[:-k]])[:len(data)], 0)
+                      .astype(np.uint32) for k in (1, 2, 3, 4))
+    start = np.zeros(len(units), dtype=bool) if first_of_next is None else first_of_next
+    on = np.where(start[unit], place == lens[unit] - 1, place > 0)
+    start = start[unit[on]]
+    b1, b2, b3, b4, before, byte = b1[on], b2[on], b3[on], b4[on], before[on], data[on]
     two = b1 | (b2 << np.uint32(8))
-    four = two | (b3 << np.uint32(16)) | (b4 << np.uint32(24))
-    ctx = [_mixed(two[on] + _SEED[0]), _mixed(four[on] + _SEED[1]), _mixed(before[on] + _SEED[2])]
-    return Symbols(data[on], ctx, np.zeros(int(on.sum()), dtype=bool), counts[unit[on]]), unit[on]
+    three = two | (b3 << np.uint32(16))
+    four = three | (b4 << np.uint32(24))
+    ahead = b2 | (b3 << np.uint32(8))
+    ctx = [_mixed(np.where(start, _SEED[4], two + _SEED[0])), _mixed(np.where(start, ahead + _SEED[5], three + _SEED[1])),
+           _mixed(np.where(start, (ahead | (b4 << np.uint32(16))) + _SEED[6], four + _SEED[2])),
+           (before >> np.uint64(32)).astype(np.uint32)]
+    return Symbols(byte, ctx, start, counts[unit[on]], (before & ~_LOW) | byte), unit[on]
 
 
-def _starts(pairs: np.ndarray, weight: np.ndarray) -> Symbols:
-    """First bytes of words, each predicted from the three bytes ahead of the blank before (0 ahead of a text).
+def _distinct(s: Symbols):
+    """(each byte behind the same beginning of a word once, with the sum of the weights; which of them each symbol is).
 
-    ``pairs``: those bytes * 256 + the first byte.
+    All contexts follow from the beginning of the word.
     """
-    tail = (pairs >> 8).astype(np.uint32)
-    ctx = [_mixed(np.full(len(tail), 0, np.uint32) + _SEED[4]), _mixed((tail & np.uint32(65535)) + _SEED[5]),
-           _mixed(tail + _SEED[6])]
-    return Symbols((pairs & 255).astype(np.uint8), ctx, np.ones(len(tail), dtype=bool), weight)
+    pair, first, which = np.unique(s.pair, return_index=True, return_inverse=True)
+    weight = np.bincount(which, weights=s.weight, minlength=len(pair)).astype(np.int64)
+    return Symbols(s.byte[first], [c[first] for c in s.context], s.start[first], weight, pair), which
 
 
 def _bits(s: Symbols):
-    """Pieces of at most about STEP_BITS bits: (symbol of each bit, slots by predictor, bit)."""
+    """Pieces of at most about STEP_BITS bits: (symbol of each bit, its node, bit)."""
     n = LENGTH[s.byte]
     upto = np.cumsum(n)
     at = 0
@@ -143,12 +162,15 @@ def _bits(s: Symbols):
         m = n[at:to]
         sym = np.repeat(np.arange(at, to), m)
         entry = np.arange(len(sym)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(FIRST[s.byte[at:to]], m)
-        mix = _NODE_MIX[NODE[entry]]
-        slots = [((c[sym] ^ mix) * _ODD) >> np.uint32(32 - b) for c, b in zip(s.context, SLOT_BITS)]
-        yield sym, slots, BIT[entry]
+        yield sym, NODE[entry], BIT[entry]
         at = to
 
 
+def _hashes(context: np.ndarray, sym, node) -> np.ndarray:
+    """Hashes of (context, node), of which the upper bits are a slot."""
+    return (context[sym] ^ _NODE_MIX[node]) * _ODD
+
+
 def _levels(n: np.ndarray, top: int, per: int) -> np.ndarray:
     """Evidence in a slot: 0 for none, then by ``per`` doublings each."""
     return np.searchsorted(2.0 ** (per * np.arange(top - 1)) - 0.5, n).astype(np.int16)
@@ -158,30 +180,33 @@ def _entries(k: int, counts: np.ndarray) -> np.ndarray:
     """Table entries of slots of predictor ``k`` from their counts of zeros and ones."""
     f = np.log(counts.astype(np.float32) + np.float32(DELTA))
     x = np.clip(np.rint((f[:, 1] - f[:, 0]) * STRETCH), -4095, 4095).astype(np.int16) << 3
-    if k:
-        x |= _levels(counts.sum(1), *((LEVELS_FOUR, 3), (LEVELS_WORD, 2))[k - 1])
+    if k >= 2:
+        x |= _levels(counts.sum(1), *((LEVELS_FOUR, 3), (LEVELS_WORD, 2))[k - 2])
     return x
 
 
 class Mixer:
     """K stretched predictions by slot, gated weights over them, and the adaptive map of what they mix to."""
 
-    def __init__(self):
+    def __init__(self, slot_bits=SLOT_BITS):
         # by slot: the stretched probability in units of 1/STRETCH, times 8, plus the slot's level of evidence
-        self.table = [np.zeros(1 << b, dtype=np.int16) for b in SLOT_BITS]
+        self.slot_bits = slot_bits
+        self.table = [np.zeros(1 << b, dtype=np.int16) for b in slot_bits]
         self.weight = np.full((K, GATES), 0.35, dtype=np.float32)
         self.cells = np.zeros((2, GATES * CELLS))  # weights of zeros and ones that fell into a cell
 
+    def slots(self, s: Symbols, sym, node) -> list[np.ndarray]:
+        return [_hashes(c, sym, node) >> np.uint32(32 - b) for c, b in zip(s.context, self.slot_bits)]
+
     def load(self, counts: list[np.ndarray]) -> None:
         """Take the stretches and evidence from the counts of zeros and ones of each predictor's slots."""
         for k, c in enumerate(counts):
             for at in range(0, len(c), CHUNK):
                 self.table[k][at:at + CHUNK] = _entries(k, c[at:at + CHUNK])
 
-    def mix(self, s: Symbols, sym, slots):
-        """(gate, inputs, mixed prediction in the stretched domain, its cell) of each bit."""
-        t = [table[i] for table, i in zip(self.table, slots)]
-        gate = ((t[2] & 7) * np.int16(LEVELS_FOUR) + (t[1] & 7)) * np.int16(2) + s.start[sym]
+    def mix(self, s: Symbols, sym, t):
+        """(gate, inputs, mixed prediction in the stretched domain, its cell) of each bit, from its table entries."""
+        gate = ((t[3] & 7) * np.int16(LEVELS_FOUR) + (t[2] & 7)) * np.int16(2) + s.start[sym]
         x = [(q >> 3).astype(np.float32) for q in t]
         z = x[0] * self.weight[0][gate]
         for k in range(1, K):
@@ -198,11 +223,12 @@ class Mixer:
         mid = np.tile(mid, GATES)
         return ((self.cells[1] + 4 * mid) / (self.cells.sum(0) + 4)).astype(np.float32)
 
-    def log10(self, s: Symbols, refined: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol."""
+    def log10(self, s: Symbols, refined: np.ndarray, word=None) -> np.ndarray:
+        """log10 of the probability of each symbol; ``word`` gives the last predictor's entries if it has no table."""
         out = np.zeros(len(s.byte))
-        for sym, slots, bit in _bits(s):
-            _, _, z, cell = self.mix(s, sym, slots)
+        for sym, node, bit in _bits(s):
+            t = [table[i] for table, i in zip(self.table, self.slots(s, sym, node))]
+            _, _, z, cell = self.mix(s, sym, t if word is None else [*t, word(s.pair[sym], node)])
             p = 0.5 * (1 / (1 + np.exp(-z)) + refined[cell])
             p = np.where(bit, p, 1 - p)
             lp = np.log10(np.maximum(p, np.float32(1e-7)))
@@ -227,10 +253,11 @@ class Learner(Mixer):
         self.seen = np.zeros(GATES)
         self.square = np.full((K, GATES), 1e-4)
 
-    def learn(self, s: Symbols, count: bool = True) -> None:
+    def learn(self, s: Symbols) -> None:
         """Refine weights and map by what the tables say of ``s``, and count its bits."""
-        for sym, slots, bit in _bits(s):
-            gate, x, z, cell = self.mix(s, sym, slots)
+        for sym, node, bit in _bits(s):
+            slots = self.slots(s, sym, node)
+            gate, x, z, cell = self.mix(s, sym, [table[i] for table, i in zip(self.table, slots)])
             n = s.weight[sym]
             err = (bit - 1 / (1 + np.exp(-z))) * n * np.float32(1 / STRETCH)
             seen = np.bincount(gate, weights=n, minlength=GATES)
@@ -241,214 +268,270 @@ class Learner(Mixer):
             self.seen += seen
             self.cells.reshape(-1)[:] += np.bincount(cell + bit * np.int32(GATES * CELLS), weights=n,
                                                      minlength=2 * GATES * CELLS)
-            if not count:
-                continue
             often = n.astype(np.int32)
             for k in range(K):
                 np.add.at(self.counts[k].reshape(-1), (slots[k].view(np.int32) << 1) | bit, often)
 
-    def rows(self):
-        """The task's share of the model, as rows (table, chunk, whole numbers): sums of shares are the model."""
-        for k, c in enumerate(self.counts):
-            for at in range(0, len(c), CHUNK):
-                part = c[at:at + CHUNK]
-                if part.any():
-                    yield k, at // CHUNK, part.ravel()
-        yield K, 0, np.rint(self.cells.ravel()).astype(np.int64)
-        yield K + 1, 0, np.concatenate([np.rint(self.weight * self.seen * 1024).astype(np.int64).ravel(),
-                                        np.rint(self.seen).astype(np.int64)])
+    def fresh(self) -> None:
+        """Begin new tables; weights and map stay."""
+        for c, t in zip(self.counts, self.table):
+            c[:] = 0
+            t[:] = 0
 
+    def share(self):
+        """The task's share of weights and map, as whole numbers: (K: the map; K + 1: weights by evidence, evidence)."""
+        yield K, np.rint(self.cells.ravel()).astype(np.int64)
+        yield K + 1, np.concatenate([np.rint(self.weight * self.seen * 1024).astype(np.int64).ravel(),
+                                     np.rint(self.seen).astype(np.int64)])
 
-def _first_bytes(texts: list[list[bytes]]) -> np.ndarray:
-    """For each unit of texts (lists of words) the three bytes ahead of its blank and its first byte, as one number."""
-    data = np.frombuffer(b"".join([b"\0\0\0 " + b" ".join(w) + b" \xff" if w else b"\0\0\0 \xff" for w in texts]),
-                         dtype=np.uint8)
-    at = np.flatnonzero(data == 32)
-    d = data.astype(np.int64)
-    return (((d[at - 3] << 8 | d[at - 2]) << 8 | d[at - 1]) << 8) | d[at + 1]
 
-
-_LEARNT = "kind int, part int, word binary, n long, share binary"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("word", pa.binary()), ("n", pa.int64()),
-                     ("share", pa.binary())])
+@dataclass
+class Step:
+    """Texts as items: words (the empty one ends a text) and, behind them, pairs of a word and the next one's first byte."""
+    items: list[bytes]
+    words: int  # so many of the items are words
+    ids: np.ndarray  # word of each token
+    pair_ids: np.ndarray  # pair of each token
+    size: np.ndarray  # tokens of each text
+
+
+def _step(texts: list[bytes]) -> Step:
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    number[b""]  # ends texts, and stands ahead of each first word
+    ids, size = [], []
+    for t in texts:
+        words = t.lower().split()  # splits at the ASCII blanks
+        words.append(b"")
+        size.append(len(words))
+        ids.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
+    run = np.concatenate(ids)
+    word = list(number)
+    first = np.array([w[0] if w else END[0] for w in word], dtype=np.int64)
+    codes, which = np.unique(np.append(0, run[:-1]).astype(np.int64) * 256 + first[run], return_inverse=True)
+    pairs = [word[c >> 8] + b" " + bytes((c & 255,)) for c in codes.tolist()]  # words hold no blank
+    return Step(word + pairs, len(word), run, which + len(word), np.array(size))
+
+
+def _symbols(items: list[bytes], n: np.ndarray):
+    """(symbols of items, the item of each)."""
+    pair = np.array([b" " in i for i in items], dtype=bool)
+    return _types([i if p else _unit(i) for i, p in zip(items, pair.tolist())], n, pair)
+
+
+_LEARNT = "kind int, item binary, n long, share array<long>"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("item", pa.binary()), ("n", pa.int64()), ("share", pa.list_(pa.int64()))])
 
 
 def _learn(batches):
-    """Words and their counts (kind -1), and the task's share of the model (kind: table).
+    """Items and their counts in learnt texts, 0 for those of others (kind -1), and the task's share of weights and map.
 
-    Equal words of a task are learnt together, weighed by their number, in the order in which they first appear.
+    Each step of text is predicted by what was counted before it, then counted; equal symbols of a step are weighed by
+    their number.
     """
-    learner, held, pairs = Learner(), Counter(), Counter()
-
-    def settle():
-        """Learn from the held words and pass their counts on."""
-        counts = np.array(list(held.values()), dtype=np.int64)
-        units = [_unit(w) for w in held]
-        done = 0
-        for part in (8, 2, 1):  # the first slices are small, as little is known yet
-            to = len(units) // part
-            if to > done:
-                learner.load(learner.counts)
-                learner.learn(_types(units[done:to], counts[done:to])[0])
-                done = to
-        starts = _starts(np.array(list(pairs), dtype=np.int64), np.array(list(pairs.values()), dtype=np.int64))
-        learner.learn(starts)
-        # equal words came all at once, most of them before anything was known: those that recur are predicted again
-        learner.load(learner.counts)
-        again = np.flatnonzero(counts >= RECURRING)
-        if len(again):
-            learner.learn(_types([units[i] for i in again], counts[again])[0], count=False)
-        learner.learn(starts, count=False)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), -1, np.int32)), pa.nulls(len(units), pa.int32()),
-                                          pa.array(list(held), pa.binary()), pa.array(counts),
-                                          pa.nulls(len(units), pa.binary())], schema=_SCHEMA)
+    learner, held, steps = Learner(), Counter(), 0
+
+    def item_rows():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), -1, np.int32)), pa.array(list(held), pa.binary()),
+                                          pa.array(list(held.values()), pa.int64()),
+                                          pa.nulls(len(held), _SCHEMA.field("share").type)], schema=_SCHEMA)
         held.clear()
-        pairs.clear()
 
     for b in batches:
-        texts = byte_texts(b.column(0))
-        for lo, hi in groups_by_bytes(texts, STEP_BYTES):
-            words = [t.lower().split() for t in texts[lo:hi]]  # splits at the ASCII blanks
-            for w in words:
-                held.update(w)
-            held[b""] += len(words)  # the end of a text is a token too; no word is empty
-            found, n = np.unique(_first_bytes(words), return_counts=True)
-            pairs.update(dict(zip(found.tolist(), n.tolist())))
-            if len(held) > HELD:
-                yield from settle()
+        texts, out = byte_texts(b.column("t")), b.column("out").to_pylist()
+        for learnt in (True, False):
+            some = [t for t, o in zip(texts, out) if o != learnt]
+            at = 0
+            while at < len(some):
+                lo, hi = next(groups_by_bytes(some[at:], min(LEARN_BYTES, FIRST_BYTES << steps) if learnt else STEP_BYTES))
+                step = _step(some[at:at + hi])
+                at += hi
+                n = np.bincount(step.ids, minlength=len(step.items)) + np.bincount(step.pair_ids,
+                                                                                  minlength=len(step.items))
+                if learnt:
+                    steps += steps < 10
+                    if np.count_nonzero(learner.table[K - 1]) > FULL * len(learner.table[K - 1]):
+                        learner.fresh()
+                    learner.learn(_distinct(_symbols(step.items, n)[0])[0])
+                    learner.load(learner.counts)
+                for i, m in zip(step.items, n.tolist()):
+                    held[i] += m if learnt else 0
+                if len(held) > HELD:
+                    yield from item_rows()
     if held:
-        yield from settle()
+        yield from item_rows()
     if learner.seen.any():
-        shares = list(learner.rows())
-        for at in range(0, len(shares), 64):
-            table, part, share = zip(*shares[at:at + 64])
-            yield pa.RecordBatch.from_arrays([pa.array(table, pa.int32()), pa.array(part, pa.int32()),
-                                              pa.nulls(len(table), pa.binary()), pa.nulls(len(table), pa.int64()),
-                                              pa.array([x.tobytes() for x in share], pa.binary())], schema=_SCHEMA)
+        for kind, share in learner.share():
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.nulls(1, pa.binary()),
+                                              pa.nulls(1, pa.int64()), pa.array([share], pa.list_(pa.int64()))],
+                                             schema=_SCHEMA)
+
+
+def _beginnings(cut: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """Sorted hashes of the beginnings that the last item of a part has in common with the first one of the next."""
+    both = sorted({os.path.commonprefix(c) for c in cut} - {b""})
+    if not both:
+        return np.zeros(0, dtype=np.uint64)
+    # the units hold no bytes but those in common and one more, which all of them are ahead of
+    return np.unique(_types([c + b" " for c in both], np.ones(len(both), dtype=np.int64))[0].pair & ~_LOW)
+
+
+def _among(pair: np.ndarray, beginnings: np.ndarray) -> np.ndarray:
+    return np.isin(pair & ~_LOW, beginnings)
+
+
+def _count(beginnings: np.ndarray):
+    """Counts of (predictor, hash of context and node): zeros and ones; for the word so far, which is counted where its
+    items are, only those of (beginning, byte) that are in several parts (in n1)."""
+    def counted(items, n):
+        s, _ = _distinct(_symbols(items, n)[0])
+        shared = _among(s.pair, beginnings)
+        out = [(np.full(int(shared.sum()), K - 1, np.int32), s.pair[shared].view(np.int64),
+                np.zeros(int(shared.sum()), np.int64), s.weight[shared])]
+        on = s.weight > 0
+        s = Symbols(s.byte[on], [c[on] for c in s.context], s.start[on], s.weight[on], s.pair[on])
+        parts = [(sym, node, bit) for sym, node, bit in _bits(s)]
+        if parts:
+            sym, node, bit = (np.concatenate(x) for x in zip(*parts))
+            for k in range(K - 1):
+                h, which = np.unique(_hashes(s.context[k], sym, node), return_inverse=True)
+                n = [np.bincount(which, weights=s.weight[sym] * (bit == b), minlength=len(h)).astype(np.int64)
+                     for b in (0, 1)]
+                out.append((np.full(len(h), k, np.int32), h.astype(np.int64), *n))
+        for row in out:
+            for at in range(0, len(row[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 17)]) for c in row],
+                                                 names=["k", "h", "n0", "n1"])
 
+    def run(batches):
+        items, ns = [], []
+        for b in batches:
+            items += b.column("item").to_pylist()
+            ns.append(b.column("n").to_numpy(zero_copy_only=False))
+            if len(items) >= PART:
+                yield from counted(items, np.concatenate(ns))
+                items, ns = [], []
+        if items:
+            yield from counted(items, np.concatenate(ns))
 
-def _sum_shares(batches):
-    """Sum of the shares of each (kind, part), from rows sorted by it, one at a time; of slots, their entries."""
-    now, total = None, None
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("share", pa.binary())])
-
-    def row():
-        out = total if now[0] >= K else _entries(now[0], total.reshape(-1, 2))
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()),
-                                           pa.array([out.tobytes()], pa.binary())], schema=schema)
-
-    for b in batches:
-        for kind, part, share in zip(*(b.column(c).to_pylist() for c in ("kind", "part", "share"))):
-            x = np.frombuffer(share, dtype="<i4" if kind < K else "<i8").astype(np.int64)
-            if (kind, part) == now:
-                total = total + x
-            else:
-                if now is not None:
-                    yield row()
-                now, total = (kind, part), x
-    if now is not None:
-        yield row()
+    return run
 
 
 @dataclass
 class Model:
-    """The mixer, the unigram totals and the counts of the most frequent words."""
+    """The mixer with the tables of the last bytes, its map, and the counts of beginnings that are in several parts."""
     mixer: Mixer
     refined: np.ndarray
-    tokens: int
-    distinct: int
-    head: dict[bytes, int]
+    beginnings: np.ndarray
+    pair: np.ndarray
+    n: np.ndarray
+
+
+def _word_entries(m: Model, s: Symbols):
+    """Look-up of the entries of the word so far, from exact counts of the bits behind each beginning of a word."""
+    own = ~_among(s.pair, m.beginnings)
+    pair, n = np.append(s.pair[own], m.pair), np.append(s.weight[own], m.n)
+    length = LENGTH[(pair & _LOW).astype(np.uint8)]
+    sym = np.repeat(np.arange(len(pair)), length)
+    entry = np.arange(len(sym)) + np.repeat(FIRST[(pair & _LOW).astype(np.uint8)] - np.cumsum(length) + length, length)
+    keys, which = np.unique((pair & ~_LOW)[sym] | NODE[entry], return_inverse=True)
+    counts = np.stack([np.bincount(which, weights=n[sym] * (BIT[entry] == b), minlength=len(keys)) for b in (0, 1)], 1)
+    entries = _entries(K - 1, counts)
+    return lambda pair, node: entries[np.searchsorted(keys, (pair & ~_LOW) | node)]
+
+
+def _score_items(model):
+    """Items of a part with the model's log10 probability of their symbols."""
+    def run(part: pa.Table) -> pa.Table:
+        m: Model = model.value
+        n = part["n"].to_numpy()
+        symbols, item = _symbols(part["item"].to_pylist(), n)
+        s, which = _distinct(symbols)
+        lp = m.mixer.log10(s, m.refined, _word_entries(m, s)) if len(which) else np.zeros(0)
+        score = np.bincount(item, weights=lp[which], minlength=len(n))
+        return pa.table({"item": part["item"], "n": part["n"], "lp": pa.array(score)})
+    return run
+
 
+def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame, dict[bytes, tuple[int, float]]]:
+    """(items, most frequent items): of each word and each (word, first byte of the next) of ``docs`` its count n in the
+    rows that aren't ``held_out`` and log10 of the probability lp that the model learnt from these gives to its symbols.
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """(model, word counts) learnt from all rows of ``docs``.
+    Each task learns weights online over its own texts: a step of text is predicted by what the task has counted, the
+    gated weights follow the error, the adaptive map counts where predictions fell, then the step's bits are counted.
+    Maps add up, and weights are averaged by the bits seen at their gate, all in whole numbers, whose sums don't depend on
+    the order.  A task's tables only serve this; they begin anew when FULL.
 
-    Each task learns online over the words of its own texts: a slice is predicted by what the task has seen, the gated
-    weights follow the error, the adaptive map counts where predictions fell, then the slice's bits are counted into the
-    predictors' slots.  A predictor's probability is the mean of the bits seen in its slot, so tasks'
-    counts add up to those of one pass over everything; maps add up too, and weights are averaged by the bits seen
-    at their gate, all in whole numbers, whose sums don't depend on the order.  Shares are shuffled by table and
-    chunk and summed one after another; the model has a fixed size, the word counts stay a table.
+    The counts that score are those of the whole corpus.  Of the last bytes: a table of (predictor, context, node) in
+    Spark, from which a scoring table is made with ROOM slots for each of them.  Of the word so far: items are
+    range-partitioned, so that equal beginnings of words lie together, and are counted exactly in their part; what is
+    behind the few beginnings that go across the border of parts is summed over all.
     """
-    learnt = stage_table(docs.select(F.col(text_col).alias("t")).mapInArrow(_learn, _LEARNT), "lm-learnt")
-    words = stage_table(learnt.where("kind = -1").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    shares = (learnt.where("kind >= 0").select("kind", "part", "share").repartition("kind", "part")
-              .sortWithinPartitions("kind", "part").mapInArrow(_sum_shares, "kind int, part int, share binary"))
-    mixer = Mixer()
-    for r in shares.collect():  # as many rows as the model has chunks
-        if r["kind"] < K:
-            x = np.frombuffer(r["share"], dtype="<i2")
-            mixer.table[r["kind"]][r["part"] * CHUNK:r["part"] * CHUNK + len(x)] = x
-            continue
-        x = np.frombuffer(r["share"], dtype="<i8")
-        if r["kind"] == K:
-            mixer.cells = x.reshape(2, -1).astype(float)
-        else:
-            w, seen = x[:GATES * K].reshape(K, GATES), x[GATES * K:]
-            mixer.weight = np.where(seen > 0, w / 1024 / np.maximum(seen, 1), 0.35).astype(np.float32)
-    totals = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    # words at least as frequent as the count from which there are at most HEAD; counts sum to the tokens, so there
-    # are at most sqrt(2 * tokens) distinct ones
-    upto = F.sum("words").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
-    least = (words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("upto", upto)
+    spark = docs.sparkSession
+    learnt = stage_table(docs.select(F.col(text_col).alias("t"), held_out.alias("out")).mapInArrow(_learn, _LEARNT),
+                         "lm-learnt")
+    items = stage_table(learnt.where("kind = -1").groupBy("item").agg(F.sum("n").alias("n")), "lm-items")
+    parts = items.count() // PART + 1
+    items = stage_table(items.repartitionByRange(parts, "item").withColumn("part", F.spark_partition_id()), "lm-parts")
+    ends = sorted((r["part"], bytes(r["a"]), bytes(r["z"])) for r in items.groupBy("part").agg(
+        F.min("item").alias("a"), F.max("item").alias("z")).collect())
+    beginnings = _beginnings([(x[2], y[1]) for x, y in zip(ends[:-1], ends[1:])])
+    counts = stage_table(items.select("item", "n").mapInArrow(_count(beginnings), "k int, h long, n0 long, n1 long")
+                         .groupBy("k", "h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "lm-counts")
+    found = {r["k"]: r["count"] for r in counts.groupBy("k").count().collect()}
+    mixer = Mixer(tuple(min(32, max(8, (ROOM * found.get(k, 0)).bit_length())) for k in range(K - 1)))
+    for k, bits in enumerate(mixer.slot_bits):
+        slot = F.shiftright("h", 32 - bits)
+        t = (counts.where(F.col("k") == k).groupBy(slot.alias("slot"))
+             .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow())
+        n = np.stack([t["n0"].to_numpy(), t["n1"].to_numpy()], 1)
+        mixer.table[k][t["slot"].to_numpy()] = _entries(k, n)
+    shares = {K: np.zeros(2 * GATES * CELLS, np.int64), K + 1: np.zeros((K + 1) * GATES, np.int64)}
+    for r in (learnt.where("kind >= 0").select("kind", F.posexplode("share").alias("at", "x")).groupBy("kind", "at")
+              .agg(F.sum("x").alias("x")).collect()):
+        shares[r["kind"]][r["at"]] = r["x"]
+    mixer.cells = shares[K].reshape(2, -1).astype(float)
+    w, seen = shares[K + 1][:GATES * K].reshape(K, GATES), shares[K + 1][GATES * K:]
+    mixer.weight = np.where(seen > 0, w / 1024 / np.maximum(seen, 1), 0.35).astype(np.float32)
+    shared = counts.where(F.col("k") == K - 1).select("h", "n1").toArrow()
+    model = Model(mixer, mixer.refined(), beginnings, shared["h"].to_numpy().astype(np.int64).view(np.uint64),
+                  shared["n1"].to_numpy())
+    scored = stage_table(items.groupBy("part").applyInArrow(_score_items(spark.sparkContext.broadcast(model)),
+                                                            "item binary, n long, lp double"), "lm-scored-items")
+    # items at least as frequent as the count from which there are at most HEAD; counts sum to twice the tokens, so there
+    # are at most sqrt(4 * tokens) distinct ones
+    upto = F.sum("items").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
+    least = (scored.groupBy("n").agg(F.count(F.lit(1)).alias("items")).withColumn("upto", upto)
              .where(F.col("upto") <= HEAD).agg(F.min("n")).first()[0])
-    most = words.where(F.col("n") >= least if least else F.lit(False)).toArrow()
-    head = dict(zip(most["word"].to_pylist(), most["n"].to_pylist()))
-    return Model(mixer, mixer.refined(), totals["n"] or 0, totals["v"], head), words
-
-
-#: Units whose log-probabilities a worker keeps for its next texts, and for which model.
-KEPT = 1_000_000
-_kept: dict[bytes, float] = {}
-_kept_for: list = []
+    most = scored.where(F.col("n") >= least if least is not None else F.lit(False)).toArrow()
+    return scored, dict(zip(most["item"].to_pylist(), zip(most["n"].to_pylist(), most["lp"].to_pylist())))
 
 
-def _unit_logs(m: "Model", key, units: list[bytes]) -> np.ndarray:
-    """log10 of the probability of each unit's bytes behind the first, which depend on the unit alone."""
-    if _kept_for != [key] or len(_kept) > KEPT:
-        _kept.clear()
-        _kept_for[:] = [key]
-    new = [u for u in units if u not in _kept]
-    for at in range(0, len(new), 1 << 16):
-        part = new[at:at + (1 << 16)]
-        symbols, unit = _types(part, np.ones(len(part), dtype=np.int64))
-        _kept.update(zip(part, np.bincount(unit, weights=m.mixer.log10(symbols, m.refined), minlength=len(part)).tolist()))
-    return np.fromiter(map(_kept.__getitem__, units), dtype=float, count=len(units))
-
-
-def _score(model, key: str):
-    """Of each text: tokens, known tokens and sum of log10(c + 1) among the broadcast words, the other words with
-    their counts, and the model's log10 probability."""
+def _score(head):
+    """Of each text: tokens, known tokens, sum of log10(c + 1) and score of the broadcast items, and the other items
+    with their counts."""
     def run(batches):
-        m: Model = model.value
-        logs = dict(zip(m.head, np.log10(np.array(list(m.head.values())) + 1.0).tolist()))
+        known: dict = head.value
         for b in batches:
             texts = byte_texts(b.column("t"))
             for lo, hi in groups_by_bytes(texts, STEP_BYTES):
-                words = [t.lower().split() for t in texts[lo:hi]]
-                number: dict[bytes, int] = defaultdict(count().__next__)
-                size = np.array([len(w) + 1 for w in words])
-                begin = np.cumsum(size) - size
-                ids = np.concatenate([np.fromiter(map(number.__getitem__, [*w, b""]), dtype=np.int32, count=n)
-                                      for w, n in zip(words, size.tolist())])
-                word = list(number)
-                value = np.array([logs.get(w, -1.0) for w in word])
-                there = value >= 0
-                value[~there] = 0
-                pairs, which = np.unique(_first_bytes(words), return_inverse=True)
-                lp = (_unit_logs(m, key, [_unit(w) for w in word])[ids]
-                      + m.mixer.log10(_starts(pairs, np.ones(len(pairs))), m.refined)[which])
-                per = np.add.reduceat(np.stack([lp, there[ids], value[ids]]), begin, axis=1)
-                rare = np.flatnonzero(~there[ids])
-                cuts = np.searchsorted(rare, np.append(begin, len(ids)))
+                s = _step(texts[lo:hi])
+                begin = np.cumsum(s.size) - s.size
+                got = [known.get(i) for i in s.items]
+                there = np.array([g is not None for g in got])
+                n, lp = np.array([g or (0, 0.0) for g in got]).T
+                logs = np.log10(n + 1)
+                per = np.add.reduceat(np.stack([n[s.ids] > 0, logs[s.ids], lp[s.ids] + lp[s.pair_ids]]), begin, axis=1)
+                every = np.stack([s.ids, s.pair_ids], 1).ravel()
+                rare = np.flatnonzero(~there[every])
+                cuts = np.searchsorted(rare, 2 * np.append(begin, len(s.ids)))
                 tails, ns = [], []
                 for a, z in zip(cuts[:-1], cuts[1:]):
-                    c = Counter(ids[rare[a:z]].tolist())
-                    tails.append([word[i] for i in c])
+                    c = Counter(every[rare[a:z]].tolist())
+                    tails.append([s.items[i] for i in c])
                     ns.append(list(c.values()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id")[lo:hi], b.column("seq")[lo:hi], pa.array(size),
-                     pa.array(per[1].astype(np.int64)), pa.array(per[2]), pa.array(per[0]),
+                    [b.column("id")[lo:hi], b.column("seq")[lo:hi], pa.array(s.size),
+                     pa.array(per[0].astype(np.int64)), pa.array(per[1]), pa.array(per[2]),
                      pa.array(tails, pa.list_(pa.binary())), pa.array(ns, pa.list_(pa.int64()))],
                     names=["id", "seq", "n_tokens", "known", "logs", "score", "rare", "times"])
     return run
@@ -460,12 +543,13 @@ def score_language(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "
 
     A text is the sequence of its words and an end, as it is for the base.  Held out are ids with
     crc32(id as text) mod ``mod`` equal to ``held``.  A-Z are lower-cased.  The model gives each byte and the end of a
-    text bit by bit: predictors looked up by hashed contexts (the last two and four bytes and the word so far;
-    for the first byte of a word none, two and three bytes ahead of the blank) are stretched, weighed by a weight
-    set that the evidence in their slots selects, mixed and refined by an adaptive map; score is log10 of the
+    text bit by bit: predictions by contexts (the last two, three and four bytes and the word so far; for the first byte
+    of a word none, the last two and three bytes ahead of the blank and the whole word before) are stretched, weighed by
+    a weight set that the evidence for them selects, mixed and refined by an adaptive map; score is log10 of the
     product, so -score * log2(10) are the text's total bits.  While scoring, nothing is learnt, so scores don't depend
-    on the order of texts.  base_score is the sum over words and the end token of
-    log10((c + 1) / (N + V + 1)); the HEAD most frequent words are looked up where the text is, all others by a join.
+    on the order of texts, and each word and each pair of a word and the next one's first byte is scored once (see
+    :func:`train`).  base_score is the sum over words and the end token of log10((c + 1) / (N + V + 1)); the HEAD most
+    frequent items are looked up where the text is, all others by a join.
 
     Null texts count as empty (the end token alone); repeated rows each get a row; a null id hashes as the empty
     text; without training texts the model is the untrained one and N = V = 0.  Other columns aren't read.
@@ -474,22 +558,27 @@ def score_language(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    out_ = crc_rest(F.col(id_col), mod) == held
-    model, words = train(docs.where(~out_).select(F.col(text_col)), text_col)
-    shared = spark.sparkContext.broadcast(model)  # of a fixed size: the slots and HEAD words
+    items, most = train(docs, crc_rest(F.col(id_col), mod) == held, text_col)
+    word = ~F.contains("item", F.lit(b" "))  # pairs hold a blank
+    totals = items.where(word & (F.col("n") > 0)).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    head = spark.sparkContext.broadcast(most)  # HEAD items at most
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), row_seq().alias("seq"), F.col(text_col).alias("t"))
     scored = stage_table(rows.mapInArrow(
-        _score(shared, uuid.uuid4().hex), f"id {kind}, seq long, n_tokens long, known long, logs double, score double, "
-                        "rare array<binary>, times array<long>"), "lm-scored")
+        _score(head), f"id {kind}, seq long, n_tokens long, known long, logs double, score double, "
+                      "rare array<binary>, times array<long>"), "lm-scored")
+    times = F.col("times")
     rare = (scored.select("seq", F.explode(F.arrays_zip("rare", "times")).alias("w"))
-            .select("seq", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-            .join(words, "word").groupBy("seq")
-            .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs")))
-    total = float(np.log10(model.tokens + model.distinct + 1))
+            .select("seq", F.col("w.rare").alias("item"), F.col("w.times").alias("times"))
+            .join(items, "item").groupBy("seq")
+            .agg(F.sum(F.when(word & (F.col("n") > 0), times)).alias("more"),
+                 F.sum(F.when(word, times * F.log10(F.col("n") + 1))).alias("more_logs"),
+                 F.sum(times * F.col("lp")).alias("more_score")))
+    tokens = totals["n"] or 0
+    total = float(np.log10(tokens + totals["v"] + 1))
     return (scored.drop("rare", "times").join(rare, "seq", "left")
             .select(F.col("id").alias(id_col), (crc_rest(F.col("id"), mod) == held).alias("held_out"), "n_tokens",
                     (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-                    F.lit(model.tokens).cast("long").alias("train_tokens"),
+                    F.lit(tokens).cast("long").alias("train_tokens"),
                     (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(total))
-                    .alias("base_score"), "score"))
+                    .alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score")))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stowage.llm import lm, pii, queries, quality, rules, search, simhash, toxicity
@@ -236,6 +237,32 @@ def test_learnt_shares_add_up():
         assert (x + y == z).all()
 
 
+def test_word_so_far_is_counted_exactly():
+    """Parts of items, with what is behind the beginnings across their border, give the entries of one exact count."""
+    r = np.random.default_rng(5)
+    c = Counter(bytes(w) for w in r.integers(97, 100, (4000, 5), dtype=np.uint8)) + Counter({b"ab": 7, b"a": 3, b"ab c": 4})
+    items = sorted(c)
+    n = np.array([c[i] for i in items])
+    behind = Counter()
+    for i, m in c.items():
+        if b" " in i:
+            behind[i[:-1], i[-1]] += m
+        else:
+            behind.update({((i + b" ")[:k], (i + b" ")[k]): m for k in range(1, len(i) + 1)})
+    cut = items.index(b"ab c")
+    borders = lm._beginnings([(items[cut - 1], items[cut])])
+    whole, _ = lm._distinct(lm._symbols(items, n)[0])
+    assert len(whole.pair) == len(behind) and sorted(whole.weight) == sorted(behind.values())
+    one = lm._word_entries(lm.Model(None, None, borders[:0], whole.pair[:0], n[:0]), whole)
+    shared = lm._among(whole.pair, borders)
+    assert 0 < shared.sum() < len(whole.pair)
+    for part in (slice(0, cut), slice(cut, None)):
+        s, _ = lm._distinct(lm._symbols(items[part], n[part])[0])
+        of_part = lm._word_entries(lm.Model(None, None, borders, whole.pair[shared], whole.weight[shared]), s)
+        for sym, node, _ in lm._bits(s):
+            assert (of_part(s.pair[sym], node) == one(s.pair[sym], node)).all()
+
+
 def test_packed_ids(spark, texts):
     rows = queries.QUERIES["op6_pack_hilbert"](spark, SF).collect()
     enc = encoder(tokenizer_dir(), "byte_bpe_50k")
