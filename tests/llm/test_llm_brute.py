@@ -263,6 +263,17 @@ def test_word_so_far_is_counted_exactly():
             assert (of_part(s.pair[sym], node) == one(s.pair[sym], node)).all()
 
 
+def test_predictors_of_words_and_first_bytes():
+    """Two, three and four bytes and the word so far; a first byte has the whole word before as a context."""
+    s, _ = lm._types([b"abcde ", b"xbcde "], np.array([1, 1]))
+    a, b = (np.flatnonzero(s.byte == 101)[k] for k in (0, 1))  # "e" behind abcd and xbcd
+    assert [c[a] == c[b] for c in s.context] == [True, True, False, False]
+    s, _ = lm._symbols([b"reading t", b"leading t", b"reading o"], np.array([1, 1, 1]))
+    assert s.start.all() and len(s.context) == 4
+    assert [c[0] == c[1] for c in s.context] == [True, True, True, False]
+    assert all(c[0] == c[2] for c in s.context)
+
+
 def test_packed_ids(spark, texts):
     rows = queries.QUERIES["op6_pack_hilbert"](spark, SF).collect()
     enc = encoder(tokenizer_dir(), "byte_bpe_50k")
