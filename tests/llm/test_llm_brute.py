@@ -274,6 +274,22 @@ def test_predictors_of_words_and_first_bytes():
     assert all(c[0] == c[2] for c in s.context)
 
 
+def test_each_step_is_predicted_before_it_is_counted(monkeypatch):
+    texts, seen, learn = [" ".join(f"w{k % 50}" for k in range(20_000))] * 8, [], lm.Learner.learn
+
+    def watched(self, s):
+        seen.append((int(s.weight.sum()), int(self.counts[0].sum())))
+        learn(self, s)
+
+    monkeypatch.setattr(lm.Learner, "learn", watched)
+    list(lm._learn([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([False] * 8)], names=["t", "out"])]))
+    # bytes of all words, blanks and ends but the blank behind a text's last word stands ahead of its end
+    assert sum(w for w, _ in seen) == sum(len(t) + 2 for t in texts)  # each symbol once
+    assert len(seen) >= 4 and seen[0][1] == 0
+    bits = [b - a for (_, a), (_, b) in zip(seen[:-1], seen[1:])]
+    assert all(b > 0 for b in bits)  # counted after it was predicted
+
+
 def test_packed_ids(spark, texts):
     rows = queries.QUERIES["op6_pack_hilbert"](spark, SF).collect()
     enc = encoder(tokenizer_dir(), "byte_bpe_50k")
