@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import bound_batches, fresh
+from stowage.llm.common import bound_batches, fresh, stage_table
 
 #: Kinds of spans in the order of ties: four with a fixed definition, two that the method adds.
 BASE = ("email", "ip", "card", "phone")
@@ -201,13 +201,32 @@ class SpanModel:
         return sorted(base + more)
 
 
-def fit_spans(docs: DataFrame, text_col: str = "text", signatures: int = 20_000) -> SpanModel:
+def _slope(pairs: DataFrame, soft: dict[str, float], w: np.ndarray, bias: float) -> np.ndarray:
+    """Gradient of the logistic loss over all pairs: of each weight, then of the bias."""
+    def run(batches):
+        out = np.zeros(SLOTS + 1)
+        for b in batches:
+            n = b.column("n").to_numpy().astype(float)
+            y = np.array([soft[v] for v in b.column("votes").to_pylist()])
+            slots = [np.fromstring(s, dtype=np.int64, sep=",") for s in b.column("slots").to_pylist()]
+            row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+            slot = np.concatenate(slots)
+            z = np.bincount(row, weights=w[slot], minlength=len(n)) + bias
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * n
+            out += np.append(np.bincount(slot, weights=g[row], minlength=SLOTS), g.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["g"])
+
+    return np.sum([r["g"] for r in pairs.mapInArrow(run, "g array<double>").collect()], axis=0)
+
+
+def fit_spans(docs: DataFrame, text_col: str = "text") -> SpanModel:
     """Train the span classifier without labelled text.
 
     Every candidate of every text is reduced to its votes and feature slots, and equal ones are counted
-    (pre-aggregated in each batch).  EM runs on the counts of vote patterns, of which there are at most 3 ** 9;
-    its posteriors are the soft labels of a logistic regression on the ``signatures`` most frequent
-    (votes, features) pairs, weighted by their counts.  Without candidates nothing is added to the base spans.
+    (pre-aggregated in each batch).  EM runs on the counts of all vote patterns, of which there are at most 3 ** 9;
+    its posteriors are the soft labels of a logistic regression on all (votes, features) pairs, weighted by their
+    counts: the pairs stay a table, of which each step sums the gradient.  Without candidates nothing is added to the
+    base spans.
     """
     def run(batches):
         for b in batches:
@@ -222,28 +241,21 @@ def fit_spans(docs: DataFrame, text_col: str = "text", signatures: int = 20_000)
 
     found = (docs.select(F.col(text_col).alias("t")).mapInArrow(run, "votes string, slots string, n long")
              .groupBy("votes", "slots").agg(F.sum("n").alias("n")))
-    rows = found.orderBy(F.desc("n"), "votes", "slots").limit(signatures).collect()
-    if not rows:
+    found = stage_table(found, "pii-pairs")
+    seen = {r["votes"]: r["n"] for r in found.groupBy("votes").agg(F.sum("n").alias("n")).collect()}
+    if not seen:
         return SpanModel(np.zeros(SLOTS), -1.0)
-    seen: Counter = Counter()
-    for r in rows:
-        seen[r["votes"]] += r["n"]
     names = sorted(seen)
     patterns = np.array([[int(c) for c in v] for v in names])
-    reliable = estimate(patterns, np.array([seen[v] for v in names], dtype=float))
-    soft = dict(zip(names, reliable.posterior(patterns)))
-    x = np.zeros((len(rows), SLOTS))
-    for k, r in enumerate(rows):
-        x[k, [int(s) for s in r["slots"].split(",")]] = 1
-    y, n = np.array([soft[r["votes"]] for r in rows]), np.array([r["n"] for r in rows], dtype=float)
-    n /= n.sum()
+    counts = np.array([seen[v] for v in names], dtype=float)
+    soft = dict(zip(names, estimate(patterns, counts).posterior(patterns).tolist()))
     w, bias, gw, gb = np.zeros(SLOTS), 0.0, np.full(SLOTS, 1e-8), 1e-8
     for _ in range(300):
-        g = (1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - y) * n
-        d, e = g @ x + 1e-5 * w, g.sum()
+        slope = _slope(found, soft, w, bias) / counts.sum()
+        d, e = slope[:-1] + 1e-5 * w, slope[-1]
         gw += d * d
         gb += e * e
-        w -= 0.3 * d / np.sqrt(gw)
+        w = w - 0.3 * d / np.sqrt(gw)
         bias -= 0.3 * e / np.sqrt(gb)
     return SpanModel(w, float(bias))
 

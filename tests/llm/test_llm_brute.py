@@ -200,6 +200,14 @@ def test_secrets_found(spark, texts):
             assert f"secret:{m.start()}:{m.end()}" in got[i]
 
 
+def test_pii_gradient_takes_all_pairs(spark):
+    """More pairs than the 20,000 that were once kept; each counts in the gradient."""
+    n = 30_000
+    pairs = spark.range(n).selectExpr("if(id < 20000, '1', '2') AS votes", "concat(id % 500, ',', 511) AS slots", "1L AS n")
+    got = pii._slope(pairs, {"1": 0.0, "2": 1.0}, np.zeros(pii.SLOTS), 0.0)
+    assert got[-1] == 20_000 * 0.5 - 10_000 * 0.5 and got[511] == got[-1] and got[:500].sum() == got[-1]
+
+
 def test_language_base_and_order(spark, texts):
     rows = {r["doc_id"]: r for r in queries.QUERIES["op7_lm_context_mixing"](spark, SF).collect()}
     tokens = {i: WORD.findall(t.encode().lower()) + [None] for i, t in texts.items()}
