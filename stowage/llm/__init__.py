@@ -1 +1 @@
-"""Training-data operators: mixing, sharding, search, quality, toxicity, packing, scoring, PII, near-dedup."""
+"""Training-data operators: mixing, sharding, searches, negatives, quality, toxicity, packing, scoring, PII, near-dedup."""

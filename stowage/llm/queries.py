@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import lm, mixing, packing, pii, quality, rules, search, sharding, simhash, toxicity
+from stowage.llm import (bond, graph, lexical, lm, mixing, packing, pii, quality, rules, search, sharding, simhash,
+                         toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +123,61 @@ def op3_top_products(spark, sf_dir):
 @register("op7_lm_context_mixing")
 def op7_lm_context_mixing(spark, sf_dir):
     return lm.score_language(table(spark, sf_dir, "documents"), mod=7, held=2)
+
+
+@register("op11_lexical_sketches", r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS seq, list_filter(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '') AS terms FROM documents),
+b AS (
+  SELECT item_id, row_number() OVER () AS q, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+m AS (SELECT seq, doc_id, 25 + (75 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM d, s WHERE len(terms) > 0),
+q AS (SELECT q, item_id, term, count(*)::BIGINT AS qtf FROM (SELECT q, item_id, unnest(terms) AS term FROM b) GROUP BY ALL),
+p AS (
+  SELECT seq, term, count(*)::BIGINT AS tf FROM (SELECT seq, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), s),
+r AS (
+  SELECT q.q, q.item_id, p.seq, m.doc_id,
+    sum(q.qtf * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (seq) GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, seq)::INTEGER AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM n WHERE rank <= 10""")
+def op11_lexical_sketches(spark, sf_dir):
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@register("op12_negatives_bond", r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth FROM s WHERE same)
+  WHERE nth <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""")
+def op12_negatives_bond(spark, sf_dir):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.mine_negatives(table(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=10, low=30, high=90,
+                               scale=256.0, label=shifted)
+
+
+@register("op13_nearest_graph")
+def op13_nearest_graph(spark, sf_dir):
+    return graph.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
