@@ -8,6 +8,7 @@ DOUBLE, flags INT 0/1.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from stowage import oracle as O
 from stowage.functions import cleaning as fn
+from stowage.functions.contracts import enforce_output
 from stowage.operators import categories as cat
 from stowage.operators import consumption as con
 from stowage.operators import curves as cur
@@ -24,10 +26,13 @@ from stowage import jobs
 from stowage.pipeline import stages
 from stowage.operators import dims as dm
 from stowage.plans import audit as au
+from stowage.plans import audit_pass as ap
 from stowage.plans import params as pm
 from stowage.plans import plan_vars as pv
 from stowage.plans import reports as rep
+from stowage.session import ensure_checkpoint_dir
 from stowage.sources import fixtures as fx
+from stowage.sources.files import Workspace, header_report, read_export, write_csv, write_json_file
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -40,6 +45,15 @@ def register(name: str, oracle: str | None):
     return deco
 
 
+#: The oracle of each single audit rule, without the tables it needs.
+AUDIT_SQL: dict[str, str] = {}
+
+
+def register_audit(name: str, oracle: str):
+    AUDIT_SQL[name] = oracle
+    return register(name, O.with_ctes(oracle))
+
+
 # --- cleaning (F1-F4) over the raw stock and master exports -------------------------------
 @register("clean_int", O.with_ctes("""
 SELECT row_no, total_stock_raw,
@@ -281,7 +295,7 @@ FROM {p}_ranked GROUP BY category, tech, demand"""
 @register("curve_points_forward", O.with_ctes(_BLOCKS_SQL.format(p="fwd")))
 def q_curve_points_forward(spark, sf):
     s = stages(spark, sf)
-    b = cur.curve_blocks(cur.forward_demand(s.enriched()))
+    b = cur.curve_blocks(cur.forward_demand(s.enriched(), s.techs()))
     return b.select("category", "tech", "demand", "cnt", "rank_start", "rank_end", "cum_start", "cum_end")
 
 
@@ -660,14 +674,14 @@ def _audit_stage(spark, sf):
     return s, s.plan()
 
 
-@register("audit_self_reloc", O.with_ctes(O._audit(
+@register_audit("audit_self_reloc", (O._audit(
     "self_reloc", ["index_1", "index_2"], "value", "0.0", "eq",
     "SELECT * FROM plan_vars WHERE variable = 'RelocUnits' AND index_2 = index_3")))
 def q_audit_self_reloc(spark, sf):
     return au.self_reloc(stages(spark, sf).plan())
 
 
-@register("audit_budget", O.with_ctes(O._audit("budget", [], "c", "budget", "le", """
+@register_audit("audit_budget", (O._audit("budget", [], "c", "budget", "le", """
 SELECT i.plan_id, COALESCE(b.c, 0.0) + COALESCE(r.c, 0.0) AS c, (SELECT max(plan_budget) FROM dim_system) AS budget
 FROM (SELECT DISTINCT plan_id FROM plan_vars) i
 LEFT JOIN (SELECT p.plan_id, sum(p.value * t.buy_cost) AS c FROM plan_vars p JOIN dim_type t ON t.type = p.index_1
@@ -679,7 +693,7 @@ def q_audit_budget(spark, sf):
     return au.budget(p, s.dim("dim_type"), s.dim("dim_system"))
 
 
-@register("audit_space", O.with_ctes(O._audit("space", ["location"], "used", "floor_space * sf", "le", """
+@register_audit("audit_space", (O._audit("space", ["location"], "used", "floor_space * sf", "le", """
 SELECT i.plan_id, l.location, COALESCE(u.used, 0.0) AS used, l.floor_space, (SELECT max(space_factor) FROM dim_system) AS sf
 FROM plan_list i CROSS JOIN dim_location l
 LEFT JOIN (SELECT p.plan_id, p.location, sum(p.value * t.sqft_req) AS used FROM pv2 p JOIN dim_type t ON t.type = p.type
@@ -689,7 +703,7 @@ def q_audit_space(spark, sf):
     return au.space(p, s.dim("dim_type"), s.dim("dim_location"), s.dim("dim_system"))
 
 
-@register("audit_units_split", O.with_ctes(O._audit("units_split", ["type", "location"], "u", "sp", "eq", """
+@register_audit("audit_units_split", (O._audit("units_split", ["type", "location"], "u", "sp", "eq", """
 SELECT COALESCE(a.plan_id, b.plan_id) AS plan_id, COALESCE(a.type, b.type) AS type,
   COALESCE(a.location, b.location) AS location, COALESCE(a.value, 0.0) AS u, COALESCE(b.sp, 0.0) AS sp
 FROM (SELECT * FROM pv2 WHERE variable = 'StoreUnits') a
@@ -699,7 +713,7 @@ def q_audit_units_split(spark, sf):
     return au.units_split(stages(spark, sf).plan())
 
 
-@register("audit_flow", O.with_ctes(O._audit("flow", ["type", "location"], "value",
+@register_audit("audit_flow", (O._audit("flow", ["type", "location"], "value",
                                              "COALESCE(cur, 0.0) + COALESCE(buy, 0.0) + COALESCE(inb, 0.0) - COALESCE(outb, 0.0)",
                                              "eq", """
 SELECT s.plan_id, s.type, s.location, COALESCE(v.value, 0.0) AS value, c.cur, b.value AS buy, i.inb, o.outb
@@ -723,7 +737,7 @@ def q_audit_flow(spark, sf):
     return au.flow(p, s.lt_named())
 
 
-@register("audit_cover_volume", O.with_ctes(O._audit("cover_volume", ["category"], "s", "1.0", "eq", """
+@register_audit("audit_cover_volume", (O._audit("cover_volume", ["category"], "s", "1.0", "eq", """
 SELECT e.plan_id, e.category, COALESCE((SELECT sum(value) FROM plan_vars v WHERE v.plan_id = e.plan_id
   AND v.index_1 = e.category AND v.variable IN ('SKUcubicPct', 'ResSKUcubicPct')), 0.0) AS s FROM every_cat e""")))
 def q_audit_cover_volume(spark, sf):
@@ -731,7 +745,7 @@ def q_audit_cover_volume(spark, sf):
     return au.cover_volume(p, s.category_summary())
 
 
-@register("audit_cover_unique", O.with_ctes(O._audit("cover_unique", ["category"], "s", "1.0", "ge", """
+@register_audit("audit_cover_unique", (O._audit("cover_unique", ["category"], "s", "1.0", "ge", """
 SELECT e.plan_id, e.category, COALESCE((SELECT sum(value) FROM plan_vars v WHERE v.plan_id = e.plan_id
   AND v.index_1 = e.category AND v.variable = 'SKUuniquePct'), 0.0) AS s FROM every_cat e""")))
 def q_audit_cover_unique(spark, sf):
@@ -739,13 +753,13 @@ def q_audit_cover_unique(spark, sf):
     return au.cover_unique(p, s.category_summary())
 
 
-@register("audit_share_ratio", O.with_ctes(O._audit("share_ratio", ["category", "type", "location", "kind"],
+@register_audit("audit_share_ratio", (O._audit("share_ratio", ["category", "type", "location", "kind"],
                                                     "cubic", "1.2 * uniq", "le", "SELECT * FROM shares")))
 def q_audit_share_ratio(spark, sf):
     return au.share_ratio(stages(spark, sf).plan())
 
 
-@register("audit_min_volume", O.with_ctes(O._audit(
+@register_audit("audit_min_volume", (O._audit(
     "min_volume", ["category", "type", "location", "kind"], "sku_cubic_ft * cubic", "uniq * num_sku * min_vol", "ge",
     "SELECT s.*, c.num_sku, c.sku_cubic_ft, c.min_vol FROM shares s JOIN category_summary c ON c.category = s.category")))
 def q_audit_min_volume(spark, sf):
@@ -753,7 +767,7 @@ def q_audit_min_volume(spark, sf):
     return au.min_volume(p, s.category_summary())
 
 
-@register("audit_sku_capacity", O.with_ctes(O._audit(
+@register_audit("audit_sku_capacity", (O._audit(
     "sku_capacity", ["category", "type", "location", "kind"],
     "COALESCE(units, 0.0) * COALESCE(max_sku_per_unit, 0.0)", "num_sku * uniq", "ge", """
 SELECT s.*, u.value AS units, c.num_sku, t.max_sku_per_unit FROM shares s
@@ -766,7 +780,7 @@ def q_audit_sku_capacity(spark, sf):
     return au.sku_capacity(p, s.category_summary(), s.category_type())
 
 
-@register("audit_volume", O.with_ctes(O._audit(
+@register_audit("audit_volume", (O._audit(
     "volume", ["category", "type", "location"], "COALESCE(units, 0.0) * COALESCE(cubic_capacity, 0.0)",
     "COALESCE(sku_cubic_ft, 0.0) * COALESCE(cubic, 0.0)", "ge", """
 SELECT COALESCE(u.plan_id, h.plan_id) AS plan_id, COALESCE(u.category, h.category) AS category,
@@ -782,7 +796,7 @@ def q_audit_volume(spark, sf):
     return au.volume(p, s.category_summary(), s.dim("dim_type"))
 
 
-@register("audit_type_category", O.with_ctes(
+@register_audit("audit_type_category", (
     O._audit("type_category_alloc", ["category", "type", "location", "tech"], "alloc",
              "CAST(COALESCE(compatible_strict, 0) AS DOUBLE)", "le", """
 SELECT p.*, t.compatible_strict FROM alloc p
@@ -796,7 +810,7 @@ def q_audit_type_category(spark, sf):
     return au.type_category(p, s.category_type())
 
 
-@register("audit_tech_location", O.with_ctes(O._audit(
+@register_audit("audit_tech_location", (O._audit(
     "tech_location", ["category", "type", "location", "tech"], "alloc", "COALESCE(ok, 0.0)", "le", """
 SELECT a.*, k.ok FROM alloc a LEFT JOIN (
   SELECT l.location, t.tech_name AS tech, 1.0 AS ok FROM dim_tech_location tl
@@ -807,7 +821,7 @@ def q_audit_tech_location(spark, sf):
     return au.tech_location(p, s.tech_loc_named())
 
 
-@register("audit_alloc_total", O.with_ctes(O._audit("alloc_total", ["category", "tech"], "s", "1.0", "eq",
+@register_audit("audit_alloc_total", (O._audit("alloc_total", ["category", "tech"], "s", "1.0", "eq",
                                                     """
 SELECT e.*, COALESCE((SELECT sum(a.alloc) FROM alloc a WHERE a.plan_id = e.plan_id AND a.category = e.category
   AND a.tech = e.tech), 0.0) AS s FROM every_cat_tech e""")))
@@ -819,24 +833,24 @@ def q_audit_alloc_total(spark, sf):
 def _alloc_rule(rule):
     def q(spark, sf):
         s, p = _audit_stage(spark, sf)
-        return au.alloc_rules(p, s.category_summary(), s.category_tech(), len(fx.ALL_TECHS)).filter(
+        return au.alloc_rules(p, s.category_summary(), s.category_tech(), len(s.techs())).filter(
             F.col("rule") == rule)
     return q
 
 
-register("audit_alloc_cover", O.with_ctes(O._audit("alloc_cover", ["category", "type", "location"], "s", "need", "ge",
+register_audit("audit_alloc_cover", (O._audit("alloc_cover", ["category", "type", "location"], "s", "need", "ge",
                                                     "SELECT * FROM alloc_tot")))(_alloc_rule("alloc_cover"))
-register("audit_alloc_capacity", O.with_ctes(O._audit("alloc_capacity", ["category", "type", "location"], "s",
+register_audit("audit_alloc_capacity", (O._audit("alloc_capacity", ["category", "type", "location"], "s",
                                                        "4.0 * need", "le", "SELECT * FROM alloc_tot")))(
     _alloc_rule("alloc_capacity"))
-register("audit_alloc_limit", O.with_ctes(O._audit("alloc_limit", ["category", "type", "location", "tech"], "alloc_sku",
+register_audit("audit_alloc_limit", (O._audit("alloc_limit", ["category", "type", "location", "tech"], "alloc_sku",
                                                     "COALESCE(need, 0.0)", "le", """
 SELECT a.*, n.need FROM alloc_sku a LEFT JOIN need n
   ON n.plan_id = a.plan_id AND n.category = a.category AND n.type = a.type AND n.location = a.location""")))(
     _alloc_rule("alloc_limit"))
 
 
-@register("audit_reserve_location", O.with_ctes(O._audit(
+@register_audit("audit_reserve_location", (O._audit(
     "reserve_location", ["category", "type", "location", "m"], "v", "COALESCE(ra, 0.0)", "le", """
 SELECT s.plan_id, s.category, s.type, s.location, x.m, CASE x.m WHEN 'unique' THEN s.uniq ELSE s.cubic END AS v,
   CAST(lr.reserve_allowed AS DOUBLE) AS ra
@@ -849,6 +863,15 @@ def q_audit_reserve_location(spark, sf):
     return au.reserve_location(p, s.loc_reserve())
 
 
+@register("audit_all", O.with_ctes(" UNION ALL ".join(AUDIT_SQL.values())))
+def q_audit_all(spark, sf):
+    """Every rule from one scan of the plans: the union of the single rules."""
+    s = stages(spark, sf).parallel("category_tech", "category_type", "plan")
+    return ap.audit_all(s.plan(), s.category_summary(), s.category_type(), s.category_tech(), s.dim("dim_type"),
+                        s.dim("dim_tech"), s.dim("dim_location"), s.loc_reserve(), s.tech_loc_named(), s.dim("dim_system"),
+                        s.lt_named())
+
+
 @register("audit_ld_cumulative", O.with_ctes(
     "SELECT plan_id, category, tech, p, round(x_eval, 4) AS x_eval, round(y_eval, 4) AS y_eval FROM ld_cum"))
 def q_audit_ld_cumulative(spark, sf):
@@ -911,6 +934,16 @@ def q_audit_cost(spark, sf):
     return _r4(c, {"value"})
 
 
+@register("audit_objective", REGISTRY["audit_cost"][1])
+def q_audit_objective(spark, sf):
+    """The objective terms from the state that :func:`q_audit_all` audits: one scan of the plans."""
+    s = stages(spark, sf).parallel("category_tech", "category_type", "fwd_points", "res_points", "plan")
+    c = ap.objective_terms(s.plan(), s.category_summary(), s.category_type(), s.category_tech(), s.dim("dim_type"),
+                           s.dim("dim_tech"), s.dim("dim_location"), s.loc_reserve(), s.tech_loc_named(),
+                           s.dim("dim_system"), s.dim("dim_priority"), s.fwd_points(), s.res_points())
+    return _r4(c, {"value"})
+
+
 # --- model sets, parameters, dimension maintenance ---------------------------------------------------------
 @register("model_sets", O.with_ctes("""
 SELECT DISTINCT 'priority' AS set_name, priority AS member FROM parts_normalized WHERE priority IS NOT NULL
@@ -1008,6 +1041,14 @@ def q_param_long(spark, sf):
     return pm.param_long(groups)
 
 
+@register("param_dump", O.with_ctes(_PARAM_SQL))
+def q_param_dump(spark, sf):
+    """Every parameter in one file, read back."""
+    rows = q_param_long(spark, sf)
+    path = write_json_file(rows, f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/params-{uuid.uuid4().hex}")
+    return spark.read.schema(rows.schema).json(path)
+
+
 @register("sanitize_name", O.with_ctes("""
 SELECT DISTINCT department,
   NULLIF(regexp_replace(regexp_replace(upper(trim(department)), '[^A-Z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), '')
@@ -1102,9 +1143,6 @@ def q_dim_location_derive(spark, sf):
 
 @register("src_csv_roundtrip", O.select_all("raw_stock", "material, code, total_stock_raw"))
 def q_src_csv_roundtrip(spark, sf):
-    from stowage.session import ensure_checkpoint_dir
-    from stowage.sources.files import read_export, write_csv
-    import uuid
     s = stages(spark, sf)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/stock-{uuid.uuid4().hex}"
     export = s.raw_stock().select(F.col("material").alias("Material"), F.col("code").alias("Storage Type"),
@@ -1113,57 +1151,263 @@ def q_src_csv_roundtrip(spark, sf):
     return read_export(spark, path, {"material": "material", " storage  TYPE ": "code", "total stock": "total_stock_raw"})
 
 
-# --- jobs: export file -> headers -> types -> contract -> table in a workspace (D20) -----------------------
-def _job(build, export, columns):
-    def q(spark, sf):
-        import uuid
+# --- jobs: export files -> headers -> types -> contract -> tables of a workspace (D20) -----------------------
+EXPORT_HEADERS = {
+    "stock": {"material": " MATERIAL ", "code": "Storage  Type", "total_stock_raw": "total stock"},
+    "master": {"material": "Material", "years": "Years", "mrp_controller": "MRP Controller", "std_desc": "Std Desc",
+               "priority": "Priority"},
+    "cost_center": {"cost_center": "Cost Center", "department": "Department"},
+    "consumption": {"material": "Material", "movement_type": "Movement type", "cost_center": "Cost Center",
+                    "order_no": "Order", "order_type": "Order Type"},
+}
 
-        from stowage.session import ensure_checkpoint_dir
-        from stowage.sources.files import Workspace, write_csv
-        s = stages(spark, sf)
-        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{uuid.uuid4().hex}"
-        path = write_csv(export(s), f"{root}/export")
-        ws = Workspace(spark, f"{root}/workspace")
-        return ws.read(build(s, ws, path)).select(*columns)
-    return q
 
+class _Desk:
+    """A new workspace, and exports of the given tables as files for it."""
+
+    def __init__(self, spark, sf):
+        self.s = stages(spark, sf)
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports/{uuid.uuid4().hex}"
+        self.ws = Workspace(spark, f"{self.root}/workspace")
+
+    def export(self, family: str, df=None) -> str:
+        """Files of an export, in input order where there is one (no column holds it)."""
+        raw = {"stock": self.s.raw_stock, "master": self.s.raw_master, "cost_center": self.s.raw_cost_center,
+               "consumption": self.s.raw_consumption}[family]() if df is None else df
+        if family in jobs.ORDERED:
+            raw = raw.repartitionByRange(4, "row_no").sortWithinPartitions("row_no")
+        names = EXPORT_HEADERS[family]
+        return write_csv(raw.select(*[F.col(c).alias(h) for c, h in names.items()]),
+                         f"{self.root}/{family}-{uuid.uuid4().hex}")
 
-def _renamed(df, names):
-    return df.select(*[F.col(c).alias(h) for c, h in names.items()])
+    def dims(self) -> None:
+        jobs.reset_dimensions(self.ws, {n: self.s.dim(n) for n in fx.DIM_SQL})
 
+    def exports(self) -> None:
+        """Every export but that of the order lines."""
+        jobs.build_stock(self.ws, self.export("stock"))
+        jobs.build_master(self.ws, self.export("master"))
+        jobs.build_cost_center(self.ws, self.export("cost_center"))
 
-register("job_stock", O.with_ctes("""
+
+@register("job_stock", O.with_ctes("""
 SELECT material, size, CAST(total_stock AS BIGINT) AS total_stock, CAST(size_id AS INTEGER) AS size_id, storage_type
-FROM stock_sized WHERE total_stock IS NOT NULL AND size_id IS NOT NULL"""))(_job(
-    lambda s, ws, p: jobs.build_stock(ws, p, s.dim("dim_location_type"), s.dim("dim_size")),
-    lambda s: _renamed(s.raw_stock(), {"row_no": "Row", "material": " MATERIAL ", "code": "Storage  Type",
-                                       "total_stock_raw": "total stock"}),
-    ["material", "size", "total_stock", "size_id", "storage_type"]))
-register("job_master", O.select_all("master_flags"))(_job(
-    lambda s, ws, p: jobs.build_master(ws, p, s.dim("dim_token_map")),
-    lambda s: _renamed(s.raw_master(), {"row_no": "row", "material": "Material", "years": "Years",
-                                        "mrp_controller": "MRP Controller", "std_desc": "Std Desc",
-                                        "priority": "Priority"}),
-    ["material", "priority", "movement", *fx.ALL_TECHS]))
-register("job_dimension", O.with_ctes("""
+FROM stock_sized WHERE total_stock IS NOT NULL AND size_id IS NOT NULL"""))
+def q_job_stock(spark, sf):
+    d = _Desk(spark, sf)
+    table = jobs.build_stock(d.ws, d.export("stock"), d.s.dim("dim_location_type"), d.s.dim("dim_size"))
+    return d.ws.read(table).select("material", "size", "total_stock", "size_id", "storage_type")
+
+
+@register("job_master", O.select_all("master_flags"))
+def q_job_master(spark, sf):
+    d = _Desk(spark, sf)
+    table = jobs.build_master(d.ws, d.export("master"), d.s.dim("dim_token_map"))
+    return d.ws.read(table).select("material", "priority", "movement", *d.s.techs())
+
+
+@register("job_dimension", O.with_ctes("""
 SELECT r.location_id, r.type_id, r.code, r.current_units FROM dim_location_type r
-WHERE r.location_id IN (SELECT location_id FROM dim_location) AND r.type_id IN (SELECT type_id FROM dim_type)"""))(_job(
-    lambda s, ws, p: jobs.load_dimension_export(
-        ws, "location_type", p, s.dim("dim_location_type").schema,
-        [(s.dim("dim_location"), ["location_id"]), (s.dim("dim_type"), ["type_id"])]),
-    lambda s: s.dim("dim_location_type"), ["location_id", "type_id", "code", "current_units"]))
-register("job_cost_center", O.select_all("cost_center_loaded"))(_job(
-    lambda s, ws, p: jobs.build_cost_center(ws, p),
-    lambda s: _renamed(s.raw_cost_center(), {"cost_center": "Cost Center", "department": "Department"}),
-    ["cost_center", *fx.ALL_TECHS]))
-register("job_consumption", O.with_ctes("""
-SELECT m.material, m.movement, m.orders, p.priority, p.line_down_orders FROM consumption_movement m
-JOIN consumption_priority p ON p.material = m.material"""))(_job(
-    lambda s, ws, p: jobs.build_consumption(ws, p),
-    lambda s: _renamed(s.raw_consumption(), {"material": "Material", "movement_type": "Movement type",
-                                             "cost_center": "Cost Center", "order_no": "Order",
-                                             "order_type": "Order Type"}),
-    ["material", "movement", "orders", "priority", "line_down_orders"]))
+WHERE r.location_id IN (SELECT location_id FROM dim_location) AND r.type_id IN (SELECT type_id FROM dim_type)"""))
+def q_job_dimension(spark, sf):
+    d = _Desk(spark, sf)
+    rows = d.s.dim("dim_location_type")
+    table = jobs.load_dimension_export(
+        d.ws, "location_type", write_csv(rows, f"{d.root}/location_type"), rows.schema,
+        [(d.s.dim("dim_location"), ["location_id"]), (d.s.dim("dim_type"), ["type_id"])])
+    return d.ws.read(table).select("location_id", "type_id", "code", "current_units")
+
+
+@register("job_cost_center", O.select_all("cost_center_loaded"))
+def q_job_cost_center(spark, sf):
+    d = _Desk(spark, sf)
+    return d.ws.read(jobs.build_cost_center(d.ws, d.export("cost_center"))).select("cost_center", *d.s.techs())
+
+
+@register("job_consumption", O.with_ctes("""
+SELECT m.material, m.movement, m.orders, p.priority, p.line_down_orders, t.ASSEMBLY, t.BODY, t.PAINT, t.UNK
+FROM consumption_movement m JOIN consumption_priority p ON p.material = m.material
+JOIN consumption_tech t ON t.material = m.material"""))
+def q_job_consumption(spark, sf):
+    d = _Desk(spark, sf)
+    jobs.build_cost_center(d.ws, d.export("cost_center"))
+    priority, movement, tech = (d.ws.read(t) for t in jobs.build_consumption(d.ws, d.export("consumption")))
+    return movement.join(priority, "material").join(tech, "material")
+
+
+@register("job_parts_update", O.select_all("parts_normalized"))
+def q_job_parts_update(spark, sf):
+    """Parts from an older consumption export, then from the given one: only touched buckets are computed again."""
+    d = _Desk(spark, sf)
+    d.dims()
+    d.exports()
+    older = d.s.raw_consumption().withColumn(
+        "cost_center", F.when(F.col("material").cast("bigint") % 97 == 0, "9999").otherwise(F.col("cost_center")))
+    jobs.build_consumption(d.ws, d.export("consumption", older))
+    jobs.build_parts(d.ws)
+    jobs.build_consumption(d.ws, d.export("consumption"))
+    jobs.build_parts(d.ws)
+    return d.ws.read("parts")
+
+
+@register("job_categories", O.with_ctes("""
+SELECT 'i_sku' AS "table", category, CAST(NULL AS VARCHAR) AS other, total_stock AS value FROM category_summary
+UNION ALL SELECT 'i_sku_user', category, tech_name, orders_per_user FROM category_tech
+UNION ALL SELECT 'i_sku_type', category, type, max_sku_per_unit FROM category_type"""))
+def q_job_categories(spark, sf):
+    """The three category tables as saved in one commit (M9), read back."""
+    d = _Desk(spark, sf)
+    d.dims()
+    d.exports()
+    jobs.build_consumption(d.ws, d.export("consumption"))
+    jobs.build_parts(d.ws)
+    jobs.build_categories(d.ws)
+    picks = {"i_sku": (F.lit(None).cast("string"), "total_stock"), "i_sku_user": (F.col("tech_name"), "orders_per_user"),
+             "i_sku_type": (F.col("type"), "max_sku_per_unit")}
+    rows = [d.ws.read(t).select(F.lit(t).alias("table"), "category", o.alias("other"), F.col(v).alias("value"))
+            for t, (o, v) in picks.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@register("tech_register", O.with_ctes("""
+SELECT material, priority, movement, size, orders, line_down_orders, total_stock,
+  CAST(ASSEMBLY + BODY + PAINT + TOOLING + CASE WHEN ASSEMBLY + BODY + PAINT + TOOLING > 0 THEN 0 ELSE UNK0 END AS DOUBLE)
+    AS num_users, ASSEMBLY, BODY, PAINT,
+  CASE WHEN ASSEMBLY + BODY + PAINT + TOOLING > 0 THEN 0 ELSE 1 END AS UNK, TOOLING, size_id, storage_type
+FROM (
+  SELECT p.material, CASE WHEN upper(p.priority) IN ('H', 'M', 'L') THEN upper(p.priority) ELSE 'L' END AS priority,
+    p.movement, p.size, p.orders, p.line_down_orders, p.total_stock, p.size_id, p.storage_type,
+    CASE WHEN p.ASSEMBLY = 1 OR COALESCE(c.ASSEMBLY, 0) > 0 THEN 1 ELSE 0 END AS ASSEMBLY,
+    CASE WHEN p.BODY = 1 OR COALESCE(c.BODY, 0) > 0 THEN 1 ELSE 0 END AS BODY,
+    CASE WHEN p.PAINT = 1 OR COALESCE(c.PAINT, 0) > 0 THEN 1 ELSE 0 END AS PAINT,
+    COALESCE(t.tooling, 0) AS TOOLING, COALESCE(t.unk, 0) AS UNK0
+  FROM parts_with_movement p LEFT JOIN consumption_tech c ON c.material = p.material
+  LEFT JOIN (
+    SELECT k.material, max(CASE WHEN contains(upper(k.token), 'LC') THEN 1 ELSE 0 END) AS tooling,
+      max(CASE WHEN contains(upper(k.token), 'LC')
+                 OR EXISTS (SELECT 1 FROM token_map m WHERE contains(upper(k.token), m.value)) THEN 0 ELSE 1 END) AS unk
+    FROM master_tokens k WHERE NOT (k.token IS NULL OR upper(trim(k.token)) IN ('<NA>', 'NAN', 'NONE', ''))
+    GROUP BY k.material) t ON t.material = p.material) x"""))
+def q_tech_register(spark, sf):
+    """A technology is added to a workspace that has parts; after the next master build its flag is set."""
+    d = _Desk(spark, sf)
+    d.dims()
+    d.exports()
+    jobs.build_consumption(d.ws, d.export("consumption"))
+    jobs.build_parts(d.ws)
+    new = jobs.register_technology(d.ws, " tooling ")
+    mapped = spark.createDataFrame([("LC", new)], "value string, tech_name string")
+    d.ws.replace("dim_token_map", dm.upsert(d.ws.read("dim_token_map"), mapped, ["value"]))
+    jobs.build_master(d.ws, d.export("master"))
+    jobs.build_parts(d.ws)
+    return d.ws.read("parts")
+
+
+@register("tech_register_default", O.with_ctes("""
+SELECT material, num_users, ASSEMBLY, BODY, PAINT, UNK, 0 AS TOOLING FROM parts_normalized"""))
+def q_tech_register_default(spark, sf):
+    """Right after a technology is added, parts saved before show its flag as 0, without being written anew."""
+    d = _Desk(spark, sf)
+    d.dims()
+    jobs.save_outputs(d.ws, {"parts": d.s.parts()})
+    jobs.register_technology(d.ws, "tooling")
+    return d.ws.read("parts").select("material", "num_users", *[t for t in d.ws.read("parts").columns if t.isupper()])
+
+
+_STATES = [("dim_location", "ready", 2, None), ("dim_location_type", "empty", 2, None), ("dim_tech_location", "empty", 2, None),
+           ("dim_type_size", "ready", 1, None), ("stock", "stale", 1, "dim_location_type"), ("parts", "missing", 0, None)]
+
+
+@register("dim_cascade", O.with_ctes(" UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{state}' AS state, CAST({version} AS BIGINT) AS version,
+  CAST({'0' if state in ('empty', 'missing') else f'(SELECT count(*) FROM {src})'} AS BIGINT) AS rows,
+  CAST({f"'{changed}'" if changed else 'NULL'} AS VARCHAR) AS changed"""
+    for t, state, version, changed in _STATES
+    for src in [t if t != "stock" else "(SELECT * FROM stock_sized WHERE total_stock IS NOT NULL AND size_id IS NOT NULL) z"])))
+def q_dim_cascade(spark, sf):
+    """S6 + S8: a changed location empties the relations that name locations, and marks what was built from them."""
+    d = _Desk(spark, sf)
+    d.dims()
+    jobs.build_stock(d.ws, d.export("stock"))
+    d.ws.replace("dim_location", d.ws.read("dim_location").withColumn("floor_space", F.col("floor_space") * 2))
+    return d.ws.states([t for t, *_ in _STATES])
+
+
+_READ_SQL = [("stock", "raw_stock", "total_stock_raw", "TRY_CAST(regexp_replace(total_stock_raw, '[^0-9.\\-]', '', 'g') AS DOUBLE)"),
+             ("master", "raw_master", "years", "TRY_CAST(years AS DOUBLE)"),
+             ("master", "raw_master", "mrp_controller", "TRY_CAST(mrp_controller AS DOUBLE)"),
+             ("cost_center", "raw_cost_center", "cost_center", "TRY_CAST(cost_center AS DOUBLE)"),
+             ("consumption", "raw_consumption", "cost_center", "TRY_CAST(cost_center AS DOUBLE)")]
+
+
+@register("job_reports", O.with_ctes(" UNION ALL ".join(
+    [f"SELECT '{f}' AS family, 'rows' AS metric, CAST(NULL AS VARCHAR) AS name, CAST(count(*) AS BIGINT) AS value FROM raw_{f}"
+     for f in jobs.HEADERS] +
+    [f"SELECT '{f}', 'unreadable', '{c}', CAST(count(*) FILTER (WHERE trim(CAST({c} AS VARCHAR)) <> '' AND {e} IS NULL) AS BIGINT) "
+     f"FROM {t}" for f, t, c, e in _READ_SQL])))
+def q_job_reports(spark, sf):
+    """What the export jobs counted as they read: rows, and texts that gave no value."""
+    d = _Desk(spark, sf)
+    d.dims()
+    d.exports()
+    jobs.build_consumption(d.ws, d.export("consumption"))
+    out = None
+    for family in jobs.HEADERS:
+        report = d.ws.read(f"load_{family}")
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
+@register("header_report", " UNION ALL ".join(
+    f"SELECT '{f}' AS family, '{h}' AS header, CAST({1 if f != 'master' or h != 'Priority' else 0} AS INTEGER) AS present"
+    for f, names in jobs.HEADERS.items() for h in names))
+def q_header_report(spark, sf):
+    """Present and missing headers of each family's export; here the master export lacks one."""
+    d = _Desk(spark, sf)
+    out = None
+    for family, names in jobs.HEADERS.items():
+        path = d.export(family)
+        if family == "master":
+            path = write_csv(spark.read.option("header", True).csv(path).drop("Priority"), f"{d.root}/short")
+        r = header_report(spark, path, names).select(F.lit(family).alias("family"), "header", "present")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+# --- dimension reads and defaults ----------------------------------------------------------------------------
+@register("dim_next_id", O.with_ctes("SELECT CAST(COALESCE(max(location_id), 0) + 1 AS BIGINT) AS next_id FROM dim_location"))
+def q_dim_next_id(spark, sf):
+    return dm.next_id(stages(spark, sf).dim("dim_location"), "location_id").select(F.col("next_id").cast("bigint"))
+
+
+@register("dim_one_group", O.with_ctes("SELECT location_id, type_id, code, current_units FROM dim_location_type WHERE location_id = 3"))
+def q_dim_one_group(spark, sf):
+    return dm.one_group(stages(spark, sf).dim("dim_location_type"), "location_id", 3)
+
+
+@register("dim_listing", O.with_ctes("SELECT location_id, type_id, code, current_units FROM dim_location_type ORDER BY code, location_id, type_id"))
+def q_dim_listing(spark, sf):
+    return dm.listing(stages(spark, sf).dim("dim_location_type"), ["code", "location_id", "type_id"])
+
+
+@register("token_map_default", "SELECT * FROM (VALUES " + ", ".join(str(x) for x in dm.DEFAULT_TOKEN_MAP) + ") AS d(value, tech_name)")
+def q_token_map_default(spark, sf):
+    """An empty map is replaced by the default one."""
+    return dm.token_map_or_default(stages(spark, sf).dim("dim_token_map").filter(F.lit(False)))
+
+
+@register("master_flags_default", O.with_ctes(O.on_default_map("SELECT * FROM master_flags")))
+def q_master_flags_default(spark, sf):
+    s = stages(spark, sf)
+    return mst.master_flags(s.raw_master(), dm.token_map_or_default(s.dim("dim_token_map").filter(F.lit(False))), s.techs())
+
+
+@register("contract_defaults", O.with_ctes(
+    "SELECT material, ASSEMBLY, BODY, 0 AS PAINT, CAST(NULL AS INTEGER) AS UNK FROM consumption_tech"))
+def q_contract_defaults(spark, sf):
+    """A flag that is missing takes its default, or null, typed."""
+    df = stages(spark, sf).cons_tech().drop("PAINT", "UNK")
+    return enforce_output(df, "material_to_tech", {"PAINT": 0}).select("material", "ASSEMBLY", "BODY", "PAINT", "UNK")
 
 
 @register("parts_by_group", O.with_ctes("""

@@ -20,6 +20,9 @@ def _st(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
+# Technologies whose flags the contracts below list; load_contract() puts others in their place.
+TECHS = ["ASSEMBLY", "BODY", "PAINT", "UNK"]
+
 # Required columns (in order) and types of every named input and output.
 CONTRACTS: dict[str, T.StructType] = {
     "stock": _st(("material", S), ("code", S), ("total_stock_raw", S)),
@@ -44,20 +47,25 @@ CONTRACTS: dict[str, T.StructType] = {
 }
 
 
-def load_contract(name: str) -> T.StructType:
-    """V1."""
+def load_contract(name: str, techs: list[str] | None = None) -> T.StructType:
+    """V1; a contract that lists technology flags lists those of ``techs`` instead, when given."""
     if name not in CONTRACTS:
         raise ContractError(f"unknown contract {name!r}")
-    return CONTRACTS[name]
+    contract = CONTRACTS[name]
+    if techs is None or TECHS[0] not in contract.names:
+        return contract
+    plain = [f for f in contract.fields if f.name not in TECHS]
+    return T.StructType(plain + [T.StructField(t, I, True) for t in techs])
 
 
-def required_cols(name: str) -> list[str]:
-    return [f.name for f in load_contract(name).fields]
+def required_cols(name: str, techs: list[str] | None = None) -> list[str]:
+    return [f.name for f in load_contract(name, techs).fields]
 
 
-def validate(df: DataFrame, name: str, check_types: bool = True) -> tuple[DataFrame, list[str], list[str]]:
+def validate(df: DataFrame, name: str, check_types: bool = True,
+             techs: list[str] | None = None) -> tuple[DataFrame, list[str], list[str]]:
     """V2: fail on missing columns or a type mismatch; project to the required columns in order."""
-    contract = load_contract(name)
+    contract = load_contract(name, techs)
     have = {f.name: f.dataType for f in df.schema.fields}
     missing = [f.name for f in contract.fields if f.name not in have]
     extra = [c for c in df.columns if c not in {f.name for f in contract.fields}]
@@ -70,11 +78,12 @@ def validate(df: DataFrame, name: str, check_types: bool = True) -> tuple[DataFr
     return df.select(*[f.name for f in contract.fields]), missing, extra
 
 
-def enforce_output(df: DataFrame, name: str, defaults: dict | None = None) -> DataFrame:
+def enforce_output(df: DataFrame, name: str, defaults: dict | None = None,
+                   techs: list[str] | None = None) -> DataFrame:
     """Add each missing required column (default or null, typed); keep other columns."""
     defaults = defaults or {}
     out = df
-    for f in load_contract(name).fields:
+    for f in load_contract(name, techs).fields:
         if f.name not in out.columns:
             out = out.withColumn(f.name, F.lit(defaults.get(f.name)).cast(f.dataType))
     return out

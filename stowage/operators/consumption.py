@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.operators.cost_center import cost_center_key
-from stowage.operators.joins import small
 from stowage.session import materialize
 from stowage.sources.fixtures import ALL_TECHS, CONCRETE_TECHS, UNKNOWN_TECH
 
@@ -14,32 +13,30 @@ from stowage.sources.fixtures import ALL_TECHS, CONCRETE_TECHS, UNKNOWN_TECH
 LINE_DOWN_ORDER_TYPE = "OR09"
 PARETO_CUT = 0.80
 
-# The order-count histogram has one row per distinct per-material count.  Distinct
-# counts c_1 < c_2 < ... sum to at most the number of order lines N, so there are
-# at most sqrt(2N) of them (about 1.1M rows at 6e11 order lines): safe to broadcast.
-HISTOGRAM_BOUND_ROWS = 2_000_000
-# Rounds of the search for the border material; each leaves about 1 / shuffle partitions of the rows.
-SEARCH_ROUNDS = 2
-
 
 def consumption_lines(cons: DataFrame) -> DataFrame:
-    """Order lines reduced to (material, order, cost center) with the line-down lines of each; A1-A3 all follow from it."""
-    return cons.groupBy("material", "order_no", "cost_center").agg(
-        F.count_if(F.col("order_type") == LINE_DOWN_ORDER_TYPE).alias("line_down"))
+    """Order lines reduced to (material, cost center): line-down lines, and orders counted once per material.
 
+    A1, A2 and A3 all follow from this table, which has a row per distinct pair, not per line.  Within an order the
+    first line of a material stands for the (material, order) pair, so summing these over centers gives the exact distinct
+    orders.  The window needs the lines of an order together: lines that come out of a join on the order key already
+    are, and others are shuffled once.  What is shuffled after that is pre-aggregated by (material, center).  Lines without
+    an order count no order; they are spread over tasks, however many there are.
+    """
+    order = F.col("order_no")
+    spread = F.when(order.isNull(), F.spark_partition_id())
+    lines = cons.select("material", "order_no", "cost_center", (F.col("order_type") == LINE_DOWN_ORDER_TYPE).alias("_down"),
+                        spread.alias("_spread"))
+    nth = F.row_number().over(Window.partitionBy("order_no", "material", "_spread").orderBy("cost_center"))
+    return lines.withColumn("_nth", nth).groupBy("material", "cost_center").agg(
+        F.count_if("_down").alias("line_down"),
+        F.count_if(order.isNotNull() & (F.col("_nth") == 1)).alias("orders"))
 
-def consumption_stats(lines: DataFrame) -> DataFrame:
-    """A1 + A2 in one pass: per material, line-down order lines and exact distinct orders.
 
-    Two-level aggregation: (material, order) first, so a hot material is spread
-    over its orders and reduced map-side; then per material, where the count of
-    non-null order keys is the exact distinct count.
-    """
-    c = lines.filter(F.col("material").isNotNull())
-    per_order = c.groupBy("material", "order_no").agg(F.sum("line_down").alias("ld"))
-    return per_order.groupBy("material").agg(
-        F.sum("ld").cast("bigint").alias("line_down_orders"),
-        F.count("order_no").cast("bigint").alias("orders"))
+def consumption_stats(lines: DataFrame) -> DataFrame:
+    """A1 + A2: per material, line-down order lines and exact distinct orders."""
+    return lines.filter(F.col("material").isNotNull()).groupBy("material").agg(
+        F.sum("line_down").cast("bigint").alias("line_down_orders"), F.sum("orders").cast("bigint").alias("orders"))
 
 
 def consumption_priority(stats: DataFrame) -> DataFrame:
@@ -85,56 +82,44 @@ def pareto_blocks(orders: DataFrame) -> DataFrame:
     return h.withColumn("k_fast", k.cast("bigint")).select("orders", "n", "cum_before", "total", "k_fast")
 
 
-def _range_of_kth(block: DataFrame, parts: int) -> DataFrame:
-    """Of rows (material, k) the range that holds the k-th smallest material, with k counted within it.
+def _kth_material(block: DataFrame, k: int, parts: int) -> str:
+    """The k-th smallest material of a block, exactly, without sorting it in one task.
 
-    The rows are range-partitioned and summarised (min, max, count of each range); the
-    summary is a fact about the data, valid whatever the partitioning, and has
-    ``parts`` rows.
-    """
-    ranged = block.repartitionByRange(parts, "material").withColumn("_pid", F.spark_partition_id())
-    summary = ranged.groupBy("_pid").agg(F.min("material").alias("lo"), F.max("material").alias("hi"),
-                                         F.count(F.lit(1)).alias("cnt"), F.max("k").alias("k"))
-    w = Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.withColumn("off", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    target = summary.filter((F.col("off") < F.col("k")) & (F.col("k") <= F.col("off") + F.col("cnt"))) \
-        .select("lo", "hi", (F.col("k") - F.col("off")).alias("r"))
-    t = small(target, 1)
-    inside = block.join(t, (block.material >= t.lo) & (block.material <= t.hi), "inner")
-    return inside.select("material", F.col("r").alias("k"))
-
-
-def _kth_material(block: DataFrame, parts: int) -> DataFrame:
-    """Exact k-th smallest material of the rows (material, k), without sorting them in one task.
-
-    SEARCH_ROUNDS ranges in ranges leave about n / parts ** SEARCH_ROUNDS rows, which are ranked.
+    The block is written once in ``parts`` ranges of materials; the counts of the ranges (a row each) tell which
+    one holds rank k, and only that one, about a ``parts``-th of the block, is ranked.
     """
-    for _ in range(SEARCH_ROUNDS):
-        block = _range_of_kth(block, parts)
-    ranked = block.withColumn("_rn", F.row_number().over(Window.orderBy("material")))
-    return ranked.filter(F.col("_rn") == F.col("k")).select(F.col("material").alias("cut_material"))
+    ranged = materialize(block.repartitionByRange(parts, "material").withColumn("_pid", F.spark_partition_id()),
+                         "pareto_ranges")
+    ahead = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    at = counts.filter((F.col("before") < k) & (F.lit(k) <= F.col("before") + F.col("n"))).first()
+    nth = F.row_number().over(Window.orderBy("material"))
+    return (ranged.filter(F.col("_pid") == at["_pid"]).withColumn("_nth", nth)
+            .filter(F.col("_nth") == k - at["before"]).first()["material"])
 
 
 def consumption_movement(stats: DataFrame, range_parts: int | None = None) -> DataFrame:
     """Pareto movement per material (H inside the first 80% of orders, else M), with Orders.
 
-    ``stats`` is the per-material table of ``consumption_stats``; it is read
-    several times (histogram, tagging, the straddling block), so callers pass a
-    materialised copy.  The first materials by key of the one block that straddles the cut are
-    found by a distributed search for the border key, the same at every size.
+    ``stats`` is the per-material table of ``consumption_stats``, read more than once, so callers pass a
+    materialised copy.  Shares grow along the ranking (orders descending, then material), so one border separates H from M:
+    an order count and, if the border lies inside the block of materials with that count, the last of its materials.
+    The border is the same at every size; only this one count and material reach the driver.
     """
-    if range_parts is None:
-        range_parts = max(2, int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     orders = consumption_orders(stats)
-    # the histogram is read twice (search, tagging): written once, it is at most sqrt(2N) rows
-    blocks = small(materialize(pareto_blocks(orders), "pareto_blocks", bounded=True), HISTOGRAM_BOUND_ROWS)
-    tagged = orders.join(blocks, "orders", "inner")
-    straddling = (F.col("k_fast") > 0) & (F.col("k_fast") < F.col("n"))
-    cut = _kth_material(tagged.filter(straddling).select("material", F.col("k_fast").alias("k")), range_parts)
-    j = tagged.join(small(cut, 1), F.lit(True), "left")
-    movement = (F.when(F.col("k_fast") >= F.col("n"), F.lit("H")).when(F.col("k_fast") <= 0, F.lit("M"))
-                .when(F.col("material") <= F.col("cut_material"), F.lit("H")).otherwise(F.lit("M")))
-    return j.select("material", movement.alias("movement"), "orders")
+    border = (pareto_blocks(orders).filter(F.col("k_fast") > 0).orderBy("orders").limit(1)
+              .select("orders", "n", "k_fast").first())
+    if border is None:
+        fast = F.lit(False)
+    else:
+        fast = F.col("orders") > border["orders"]
+        here = F.col("orders") == border["orders"]
+        if border["k_fast"] < border["n"]:
+            parts = range_parts or max(2, int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            here &= F.col("material") <= _kth_material(orders.filter(here).select("material"), border["k_fast"], parts)
+        fast |= here
+    return orders.select("material", F.when(fast, "H").otherwise("M").alias("movement"), "orders")
 
 
 def consumption_tech(cons: DataFrame, cc_loaded: DataFrame, techs: list[str] = ALL_TECHS) -> DataFrame:
@@ -142,7 +127,8 @@ def consumption_tech(cons: DataFrame, cc_loaded: DataFrame, techs: list[str] = A
     UNK cleared when any concrete technology is set.
 
     Order lines are first reduced to distinct (material, center) pairs so the
-    lookup join and the per-material OR see one row per pair, not per line.
+    lookup join and the per-material OR see one row per pair, not per line (``consumption_lines`` already has
+    one row per pair of texts).
     """
     pairs = cons.select("material", cost_center_key("cost_center").alias("cc")).distinct()
     cc = cc_loaded.select(F.col("cost_center").alias("cc_r"), *[F.col(t).alias("r_" + t) for t in techs])

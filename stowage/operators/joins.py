@@ -1,18 +1,16 @@
-"""Join helpers that make the broadcast decision explicit."""
+"""Join sides that are small by construction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a side whose row count has a bound known from its construction.
+    """A side whose row count has a bound known from its construction (``max_rows``, e.g. a product of dimension sizes).
 
-    ``max_rows`` documents that bound (e.g. a dimension literal, or a product of
-    dimension sizes); it is never derived from the data.  Data-sized sides are
-    left un-hinted so AQE picks broadcast only after measuring them.
+    The bound says why the join is cheap; nothing is forced: Spark broadcasts the side when its measured size is
+    below ``spark.sql.autoBroadcastJoinThreshold``, at planning or (AQE) at run time, and else shuffles both.
     """
     if max_rows <= 0:
         raise ValueError("bound must be positive")
-    return F.broadcast(df)
+    return df

@@ -16,14 +16,15 @@ CABINET_TYPE_ID = 1
 RACK_TYPE_ID = 5
 
 
-def first_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """Keep the first row per key in input order.
+def first_per_key(df: DataFrame, key: str, *order_cols: str) -> DataFrame:
+    """Keep the first row per key in input order (``order_cols``, of any types that can be ordered).
 
     One hash aggregate with map-side partial ``min_by``: a hot key is reduced on
     every mapper before the shuffle, so no task ever holds all its rows.
     """
     others = [c for c in df.columns if c != key]
-    picked = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("_first")
+    place = F.struct(*[F.col(c) for c in order_cols]) if len(order_cols) > 1 else F.col(order_cols[0])
+    picked = F.min_by(F.struct(*[F.col(c) for c in others]), place).alias("_first")
     return df.groupBy(key).agg(picked).select(key, *[F.col("_first." + c).alias(c) for c in others])
 
 
@@ -40,17 +41,18 @@ def size_label(type_id, stock) -> F.Column:
 def stock_sized(raw_stock: DataFrame, location_types: DataFrame, sizes: DataFrame) -> DataFrame:
     """Clean stock rows; one row per material (first bin in input order).
 
+    A bin code may name several (location, type) rows; the first of them, by location and type, sizes the bin.
     Output: material, total_stock (bigint), size, size_id, storage_type (bin code), type_id.
     """
     rows = raw_stock.select(
         "row_no", "material", "code", clean_int("total_stock_raw").alias("total_stock")
     ).filter(F.col("material").isNotNull())
-    codes = small(location_types.select("code", "type_id"), DIM_MAX_ROWS)
+    codes = small(location_types.select("code", "location_id", "type_id"), DIM_MAX_ROWS)
     sized = rows.join(codes, "code", "left").withColumn("size", size_label("type_id", "total_stock"))
     size_ids = small(sizes.select("size", "size_id"), DIM_MAX_ROWS)
     sized = sized.join(size_ids, "size", "left")
-    first = first_per_key(sized.select("material", "row_no", "total_stock", "size", "size_id", "code", "type_id"),
-                          "material", "row_no")
+    first = first_per_key(sized.select("material", "row_no", "location_id", "total_stock", "size", "size_id", "code",
+                                       "type_id"), "material", "row_no", "location_id", "type_id")
     return first.select("material", "total_stock", "size", "size_id",
                         F.col("code").alias("storage_type"), "type_id")
 

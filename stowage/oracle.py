@@ -24,8 +24,8 @@ FROM raw_stock WHERE material IS NOT NULL"""
 
 CTE["stock_sized"] = """
 SELECT material, total_stock, size, size_id, code AS storage_type, type_id FROM (
-  SELECT j.*, s.size_id, row_number() OVER (PARTITION BY j.material ORDER BY j.row_no) AS rn FROM (
-    SELECT r.row_no, r.material, r.code, r.total_stock, lt.type_id,
+  SELECT j.*, s.size_id, row_number() OVER (PARTITION BY j.material ORDER BY j.row_no, j.location_id, j.type_id) AS rn FROM (
+    SELECT r.row_no, r.material, r.code, r.total_stock, lt.location_id, lt.type_id,
       CASE WHEN lt.type_id = 1 THEN 'S'
            WHEN lt.type_id = 3 THEN CASE WHEN r.total_stock > 20 THEN 'S' ELSE 'M' END
            WHEN lt.type_id = 4 THEN CASE WHEN r.total_stock > 30 THEN 'S' ELSE 'M' END
@@ -65,6 +65,16 @@ SELECT d.material, d.priority, CASE WHEN d.mrp_controller = 899 THEN 'L' END AS
 FROM master_dedup d LEFT JOIN master_tech_long l ON d.material = l.material
 GROUP BY d.material, d.priority, d.mrp_controller"""
 
+for _n in ("master_tech_long", "master_flags"):  # the same on the default token map
+    CTE[_n + "_std"] = CTE[_n].replace("token_map", "token_map_std").replace("master_tech_long", "master_tech_long_std")
+CTE["token_map_std"] = ("SELECT value, tech_name FROM (VALUES " + ", ".join(str(x) for x in DEFAULT_TOKEN_MAP)
+                        + ") AS d(value, tech_name)")
+
+
+def on_default_map(body: str) -> str:
+    return body.replace("master_flags", "master_flags_std")
+
+
 CTE["cost_center_tech"] = """
 SELECT cost_center,
   CAST(MAX(CASE WHEN tech = 'ASSEMBLY' THEN 1 ELSE 0 END) AS INTEGER) AS ASSEMBLY,
@@ -546,10 +556,11 @@ FROM map_current WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY location, la
 def _audit(rule: str, keys: list[str], lhs: str, rhs: str, sense: str, src: str) -> str:
     bad = {"le": f"({lhs}) > ({rhs}) + 1e-6", "ge": f"({lhs}) < ({rhs}) - 1e-6",
            "eq": f"abs(({lhs}) - ({rhs})) > 1e-6", "info": "false"}[sense]
+    slack = {"le": f"({rhs}) - ({lhs})", "ge": f"({lhs}) - ({rhs})", "eq": f"0 - abs(({lhs}) - ({rhs}))", "info": "NULL"}[sense]
     ks = [f"CAST({k} AS VARCHAR)" for k in keys] + ["CAST(NULL AS VARCHAR)"] * (4 - len(keys))
     kcols = ", ".join(f"{k} AS key_{i}" for i, k in enumerate(ks, 1))
     return (f"SELECT plan_id, '{rule}' AS rule, {kcols}, CAST({lhs} AS DOUBLE) AS lhs, CAST({rhs} AS DOUBLE) AS rhs, "
-            f"CASE WHEN {bad} THEN 1 ELSE 0 END AS violated FROM ({src}) src")
+            f"CAST({slack} AS DOUBLE) AS slack, CASE WHEN {bad} THEN 1 ELSE 0 END AS violated FROM ({src}) src")
 
 
 CTE["pv3"] = """SELECT plan_id, variable, index_1 AS category, index_2 AS type, index_3 AS location, value FROM plan_vars"""

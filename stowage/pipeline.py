@@ -7,6 +7,7 @@ same logical subtree is reused (Spark then reuses its exchanges).
 
 from __future__ import annotations
 
+import contextvars
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -48,7 +49,7 @@ class Stages:
         created first by the caller.
         """
         with ThreadPoolExecutor(max_workers=len(steps)) as pool:
-            for f in [pool.submit(getattr(self, st)) for st in steps]:
+            for f in [pool.submit(contextvars.copy_context().run, getattr(self, st)) for st in steps]:
                 f.result()
 
     def dim(self, name: str) -> DataFrame:
@@ -58,10 +59,15 @@ class Stages:
             return materialize(d, name, True) if fx.reads_large(name) else d
         return self._get(("dim", name), build)
 
+    def techs(self) -> list[str]:
+        """Names of the technology dimension, by id."""
+        return self._get("techs", lambda: [r["tech_name"] for r in self.dim("dim_tech").orderBy("tech_id").collect()])
+
     def dims(self, *names: str) -> None:
         """Build dimension tables as concurrent Spark jobs."""
         with ThreadPoolExecutor(max_workers=len(names)) as pool:
-            list(pool.map(self.dim, names))
+            for f in [pool.submit(contextvars.copy_context().run, self.dim, n) for n in names]:
+                f.result()
 
     def parallel(self, *steps: str) -> "Stages":
         """Build the shared category inputs, then the given independent stage tables concurrently."""
@@ -89,19 +95,20 @@ class Stages:
                                                           self.dim("dim_size")))
 
     def master(self):
-        return self._get("master", lambda: mst.master_flags(self.raw_master(), self.token_map()))
+        return self._get("master", lambda: mst.master_flags(self.raw_master(), self.token_map(), self.techs()))
 
     def token_map(self):
         return self._get("token_map", lambda: dm.token_map_or_default(self.dim("dim_token_map")))
 
     def cc_tech(self):
-        return self._get("cc_tech", lambda: cc.cost_center_tech(self.raw_cost_center()))
+        return self._get("cc_tech", lambda: cc.cost_center_tech(self.raw_cost_center(), self.techs()))
 
     def cc_loaded(self):
-        return self._get("cc_loaded", lambda: materialize(cc.cost_center_loaded(self.cc_tech()), "cost_center"))
+        return self._get("cc_loaded", lambda: materialize(
+            cc.cost_center_loaded(self.cc_tech(), self.techs()), "cost_center"))
 
     def cons_lines(self):
-        """The order lines, reduced to one row per (material, order, center): the one read of the fact."""
+        """The order lines, reduced to one row per (material, center): the one read of the fact."""
         return self._get("cons_lines", lambda: materialize(con.consumption_lines(self.raw_consumption()),
                                                            "consumption_lines"))
 
@@ -120,24 +127,28 @@ class Stages:
 
     def cons_tech(self):
         return self._get("cons_tech", lambda: materialize(
-            con.consumption_tech(self.cons_lines(), self.cc_loaded()), "consumption_tech"))
+            con.consumption_tech(self.cons_lines(), self.cc_loaded(), self.techs()), "consumption_tech"))
 
     # parts chain -----------------------------------------------------------
     def parts_from_stock(self):
-        return self._get("p1", lambda: prt.parts_from_stock(self.stock()))
+        return self._get("p1", lambda: prt.parts_from_stock(self.stock(), self.techs()))
 
     def parts_with_master(self):
-        return self._get("p2", lambda: materialize(prt.parts_with_master(self.parts_from_stock(), self.master()),
+        return self._get("p2", lambda: materialize(prt.parts_with_master(
+            self.parts_from_stock(), self.master(), self.techs()),
                                                    "parts_base"))
 
     def parts_with_priority(self):
-        return self._get("p4", lambda: prt.parts_with_priority(self.parts_with_master(), self.cons_priority()))
+        return self._get("p4", lambda: prt.parts_with_priority(
+            self.parts_with_master(), self.cons_priority(), self.techs()))
 
     def parts_with_movement(self):
-        return self._get("p5", lambda: prt.parts_with_movement(self.parts_with_priority(), self.cons_movement()))
+        return self._get("p5", lambda: prt.parts_with_movement(
+            self.parts_with_priority(), self.cons_movement(), self.techs()))
 
     def parts_full(self):
-        return self._get("p6", lambda: prt.parts_with_tech(self.parts_with_movement(), self.cons_tech()))
+        return self._get("p6", lambda: prt.parts_with_tech(
+            self.parts_with_movement(), self.cons_tech(), self.techs()))
 
     def parts(self):
         """M8-normalized parts: the table every category build reads."""
@@ -146,7 +157,7 @@ class Stages:
             self.dims("dim_location_type", "dim_size")
             # independent stage tables: stock+master merge, Pareto movement, consumption tech
             self.prefetch("parts_with_master", "cons_movement", "cons_tech")
-            return materialize(prt.parts_normalized(self.parts_full()), "parts")
+            return materialize(prt.parts_normalized(self.parts_full(), self.techs()), "parts")
         return self._get("p8", build)
 
     # categories --------------------------------------------------------------
@@ -158,7 +169,7 @@ class Stages:
 
     def category_tech(self):
         return self._get("i_sku_user", lambda: materialize(cat.category_tech(
-            self.enriched(), self.category_summary(), self.dim("dim_tech")), "i_sku_user", True))
+            self.enriched(), self.category_summary(), self.dim("dim_tech"), self.techs()), "i_sku_user", True))
 
     def category_type(self):
         return self._get("i_sku_type", lambda: materialize(cat.category_type(
@@ -171,15 +182,15 @@ class Stages:
             materialize(cat.category_letters(self.parts()), "letters", True), self.dim("dim_size")), "grid", True))
 
     def fwd_fit(self):
-        return self._get("fwd_fit", lambda: cur.curve_fit(cur.forward_demand(self.enriched())))
+        return self._get("fwd_fit", lambda: cur.curve_fit(
+            cur.forward_demand(self.enriched(), self.techs())))
 
     def res_fit(self):
         return self._get("res_fit", lambda: cur.curve_fit(cur.reserve_demand(self.enriched())))
 
     def fwd_points(self):
         def build():
-            g = self.grid().select("category").join(
-                self.spark.createDataFrame([(t,) for t in fx.ALL_TECHS], "tech string"), how="cross")
+            g = self.grid().select("category").crossJoin(self.dim("dim_tech").select(F.col("tech_name").alias("tech")))
             return materialize(cur.curve_points(self.fwd_fit(), g), "curve_forward", True)
         return self._get("fwd_points", build)
 
@@ -190,8 +201,8 @@ class Stages:
 
     # plan and reports ----------------------------------------------------------
     def lt_named(self):
-        return self._get("lt_named", lambda: rep.location_type_named(
-            self.dim("dim_location_type"), self.dim("dim_location"), self.dim("dim_type")))
+        return self._get("lt_named", lambda: materialize(rep.location_type_named(
+            self.dim("dim_location_type"), self.dim("dim_location"), self.dim("dim_type")), "lt_named", True))
 
     def plan(self):
         if "plan" not in self._memo:

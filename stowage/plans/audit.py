@@ -1,8 +1,9 @@
 """Plan audit (C1-C25): the planning model's objective terms and constraints, evaluated on a plan.
 
 Every rule returns rows of one shape:
-``plan_id, rule, key_1..key_4, lhs, rhs, violated`` (violated = 0/1), so many
-plans and all rules can be scored in one job.  Inputs are the plan table plus
+``plan_id, rule, key_1..key_4, lhs, rhs, slack, violated`` (violated = 0/1; slack is the
+distance to the limit, negative beyond it), so many plans can be scored in one job;
+:mod:`stowage.plans.audit_pass` scores all rules from one scan of the plans.  Inputs are the plan table plus
 the category tables (aggregates of the parts table) and dimensions.  Rules that the
 planning model states for every index are evaluated over the full index sets, so
 what a plan leaves out shows as 0.
@@ -27,24 +28,24 @@ EPS = 1e-6
 UNITS_PER_COMPATIBLE = 1000.0
 SHARE_RATIO = 1.2
 
-OUT = ["plan_id", "rule", "key_1", "key_2", "key_3", "key_4", "lhs", "rhs", "violated"]
+OUT = ["plan_id", "rule", "key_1", "key_2", "key_3", "key_4", "lhs", "rhs", "slack", "violated"]
 
 
 def _out(df: DataFrame, rule: str, keys: list, lhs, rhs, sense: str) -> DataFrame:
     """sense: 'le' (lhs <= rhs), 'ge', 'eq' or 'info' (no check)."""
     if sense == "le":
-        bad = lhs > rhs + EPS
+        bad, slack = lhs > rhs + EPS, rhs - lhs
     elif sense == "ge":
-        bad = lhs < rhs - EPS
+        bad, slack = lhs < rhs - EPS, lhs - rhs
     elif sense == "eq":
-        bad = F.abs(lhs - rhs) > EPS
+        bad, slack = F.abs(lhs - rhs) > EPS, 0 - F.abs(lhs - rhs)
     else:
-        bad = F.lit(False)
+        bad, slack = F.lit(False), F.lit(None)
     ks = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
     ks += [F.lit(None).cast("string")] * (4 - len(ks))
     return df.select(F.col("plan_id"), F.lit(rule).alias("rule"),
                      *[k.alias(f"key_{i}") for i, k in enumerate(ks, 1)],
-                     lhs.cast("double").alias("lhs"), rhs.cast("double").alias("rhs"),
+                     lhs.cast("double").alias("lhs"), rhs.cast("double").alias("rhs"), slack.cast("double").alias("slack"),
                      F.when(bad, 1).otherwise(0).alias("violated"))
 
 

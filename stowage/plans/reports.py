@@ -6,7 +6,7 @@ aggregates it first and only then meets the (small) plan tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.cleaning import display_percent, minmax_radius
@@ -18,18 +18,27 @@ KEYS = ["category", "type", "location"]
 
 
 def parts_located(enriched: DataFrame, lt: DataFrame) -> DataFrame:
-    """Parts to (location, type) through their bin code (left join; unmatched stay null)."""
-    codes = small(lt.select("code", "location", "type"), DIM_MAX_ROWS)
-    return enriched.join(codes, enriched.storage_type == codes.code, "left").drop("code")
+    """Parts to (location, type) through their bin code (left join; unmatched stay null).
+
+    A code may name several (location, type) rows, and a part then has a row for each.  ``first_place`` is true
+    for one row of a part, ``first_here`` for one row of a part at each location: counting those counts distinct materials.
+    """
+    codes = small(lt.select("code", "location", "type", "first_place", "first_here"), DIM_MAX_ROWS)
+    j = enriched.join(codes, enriched.storage_type == codes.code, "left").drop("code")
+    return j.withColumn("first_place", F.coalesce("first_place", F.lit(True)))
 
 
 def location_type_named(loc_types: DataFrame, locations: DataFrame, types: DataFrame) -> DataFrame:
-    """Relationship rows with readable names: (code, location, type, current_units, location_id, type_id)."""
+    """Relationship rows with readable names: (code, location, type, current_units, location_id, type_id), and
+    whether a row is the first of its code, and of its code at its location."""
     l = small(locations.select("location_id", "location"), DIM_MAX_ROWS)
     t = small(types.select("type_id", "type"), DIM_MAX_ROWS)
+    code, here = Window.partitionBy("code"), Window.partitionBy("code", "location_id")
     return loc_types.join(l, "location_id", "inner").join(t, "type_id", "inner").select(
         "code", "location", "type", F.col("current_units").cast("double").alias("current_units"),
-        "location_id", "type_id")
+        "location_id", "type_id",
+        (F.row_number().over(code.orderBy("location_id", "type_id")) == 1).alias("first_place"),
+        (F.row_number().over(here.orderBy("type_id")) == 1).alias("first_here"))
 
 
 def relation_named(rel: DataFrame, left: DataFrame, left_id: str, left_name: str, right: DataFrame, right_id: str,
@@ -69,10 +78,18 @@ def relocations(plan: DataFrame) -> DataFrame:
                                              F.col("index_3").alias("to_location"), F.col("value").alias("units"))
 
 
-def _measure(measure: str) -> F.Column:
-    # the bin code of a part names one (location, type), so a material is counted once
-    return (F.count("material").cast("double") if measure == "count"
-            else F.coalesce(F.sum("sku_cubic_ft"), F.lit(0.0)))
+def _volume() -> F.Column:
+    return F.coalesce(F.sum("sku_cubic_ft"), F.lit(0.0))
+
+
+def _cell(measure: str) -> F.Column:
+    """Measure of a (category, type, location) cell, in which a part has at most one row."""
+    return F.count("material").cast("double") if measure == "count" else _volume()
+
+
+def _total(measure: str) -> F.Column:
+    """Measure of a category: distinct materials, or volume over all rows."""
+    return F.count_if("first_place").cast("double") if measure == "count" else _volume()
 
 
 def _variable(measure: str, reserve: bool = False) -> str:
@@ -84,10 +101,9 @@ def alloc_report(located: DataFrame, plan: DataFrame, measure: str) -> DataFrame
 
     ``measure`` = "count" (distinct materials, SKUuniquePct) or "cubic" (volume, SKUcubicPct).
     """
-    m = _measure(measure)
     keyed = located.filter(F.col("type").isNotNull() & F.col("location").isNotNull())
-    cell = keyed.groupBy(*KEYS).agg(m.alias(f"current_{measure}")).crossJoin(plan_ids(plan))  # cells per plan
-    tot = located.groupBy("category").agg(m.alias(f"total_{measure}"))
+    cell = keyed.groupBy(*KEYS).agg(_cell(measure).alias(f"current_{measure}")).crossJoin(plan_ids(plan))  # cells per plan
+    tot = located.groupBy("category").agg(_total(measure).alias(f"total_{measure}"))
     j = cell.join(_pct(plan, _variable(measure), "recommended_pct"), ["plan_id", *KEYS], "full_outer")
     j = j.join(tot, "category", "left")
     total = F.coalesce(F.col(f"total_{measure}"), F.lit(0.0))
@@ -101,7 +117,7 @@ def alloc_report(located: DataFrame, plan: DataFrame, measure: str) -> DataFrame
 
 def reserve_report(located: DataFrame, plan: DataFrame, measure: str) -> DataFrame:
     """D16 reserve side: recommended reserve share and amount per plan and (category, type, location)."""
-    tot = located.groupBy("category").agg(_measure(measure).alias(f"total_{measure}"))
+    tot = located.groupBy("category").agg(_total(measure).alias(f"total_{measure}"))
     j = _pct(plan, _variable(measure, True), "reserve_pct").join(tot, "category", "left")
     total = F.coalesce(F.col(f"total_{measure}"), F.lit(0.0))
     return j.select("plan_id", *KEYS, "reserve_pct", total.alias(f"total_{measure}"),
@@ -112,7 +128,7 @@ def forward_reserve(located: DataFrame, plan: DataFrame, measure: str) -> DataFr
     """Forward and reserve shares side by side (missing = 0), with the amounts they stand for."""
     f = _pct(plan, _variable(measure), "forward_pct")
     r = _pct(plan, _variable(measure, True), "reserve_pct")
-    tot = located.groupBy("category").agg(_measure(measure).alias("total"))
+    tot = located.groupBy("category").agg(_total(measure).alias("total"))
     j = f.join(r, ["plan_id", *KEYS], "full_outer").join(tot, "category", "left")
     fp, rp = F.coalesce("forward_pct", F.lit(0.0)), F.coalesce("reserve_pct", F.lit(0.0))
     total = F.coalesce("total", F.lit(0.0))
@@ -126,7 +142,7 @@ def map_current(located: DataFrame, lt_named: DataFrame, locations: DataFrame, t
     keyed = located.filter(F.col("location").isNotNull())
     cell = keyed.groupBy("location", "category").agg(
         F.coalesce(F.sum("line_down_orders"), F.lit(0.0)).alias("total_ldo"),
-        F.count("material").cast("bigint").alias("material_count"),
+        F.count_if("first_here").cast("bigint").alias("material_count"),
         F.coalesce(F.sum("sku_cubic_ft"), F.lit(0.0)).alias("total_cubic_ft"))
     loc_tot = cell.groupBy("location").agg(F.sum("material_count").cast("bigint").alias("loc_total_materials"),
                                            F.sum("total_cubic_ft").alias("loc_total_cubic_ft"),
@@ -159,7 +175,7 @@ def map_recommended(located: DataFrame, plan: DataFrame, locations: DataFrame, t
     unique share; the recommended units of the location are joined.
     """
     totals = located.groupBy("category").agg(
-        F.count("material").cast("double").alias("cat_materials"),
+        F.count_if("first_place").cast("double").alias("cat_materials"),
         F.coalesce(F.sum("sku_cubic_ft"), F.lit(0.0)).alias("cat_cubic_ft"))
     first = family(plan, "LineDownOrders").filter("value IS NOT NULL").groupBy(
         "plan_id", F.col("index_1").alias("category")).agg(F.min_by("value", "row_no").alias("cat_ldo"))

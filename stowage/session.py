@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+#: Folder of the stage tables of the scope that is open, if any.
+_SCOPE: contextvars.ContextVar[str | None] = contextvars.ContextVar("stage_scope", default=None)
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "stowage") -> SparkSession:
@@ -60,6 +65,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a stage table, under the shared checkpoint folder."""
+    folder = _SCOPE.get() or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def stage_scope(spark: SparkSession):
+    """Stage tables written inside are removed at the end: use their results, or save them, before it."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/scope-{uuid.uuid4().hex}"
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df, name: str = "stage", bounded: bool = False):
     """Write ``df`` as parquet under the reliable checkpoint folder and continue from the copy.
 
@@ -69,9 +93,8 @@ def materialize(df, name: str = "stage", bounded: bool = False):
     statistics, so AQE can pick broadcast joins from measured sizes.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     # tables with a bound independent of the data (category, curve, plan tables) go to one file, after an exchange:
     # what computes them keeps its own parallelism
     (df.repartition(1) if bounded else df).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # with the schema known, no footer is read

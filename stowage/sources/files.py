@@ -1,19 +1,17 @@
-"""File sources and sinks (S1, S2, S5-S9): delimited exports in, versioned parquet tables out.
-
-Tables live under a workspace root (shared storage on a cluster), as folders of
-immutable versions; no transaction log is needed.
-"""
+"""Delimited exports in and out (S1, S2, S9, S12); the tables they become live in a workspace."""
 
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stowage.functions.contracts import ContractError
+from stowage.sources.workspace import ConflictError, Workspace, align
+
+__all__ = ["ConflictError", "Workspace", "align", "header_report", "normalize_header", "read_export", "write_csv",
+           "write_json_file"]
 
 
 def normalize_header(name: str) -> str:
@@ -21,19 +19,43 @@ def normalize_header(name: str) -> str:
     return re.sub(r"\s+", " ", name.strip()).lower()
 
 
-def read_export(spark: SparkSession, path: str, header_map: dict[str, str], sep: str = ",") -> DataFrame:
+def _matched(raw: DataFrame, header_map: dict[str, str]) -> dict[str, str | None]:
+    """The export's own spelling of each header, None where it is absent."""
+    by_key = {normalize_header(c): c for c in raw.columns}
+    return {h: by_key.get(normalize_header(h)) for h in header_map}
+
+
+def header_report(spark: SparkSession, path: str, header_map: dict[str, str], sep: str = ",") -> DataFrame:
+    """(header, found, present) for every header that the export must have; only the header line is read."""
+    raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
+    return spark.createDataFrame([(h, f, int(f is not None)) for h, f in _matched(raw, header_map).items()],
+                                 "header string, found string, present int")
+
+
+def input_order() -> F.Column:
+    """The place of a row in an export of any number of files: file, start of the split, place in the split.
+
+    Rows of one split are read in order by one task, and splits of a file are ordered by their start, so the order of
+    these keys is the order of the lines, however the files are split.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                    F.monotonically_increasing_id().alias("place"))
+
+
+def read_export(spark: SparkSession, path: str, header_map: dict[str, str], sep: str = ",",
+                order_col: str | None = None) -> DataFrame:
     """S1 + S2: read a delimited export with every column as text, match headers loosely, rename to contract names.
 
-    ``header_map`` maps the export's header spelling to the contract column name.
-    Raises when a required header is absent.
+    ``header_map`` maps the export's header spelling to the contract column name; ``order_col`` adds the
+    :func:`input_order` of each row.  Raises when a required header is absent.
     """
     raw = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
-    by_key = {normalize_header(c): c for c in raw.columns}
-    missing = [h for h in header_map if normalize_header(h) not in by_key]
+    found = _matched(raw, header_map)
+    missing = [h for h, f in found.items() if f is None]
     if missing:
         raise ContractError(f"missing headers: {missing}")
-    return raw.select(*[F.col(f"`{by_key[normalize_header(h)]}`").cast("string").alias(target)
-                        for h, target in header_map.items()])
+    cols = [F.col(f"`{found[h]}`").cast("string").alias(target) for h, target in header_map.items()]
+    return raw.select(*cols, *([input_order().alias(order_col)] if order_col else []))
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -42,78 +64,7 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def align(df: DataFrame, target: T.StructType, rename: dict[str, str] | None = None) -> DataFrame:
-    """Rename, add missing target columns as typed nulls, cast, keep the target order."""
-    rename = rename or {}
-    src = df
-    for a, b in rename.items():
-        if a in src.columns:
-            src = src.withColumnRenamed(a, b)
-    cols = []
-    for f in target.fields:
-        c = F.col(f.name).cast(f.dataType) if f.name in src.columns else F.lit(None).cast(f.dataType)
-        cols.append(c.alias(f.name))
-    return src.select(*cols)
-
-
-class Workspace:
-    """Versioned parquet tables under one root folder (S5, S6, S7, S8) on any file system that Spark reads.
-
-    A table is a folder of numbered versions; the current one is the last that Spark
-    has committed (its success marker is there), so readers never see a half-written table.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _dir(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def versions(self, table: str) -> list[str]:
-        """Committed versions, oldest first."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self._dir(table)}/v-*/_SUCCESS")
-        found = path.getFileSystem(conf).globStatus(path) or []
-        return sorted(s.getPath().getParent().toString() for s in found)
-
-    def current(self, table: str) -> str | None:
-        return (self.versions(table) or [None])[-1]
-
-    def replace(self, table: str, df: DataFrame, schema: T.StructType | None = None,
-                rename: dict[str, str] | None = None) -> str:
-        """Write a new version (aligned to ``schema`` when given); its commit makes it the current one."""
-        out = align(df, schema, rename) if schema is not None else df
-        last = self.current(table)
-        number = int(last.rsplit("/v-", 1)[1].split("-")[0]) + 1 if last else 1
-        version = f"{self._dir(table)}/v-{number:012d}-{uuid.uuid4().hex}"
-        out.write.mode("errorifexists").parquet(version)
-        return version
-
-    def read(self, table: str) -> DataFrame:
-        v = self.current(table)
-        if v is None:
-            raise ContractError(f"table {table!r} has no current version")
-        return self.spark.read.parquet(v)
-
-    def preview(self, table: str, rows: int = 20) -> list:
-        """The first rows of a table, for display."""
-        return self.read(table).limit(rows).collect()
-
-    def clear(self, table: str, schema: T.StructType) -> str:
-        """Replace with an empty table of the same schema."""
-        return self.replace(table, self.spark.createDataFrame([], schema))
-
-    def init(self, tables: dict[str, T.StructType]) -> None:
-        """Start over with empty typed tables."""
-        for name, schema in tables.items():
-            self.clear(name, schema)
-
-    def ready(self, names: list[str], require_rows: bool = True) -> dict[str, bool]:
-        """Dependency gate: does each table exist (and hold rows)?"""
-        out = {}
-        for n in names:
-            if self.current(n) is None:
-                out[n] = False
-            else:
-                out[n] = (not require_rows) or (not self.read(n).isEmpty())
-        return out
+def write_json_file(df: DataFrame, path: str) -> str:
+    """A bounded table as one file of JSON lines, for inspection."""
+    df.repartition(1).write.mode("overwrite").json(path)
+    return path

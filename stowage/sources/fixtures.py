@@ -30,8 +30,11 @@ _TECHS = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(ALL_TECHS,
 DIM_TABLES = ["nation", "region", "part", "supplier"]
 DIM_SQL: dict[str, str] = {
     "dim_tech": f"SELECT tech_id, tech_name FROM {_TECHS}",
-    # the stored token map is empty: the default map takes its place
-    "dim_token_map": "SELECT r_name AS value, r_name AS tech_name FROM {region} WHERE r_regionkey < 0",
+    # the keys need normalizing; one is part of another, and the token LC matches none
+    "dim_token_map": (
+        "SELECT CASE r_regionkey WHEN 0 THEN ' a' WHEN 1 THEN 'B' WHEN 2 THEN 'p ' WHEN 3 THEN 'body' ELSE 'ZZ' END AS value, "
+        "CASE r_regionkey % 3 WHEN 0 THEN 'assembly' WHEN 1 THEN 'BODY' ELSE ' PAINT' END AS tech_name FROM {region}"
+    ),
     "dim_size": (
         "SELECT s.size_id, s.size, CAST(s.f * p.low AS DOUBLE) AS min_vol, CAST(s.g * p.low AS DOUBLE) AS total_cuft "
         "FROM (VALUES (1, 'S', 0.0625, 0.03125), (2, 'M', 0.375, 0.125), (3, 'L', 1.5, 0.75)) AS s(size_id, size, f, g) "
@@ -59,7 +62,8 @@ DIM_SQL: dict[str, str] = {
         "FROM {nation} n LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM {supplier} GROUP BY s_nationkey) s "
         "ON s.s_nationkey = n.n_nationkey"
     ),
-    # one row names a location that doesn't exist: foreign-key filters drop it
+    # one row names a location that doesn't exist: foreign-key filters drop it; two rows share the code of another row, one
+    # at another location and one at the same
     "dim_location_type": (
         "SELECT n.n_nationkey + 1 AS location_id, t.type_id, "
         "concat('N', CAST(n.n_nationkey AS STRING), '-', CAST(t.type_id AS STRING)) AS code, "
@@ -67,7 +71,9 @@ DIM_SQL: dict[str, str] = {
         f"FROM {{nation}} n JOIN {_TYPES} ON (n.n_nationkey + t.type_id) % 3 = 0 "
         "LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM {supplier} GROUP BY s_nationkey) s "
         "ON s.s_nationkey = n.n_nationkey "
-        "UNION ALL SELECT max(n_nationkey) + 100, 1, 'LOST', CAST(count(*) AS INTEGER) FROM {nation}"
+        "UNION ALL SELECT max(n_nationkey) + 100, 1, 'LOST', CAST(count(*) AS INTEGER) FROM {nation} "
+        "UNION ALL SELECT min(n_nationkey) + 2, 3, 'N0-3', CAST(count(*) AS INTEGER) FROM {nation} "
+        "UNION ALL SELECT min(n_nationkey) + 3, 2, 'N2-1', CAST(count(*) AS INTEGER) FROM {nation}"
     ),
     "dim_tech_location": (
         "SELECT k.tech_id, n.n_nationkey + 1 AS location_id "
@@ -108,7 +114,7 @@ SELECT p_partkey * 2 AS row_no, CAST(p_partkey AS VARCHAR) AS material,
        WHEN p_type = 'MEDIUM' THEN 'N' || (3 * (p_partkey % 8)) || '-3'
        WHEN p_type = 'PROMO' THEN 'N' || (3 * (p_partkey % 8) + 2) || '-4'
        ELSE 'N' || (3 * (p_partkey % 8) + 1) || '-5' END AS code,
-  CASE WHEN p_partkey % 10 = 0 THEN concat('1,', lpad(CAST(p_size AS VARCHAR), 3, '0'))
+  CASE WHEN p_partkey % 31 = 0 THEN 'n/a' WHEN p_partkey % 10 = 0 THEN concat('1,', lpad(CAST(p_size AS VARCHAR), 3, '0'))
        WHEN p_partkey % 3 = 0 THEN concat(CAST(p_size AS VARCHAR), ' EA')
        ELSE CAST(p_size AS VARCHAR) END AS total_stock_raw
 FROM part
@@ -159,7 +165,7 @@ def raw_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 29 == 0, "BULK").when(t.isin("ECONOMY", "SMALL"), bin_code(k, 2, 1))
         .when(t == "MEDIUM", bin_code(k, 0, 3)).when(t == "PROMO", bin_code(k, 2, 4))
         .otherwise(bin_code(k, 1, 5)).alias("code"),
-        F.when(k % 10 == 0, F.concat(F.lit("1,"), F.lpad(size_txt, 3, "0")))
+        F.when(k % 31 == 0, "n/a").when(k % 10 == 0, F.concat(F.lit("1,"), F.lpad(size_txt, 3, "0")))
         .when(k % 3 == 0, F.concat(size_txt, F.lit(" EA")))
         .otherwise(size_txt).alias("total_stock_raw"),
     )

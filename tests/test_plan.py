@@ -55,7 +55,8 @@ def test_plans_are_not_added_together(spark):
 
 
 def test_first_line_down_value_of_a_category(spark):
-    located = spark.createDataFrame([("m", "c1", 100.0, 2.0)], "material string, category string, line_down_orders double, sku_cubic_ft double")
+    located = spark.createDataFrame([("m", "c1", 100.0, 2.0, True)], "material string, category string, line_down_orders double, "
+                                    "sku_cubic_ft double, first_place boolean")
     loc = spark.createDataFrame([("N", 1.0, 1.0, 5.0)], "location string, lat double, lon double, travel_time double")
     p = plan(spark, ("x", "SKUuniquePct", ("c1", "ECONOMY", "N"), 0.5), ("x", "SKUcubicPct", ("c1", "ECONOMY", "N"), 1.0),
              ("x", "LineDownOrders", ("c1", "T", "1"), 7.0), ("x", "LineDownOrders", ("c1", "T", "2"), 9.0),
@@ -64,6 +65,27 @@ def test_first_line_down_value_of_a_category(spark):
     assert (r.rec_ldo, r.rec_materials, r.rec_cubic_ft, r.recommended_economy) == (3.5, 0.5, 2.0, 4.0)
 
 
+def test_materials_of_a_shared_code_count_once(spark):
+    """A code that names two rows gives a part two cells, but the part is one material of its category."""
+    lt = spark.createDataFrame([(1, 1, "B1", 1), (2, 1, "B1", 1), (2, 2, "B1", 1)],
+                               "location_id int, type_id int, code string, current_units int")
+    named = rep.location_type_named(lt, spark.createDataFrame([(1, "L1"), (2, "L2")], "location_id int, location string"),
+                                    spark.createDataFrame([(1, "ECONOMY"), (2, "SMALL")], "type_id int, type string"))
+    parts = spark.createDataFrame([("a", "c1", "B1", 1.0, 5.0), ("b", "c1", "B1", 1.0, 5.0), ("c", "c1", "??", 1.0, 5.0)],
+                                  "material string, category string, storage_type string, line_down_orders double, sku_cubic_ft double")
+    located = rep.parts_located(parts, named)
+    p = plan(spark, ("x", "SKUuniquePct", ("c1", "ECONOMY", "L1"), 0.5))
+    got = {(r.type, r.location): (r.current_count, r.total_count, round(r.current_pct, 6))
+           for r in rep.alloc_report(located, p, "count").collect()}
+    assert got == dict.fromkeys([("ECONOMY", "L1"), ("ECONOMY", "L2"), ("SMALL", "L2")], (2.0, 3.0, 0.666667))
+    geo = spark.createDataFrame([("L1", 1.0, 1.0, 5.0), ("L2", 1.0, 1.0, 5.0)], "location string, lat double, lon double, travel_time double")
+    cur = {r.location: (r.material_count, r.loc_total_materials) for r in rep.map_current(located, named, geo, ["ECONOMY", "SMALL"]).collect()}
+    assert cur == {"L1": (2, 2), "L2": (2, 2)}
+    full = plan(spark, ("x", "SKUuniquePct", ("c1", "ECONOMY", "L1"), 1.0), ("x", "SKUcubicPct", ("c1", "ECONOMY", "L1"), 1.0),
+                ("x", "StoreUnits", ("ECONOMY", "L1"), 1.0))
+    assert rep.map_recommended(located, full, geo, ["ECONOMY", "SMALL"]).first().rec_materials == 3.0
+
+
 @pytest.mark.parametrize("rule", ["budget", "space", "flow", "units_split", "cover_volume", "cover_unique", "share_ratio",
                                   "type_category", "tech_location", "alloc_total", "sku_capacity", "reserve_location"])
 def test_every_rule_holds_and_breaks(spark, rule):
