@@ -605,7 +605,13 @@ def q_pivot_forward_cubic(spark, sf):
     "SELECT plan_id, category, location, type || '_Reserve', value FROM plan_pct WHERE variable = 'ResSKUcubicPct'",
     _TYPES + [t + "_Reserve" for t in _TYPES], True)))
 def q_pivot_forward_reserve_cubic(spark, sf):
-    return rep.plan_pivots(stages(spark, sf).plan(), fx.TYPE_NAMES)["forward_reserve_cubic"]
+    return rep.pivot_forward_reserve(stages(spark, sf).plan(), fx.TYPE_NAMES, "cubic")
+
+
+def _section(name: str):
+    def q(spark, sf):
+        return rep.plan_pivots(stages(spark, sf).plan(), fx.TYPE_NAMES)[name]
+    return q
 
 
 @register("pivot_relocations", O.with_ctes("SELECT plan_id, from_location, to_location, " + ", ".join(
@@ -616,6 +622,13 @@ def q_pivot_relocations(spark, sf):
     return rep.pivot_relocations(stages(spark, sf).plan(), fx.TYPE_NAMES)
 
 
+register("section_units", O.select_all("units_rec_pivot"))(_section("units"))
+for _name, _single in (("relocations", "pivot_relocations"), ("forward_count", "pivot_forward"),
+                       ("forward_cubic", "pivot_forward_cubic"), ("forward_reserve_count", "pivot_forward_reserve"),
+                       ("forward_reserve_cubic", "pivot_forward_reserve_cubic")):
+    register(f"section_{_name}", REGISTRY[_single][1])(_section(_name))
+
+
 @register("tidy_alloc", O.with_ctes("""
 SELECT plan_id, category, type, location, 'Current' AS metric, current_pct AS value, 'Current - ' || type AS segment
 FROM report_alloc_counts

@@ -9,8 +9,9 @@ Scale: one group may hold a third of all parts, so nothing here sorts a group in
 one task.  Ranks are compressed into *blocks* of equal demand (one row per
 distinct demand value), and inside a block the curve is a straight line, so
 every prefix sum the fit needs has a closed form in the block's row offset.  The
-block table is small; the per-split candidates are generated in bounded chunks
-and scored in parallel; the best split per group is a ``min_by`` aggregate.
+block table is small; ranges of splits inside blocks are bounded from below by the
+errors of two free lines around them, and only ranges that can hold the best split
+are cut further and scored; the best split per group is a ``min_by`` aggregate.
 
 Fit (replaces a stochastic global search): exact continuous two-segment least
 squares after Hudson (1966, JASA 61, "Fitting segmented curves whose join
@@ -32,8 +33,10 @@ from stowage.sources.fixtures import ALL_TECHS
 # concavity tolerance.
 CAP_SHARE = 0.80
 CONCAVE_TOL = 1e-9
-# Candidates generated per chunk of a block; keeps every explode bounded.
-CHUNK = 4096
+# Ranges that a range of splits is cut into in a round, and the rounding slack of an error bound in shares of the sum of
+# squares.
+FANOUT = 256
+BOUND_SLACK = 1e-12
 
 
 def forward_demand(enriched: DataFrame, techs: list[str] = ALL_TECHS) -> DataFrame:
@@ -108,34 +111,38 @@ def group_stats(blocks: DataFrame) -> DataFrame:
         .alias("t_yy"))
 
 
-def candidates(blocks: DataFrame, stats: DataFrame) -> DataFrame:
-    """Score every split k (1 <= k < n) of every fitted group; both candidate kinds.
+def fitted_groups(stats: DataFrame) -> DataFrame:
+    """Groups with something to fit: more than two parts and more than one demand value."""
+    return stats.filter((F.col("n") > 2) & (F.col("n_distinct") > 1))
+
+
+def _sums_at(t: str, p: str) -> list[str]:
+    """Prefix sums over ranks 1..k at offset ``t`` of a block (closed forms inside it), named ``<p>k``, ``<p>x1``, ..."""
+    t = f"CAST({t} AS DOUBLE)"
+    k = f"(r0 + {t})"
+    return [f"{k} AS {p}k", f"{k} * ({k} + 1) / 2 AS {p}x1", f"{k} * ({k} + 1) * (2 * {k} + 1) / 6 AS {p}x2",
+            f"s_y + ({_SUM_Y.format(t=t)}) AS {p}y", f"s_xy + ({_SUM_XY.format(t=t)}) AS {p}xy",
+            f"s_yy + ({_SUM_YY.format(t=t)}) AS {p}yy"]
+
+
+#: The same sums over all ranks of the group.
+_N = "CAST(n AS DOUBLE)"
+_TOTALS = [f"{_N} AS N", f"{_N} * ({_N} + 1) / 2 AS tx1", f"{_N} * ({_N} + 1) * (2 * {_N} + 1) / 6 AS tx2",
+           "t_y AS ty", "t_xy AS txy", "t_yy AS tyy"]
+
+
+def score_splits(points: DataFrame) -> DataFrame:
+    """Both candidates of every split: rows of a block (with its group's totals) and an offset ``t`` in it.
 
     Computed as a chain of small projections (prefix sums, then centred moments,
     then fits) so each generated expression stays small.
     """
-    fit_groups = stats.filter((F.col("n") > 2) & (F.col("n_distinct") > 1))
-    b = blocks.join(fit_groups, ["category", "tech"], "inner")
-    # chunk each block, then explode a bounded range per chunk row
-    b = b.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("cnt") - 1) / CHUNK))))
-    b = b.repartition("category", "tech", "demand", "_chunk")
-    lo = F.col("_chunk") * CHUNK + 1
-    hi = F.least(F.col("cnt"), (F.col("_chunk") + 1) * CHUNK)
-    b = b.withColumn("t", F.explode(F.sequence(lo, hi)))
     # Spark SQL expression text: one JVM call per projection instead of one per operator.
-    t, k, n = "CAST(t AS DOUBLE)", "(r0 + CAST(t AS DOUBLE))", "CAST(n AS DOUBLE)"
-    # 1. prefix sums up to k (closed forms inside the block) and group totals
-    p = b.selectExpr(
-        "category", "tech", f"{n} AS N", f"{k} AS K",
-        f"{k} * ({k} + 1) / 2 AS px1", f"{k} * ({k} + 1) * (2 * {k} + 1) / 6 AS px2",
-        f"s_y + ({_SUM_Y.format(t=t)}) AS py", f"s_xy + ({_SUM_XY.format(t=t)}) AS pxy",
-        f"s_yy + ({_SUM_YY.format(t=t)}) AS pyy",
-        f"{n} * ({n} + 1) / 2 AS tx1", f"{n} * ({n} + 1) * (2 * {n} + 1) / 6 AS tx2",
-        "t_y AS ty", "t_xy AS txy", "t_yy AS tyy").where("K < N")
-    # 2. right-side sums
+    p = points.selectExpr("category", "tech", *_sums_at("t", "p"), *_TOTALS).withColumnRenamed("pk", "K").where("K < N")
+    # right-side sums
     p = p.selectExpr("*", "N - K AS mR", "tx1 - px1 AS rx1", "tx2 - px2 AS rx2", "ty - py AS ry",
                      "txy - pxy AS rxy", "tyy - pyy AS ryy")
-    # 3. centred moments: left, right, and the hinge regressor h = (x - k)+ over all points
+    # centred moments: left, right, and the hinge regressor h = (x - k)+ over all points
     p = p.selectExpr(
         "category", "tech", "K", "N", "mR", "px1", "py", "rx1", "ry", "tx1", "ty", "tx2", "txy", "tyy",
         "K * px2 - px1 * px1 AS lxx", "K * pxy - px1 * py AS lxy", "K * pyy - py * py AS lyy",
@@ -144,7 +151,7 @@ def candidates(blocks: DataFrame, stats: DataFrame) -> DataFrame:
         "rxy - K * ry AS syh")
     p = p.selectExpr("*", "N * tx2 - tx1 * tx1 AS cxx", "N * sxh - tx1 * sh AS cxh", "N * shh - sh * sh AS chh",
                      "N * txy - tx1 * ty AS cxy", "N * syh - sh * ty AS chy", "N * tyy - ty * ty AS cyy")
-    # 4. fits: two free lines, and the joined (hinge) fit
+    # fits: two free lines, and the joined (hinge) fit
     p = p.selectExpr("*", "try_divide(lxy, lxx) AS sL", "try_divide(rxy_, rxx) AS sR",
                      "try_divide(lyy - try_divide(lxy * lxy, lxx), K) AS eL",
                      "try_divide(ryy_ - try_divide(rxy_ * rxy_, rxx), mR) AS eR",
@@ -161,16 +168,58 @@ def candidates(blocks: DataFrame, stats: DataFrame) -> DataFrame:
     return cand.selectExpr("category", "tech", "c.*").where("coalesce(ok, false)")
 
 
+def least_errors(ranges: DataFrame) -> DataFrame:
+    """A bound that no split in a range of offsets ``lo`` .. ``hi`` of a block can beat, as ``least``, with a rounding slack.
+
+    With the break anywhere between ranks k(lo) and k(hi) + 1, the points up to k(lo) lie on one line and those after
+    k(hi) on another, whatever the points between them do.  So the error is at least that of two free lines through
+    these two sets, which follows from the sums at both ends of the range.
+    """
+    p = ranges.selectExpr("*", *_sums_at("lo", "a"), *_sums_at("hi", "b"), *[t for t in _TOTALS if not t.endswith(" AS N")])
+    p = p.selectExpr("*", f"{_N} - bk AS m", "tx1 - bx1 AS rx1", "tx2 - bx2 AS rx2", "ty - by AS ry", "txy - bxy AS rxy",
+                     "tyy - byy AS ryy")
+    p = p.selectExpr("*", "try_divide(ak * ayy - ay * ay - try_divide(pow(ak * axy - ax1 * ay, 2), ak * ax2 - ax1 * ax1), ak) AS eL",
+                     "try_divide(m * ryy - ry * ry - try_divide(pow(m * rxy - rx1 * ry, 2), m * rx2 - rx1 * rx1), m) AS eR")
+    least = f"greatest(coalesce(eL, 0.0), 0.0) + greatest(coalesce(eR, 0.0), 0.0) - {BOUND_SLACK} * t_yy"
+    return p.selectExpr(*ranges.columns, f"{least} AS least")
+
+
+def best_splits(blocks: DataFrame, stats: DataFrame) -> DataFrame:
+    """The best candidate of every fitted group, scoring only splits that can be it.
+
+    Every block starts as one range of splits.  A round scores both ends of every range, which gives each group the
+    least error so far; a range whose :func:`least_errors` lie above it can't hold the best split and goes, the
+    others are cut into at most FANOUT ranges.  The rounds end when no range that is left has a split
+    inside, after about log(block size) / log(FANOUT) of them.  The result is that of scoring every split.
+    """
+    g = ["category", "tech"]
+    ranges = blocks.join(fitted_groups(stats), g).withColumn("lo", F.lit(1).cast("bigint")).withColumn("hi", F.col("cnt"))
+    best = None
+    while True:
+        ranges = materialize(ranges, "curve_ranges")
+        ends = ranges.withColumn("t", F.explode(F.array_distinct(F.array("lo", "hi"))))
+        found = score_splits(ends).drop("ok")
+        best = found if best is None else best.unionByName(found)
+        best = materialize(best.groupBy(*g).agg(F.min_by(F.struct("sse", "bp_x", "bp_y", "kind"), F.struct("sse", "bp_x")).alias("b"))
+                           .select(*g, "b.*"), "curve_best", True)
+        inside = ranges.filter("hi - lo > 1")
+        kept = least_errors(inside).join(best.select(*g, "sse"), g, "left").filter("sse IS NULL OR least <= sse")
+        if kept.isEmpty():
+            return best
+        step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") - 1) / FANOUT)).cast("bigint")
+        cut = kept.withColumn("step", step).withColumn("from", F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1, "step")))
+        ranges = cut.withColumn("hi", F.least(F.col("from") + F.col("step") - 1, F.col("hi") - 1)).withColumn(
+            "lo", F.col("from")).select(*ranges.columns)
+
+
 def curve_fit(demand: DataFrame) -> DataFrame:
     """D12 + A18: per group n, total, distinct values, and the best break (before the cap rule)."""
-    blocks = materialize(curve_blocks(demand), "curve_blocks")  # read three times: totals, candidates, their join
-    stats = group_stats(blocks)
-    cand = candidates(blocks, stats)
-    best = cand.groupBy("category", "tech").agg(
-        F.min_by(F.struct("bp_x", "bp_y", "sse"), F.struct("sse", "bp_x")).alias("b"))
+    blocks = materialize(curve_blocks(demand), "curve_blocks")  # read twice: totals, splits
+    stats = materialize(group_stats(blocks), "curve_stats", True)
+    best = best_splits(blocks, stats)
     return stats.join(best, ["category", "tech"], "left").select(
         "category", "tech", "n", "total", "n_distinct",
-        F.col("b.bp_x").alias("fit_x"), F.col("b.bp_y").alias("fit_y"), F.col("b.sse").alias("fit_sse"))
+        F.col("bp_x").alias("fit_x"), F.col("bp_y").alias("fit_y"), F.col("sse").alias("fit_sse"))
 
 
 def curve_points(fit: DataFrame, grid: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stowage.functions.cleaning import display_percent, minmax_radius
 from stowage.operators.joins import small
 from stowage.plans.plan_vars import family, plan_ids
+from stowage.session import materialize
 from stowage.sources.fixtures import DIM_MAX_ROWS
 
 KEYS = ["category", "type", "location"]
@@ -283,12 +284,66 @@ def pivot_forward_reserve(plan: DataFrame, type_names: list[str], measure: str =
                   list(type_names) + [t + "_Reserve" for t in type_names])
 
 
+# Sections of a plan's dashboard, and the variables that each sums up: forward ones, then reserve ones.
+SECTIONS = {"units": ("StoreUnits", None), "relocations": ("RelocUnits", None), "forward_count": ("SKUuniquePct", None),
+            "forward_cubic": ("SKUcubicPct", None), "forward_reserve_count": ("SKUuniquePct", "ResSKUuniquePct"),
+            "forward_reserve_cubic": ("SKUcubicPct", "ResSKUcubicPct")}
+
+
+def plan_sections(plan: DataFrame, type_names: list[str]) -> DataFrame:
+    """All sections of a plan from one scan and one aggregate.
+
+    Every variable goes to the sections that show it, each with the row it falls on (``key_1``, ``key_2``: location;
+    origin and destination; or category and location) and the column (a type, or a type's reserve); summed by row, all
+    columns at once.  One row per plan, section and keys: the type columns, the ``_reserve`` ones, and their total.
+    """
+    v, i1, i2, i3 = (F.col(c) for c in ("variable", "index_1", "index_2", "index_3"))
+    null = F.lit(None).cast("string")
+
+    def at(section, key_1, key_2, kind, suffix=""):
+        return F.struct(F.lit(section).alias("section"), key_1.alias("key_1"), key_2.alias("key_2"),
+                        F.concat(kind, F.lit(suffix)).alias("col"))
+
+    def place(section: str, reserve: bool) -> F.Column:
+        if section == "units":
+            return at(section, i2, null, i1)
+        if section == "relocations":
+            return at(section, i2, F.coalesce(i3, F.lit("Unknown")), i1)
+        return at(section, i1, i3, i2, "_Reserve" if reserve else "")
+
+    by_variable: dict[str, list] = {}
+    for section, names in SECTIONS.items():
+        for reserve, name in enumerate(names):
+            if name:
+                by_variable.setdefault(name, []).append(place(section, bool(reserve)))
+    places = None
+    for name, found in by_variable.items():
+        places = F.when(v == name, F.array(*found)) if places is None else places.when(v == name, F.array(*found))
+    rows = plan.select("plan_id", "value", F.explode(places).alias("p")).select("plan_id", "value", "p.*")
+    names = [*type_names, *(t + "_Reserve" for t in type_names)]
+    return rows.groupBy("plan_id", "section", "key_1", "key_2").agg(
+        *[F.sum(F.when(F.col("col") == n, F.col("value"))).alias(n.lower()) for n in names], F.sum("value").alias("total"))
+
+
 def plan_pivots(plan: DataFrame, type_names: list[str]) -> dict[str, DataFrame]:
-    """Every pivot over a plan table in one call."""
-    return {"units": units_pivot_recommended(plan, type_names), "relocations": pivot_relocations(plan, type_names),
-            "forward_count": pivot_forward(plan, type_names), "forward_cubic": pivot_forward(plan, type_names, "cubic"),
-            "forward_reserve_count": pivot_forward_reserve(plan, type_names),
-            "forward_reserve_cubic": pivot_forward_reserve(plan, type_names, "cubic")}
+    """The sections of :func:`plan_sections`, written once, each cut out in its own shape."""
+    rows = materialize(plan_sections(plan, type_names), "plan_sections")
+    plain, reserve = [t.lower() for t in type_names], [f"{t.lower()}_reserve" for t in type_names]
+
+    def cut(section: str) -> DataFrame:
+        r = rows.filter(F.col("section") == section)
+        if section == "units":
+            return r.select("plan_id", F.col("key_1").alias("location"),
+                            *[F.coalesce(t, F.lit(0.0)).alias(f"recommended_{t}") for t in plain],
+                            F.col("total").alias("recommended_total"))
+        if section == "relocations":
+            return r.select("plan_id", F.col("key_1").alias("from_location"), F.col("key_2").alias("to_location"),
+                            *[F.coalesce(t, F.lit(0.0)).alias(t) for t in plain])
+        shown = plain + (reserve if SECTIONS[section][1] else [])
+        return r.select("plan_id", F.col("key_1").alias("category"), F.col("key_2").alias("location"),
+                        *[display_percent(F.col(t)).alias(t) for t in shown])
+
+    return {section: cut(section) for section in SECTIONS}
 
 
 def tidy_alloc(report: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Two-segment fit against a brute-force hinge grid, and the curve rules."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from stowage.operators import curves as cur
 
@@ -76,13 +78,43 @@ def test_interpolate(spark):
     assert ys == [4.0, 10.0, 12.0]
 
 
-def test_chunked_candidates_match_single_chunk(spark, monkeypatch):
-    """A hot group whose equal-demand blocks span many chunks gives the same fit as one chunk per block."""
-    ds = [9] * 7 + [4] * 23 + [1] * 40 + [0] * 17
-    demand = spark.createDataFrame([("HOT", "T", f"m{i:04d}", float(d)) for i, d in enumerate(ds)],
+def every_split(demand):
+    """The best candidate per group from scoring every split."""
+    blocks = cur.curve_blocks(demand)
+    every = blocks.join(cur.fitted_groups(cur.group_stats(blocks)), ["category", "tech"]).withColumn(
+        "t", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("cnt"))))
+    best = cur.score_splits(every).groupBy("category", "tech").agg(F.min_by(F.struct("bp_x", "bp_y", "sse"), F.struct("sse", "bp_x")).alias("b"))
+    return {r.category: tuple(r.b) for r in best.collect()}
+
+
+@pytest.mark.parametrize("fanout", [2, 5, 256])
+def test_bounded_search_is_that_of_every_split(spark, monkeypatch, fanout):
+    rng = np.random.default_rng(11)
+    groups = {"flat": [9] * 7 + [4] * 23 + [1] * 40 + [0] * 17, "steps": [5] * 50 + [0] * 300, "two": [3, 3, 1]}
+    for g in range(4):
+        groups[f"g{g}"] = sorted(rng.geometric(0.3 - 0.05 * g, size=120 + 40 * g) - 1, reverse=True)
+    demand = spark.createDataFrame([(g, "T", f"{g}{i}", float(d)) for g, ds in groups.items() for i, d in enumerate(ds)],
                                    "category string, tech string, material string, demand double")
-    whole = cur.curve_fit(demand).first()
-    monkeypatch.setattr(cur, "CHUNK", 3)
-    chunked = cur.curve_fit(demand).first()
-    assert (whole.n, whole.total) == (chunked.n, chunked.total) == (len(ds), float(sum(ds)))
-    assert abs(whole.fit_x - chunked.fit_x) < 1e-9 and abs(whole.fit_y - chunked.fit_y) < 1e-9
+    monkeypatch.setattr(cur, "FANOUT", fanout)
+    got = {r.category: (r.fit_x, r.fit_y, r.fit_sse) for r in cur.curve_fit(demand).collect()}
+    assert got == every_split(demand)
+
+
+def test_few_splits_are_scored(spark, monkeypatch):
+    """Most blocks of a large group are excluded by their bound: far fewer splits are scored than there are parts."""
+    rng = np.random.default_rng(5)
+    ds = sorted((int(x) for x in rng.zipf(1.7, size=30_000) % 400), reverse=True)
+    demand = spark.createDataFrame([("HOT", "T", f"m{i}", float(d)) for i, d in enumerate(ds)],
+                                   "category string, tech string, material string, demand double").persist()
+    scored = []
+    whole = cur.score_splits
+
+    def counted(points):
+        scored.append(points.count())
+        return whole(points)
+
+    monkeypatch.setattr(cur, "score_splits", counted)
+    f = cur.curve_fit(demand).first()
+    monkeypatch.setattr(cur, "score_splits", whole)
+    assert (f.fit_x, f.fit_y, f.fit_sse) == every_split(demand)["HOT"]
+    assert sum(scored) < len(ds) / 10, scored

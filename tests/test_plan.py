@@ -54,6 +54,30 @@ def test_plans_are_not_added_together(spark):
                                                      "forward_reserve_count", "forward_reserve_cubic"}
 
 
+def test_sections_come_from_one_scan_and_one_exchange(spark):
+    p = plan(spark, ("x", "SKUuniquePct", ("c1", "ECONOMY", "N"), 0.5), ("x", "ResSKUuniquePct", ("c1", "ECONOMY", "N"), 0.25),
+             ("x", "RelocUnits", ("ECONOMY", "N", None), 2.0), ("x", "StoreUnits", ("ECONOMY", "N"), 4.0))
+    assert rep.plan_sections(p, ["ECONOMY"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {n: [tuple(r) for r in df.collect()] for n, df in rep.plan_pivots(p, ["ECONOMY"]).items()}
+    assert got == {"units": [("x", "N", 4.0, 4.0)], "relocations": [("x", "N", "Unknown", 2.0)],
+                   "forward_count": [("x", "c1", "N", 0.5)], "forward_cubic": [],
+                   "forward_reserve_count": [("x", "c1", "N", 0.5, 0.25)], "forward_reserve_cubic": []}
+
+
+def test_audit_state_reads_the_plan_once(spark):
+    """Every rule of a plan with keys named twice, from one aggregate of the plan."""
+    from stowage.plans import audit_pass as ap
+
+    p = plan(spark, *(("x", v, ("c1", "A", "N"), x) for v, x in (("SKUuniquePct", 0.5), ("SKUuniquePct", 0.25), ("SKUcubicPct", 1.0),
+                                                               ("SKUStoreUnits", 2.0), ("SKUStoreUnits", 3.0))),
+             ("x", "RelocUnits", ("A", "N", "N"), 1.0), ("x", "objective value", (), 7.0))
+    state = ap.plan_state(p)
+    assert state._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    cell = state.filter("category = 'c1'").first()
+    assert sorted(x.v for x in cell.uniq) == [0.25, 0.5] and sorted(x.v for x in cell.units) == [2.0, 3.0] and cell.alloc == []
+    assert [x.v for x in state.filter("category IS NULL AND type = 'A'").first().own] == [1.0]
+
+
 def test_first_line_down_value_of_a_category(spark):
     located = spark.createDataFrame([("m", "c1", 100.0, 2.0, True)], "material string, category string, line_down_orders double, "
                                     "sku_cubic_ft double, first_place boolean")
