@@ -16,13 +16,13 @@ _WORD = re.compile(WORD)
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 
 #: Relative width of a sketch bucket, and values that a bucket can't tell from zero.
-GAMMA, TINY = 1.02, 1e-6
+GAMMA, TINY = 1.002, 1e-6
 #: Least rows of a (language, source) sketch; smaller groups take the merged sketch of their language, or of all.
 LEAST = 50
-#: Features: the spread that a group is granted at least (in the feature's unit), and how many spreads lie between the
-#: median and the limits.
-SLACK = {"word_length": 0.25, "symbols": 0.02, "repeat_lines": 0.05, "repeat_words": 0.05}
-SPREADS = 8
+#: Features, and what guards a limit against a spread or a value near zero (in the feature's unit).
+SLACK = {"word_length": 0.01, "symbols": 0.1, "repeat_lines": 0.15, "repeat_words": 0.15}
+#: Spreads between the median and a limit, and the factor between neighbouring values that makes a gap.
+SPREADS, GAP = 12, 3.0
 
 
 def text_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -68,7 +68,7 @@ def sketch(rows: DataFrame, by: list[str], features: list[str]) -> DataFrame:
     """A quantile sketch of each feature for each group: (by, feature, bucket, n).
 
     A bucket holds the values from GAMMA ** (bucket - 1) to GAMMA ** bucket, bucket null those
-    below TINY, so a quantile is known within 1 %.  Sketches merge by adding the counts of equal
+    below TINY, so a quantile is known within 0.1 %.  Sketches merge by adding the counts of equal
     buckets, which is what Spark's partial aggregation does, in any order and with the same result.
     """
     long = rows.select(*by, F.explode(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))]))
@@ -88,28 +88,51 @@ def quantiles(sketches: DataFrame, by: list[str], at: dict[str, float]) -> DataF
         F.min(F.when(F.col("upto") >= q * F.col("rows"), value)).alias(name) for name, q in at.items()])
 
 
+def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Lowest and highest accepted value of each group's features: (by, feature, rows, low, high), all from its sketch.
+
+    Where the values around the median differ, a limit lies SPREADS spreads from the median, a spread being the
+    distance between the median and the quartile on the other side: up to half of a group may be junk, all of it on one
+    side, without widening its own limit.  Where a quarter of the values below the median equal it (a feature that is zero
+    in most texts), the highest value is where the sketch first has a gap above the median: two
+    neighbouring values, each plus SLACK, of which one is GAP times the other; the limit is their geometric middle.
+    Without a gap all values are accepted.
+    """
+    w = W.partitionBy(*by, "feature")
+    up = w.orderBy(F.col("bucket").asc_nulls_first())
+    slack = F.create_map(*[x for f, s in SLACK.items() for x in (F.lit(f), F.lit(s))])[F.col("feature")]
+    value = F.coalesce(F.pow(F.lit(GAMMA), F.col("bucket")) * (2 / (1 + GAMMA)), F.lit(0.0))
+    run = (sketches.withColumn("rows", F.sum("n").over(w)).withColumn("slack", slack).withColumn("value", value)
+           .withColumn("upto", F.sum("n").over(up.rowsBetween(W.unboundedPreceding, 0)))
+           .withColumn("next", F.lead("value").over(up)))
+    for name, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75)):
+        run = run.withColumn(name, F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("value"))).over(w))
+    v, n, s = F.col("value") + F.col("slack"), F.col("next") + F.col("slack"), F.col("slack")
+    gap = F.when((F.col("value") >= F.col("q2")) & (n > GAP * v), F.sqrt(v * n) - s)
+    per = run.groupBy(*by, "feature", "rows", "slack", "q1", "q2", "q3").agg(
+        F.min(gap).alias("gap"), (F.max("value") * GAMMA).alias("top"))
+    high = F.when(F.col("q2") > F.col("q1"), F.col("q2") + SPREADS * F.greatest(F.col("q2") - F.col("q1"), s)).otherwise(
+        F.coalesce("gap", "top"))
+    low = F.when(F.col("q3") > F.col("q2"), F.col("q2") - SPREADS * F.greatest(F.col("q3") - F.col("q2"), s)).otherwise(-1.0)
+    return per.select(*by, "feature", "rows", low.alias("low"), high.alias("high"))
+
+
 def limits(sketches: DataFrame) -> DataFrame:
     """(lang, source, limits): for each group a map from feature to its lowest and highest accepted value.
 
-    A limit lies SPREADS spreads from the median, a spread being the distance between the median and the quartile
-    below it (above it for the lower limit), or SLACK if that is more: a group may be up to half junk without
-    widening its own limits, and clean tails stay.  The sketch of a group with fewer than
-    LEAST rows is replaced by the merged one of its language, then of all.
+    The limits are the :func:`fences` of the group's own sketch; a group with fewer than LEAST rows takes those of the
+    merged sketch of its language, then of all.
     """
-    at = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
-    group = quantiles(sketches, ["lang", "source"], at)
-    lang = quantiles(sketches.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n")), ["lang"], at)
-    all_ = quantiles(sketches.groupBy("feature", "bucket").agg(F.sum("n").alias("n")), [], at)
+    group = fences(sketches, ["lang", "source"])
+    lang = fences(sketches.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n")), ["lang"])
+    all_ = fences(sketches.groupBy("feature", "bucket").agg(F.sum("n").alias("n")), [])
     g, l, a = group.alias("g"), lang.alias("l"), all_.alias("a")
     joined = (g.join(l, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.feature") == F.col("l.feature")))
               .join(a, F.col("g.feature") == F.col("a.feature")))
-    pick = {q: F.when(F.col("g.rows") >= LEAST, F.col(f"g.{q}")).when(F.col("l.rows") >= LEAST, F.col(f"l.{q}"))
-            .otherwise(F.col(f"a.{q}")) for q in at}
-    slack = F.create_map(*[x for f, s in SLACK.items() for x in (F.lit(f), F.lit(s))])[F.col("g.feature")]
-    low = pick["q2"] - SPREADS * F.greatest(pick["q3"] - pick["q2"], slack)
-    high = pick["q2"] + SPREADS * F.greatest(pick["q2"] - pick["q1"], slack)
+    pick = {x: F.when(F.col("g.rows") >= LEAST, F.col(f"g.{x}")).when(F.col("l.rows") >= LEAST, F.col(f"l.{x}"))
+            .otherwise(F.col(f"a.{x}")) for x in ("low", "high")}
     return (joined.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"),
-                          F.col("g.feature").alias("feature"), low.alias("low"), high.alias("high"))
+                          F.col("g.feature").alias("feature"), *[c.alias(x) for x, c in pick.items()])
             .groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct(
                 "feature", F.struct("low", "high")))).alias("limits")))  # one entry per feature
 
@@ -143,7 +166,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     which follow from quantile sketches of these features (see :func:`limits`).
 
     Null texts have no words and fail; null languages and sources are groups of their own; repeated
-    rows are judged alike; an empty table gives no rows.  Other columns are not read.
+    rows are judged alike, and values on a limit are kept; very long texts are counted whole; an empty table gives no
+    rows.  Other columns are not read.
     """
     return _judged(docs, [F.col(id_col).alias("id_")], text_col, lang_col, source_col).select(
         F.col("id_").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
