@@ -182,8 +182,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int =
 
 def keep_quality(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, threshold: float = 0.7,
                  per_class: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with a score of at least ``threshold``, with the columns of ``docs``."""
+    """The documents with a score of at least ``threshold``, with the columns of ``docs``.
+
+    Null texts count as empty, very long ones are scored whole, repeated rows are judged alike.  Without labels of
+    both classes among the documents nothing tells them apart, and all are kept; an empty table gives no rows.
+    """
     bound_batches(docs.sparkSession)
     model = fit_quality(docs, labels, mod=mod, held=held, per_class=per_class, id_col=id_col, text_col=text_col)
+    if not len(model.label):
+        return docs
     scored, col = with_score(docs, quality_score(F.col(text_col), model))
     return scored.where(F.col(col) >= threshold).select(*docs.columns)
