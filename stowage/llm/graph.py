@@ -231,7 +231,7 @@ def build_index(rows: DataFrame, dims: int, total: int) -> DataFrame:
             yield graph()
 
     return (rows.withColumn("shard", F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int"))
-            .repartition(shards, "shard").sortWithinPartitions("shard", "seq").select("id", "seq", "v", "shard")
+            .repartitionByRange(shards, "shard").sortWithinPartitions("shard", "seq").select("id", "seq", "v", "shard")
             .mapInArrow(run, "shard int, graph binary"))
 
 
