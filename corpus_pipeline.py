@@ -8,7 +8,10 @@ keep the columns of documents:
 * near_dedup: one document of each SimHash class stays (the smallest id);
 * pii: every span of personal data is replaced by its kind;
 * mix: each document appears as often as the source mix takes it;
-* pack: the texts of the mix as token pieces of full sequences, neighbours on a Hilbert curve together.
+* pack: the texts of the mix as token pieces of full sequences with their ids, neighbours on a Hilbert curve together.
+
+Null and empty texts, repeated rows, empty tables and extra columns are handled as the operators state; without labels
+the quality stage keeps all documents.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = packing.pack(docs, length=2048, tokenizer="byte_bpe_50k")
-    return out.select("doc_id", F.col("row").alias("copy"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+    return out.select("doc_id", F.col("row").alias("copy"), "start", "length", "ids", F.crc32("ids").alias("ids_crc32"),
                       "doc_tokens", "sequence_id", "offset")
 
 
