@@ -57,11 +57,11 @@ def register_audit(name: str, oracle: str):
 # --- cleaning (F1-F4) over the raw stock and master exports -------------------------------
 @register("clean_int", O.with_ctes("""
 SELECT row_no, total_stock_raw,
-  CAST(round_even(TRY_CAST(regexp_replace(total_stock_raw, '[^0-9.\\-]', '', 'g') AS DOUBLE), 0) AS BIGINT) AS value
+  CAST(CAST(round_even(TRY_CAST(regexp_replace(total_stock_raw, '[^0-9.\\-]', '', 'g') AS DOUBLE), 0) AS BIGINT) AS DOUBLE) AS value
 FROM raw_stock"""))
 def q_clean_int(spark, sf):
-    return stages(spark, sf).raw_stock().select("row_no", "total_stock_raw",
-                                                fn.clean_int("total_stock_raw").alias("value"))
+    return stages(spark, sf).raw_stock().select("row_no", "total_stock_raw",  # null where the text holds no number
+                                                fn.clean_int("total_stock_raw").cast("double").alias("value"))
 
 
 @register("clean_int_commas", O.with_ctes("""
