@@ -196,20 +196,19 @@ def best_splits(blocks: DataFrame, stats: DataFrame) -> DataFrame:
     ranges = blocks.join(fitted_groups(stats), g).withColumn("lo", F.lit(1).cast("bigint")).withColumn("hi", F.col("cnt"))
     best = None
     while True:
-        ranges = materialize(ranges, "curve_ranges")
         ends = ranges.withColumn("t", F.explode(F.array_distinct(F.array("lo", "hi"))))
         found = score_splits(ends).drop("ok")
         best = found if best is None else best.unionByName(found)
         best = materialize(best.groupBy(*g).agg(F.min_by(F.struct("sse", "bp_x", "bp_y", "kind"), F.struct("sse", "bp_x")).alias("b"))
-                           .select(*g, "b.*"), "curve_best", True)
-        inside = ranges.filter("hi - lo > 1")
-        kept = least_errors(inside).join(best.select(*g, "sse"), g, "left").filter("sse IS NULL OR least <= sse")
-        if kept.isEmpty():
-            return best
+                           .select(*g, "b.*"), "curve_best")
+        kept = (least_errors(ranges.filter("hi - lo > 1")).join(best.select(*g, "sse"), g, "left")
+                .filter("sse IS NULL OR least <= sse"))
         step = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") - 1) / FANOUT)).cast("bigint")
         cut = kept.withColumn("step", step).withColumn("from", F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1, "step")))
-        ranges = cut.withColumn("hi", F.least(F.col("from") + F.col("step") - 1, F.col("hi") - 1)).withColumn(
-            "lo", F.col("from")).select(*ranges.columns)
+        ranges = materialize(cut.withColumn("hi", F.least(F.col("from") + F.col("step") - 1, F.col("hi") - 1)).withColumn(
+            "lo", F.col("from")).select(*ranges.columns), "curve_ranges")
+        if ranges.isEmpty():
+            return best
 
 
 def curve_fit(demand: DataFrame) -> DataFrame:
