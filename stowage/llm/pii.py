@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,8 +129,8 @@ def votes(text: str, span: tuple[int, int, int]) -> tuple[int, ...]:
 
 
 LABELERS = 9
-#: Slots of a span's hashed features.
-SLOTS = 512
+#: Slots of a span's hashed features; ridge on their weights beside the mean loss.
+SLOTS, RIDGE = 512, 1e-5
 
 
 def span_features(text: str, span: tuple[int, int, int]) -> tuple[int, ...]:
@@ -201,22 +203,69 @@ class SpanModel:
         return sorted(base + more)
 
 
-def _slope(pairs: DataFrame, soft: dict[str, float], w: np.ndarray, bias: float) -> np.ndarray:
-    """Gradient of the logistic loss over all pairs: of each weight, then of the bias."""
-    def run(batches):
-        out = np.zeros(SLOTS + 1)
-        for b in batches:
-            n = b.column("n").to_numpy().astype(float)
-            y = np.array([soft[v] for v in b.column("votes").to_pylist()])
-            slots = [np.fromstring(s, dtype=np.int64, sep=",") for s in b.column("slots").to_pylist()]
-            row = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-            slot = np.concatenate(slots)
-            z = np.bincount(row, weights=w[slot], minlength=len(n)) + bias
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * n
-            out += np.append(np.bincount(slot, weights=g[row], minlength=SLOTS), g.sum())
-        yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["g"])
+def _sums(pairs: DataFrame, soft: dict[str, float], w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic loss over all pairs, its gradient and its Hessian at ``w``, the last of whose SLOTS + 1 weights is the bias.
+
+    Each task sums its pairs and hands on a line of the matrix per row, so that the lines, not whole matrices, are added up
+    by all executors; the driver gets the SLOTS + 2 sums.
+    """
+    size = SLOTS + 2  # the last column takes what rows with fewer features lack, and in the gradient's line the loss
+    full = np.append(w, 0.0)
 
-    return np.sum([r["g"] for r in pairs.mapInArrow(run, "g array<double>").collect()], axis=0)
+    def run(batches):
+        lines, loss = np.zeros((SLOTS + 2, size)), 0.0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                n = b.column("n").to_numpy().astype(float)
+                y = np.array([soft[v] for v in b.column("votes").to_pylist()])
+                lens = pc.list_value_length(b.column("slots")).to_numpy()
+                x = np.full((len(n), lens.max() + 1), SLOTS + 1)
+                x[:, :-1][np.arange(lens.max()) < lens[:, None]] = b.column("slots").flatten().to_numpy()
+                x[:, -1] = SLOTS
+                z = full[x].sum(1)
+                q = 1 / (1 + np.exp(-z))
+                lines[-1] += np.bincount(x.ravel(), weights=np.repeat((q - y) * n, x.shape[1]), minlength=size)
+                lines[:-1] += np.bincount((x[:, :, None] * size + x[:, None, :]).ravel(),
+                                          weights=np.repeat(n * q * (1 - q), x.shape[1] ** 2),
+                                          minlength=size * size).reshape(size, size)[:-1]
+                loss += (n * (np.logaddexp(0, z) - y * z)).sum()
+        lines[:, -1] = 0
+        lines[-1, -1] = loss
+        on = np.flatnonzero(lines.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()),
+                                          pa.array(np.full(len(on), TaskContext.get().partitionId()), pa.int32()),
+                                          pa.array(list(lines[on]), pa.list_(pa.float64()))], names=["line", "task", "x"])
+
+    def add(part: pa.Table) -> pa.Table:
+        part = part.sort_by("task")  # sums don't depend on the order of arrival
+        x = np.zeros(size)
+        for row in part["x"]:
+            x += row.values.to_numpy()
+        return pa.table({"line": part["line"][:1], "x": pa.array([x], pa.list_(pa.float64()))})
+
+    lines = np.zeros((SLOTS + 2, size))
+    for r in (pairs.mapInArrow(run, "line int, task int, x array<double>").groupBy("line")
+              .applyInArrow(add, "line int, x array<double>").collect()):
+        lines[r["line"]] = r["x"]
+    return lines[-1, -1], lines[-1, :-1], lines[:-1, :-1]
+
+
+def _newton(pairs: DataFrame, soft: dict[str, float], total: float, rounds: int = 14) -> np.ndarray:
+    """Weights and bias of the logistic regression of least mean loss, by Newton steps, halved where the loss would grow."""
+    ridge = np.append(np.full(SLOTS, RIDGE), 1e-9)
+    w, step, best = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1), np.inf
+    for _ in range(rounds):
+        loss, slope, bend = _sums(pairs, soft, w + step)
+        loss = loss / total + 0.5 * (ridge * (w + step) ** 2).sum()
+        if loss > best:
+            step = step / 2
+            continue
+        done, best, w = best - loss < 1e-9, loss, w + step
+        if done:
+            break
+        step = -np.linalg.solve(bend / total + np.diag(ridge), slope / total + ridge * w)
+    return w
 
 
 def fit_spans(docs: DataFrame, text_col: str = "text") -> SpanModel:
@@ -225,7 +274,7 @@ def fit_spans(docs: DataFrame, text_col: str = "text") -> SpanModel:
     Every candidate of every text is reduced to its votes and feature slots, and equal ones are counted
     (pre-aggregated in each batch).  EM runs on the counts of all vote patterns, of which there are at most 3 ** 9;
     its posteriors are the soft labels of a logistic regression on all (votes, features) pairs, weighted by their
-    counts: the pairs stay a table, of which each step sums the gradient.  Without candidates nothing is added to the
+    counts: the pairs stay a table, of which each of a dozen Newton steps sums loss, gradient and Hessian.  Without candidates nothing is added to the
     base spans.
     """
     def run(batches):
@@ -234,12 +283,13 @@ def fit_spans(docs: DataFrame, text_col: str = "text") -> SpanModel:
             for t in b.column(0).to_pylist():
                 if t and _ANY.search(t):
                     for s in candidates(t, base_spans(t)):
-                        n["".join(map(str, votes(t, s))), ",".join(map(str, span_features(t, s)))] += 1
+                        n["".join(map(str, votes(t, s))), span_features(t, s)] += 1
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n]), pa.array([k[1] for k in n]),
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n]),
+                                                  pa.array([k[1] for k in n], pa.list_(pa.int32())),
                                                   pa.array(list(n.values()), pa.int64())], names=["votes", "slots", "n"])
 
-    found = (docs.select(F.col(text_col).alias("t")).mapInArrow(run, "votes string, slots string, n long")
+    found = (docs.select(F.col(text_col).alias("t")).mapInArrow(run, "votes string, slots array<int>, n long")
              .groupBy("votes", "slots").agg(F.sum("n").alias("n")))
     found = stage_table(found, "pii-pairs")
     seen = {r["votes"]: r["n"] for r in found.groupBy("votes").agg(F.sum("n").alias("n")).collect()}
@@ -249,15 +299,8 @@ def fit_spans(docs: DataFrame, text_col: str = "text") -> SpanModel:
     patterns = np.array([[int(c) for c in v] for v in names])
     counts = np.array([seen[v] for v in names], dtype=float)
     soft = dict(zip(names, estimate(patterns, counts).posterior(patterns).tolist()))
-    w, bias, gw, gb = np.zeros(SLOTS), 0.0, np.full(SLOTS, 1e-8), 1e-8
-    for _ in range(300):
-        slope = _slope(found, soft, w, bias) / counts.sum()
-        d, e = slope[:-1] + 1e-5 * w, slope[-1]
-        gw += d * d
-        gb += e * e
-        w = w - 0.3 * d / np.sqrt(gw)
-        bias -= 0.3 * e / np.sqrt(gb)
-    return SpanModel(w, float(bias))
+    w = _newton(found, soft, counts.sum())
+    return SpanModel(w[:-1], float(w[-1]))
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
