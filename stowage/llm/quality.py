@@ -103,7 +103,9 @@ class QualityModel:
             return np.full(len(texts), self.share)
         near = _unit((hashed_vectors(texts) - self.mean) @ self.axes) @ self.vectors.T
         k = min(self.neighbours, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        # equal similarities, to the precision of the products, in the order of the labelled ids
+        order = np.rint(near * 2.0 ** 20).astype(np.int64) * near.shape[1] - np.arange(near.shape[1])
+        top = np.argpartition(-order, k - 1, axis=1)[:, :k]
         vote = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 4 * self.weight[top]
         total = vote.sum(1)
         return np.where(total > 0, (vote * self.label[top]).sum(1) / np.maximum(total, 1e-300), self.share)
@@ -169,7 +171,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int =
     """Quality of every whole text: id_col, held_out, score (0 to 1), predicted (score at least ``threshold``).
 
     Exact cosines of each document with all labelled vectors, in blocks of documents; the nearest
-    ``neighbours`` vote by the fourth power of their similarity.  Null texts count as empty, which is the vector
+    ``neighbours`` vote by the fourth power of their similarity; of equal similarities (to 2 ** -20) the smaller labelled
+    ids vote.  Very long texts are hashed whole, in slices.  Null texts count as empty, which is the vector
     of no n-grams; repeated rows each get a row; a null id hashes as the empty text.  Only ``id_col`` and ``text_col`` are
     read, and the id only for held_out.
     """
