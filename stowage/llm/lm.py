@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import count
@@ -18,30 +19,35 @@ from stowage.llm.common import bound_batches, byte_texts, crc_rest, groups_by_by
 
 #: A text is its words, each ended by a blank, and then this unit; UTF-8 lacks the byte 255.
 END = b"\xff"
-#: Predictors: contexts of the last two, three and four bytes, and the word so far.  Slots (as powers of two) of their
-#: tables while a task learns weights; the counts that score are a table in Spark, as large as the corpus makes it.
-SLOT_BITS = (18, 20, 21, 22)
-K = len(SLOT_BITS)
-#: A task begins new tables when so large a share of the word's slots is in use.
-FULL = 0.25
-#: Slots of a scoring table for each (context, node) that the corpus has, at least.
-ROOM = 4
-#: Step of the online weights.
-RATE = 0.05
-#: Units of a stretched probability in a table.
+#: The mark of a place in a text is the last word ahead of it with so few bytes, hashed to so many bits: short words tell
+#: the language and the kind of text.
+MARK_BYTES, MARK_BITS = 4, 12
+#: Predictors: the last two bytes, the last four, eight bits of the mark and the last two bytes (hashed tables); the word so
+#: far, the mark and the word so far (exact).
+TABLES, K = 3, 5
+#: So many bytes of a word have all bits of the mark in the third table's context, later ones three.
+NEAR, FAR_MARKS = 2, 7
+#: Slots of a table for each (context, node) that the corpus has, at least.
+ROOM = 2
+#: Step of the online weights, and what they start from.
+RATE, WEIGHT = 0.1, 0.3
+#: Units of a stretched probability.
 STRETCH = 128
 #: What a bit's counts start from.
 DELTA = 0.05
-#: Text whose equal words are scored at once, text that is predicted before it is counted (the first such steps are
-#: smaller), bits after which online weights are refined.
-STEP_BYTES, LEARN_BYTES, FIRST_BYTES, STEP_BITS = 4 << 20, 2 << 20, 1 << 16, 1 << 15
-#: Gates: evidence in the word's slot, evidence in the four bytes' slot, first byte of a word or not.
-LEVELS_WORD, LEVELS_FOUR = 8, 4  # at most 8
-GATES = LEVELS_WORD * LEVELS_FOUR * 2
+#: Text whose equal words are looked up at once, bits that are scored at a time, bits after which weights are refined.
+STEP_BYTES, STEP_BITS, LEARN_BITS = 4 << 20, 1 << 15, 1 << 13
+#: Evidence behind the word so far (8 levels); behind the mark and the word so far, or where there's none, behind the last
+#: four bytes (3 and 4 levels); first byte of a word or not.
+LEVELS_WORD, LEVELS_MORE, LEVELS_FOUR = 8, 3, 4
+SECOND = LEVELS_FOUR + LEVELS_MORE
+GATES = LEVELS_WORD * SECOND * 2
 #: Buckets of the adaptive map over a mixed prediction, and the prediction at its ends.
 CELLS, EDGE = 33, 8.0
-#: Slots whose entries are made at a time; items held before a task passes their counts on; items of one part.
-CHUNK, HELD, PART = 1 << 16, 700_000, 1 << 17
+#: Slots (as a power of two) whose codes are made at a time.
+CHUNK_BITS = 16
+#: Items held before a task passes their counts on; items of one part.
+HELD, PART = 1_000_000, 1 << 17
 #: Items whose counts and scores are broadcast for look-up; those of all others are joined.
 HEAD = 1 << 20
 
@@ -80,85 +86,91 @@ def _code():
 FIRST, LENGTH, NODE, BIT = _code()
 _RNG = np.random.default_rng(17)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64)
-_NODE_MIX = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
-_SEED = _RNG.integers(0, 1 << 32, 8, dtype=np.uint32)
-_ODD = np.uint32(0x9E3779B1)
+_NODE_MIX = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_SEED = _RNG.integers(0, 1 << 63, TABLES, dtype=np.uint64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(255)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    return (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    h = (h ^ (h >> np.uint64(31))) * _STEP
+    return h ^ (h >> np.uint64(29))
+
+
+# A count is held in eight bits: small ones as they are, others in steps of a ninth.
+_COUNT = np.concatenate([np.arange(16), np.rint(16 * 1.111 ** np.arange(240))])
+_BETWEEN = (_COUNT[1:] + _COUNT[:-1]) / 2
+
+
+def _codes(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Counts of zeros and ones in 16 bits."""
+    return (np.searchsorted(_BETWEEN, n0) << 8 | np.searchsorted(_BETWEEN, n1)).astype(np.uint16)
+
+
+def _entries(k: int, less: int | None) -> np.ndarray:
+    """By code: the stretched probability in units of 1 / STRETCH, times 8, plus the level of evidence.
+
+    ``less``: one occurrence of this bit doesn't count (the one that is predicted).
+    """
+    n = np.stack([np.repeat(_COUNT, 256), np.tile(_COUNT, 256)])
+    if less is not None:
+        n[less] = np.maximum(n[less] - 1, 0)
+    x = np.clip(np.rint(np.log((n[1] + DELTA) / (n[0] + DELTA)) * STRETCH), -4095, 4095).astype(np.int16) << 3
+    top, per = {1: (LEVELS_FOUR, 3), 3: (LEVELS_WORD, 2), 4: (LEVELS_MORE + 1, 2)}.get(k, (1, 1))
+    return x | np.searchsorted(2.0 ** (per * np.arange(top - 1)) - 0.5, n.sum(0)).astype(np.int16)
+
+
+ENTRY = [_entries(k, None) for k in range(K)]
+ENTRY_WITHOUT = [np.concatenate([_entries(k, b) for b in (0, 1)]) for k in range(K)]
 
 
 @dataclass
 class Symbols:
-    """Bytes to predict: the byte, its K context hashes, whether it starts a word, how often it counts, and a hash of
-    all that is ahead of it in its word (56 bits) with the byte in the lowest eight."""
+    """Bytes to predict: the byte, its context hashes for the tables, whether it starts a word, how often it counts, and
+    hashes of all that is ahead of it in its word (56 bits) without and with the mark, with the byte in the lowest eight."""
     byte: np.ndarray
     context: list[np.ndarray]
     start: np.ndarray
     weight: np.ndarray
-    pair: np.ndarray | None = None
-
-
-def _unit(word: bytes) -> bytes:
-    """A word with its blank; the end of a text stands for the empty word."""
-    return word + b" " if word else END
-
+    word: np.ndarray
+    marked: np.ndarray
 
-def _types(units: list[bytes], counts: np.ndarray, first_of_next: np.ndarray | None = None):
-    """(symbols behind the first byte of each distinct unit, the unit of each).
 
-    Units marked by ``first_of_next`` are a word, its blank and the first byte of the next word, which is the only
-    symbol of theirs: it is predicted from nothing, the last two and three bytes ahead of the blank and the whole word
-    (the empty word ahead of a text).
-    """
-    lens = np.array([len(u) for u in units], dtype=np.int64)
-    data = np.frombuffer(b"".join(units), dtype=np.uint8)
+def _symbols(items: list[bytes], n: np.ndarray) -> tuple[Symbols, np.ndarray]:
+    """(each byte behind the same mark and beginning of a word once, with the sum of counts; of each item's bytes, in
+    turn, which of them it is).  An item is a word with its blank, or END, and two bytes of the mark."""
+    lens = np.array([len(i) - 2 for i in items], dtype=np.int64)
+    data = np.frombuffer(b"".join(i[:-2] for i in items), dtype=np.uint8)
+    tail = np.frombuffer(b"".join(i[-2:] for i in items), dtype=np.uint8).reshape(-1, 2).astype(np.uint64)
+    mark = (tail[:, 0] << np.uint64(8)) | tail[:, 1]
     first = np.cumsum(lens) - lens
-    unit = np.repeat(np.arange(len(units)), lens)
+    unit = np.repeat(np.arange(len(items)), lens)
     place = np.arange(len(data)) - first[unit]
     power = np.cumprod(np.full(int(lens.max(initial=0)) + 1, _STEP, dtype=np.uint64), dtype=np.uint64)
     term = _BYTE[data] * power[place]
     run = np.cumsum(term, dtype=np.uint64)
-    before = run - term - (run - term)[first][unit]  # hash of the unit's bytes ahead of this one
-    before = (before ^ (before >> np.uint64(31))) * _STEP
-    before ^= before >> np.uint64(29)
-    b1, b2, b3, b4 = (np.where(place >= k, np.concatenate([np.zeros(k, np.uint8), data[:-k]])[:len(data)], 0)
-                      .astype(np.uint32) for k in (1, 2, 3, 4))
-    start = np.zeros(len(units), dtype=bool) if first_of_next is None else first_of_next
-    on = np.where(start[unit], place == lens[unit] - 1, place > 0)
-    start = start[unit[on]]
-    b1, b2, b3, b4, before, byte = b1[on], b2[on], b3[on], b4[on], before[on], data[on]
-    two = b1 | (b2 << np.uint32(8))
-    three = two | (b3 << np.uint32(16))
-    four = three | (b4 << np.uint32(24))
-    ahead = b2 | (b3 << np.uint32(8))
-    ctx = [_mixed(np.where(start, _SEED[4], two + _SEED[0])), _mixed(np.where(start, ahead + _SEED[5], three + _SEED[1])),
-           _mixed(np.where(start, (ahead | (b4 << np.uint32(16))) + _SEED[6], four + _SEED[2])),
-           (before >> np.uint64(32)).astype(np.uint32)]
-    return Symbols(byte, ctx, start, counts[unit[on]], (before & ~_LOW) | byte), unit[on]
-
-
-def _distinct(s: Symbols):
-    """(each byte behind the same beginning of a word once, with the sum of the weights; which of them each symbol is).
-
-    All contexts follow from the beginning of the word.
-    """
-    pair, first, which = np.unique(s.pair, return_index=True, return_inverse=True)
-    weight = np.bincount(which, weights=s.weight, minlength=len(pair)).astype(np.int64)
-    return Symbols(s.byte[first], [c[first] for c in s.context], s.start[first], weight, pair), which
-
-
-def _bits(s: Symbols):
-    """Pieces of at most about STEP_BITS bits: (symbol of each bit, its node, bit)."""
+    before = _mixed(run - term - (run - term)[first][unit]) if len(data) else term  # hash of the bytes ahead
+    byte = data.astype(np.uint64)
+    marked = (_mixed(before + (mark[unit] + np.uint64(1)) * _STEP) & ~_LOW) | byte
+    marked, at, which = np.unique(marked, return_index=True, return_inverse=True)
+    weight = np.bincount(which, weights=n[unit], minlength=len(marked)).astype(np.int64)
+    b1, b2, b3, b4 = (np.where(place[at] >= k, data[np.maximum(at - k, 0)], 0).astype(np.uint64) for k in (1, 2, 3, 4))
+    two = b1 | (b2 << np.uint64(8))
+    four = two | (b3 << np.uint64(16)) | (b4 << np.uint64(24))
+    short = mark[unit[at]]
+    short = np.where(place[at] < NEAR, short, _mixed(short + _SEED[0]) & np.uint64(FAR_MARKS) | np.uint64(1 << 32))
+    context = [_mixed(two + _SEED[0]), _mixed(four + _SEED[1]), _mixed((two | (short << np.uint64(16))) + _SEED[2])]
+    return Symbols(data[at], context, (place[at] == 0).astype(np.int16), weight, (before[at] & ~_LOW) | byte[at],
+                   marked), which
+
+
+def _bits(s: Symbols, most: int = STEP_BITS):
+    """Pieces of at most about ``most`` bits: (symbol of each bit, its node, bit)."""
     n = LENGTH[s.byte]
     upto = np.cumsum(n)
     at = 0
     while at < len(n):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + STEP_BITS)))
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most)))
         m = n[at:to]
         sym = np.repeat(np.arange(at, to), m)
         entry = np.arange(len(sym)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(FIRST[s.byte[at:to]], m)
@@ -168,72 +180,64 @@ def _bits(s: Symbols):
 
 def _hashes(context: np.ndarray, sym, node) -> np.ndarray:
     """Hashes of (context, node), of which the upper bits are a slot."""
-    return (context[sym] ^ _NODE_MIX[node]) * _ODD
+    return _mixed(context[sym] * _NODE_MIX[node])
 
 
-def _levels(n: np.ndarray, top: int, per: int) -> np.ndarray:
-    """Evidence in a slot: 0 for none, then by ``per`` doublings each."""
-    return np.searchsorted(2.0 ** (per * np.arange(top - 1)) - 0.5, n).astype(np.int16)
+class Exact:
+    """Counts of the bits behind beginnings, from counts of the bytes behind them."""
 
+    def __init__(self, pair: np.ndarray, n: np.ndarray):
+        length = LENGTH[(pair & _LOW).astype(np.uint8)]
+        sym = np.repeat(np.arange(len(pair)), length)
+        entry = np.arange(len(sym)) + np.repeat(FIRST[(pair & _LOW).astype(np.uint8)] - np.cumsum(length) + length, length)
+        self.keys, which = np.unique((pair & ~_LOW)[sym] | NODE[entry], return_inverse=True)
+        self.codes = _codes(*(np.bincount(which, weights=n[sym] * (BIT[entry] == b), minlength=len(self.keys))
+                              for b in (0, 1)))
 
-def _entries(k: int, counts: np.ndarray) -> np.ndarray:
-    """Table entries of slots of predictor ``k`` from their counts of zeros and ones."""
-    f = np.log(counts.astype(np.float32) + np.float32(DELTA))
-    x = np.clip(np.rint((f[:, 1] - f[:, 0]) * STRETCH), -4095, 4095).astype(np.int16) << 3
-    if k >= 2:
-        x |= _levels(counts.sum(1), *((LEVELS_FOUR, 3), (LEVELS_WORD, 2))[k - 2])
-    return x
+    def look(self, pair: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Codes of counts; 0 behind a beginning that isn't here."""
+        if not len(self.keys):
+            return np.zeros(len(pair), np.uint16)
+        key = (pair & ~_LOW) | node
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.codes[at], 0)
 
 
-class Mixer:
-    """K stretched predictions by slot, gated weights over them, and the adaptive map of what they mix to."""
+@dataclass
+class Counts:
+    """What the whole corpus says: tables of codes by slot, and the counts of beginnings that are in several parts."""
+    tables: list[np.ndarray]
+    beginnings: np.ndarray
+    pair: np.ndarray
+    n: np.ndarray
 
-    def __init__(self, slot_bits=SLOT_BITS):
-        # by slot: the stretched probability in units of 1/STRETCH, times 8, plus the slot's level of evidence
-        self.slot_bits = slot_bits
-        self.table = [np.zeros(1 << b, dtype=np.int16) for b in slot_bits]
-        self.weight = np.full((K, GATES), 0.35, dtype=np.float32)
-        self.cells = np.zeros((2, GATES * CELLS))  # weights of zeros and ones that fell into a cell
+    def of_part(self, s: Symbols):
+        """Look-up of the codes of each predictor for bits of ``s``.
 
-    def slots(self, s: Symbols, sym, node) -> list[np.ndarray]:
-        return [_hashes(c, sym, node) >> np.uint32(32 - b) for c, b in zip(s.context, self.slot_bits)]
+        The symbols of a beginning that is in several parts are counted in all of them; behind it the mark is known to
+        its table only.
+        """
+        own = ~_among(s.word, self.beginnings)
+        word, of = np.unique(s.word[own], return_inverse=True)
+        word = Exact(np.append(word, self.pair), np.append(np.bincount(of, weights=s.weight[own], minlength=len(word)),
+                                                           self.n))
+        marked = Exact(s.marked[own], s.weight[own])
 
-    def load(self, counts: list[np.ndarray]) -> None:
-        """Take the stretches and evidence from the counts of zeros and ones of each predictor's slots."""
-        for k, c in enumerate(counts):
-            for at in range(0, len(c), CHUNK):
-                self.table[k][at:at + CHUNK] = _entries(k, c[at:at + CHUNK])
+        def codes(sym, node):
+            slots = [_hashes(c, sym, node) >> np.uint64(64 - len(t).bit_length() + 1)
+                     for c, t in zip(s.context, self.tables)]
+            return [*(t[i] for t, i in zip(self.tables, slots)), word.look(s.word[sym], node),
+                    marked.look(s.marked[sym], node)]
 
-    def mix(self, s: Symbols, sym, t):
-        """(gate, inputs, mixed prediction in the stretched domain, its cell) of each bit, from its table entries."""
-        gate = ((t[3] & 7) * np.int16(LEVELS_FOUR) + (t[2] & 7)) * np.int16(2) + s.start[sym]
-        x = [(q >> 3).astype(np.float32) for q in t]
-        z = x[0] * self.weight[0][gate]
-        for k in range(1, K):
-            z += x[k] * self.weight[k][gate]
-        z *= np.float32(1 / STRETCH)
-        np.clip(z, -12, 12, out=z)
-        cell = (np.clip(z, -EDGE, EDGE) * np.float32((CELLS - 1) / (2 * EDGE)) + np.float32((CELLS - 1) / 2 + 0.5)
-                ).astype(np.int32) + gate.astype(np.int32) * CELLS
-        return gate, x, z, cell
+        return codes
 
-    def refined(self) -> np.ndarray:
-        """P(1) by cell: its counts, smoothed by the middle of the cell."""
-        mid = 1 / (1 + np.exp(-(np.arange(CELLS) / (CELLS - 1) * 2 * EDGE - EDGE)))
-        mid = np.tile(mid, GATES)
-        return ((self.cells[1] + 4 * mid) / (self.cells.sum(0) + 4)).astype(np.float32)
 
-    def log10(self, s: Symbols, refined: np.ndarray, word=None) -> np.ndarray:
-        """log10 of the probability of each symbol; ``word`` gives the last predictor's entries if it has no table."""
-        out = np.zeros(len(s.byte))
-        for sym, node, bit in _bits(s):
-            t = [table[i] for table, i in zip(self.table, self.slots(s, sym, node))]
-            _, _, z, cell = self.mix(s, sym, t if word is None else [*t, word(s.pair[sym], node)])
-            p = 0.5 * (1 / (1 + np.exp(-z)) + refined[cell])
-            p = np.where(bit, p, 1 - p)
-            lp = np.log10(np.maximum(p, np.float32(1e-7)))
-            out += np.bincount(sym, weights=lp, minlength=len(out)) if len(sym) > len(out) // 4 else _added(sym, lp, len(out))
-        return out
+def _among(pair: np.ndarray, beginnings: np.ndarray) -> np.ndarray:
+    return np.isin(pair & ~_LOW, beginnings)
+
+
+def _subset(s: Symbols, on: np.ndarray) -> Symbols:
+    return Symbols(s.byte[on], [c[on] for c in s.context], s.start[on], s.weight[on], s.word[on], s.marked[on])
 
 
 def _added(sym: np.ndarray, lp: np.ndarray, n: int) -> np.ndarray:
@@ -244,20 +248,42 @@ def _added(sym: np.ndarray, lp: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-class Learner(Mixer):
-    """Online training over one task's texts: predict a step, refine weights and map, then add its counts."""
+class Mixer:
+    """Gated weights over K stretched predictions, and the adaptive map of what they mix to."""
 
     def __init__(self):
-        super().__init__()
-        self.counts = [np.zeros((1 << b, 2), dtype=np.int32) for b in SLOT_BITS]  # zeros and ones by slot
+        self.weight = np.full((K, GATES), WEIGHT, dtype=np.float32)
+        self.cells = np.zeros((2, GATES * CELLS))  # weights of zeros and ones that fell into a cell
         self.seen = np.zeros(GATES)
         self.square = np.full((K, GATES), 1e-4)
 
-    def learn(self, s: Symbols) -> None:
-        """Refine weights and map by what the tables say of ``s``, and count its bits."""
-        for sym, node, bit in _bits(s):
-            slots = self.slots(s, sym, node)
-            gate, x, z, cell = self.mix(s, sym, [table[i] for table, i in zip(self.table, slots)])
+    def mix(self, start: np.ndarray, t: list[np.ndarray]):
+        """(gate, inputs, mixed prediction in the stretched domain, its cell) of each bit, from its entries."""
+        more = t[4] & 7
+        second = np.where(more > 0, more + np.int16(LEVELS_FOUR - 1), t[1] & 7)
+        gate = ((t[3] & 7) * np.int16(SECOND) + second) * np.int16(2) + start
+        x = [(q >> 3).astype(np.float32) for q in t]
+        z = x[0] * self.weight[0][gate]
+        for k in range(1, K):
+            z += x[k] * self.weight[k][gate]
+        z *= np.float32(1 / STRETCH)
+        np.clip(z, -12, 12, out=z)
+        cell = (np.clip(z, -EDGE, EDGE) * np.float32((CELLS - 1) / (2 * EDGE)) + np.float32((CELLS - 1) / 2 + 0.5)
+                ).astype(np.int32) + gate.astype(np.int32) * CELLS
+        return gate, x, z, cell
+
+    def refined(self) -> np.ndarray:
+        """P(1) by cell: its counts, smoothed by the middle of the cell."""
+        mid = 1 / (1 + np.exp(-(np.arange(CELLS) / (CELLS - 1) * 2 * EDGE - EDGE)))
+        mid = np.tile(mid, GATES)
+        return ((self.cells[1] + 4 * mid) / (self.cells.sum(0) + 4)).astype(np.float32)
+
+    def learn(self, s: Symbols, codes) -> None:
+        """Refine weights and map over the symbols of ``s``, whose own occurrence doesn't count in what predicts it."""
+        for sym, node, bit in _bits(s, LEARN_BITS):
+            without = bit.astype(np.int32) << 16
+            t = [ENTRY_WITHOUT[k][without | c] for k, c in enumerate(codes(sym, node))]
+            gate, x, z, cell = self.mix(s.start[sym], t)
             n = s.weight[sym]
             err = (bit - 1 / (1 + np.exp(-z))) * n * np.float32(1 / STRETCH)
             seen = np.bincount(gate, weights=n, minlength=GATES)
@@ -268,36 +294,47 @@ class Learner(Mixer):
             self.seen += seen
             self.cells.reshape(-1)[:] += np.bincount(cell + bit * np.int32(GATES * CELLS), weights=n,
                                                      minlength=2 * GATES * CELLS)
-            often = n.astype(np.int32)
-            for k in range(K):
-                np.add.at(self.counts[k].reshape(-1), (slots[k].view(np.int32) << 1) | bit, often)
 
-    def fresh(self) -> None:
-        """Begin new tables; weights and map stay."""
-        for c, t in zip(self.counts, self.table):
-            c[:] = 0
-            t[:] = 0
+    def share(self) -> np.ndarray:
+        """What a part adds, as whole numbers, whose sums don't depend on the order: map, weights by evidence, evidence."""
+        return np.concatenate([np.rint(x).astype(np.int64).ravel()
+                               for x in (self.cells, self.weight * self.seen * 1024, self.seen)])
+
+    def take(self, total: np.ndarray) -> None:
+        """Take map and weights from the sum of all shares."""
+        cells, w, self.seen = np.split(total, [2 * GATES * CELLS, 2 * GATES * CELLS + K * GATES])
+        self.cells = cells.reshape(2, -1).astype(float)
+        self.weight = np.where(self.seen > 0, w.reshape(K, GATES) / 1024 / np.maximum(self.seen, 1),
+                               WEIGHT).astype(np.float32)
 
-    def share(self):
-        """The task's share of weights and map, as whole numbers: (K: the map; K + 1: weights by evidence, evidence)."""
-        yield K, np.rint(self.cells.ravel()).astype(np.int64)
-        yield K + 1, np.concatenate([np.rint(self.weight * self.seen * 1024).astype(np.int64).ravel(),
-                                     np.rint(self.seen).astype(np.int64)])
+    def log10(self, s: Symbols, codes, refined: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each symbol."""
+        out = np.zeros(len(s.byte))
+        for sym, node, bit in _bits(s):
+            _, _, z, cell = self.mix(s.start[sym], [ENTRY[k][c] for k, c in enumerate(codes(sym, node))])
+            p = 0.5 * (1 / (1 + np.exp(-z)) + refined[cell])
+            p = np.where(bit, p, 1 - p)
+            lp = np.log10(np.maximum(p, np.float32(1e-7)))
+            out += np.bincount(sym, weights=lp, minlength=len(out)) if len(sym) > len(out) // 4 else _added(sym, lp, len(out))
+        return out
 
 
 @dataclass
 class Step:
-    """Texts as items: words (the empty one ends a text) and, behind them, pairs of a word and the next one's first byte."""
+    """Texts as items: words, each with the mark ahead of it (the empty word ends a text)."""
     items: list[bytes]
-    words: int  # so many of the items are words
-    ids: np.ndarray  # word of each token
-    pair_ids: np.ndarray  # pair of each token
+    ids: np.ndarray  # item of each token
     size: np.ndarray  # tokens of each text
 
 
+def mark_of(word: bytes) -> int:
+    """The mark that a word sets: a hash if it is short, 0 at a text's end, and so at the next one's beginning, else -1."""
+    return zlib.crc32(word) >> (32 - MARK_BITS) if len(word) <= MARK_BYTES else -1
+
+
 def _step(texts: list[bytes]) -> Step:
     number: dict[bytes, int] = defaultdict(count().__next__)
-    number[b""]  # ends texts, and stands ahead of each first word
+    number[b""]  # ends texts
     ids, size = [], []
     for t in texts:
         words = t.lower().split()  # splits at the ASCII blanks
@@ -306,97 +343,70 @@ def _step(texts: list[bytes]) -> Step:
         ids.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
     run = np.concatenate(ids)
     word = list(number)
-    first = np.array([w[0] if w else END[0] for w in word], dtype=np.int64)
-    codes, which = np.unique(np.append(0, run[:-1]).astype(np.int64) * 256 + first[run], return_inverse=True)
-    pairs = [word[c >> 8] + b" " + bytes((c & 255,)) for c in codes.tolist()]  # words hold no blank
-    return Step(word + pairs, len(word), run, which + len(word), np.array(size))
-
-
-def _symbols(items: list[bytes], n: np.ndarray):
-    """(symbols of items, the item of each)."""
-    pair = np.array([b" " in i for i in items], dtype=bool)
-    return _types([i if p else _unit(i) for i, p in zip(items, pair.tolist())], n, pair)
-
-
-_LEARNT = "kind int, item binary, n long, share array<long>"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("item", pa.binary()), ("n", pa.int64()), ("share", pa.list_(pa.int64()))])
-
-
-def _learn(batches):
-    """Items and their counts in learnt texts, 0 for those of others (kind -1), and the task's share of weights and map.
-
-    Each step of text is predicted by what was counted before it, then counted; equal symbols of a step are weighed by
-    their number.
-    """
-    learner, held, steps = Learner(), Counter(), 0
-
-    def item_rows():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), -1, np.int32)), pa.array(list(held), pa.binary()),
-                                          pa.array(list(held.values()), pa.int64()),
-                                          pa.nulls(len(held), _SCHEMA.field("share").type)], schema=_SCHEMA)
+    mark = np.append(0, np.array([mark_of(w) for w in word], dtype=np.int64)[run])
+    mark = mark[np.maximum.accumulate(np.where(mark >= 0, np.arange(len(mark)), 0))][:-1]  # the last one set ahead
+    codes, which = np.unique(run.astype(np.int64) << MARK_BITS | mark, return_inverse=True)
+    unit = [w + b" " if w else END for w in word]
+    low = (1 << MARK_BITS) - 1
+    return Step([unit[c >> MARK_BITS] + (c & low).to_bytes(2) for c in codes.tolist()], which, np.array(size))
+
+
+def _count_items(batches):
+    """Items and their counts in learnt texts, 0 for those of others."""
+    held = Counter()
+
+    def rows():
+        yield pa.RecordBatch.from_arrays([pa.array([i[:-2] for i in held], pa.binary()),
+                                          pa.array([i[-2:] for i in held], pa.binary()),
+                                          pa.array(list(held.values()), pa.int64())], names=["word", "mark", "n"])
         held.clear()
 
     for b in batches:
         texts, out = byte_texts(b.column("t")), b.column("out").to_pylist()
         for learnt in (True, False):
             some = [t for t, o in zip(texts, out) if o != learnt]
-            at = 0
-            while at < len(some):
-                lo, hi = next(groups_by_bytes(some[at:], min(LEARN_BYTES, FIRST_BYTES << steps) if learnt else STEP_BYTES))
-                step = _step(some[at:at + hi])
-                at += hi
-                n = np.bincount(step.ids, minlength=len(step.items)) + np.bincount(step.pair_ids,
-                                                                                  minlength=len(step.items))
-                if learnt:
-                    steps += steps < 10
-                    if np.count_nonzero(learner.table[K - 1]) > FULL * len(learner.table[K - 1]):
-                        learner.fresh()
-                    learner.learn(_distinct(_symbols(step.items, n)[0])[0])
-                    learner.load(learner.counts)
-                for i, m in zip(step.items, n.tolist()):
+            for lo, hi in groups_by_bytes(some, STEP_BYTES):
+                step = _step(some[lo:hi])
+                for i, m in zip(step.items, np.bincount(step.ids, minlength=len(step.items)).tolist()):
                     held[i] += m if learnt else 0
                 if len(held) > HELD:
-                    yield from item_rows()
+                    yield from rows()
     if held:
-        yield from item_rows()
-    if learner.seen.any():
-        for kind, share in learner.share():
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.nulls(1, pa.binary()),
-                                              pa.nulls(1, pa.int64()), pa.array([share], pa.list_(pa.int64()))],
-                                             schema=_SCHEMA)
+        yield from rows()
+
+
+def _items(part) -> list[bytes]:
+    return [w + m for w, m in zip(part["word"].to_pylist(), part["mark"].to_pylist())]
 
 
 def _beginnings(cut: list[tuple[bytes, bytes]]) -> np.ndarray:
-    """Sorted hashes of the beginnings that the last item of a part has in common with the first one of the next."""
-    both = sorted({os.path.commonprefix(c) for c in cut} - {b""})
+    """Sorted hashes of the beginnings that the last word of a part has in common with the first one of the next."""
+    both = sorted({os.path.commonprefix(c) for c in cut})
     if not both:
         return np.zeros(0, dtype=np.uint64)
     # the units hold no bytes but those in common and one more, which all of them are ahead of
-    return np.unique(_types([c + b" " for c in both], np.ones(len(both), dtype=np.int64))[0].pair & ~_LOW)
-
-
-def _among(pair: np.ndarray, beginnings: np.ndarray) -> np.ndarray:
-    return np.isin(pair & ~_LOW, beginnings)
+    return np.unique(_symbols([c + b" \0\0" for c in both], np.ones(len(both), dtype=np.int64))[0].word & ~_LOW)
 
 
 def _count(beginnings: np.ndarray):
     """Counts of (predictor, hash of context and node): zeros and ones; for the word so far, which is counted where its
     items are, only those of (beginning, byte) that are in several parts (in n1)."""
     def counted(items, n):
-        s, _ = _distinct(_symbols(items, n)[0])
-        shared = _among(s.pair, beginnings)
-        out = [(np.full(int(shared.sum()), K - 1, np.int32), s.pair[shared].view(np.int64),
-                np.zeros(int(shared.sum()), np.int64), s.weight[shared])]
-        on = s.weight > 0
-        s = Symbols(s.byte[on], [c[on] for c in s.context], s.start[on], s.weight[on], s.pair[on])
-        parts = [(sym, node, bit) for sym, node, bit in _bits(s)]
-        if parts:
-            sym, node, bit = (np.concatenate(x) for x in zip(*parts))
-            for k in range(K - 1):
-                h, which = np.unique(_hashes(s.context[k], sym, node), return_inverse=True)
-                n = [np.bincount(which, weights=s.weight[sym] * (bit == b), minlength=len(h)).astype(np.int64)
-                     for b in (0, 1)]
-                out.append((np.full(len(h), k, np.int32), h.astype(np.int64), *n))
+        s, _ = _symbols(items, n)
+        shared = _among(s.word, beginnings)
+        word, which = np.unique(s.word[shared], return_inverse=True)
+        out = [(np.full(len(word), TABLES, np.int32), word.view(np.int64), np.zeros(len(word), np.int64),
+                np.bincount(which, weights=s.weight[shared], minlength=len(word)).astype(np.int64))]
+        s = _subset(s, s.weight > 0)
+        for k in range(TABLES if len(s.byte) else 0):
+            # a context's bytes are counted before its bits
+            pair, first, which = np.unique(s.context[k] & ~_LOW | s.byte, return_index=True, return_inverse=True)
+            c = Symbols(s.byte[first], s.context, s.start, np.bincount(which, weights=s.weight), s.word, s.marked)
+            sym, node, bit = (np.concatenate(x) for x in zip(*_bits(c)))
+            h, which = np.unique(_hashes(s.context[k][first], sym, node), return_inverse=True)
+            out.append((np.full(len(h), k, np.int32), h.view(np.int64),
+                        *(np.bincount(which, weights=c.weight[sym] * (bit == b), minlength=len(h)).astype(np.int64)
+                          for b in (0, 1))))
         for row in out:
             for at in range(0, len(row[0]), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at:at + (1 << 17)]) for c in row],
@@ -405,7 +415,7 @@ def _count(beginnings: np.ndarray):
     def run(batches):
         items, ns = [], []
         for b in batches:
-            items += b.column("item").to_pylist()
+            items += _items(b)
             ns.append(b.column("n").to_numpy(zero_copy_only=False))
             if len(items) >= PART:
                 yield from counted(items, np.concatenate(ns))
@@ -416,94 +426,100 @@ def _count(beginnings: np.ndarray):
     return run
 
 
-@dataclass
-class Model:
-    """The mixer with the tables of the last bytes, its map, and the counts of beginnings that are in several parts."""
-    mixer: Mixer
-    refined: np.ndarray
-    beginnings: np.ndarray
-    pair: np.ndarray
-    n: np.ndarray
+def _chunk(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+    """Codes of consecutive slots, of the sums of the counts that fall into them."""
+    at = part["slot"].to_numpy() & ((1 << CHUNK_BITS) - 1)
+    n0, n1 = (np.bincount(at, weights=part[c].to_numpy(), minlength=1 << CHUNK_BITS) for c in ("n0", "n1"))
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "codes": pa.array([_codes(n0, n1).tobytes()])})
 
 
-def _word_entries(m: Model, s: Symbols):
-    """Look-up of the entries of the word so far, from exact counts of the bits behind each beginning of a word."""
-    own = ~_among(s.pair, m.beginnings)
-    pair, n = np.append(s.pair[own], m.pair), np.append(s.weight[own], m.n)
-    length = LENGTH[(pair & _LOW).astype(np.uint8)]
-    sym = np.repeat(np.arange(len(pair)), length)
-    entry = np.arange(len(sym)) + np.repeat(FIRST[(pair & _LOW).astype(np.uint8)] - np.cumsum(length) + length, length)
-    keys, which = np.unique((pair & ~_LOW)[sym] | NODE[entry], return_inverse=True)
-    counts = np.stack([np.bincount(which, weights=n[sym] * (BIT[entry] == b), minlength=len(keys)) for b in (0, 1)], 1)
-    entries = _entries(K - 1, counts)
-    return lambda pair, node: entries[np.searchsorted(keys, (pair & ~_LOW) | node)]
+def _learn_part(counts):
+    """A part's share of weights and map."""
+    def run(part: pa.Table) -> pa.Table:
+        s, _ = _symbols(_items(part), part["n"].to_numpy())
+        codes = counts.value.of_part(s)
+        learnt = np.flatnonzero(s.weight > 0)
+        mixer = Mixer()
+        on = _subset(s, learnt)
+        mixer.learn(on, lambda sym, node: codes(learnt[sym], node))
+        return pa.table({"share": pa.array([mixer.share()], pa.list_(pa.int64()))})
+    return run
+
 
+def _score_part(counts, mixer: Mixer):
+    """Items of a part with the count of their word and the model's log10 probability of their symbols."""
+    refined = mixer.refined()
 
-def _score_items(model):
-    """Items of a part with the model's log10 probability of their symbols."""
     def run(part: pa.Table) -> pa.Table:
-        m: Model = model.value
         n = part["n"].to_numpy()
-        symbols, item = _symbols(part["item"].to_pylist(), n)
-        s, which = _distinct(symbols)
-        lp = m.mixer.log10(s, m.refined, _word_entries(m, s)) if len(which) else np.zeros(0)
-        score = np.bincount(item, weights=lp[which], minlength=len(n))
-        return pa.table({"item": part["item"], "n": part["n"], "lp": pa.array(score)})
+        items = _items(part)
+        s, which = _symbols(items, n)
+        lp = mixer.log10(s, counts.value.of_part(s), refined)
+        size = np.array([len(i) - 2 for i in items])
+        score = np.bincount(np.repeat(np.arange(len(n)), size), weights=lp[which], minlength=len(n))
+        word = part["word"].combine_chunks().dictionary_encode().indices.to_numpy()  # a word's items share a part
+        return pa.table({"item": pa.array(items, pa.binary()), "often": part["n"],
+                         "n": pa.array(np.bincount(word, weights=n).astype(np.int64)[word]), "lp": pa.array(score)})
     return run
 
 
-def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame, dict[bytes, tuple[int, float]]]:
-    """(items, most frequent items): of each word and each (word, first byte of the next) of ``docs`` its count n in the
-    rows that aren't ``held_out`` and log10 of the probability lp that the model learnt from these gives to its symbols.
+def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame, dict[bytes, tuple[int, float]], int, int]:
+    """(items, most frequent items, N, V): of each (word, mark ahead of it) of ``docs`` the count n of the word in the
+    rows that aren't ``held_out`` and log10 of the probability lp that the model learnt from these gives to its bytes.
 
-    Each task learns weights online over its own texts: a step of text is predicted by what the task has counted, the
-    gated weights follow the error, the adaptive map counts where predictions fell, then the step's bits are counted.
-    Maps add up, and weights are averaged by the bits seen at their gate, all in whole numbers, whose sums don't depend on
-    the order.  A task's tables only serve this; they begin anew when FULL.
+    All counts are of the whole corpus.  Of the last bytes, and of the mark with the last two: a table of (predictor,
+    context, node) in Spark, from which a table with ROOM slots for each of them is made.  Of the word so far, with and
+    without the mark: items are range-partitioned by word, so that equal beginnings of words lie together, and are counted
+    exactly in their part; what is behind the few beginnings that go across the border of parts is summed over all.
 
-    The counts that score are those of the whole corpus.  Of the last bytes: a table of (predictor, context, node) in
-    Spark, from which a scoring table is made with ROOM slots for each of them.  Of the word so far: items are
-    range-partitioned, so that equal beginnings of words lie together, and are counted exactly in their part; what is
-    behind the few beginnings that go across the border of parts is summed over all.
+    Weights are learnt online in each part: the gated weights follow the error of every byte of the corpus, predicted by
+    what all other bytes say (its own occurrence is taken out of the counts), and the adaptive map counts where
+    predictions fell.  Equal bytes behind an equal mark and beginning are one step, weighed by their number.  Maps add up, and
+    weights are averaged by the bits seen at their gate, all in whole numbers, whose sums don't depend on the order.
     """
     spark = docs.sparkSession
-    learnt = stage_table(docs.select(F.col(text_col).alias("t"), held_out.alias("out")).mapInArrow(_learn, _LEARNT),
-                         "lm-learnt")
-    items = stage_table(learnt.where("kind = -1").groupBy("item").agg(F.sum("n").alias("n")), "lm-items")
+    items = stage_table(docs.select(F.col(text_col).alias("t"), held_out.alias("out"))
+                        .mapInArrow(_count_items, "word binary, mark binary, n long")
+                        .groupBy("word", "mark").agg(F.sum("n").alias("n")), "lm-items")
     parts = items.count() // PART + 1
-    items = stage_table(items.repartitionByRange(parts, "item").withColumn("part", F.spark_partition_id()), "lm-parts")
+    items = stage_table(items.repartitionByRange(parts, "word").withColumn("part", F.spark_partition_id()), "lm-parts")
     ends = sorted((r["part"], bytes(r["a"]), bytes(r["z"])) for r in items.groupBy("part").agg(
-        F.min("item").alias("a"), F.max("item").alias("z")).collect())
+        F.min("word").alias("a"), F.max("word").alias("z")).collect())
     beginnings = _beginnings([(x[2], y[1]) for x, y in zip(ends[:-1], ends[1:])])
-    counts = stage_table(items.select("item", "n").mapInArrow(_count(beginnings), "k int, h long, n0 long, n1 long")
-                         .groupBy("k", "h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "lm-counts")
-    found = {r["k"]: r["count"] for r in counts.groupBy("k").count().collect()}
-    mixer = Mixer(tuple(min(32, max(8, (ROOM * found.get(k, 0)).bit_length())) for k in range(K - 1)))
-    for k, bits in enumerate(mixer.slot_bits):
-        slot = F.shiftright("h", 32 - bits)
-        t = (counts.where(F.col("k") == k).groupBy(slot.alias("slot"))
-             .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow())
-        n = np.stack([t["n0"].to_numpy(), t["n1"].to_numpy()], 1)
-        mixer.table[k][t["slot"].to_numpy()] = _entries(k, n)
-    shares = {K: np.zeros(2 * GATES * CELLS, np.int64), K + 1: np.zeros((K + 1) * GATES, np.int64)}
-    for r in (learnt.where("kind >= 0").select("kind", F.posexplode("share").alias("at", "x")).groupBy("kind", "at")
-              .agg(F.sum("x").alias("x")).collect()):
-        shares[r["kind"]][r["at"]] = r["x"]
-    mixer.cells = shares[K].reshape(2, -1).astype(float)
-    w, seen = shares[K + 1][:GATES * K].reshape(K, GATES), shares[K + 1][GATES * K:]
-    mixer.weight = np.where(seen > 0, w / 1024 / np.maximum(seen, 1), 0.35).astype(np.float32)
-    shared = counts.where(F.col("k") == K - 1).select("h", "n1").toArrow()
-    model = Model(mixer, mixer.refined(), beginnings, shared["h"].to_numpy().astype(np.int64).view(np.uint64),
-                  shared["n1"].to_numpy())
-    scored = stage_table(items.groupBy("part").applyInArrow(_score_items(spark.sparkContext.broadcast(model)),
-                                                            "item binary, n long, lp double"), "lm-scored-items")
-    # items at least as frequent as the count from which there are at most HEAD; counts sum to twice the tokens, so there
-    # are at most sqrt(4 * tokens) distinct ones
-    upto = F.sum("items").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
-    least = (scored.groupBy("n").agg(F.count(F.lit(1)).alias("items")).withColumn("upto", upto)
-             .where(F.col("upto") <= HEAD).agg(F.min("n")).first()[0])
-    most = scored.where(F.col("n") >= least if least is not None else F.lit(False)).toArrow()
-    return scored, dict(zip(most["item"].to_pylist(), zip(most["n"].to_pylist(), most["lp"].to_pylist())))
+    found = stage_table(items.select("word", "mark", "n").mapInArrow(_count(beginnings), "k int, h long, n0 long, n1 long")
+                        .groupBy("k", "h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "lm-counts")
+    sizes = {r["k"]: r["count"] for r in found.groupBy("k").count().collect()}
+    tables = []
+    for k in range(TABLES):
+        bits = max(8, (ROOM * sizes.get(k, 0)).bit_length())
+        tables.append(np.zeros(1 << bits, dtype=np.uint16))
+        slot = F.shiftrightunsigned("h", 64 - bits)
+        for r in (found.where(F.col("k") == k).select(slot.alias("slot"), "n0", "n1")
+                  .groupBy(F.shiftrightunsigned("slot", CHUNK_BITS).alias("chunk")).applyInArrow(_chunk, "chunk long, codes binary")
+                  .toArrow().to_pylist()):  # two bytes a slot
+            codes = np.frombuffer(r["codes"], dtype=np.uint16)[:1 << bits]
+            tables[k][r["chunk"] << CHUNK_BITS:][:len(codes)] = codes
+    shared = found.where(F.col("k") == TABLES).select("h", "n1").toArrow()
+    counts = spark.sparkContext.broadcast(Counts(tables, beginnings, shared["h"].to_numpy().astype(np.int64).view(np.uint64),
+                                                 shared["n1"].to_numpy()))
+    mixer = Mixer()
+    share = (items.groupBy("part").applyInArrow(_learn_part(counts), "share array<long>")
+             .select(F.posexplode("share").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at")
+             .toArrow()["x"].to_numpy())
+    if len(share):
+        mixer.take(share)
+    scored = stage_table(items.groupBy("part").applyInArrow(_score_part(counts, mixer),
+                                                            "item binary, often long, n long, lp double"), "lm-scored-items")
+    totals = (items.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+              .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first())
+    # items at least as frequent as the count from which there are at most HEAD; counts sum to the tokens, so there are
+    # at most sqrt(2 * tokens) distinct ones
+    upto = F.sum("items").over(W.orderBy(F.desc("often")).rowsBetween(W.unboundedPreceding, 0))
+    least = (scored.groupBy("often").agg(F.count(F.lit(1)).alias("items")).withColumn("upto", upto)
+             .where(F.col("upto") <= HEAD).agg(F.min("often")).first()[0])
+    most = scored.where(F.col("often") >= least if least is not None else F.lit(False)).toArrow()
+    return (scored, dict(zip(most["item"].to_pylist(), zip(most["n"].to_pylist(), most["lp"].to_pylist()))),
+            totals["n"] or 0, totals["v"])
 
 
 def _score(head):
@@ -520,13 +536,12 @@ def _score(head):
                 there = np.array([g is not None for g in got])
                 n, lp = np.array([g or (0, 0.0) for g in got]).T
                 logs = np.log10(n + 1)
-                per = np.add.reduceat(np.stack([n[s.ids] > 0, logs[s.ids], lp[s.ids] + lp[s.pair_ids]]), begin, axis=1)
-                every = np.stack([s.ids, s.pair_ids], 1).ravel()
-                rare = np.flatnonzero(~there[every])
-                cuts = np.searchsorted(rare, 2 * np.append(begin, len(s.ids)))
+                per = np.add.reduceat(np.stack([n[s.ids] > 0, logs[s.ids], lp[s.ids]]), begin, axis=1)
+                rare = np.flatnonzero(~there[s.ids])
+                cuts = np.searchsorted(rare, np.append(begin, len(s.ids)))
                 tails, ns = [], []
                 for a, z in zip(cuts[:-1], cuts[1:]):
-                    c = Counter(every[rare[a:z]].tolist())
+                    c = Counter(s.ids[rare[a:z]].tolist())
                     tails.append([s.items[i] for i in c])
                     ns.append(list(c.values()))
                 yield pa.RecordBatch.from_arrays(
@@ -543,11 +558,11 @@ def score_language(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "
 
     A text is the sequence of its words and an end, as it is for the base.  Held out are ids with
     crc32(id as text) mod ``mod`` equal to ``held``.  A-Z are lower-cased.  The model gives each byte and the end of a
-    text bit by bit: predictions by contexts (the last two, three and four bytes and the word so far; for the first byte
-    of a word none, the last two and three bytes ahead of the blank and the whole word before) are stretched, weighed by
+    text bit by bit: predictions by contexts (the last two and four bytes of the word; the mark, which is the last short word
+    ahead, hashed, and the last two bytes; the word so far; the mark and the word so far) are stretched, weighed by
     a weight set that the evidence for them selects, mixed and refined by an adaptive map; score is log10 of the
     product, so -score * log2(10) are the text's total bits.  While scoring, nothing is learnt, so scores don't depend
-    on the order of texts, and each word and each pair of a word and the next one's first byte is scored once (see
+    on the order of texts, and each (word, mark ahead of it) is scored once (see
     :func:`train`).  base_score is the sum over words and the end token of log10((c + 1) / (N + V + 1)); the HEAD most
     frequent items are looked up where the text is, all others by a join.
 
@@ -558,9 +573,7 @@ def score_language(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    items, most = train(docs, crc_rest(F.col(id_col), mod) == held, text_col)
-    word = ~F.contains("item", F.lit(b" "))  # pairs hold a blank
-    totals = items.where(word & (F.col("n") > 0)).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    items, most, tokens, kinds = train(docs, crc_rest(F.col(id_col), mod) == held, text_col)
     head = spark.sparkContext.broadcast(most)  # HEAD items at most
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), row_seq().alias("seq"), F.col(text_col).alias("t"))
@@ -570,12 +583,11 @@ def score_language(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "
     times = F.col("times")
     rare = (scored.select("seq", F.explode(F.arrays_zip("rare", "times")).alias("w"))
             .select("seq", F.col("w.rare").alias("item"), F.col("w.times").alias("times"))
-            .join(items, "item").groupBy("seq")
-            .agg(F.sum(F.when(word & (F.col("n") > 0), times)).alias("more"),
-                 F.sum(F.when(word, times * F.log10(F.col("n") + 1))).alias("more_logs"),
+            .join(items.select("item", "n", "lp"), "item").groupBy("seq")
+            .agg(F.sum(F.when(F.col("n") > 0, times)).alias("more"),
+                 F.sum(times * F.log10(F.col("n") + 1)).alias("more_logs"),
                  F.sum(times * F.col("lp")).alias("more_score")))
-    tokens = totals["n"] or 0
-    total = float(np.log10(tokens + totals["v"] + 1))
+    total = float(np.log10(tokens + kinds + 1))
     return (scored.drop("rare", "times").join(rare, "seq", "left")
             .select(F.col("id").alias(id_col), (crc_rest(F.col("id"), mod) == held).alias("held_out"), "n_tokens",
                     (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),

@@ -295,79 +295,119 @@ def test_language_base_and_order(spark, texts):
     assert bits < 3.2  # bits per byte of texts that weren't learnt
 
 
-def test_model_is_a_distribution():
-    """After any state, the probabilities of all 256 bytes add up to one."""
-    learner = lm.Learner()
-    symbols, _ = lm._types([b"the ", b"of ", b"that "], np.array([3, 2, 1]))
-    learner.learn(symbols)
-    learner.load(learner.counts)
-    n = 256
-    s = lm.Symbols(np.arange(n, dtype=np.uint8), [np.repeat(c[:1], n) for c in symbols.context], np.zeros(n, bool),
-                   np.ones(n, dtype=np.int64))
-    assert abs((10 ** learner.log10(s, learner.refined())).sum() - 1) < 1e-4
-
-
-def test_learnt_shares_add_up():
-    """Counts of tasks add up to the counts of one task over all their texts."""
-    a, b, both = lm.Learner(), lm.Learner(), lm.Learner()
-    for learner, part in ((a, {b"one ": 1, b"two ": 2}), (b, {b"two ": 3, b"four ": 1}),
-                          (both, {b"one ": 1, b"two ": 5, b"four ": 1})):
-        learner.learn(lm._types(list(part), np.array(list(part.values())))[0])
-    for x, y, z in zip(a.counts, b.counts, both.counts):
-        assert (x + y == z).all()
-
-
-def test_word_so_far_is_counted_exactly():
-    """Parts of items, with what is behind the beginnings across their border, give the entries of one exact count."""
+def counts_of(items, n, borders=None, room=8):
+    """What a corpus of these items says, from plain dictionaries, with tables that are large enough to have no collisions."""
+    s, _ = lm._symbols(items, n)
+    tables = []
+    for c in s.context:
+        seen = np.zeros((1 << 20, 2))
+        for sym, node, bit in lm._bits(s):
+            np.add.at(seen, (lm._hashes(c, sym, node) >> np.uint64(44), bit), s.weight[sym])
+        tables.append(lm._codes(seen[:, 0], seen[:, 1]))
+    borders = np.zeros(0, np.uint64) if borders is None else borders
+    shared = lm._among(s.word, borders)
+    return lm.Counts(tables, borders, s.word[shared], s.weight[shared])
+
+
+def test_language_probabilities_sum_to_one():
+    """Over all bytes that may follow a beginning, whatever was learnt."""
+    items, n = [b"the \0\1", b"then \0\1", b"of \0\2", b"that \0\1"], np.array([3, 2, 4, 1])
+    counts, mixer = counts_of(items, n), lm.Mixer()
+    s, _ = lm._symbols(items, n)
+    mixer.learn(s, counts.of_part(s))
+    for begin in (b"", b"t", b"th", b"xyz"):
+        every = [begin + bytes((b,)) + b" \0\1" for b in range(256)]
+        x, which = lm._symbols(items + every, np.append(n, np.zeros(256, np.int64)))
+        lp = mixer.log10(x, counts.of_part(x), mixer.refined())[which]
+        at = sum(len(i) - 2 for i in items) + np.arange(256) * (len(begin) + 2) + len(begin)
+        assert abs((10 ** lp[at]).sum() - 1) < 1e-4
+
+
+def test_language_own_occurrence_is_taken_out():
+    """What predicts an occurrence while weights are learnt is the table entry without it."""
+    for n0, n1 in ((0, 1), (3, 0), (2, 9), (15, 15)):
+        code = int(lm._codes(np.array([n0]), np.array([n1]))[0])
+        for k in range(lm.K):
+            assert lm.ENTRY_WITHOUT[k][code] == lm.ENTRY[k][int(lm._codes(np.array([max(n0 - 1, 0)]), np.array([n1]))[0])]
+            assert lm.ENTRY_WITHOUT[k][65536 + code] == lm.ENTRY[k][int(lm._codes(np.array([n0]), np.array([max(n1 - 1, 0)]))[0])]
+    big = lm._COUNT[lm._codes(np.array([0]), np.array([123_456_789]))[0] & 255]
+    assert abs(big / 123_456_789 - 1) < 0.06
+
+
+def test_words_so_far_are_counted_exactly():
+    """Parts of items, with what is behind the beginnings across their border, give the codes of one exact count."""
     r = np.random.default_rng(5)
-    c = Counter(bytes(w) for w in r.integers(97, 100, (4000, 5), dtype=np.uint8)) + Counter({b"ab": 7, b"a": 3, b"ab c": 4})
-    items = sorted(c)
-    n = np.array([c[i] for i in items])
-    behind = Counter()
-    for i, m in c.items():
-        if b" " in i:
-            behind[i[:-1], i[-1]] += m
-        else:
-            behind.update({((i + b" ")[:k], (i + b" ")[k]): m for k in range(1, len(i) + 1)})
-    cut = items.index(b"ab c")
-    borders = lm._beginnings([(items[cut - 1], items[cut])])
-    whole, _ = lm._distinct(lm._symbols(items, n)[0])
-    assert len(whole.pair) == len(behind) and sorted(whole.weight) == sorted(behind.values())
-    one = lm._word_entries(lm.Model(None, None, borders[:0], whole.pair[:0], n[:0]), whole)
-    shared = lm._among(whole.pair, borders)
-    assert 0 < shared.sum() < len(whole.pair)
+    c = Counter(bytes(w) for w in r.integers(97, 100, (4000, 5), dtype=np.uint8)) + Counter({b"ab": 7, b"a": 3, b"abc": 4})
+    items = sorted(w + b" " + bytes((0, m)) for w in c for m in range(2))
+    n = np.array([c[i[:-3]] + i[-1] for i in items])
+    behind, marked = Counter(), Counter()
+    for i, m in zip(items, n.tolist()):
+        for k in range(len(i) - 2):
+            behind[i[:k], i[k]] += m
+            marked[i[:k], i[k], i[-1]] += m
+    whole, which = lm._symbols(items, n)
+    assert len(whole.marked) == len(marked) and sorted(whole.weight) == sorted(marked.values())
+    assert len(set(whole.word.tolist())) == len(behind) and len(which) == sum(len(i) - 2 for i in items)
+    cut = next(k for k in range(len(items) // 2, len(items)) if items[k - 1][:-3] != items[k][:-3])
+    borders = lm._beginnings([(items[cut - 1][:-3], items[cut][:-3])])
+    one, many = counts_of(items, n).of_part(whole), counts_of(items, n, borders)
+    shared = set(whole.marked[lm._among(whole.word, borders)].tolist())
+    assert 0 < len(shared) < len(whole.marked)
+    place = {m: k for k, m in enumerate(whole.marked.tolist())}
     for part in (slice(0, cut), slice(cut, None)):
-        s, _ = lm._distinct(lm._symbols(items[part], n[part])[0])
-        of_part = lm._word_entries(lm.Model(None, None, borders, whole.pair[shared], whole.weight[shared]), s)
+        s, _ = lm._symbols(items[part], n[part])
+        of_part = many.of_part(s)
+        same = np.array([place[m] for m in s.marked.tolist()])
         for sym, node, _ in lm._bits(s):
-            assert (of_part(s.pair[sym], node) == one(s.pair[sym], node)).all()
-
-
-def test_predictors_of_words_and_first_bytes():
-    """Two, three and four bytes and the word so far; a first byte has the whole word before as a context."""
-    s, _ = lm._types([b"abcde ", b"xbcde "], np.array([1, 1]))
-    a, b = (np.flatnonzero(s.byte == 101)[k] for k in (0, 1))  # "e" behind abcd and xbcd
-    assert [c[a] == c[b] for c in s.context] == [True, True, False, False]
-    s, _ = lm._symbols([b"reading t", b"leading t", b"reading o"], np.array([1, 1, 1]))
-    assert s.start.all() and len(s.context) == 4
-    assert [c[0] == c[1] for c in s.context] == [True, True, True, False]
-    assert all(c[0] == c[2] for c in s.context)
-
-
-def test_each_step_is_predicted_before_it_is_counted(monkeypatch):
-    texts, seen, learn = [" ".join(f"w{k % 50}" for k in range(20_000))] * 8, [], lm.Learner.learn
-
-    def watched(self, s):
-        seen.append((int(s.weight.sum()), int(self.counts[0].sum())))
-        learn(self, s)
-
-    monkeypatch.setattr(lm.Learner, "learn", watched)
-    list(lm._learn([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([False] * 8)], names=["t", "out"])]))
-    # bytes of all words, blanks and ends but the blank behind a text's last word stands ahead of its end
-    assert sum(w for w, _ in seen) == sum(len(t) + 2 for t in texts)  # each symbol once
-    assert len(seen) >= 4 and seen[0][1] == 0
-    bits = [b - a for (_, a), (_, b) in zip(seen[:-1], seen[1:])]
-    assert all(b > 0 for b in bits)  # counted after it was predicted
+            got, want = of_part(sym, node), one(same[sym], node)
+            assert (got[3] == want[3]).all()
+            own = np.array([m not in shared for m in s.marked[sym].tolist()])
+            assert (got[4][own] == want[4][own]).all() and not got[4][~own].any()
+
+
+def test_language_contexts():
+    """Two and four bytes, the mark and two bytes, the word so far without and with the mark."""
+    s, which = lm._symbols([b"abcde \0\1", b"xbcde \0\1", b"abcde \0\2"], np.array([1, 1, 1]))
+    a, b, c = which[[4, 10, 16]]  # the "e" of each
+    assert [x[a] == x[b] for x in s.context] == [True, False, True] and s.word[a] != s.word[b]
+    assert [x[a] == x[c] for x in s.context] == [True, True, False] and s.word[a] == s.word[c]
+    assert len({s.marked[x] for x in (a, b, c)}) == 3
+
+
+def test_language_marks():
+    """The mark is the last short word ahead; a text begins without one."""
+    texts = [b"Le petit chat de la maison", b"maison", b"", b"the end"]
+    want = Counter()
+    for t in texts:
+        mark = 0
+        for w in [*t.lower().split(), b""]:
+            want[(w + b" " if w else lm.END) + mark.to_bytes(2)] += 1
+            mark = lm.mark_of(w) if len(w) <= lm.MARK_BYTES else mark
+    step = lm._step(texts)
+    assert Counter(dict(zip(step.items, np.bincount(step.ids).tolist()))) == want
+    assert step.size.tolist() == [7, 2, 1, 3]
+
+
+@pytest.mark.parametrize("sf", [SF01, "/root/testdata/sf0.1"])
+def test_language_beats_its_base(spark, sf):
+    """Held-out texts take fewer bits than by the unigram base."""
+    rows = queries.QUERIES["op7_lm_context_mixing"](spark, sf).where("held_out").selectExpr("sum(score)", "sum(base_score)")
+    score, base = rows.first()
+    assert base < score < 0
+
+
+def test_language_order_of_words(spark, texts):
+    """Held-out texts with their words shuffled are less likely."""
+    held = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 == 2}
+    r = random.Random(3)
+    docs = [(i, t, 0) for i, t in texts.items()]
+    docs += [(i, " ".join(r.sample(t.split(), len(t.split()))), 1) for i, t in held.items()]
+    rows = lm.score_language(spark.createDataFrame(docs, "doc_id long, text string, turn int")).where("held_out").collect()
+    per = {}
+    for row in rows:
+        per.setdefault(row["doc_id"], []).append((row["base_score"], row["score"]))
+    assert all(len(v) == 2 and abs(v[0][0] - v[1][0]) < 1e-6 for v in per.values())
+    assert sum(abs(a[1] - b[1]) > 1e-3 for a, b in per.values()) > 0.9 * len(per)
 
 
 def test_packed_ids(spark, texts):
