@@ -164,17 +164,22 @@ def _symbols(items: list[bytes], n: np.ndarray) -> tuple[Symbols, np.ndarray]:
                    marked), which
 
 
+def _entry(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, entry of the code) of all bits of some bytes."""
+    n = LENGTH[byte]
+    sym = np.repeat(np.arange(len(n)), n)
+    return sym, np.arange(len(sym)) - np.repeat(np.cumsum(n) - n - FIRST[byte], n)
+
+
 def _bits(s: Symbols, most: int = STEP_BITS):
-    """Pieces of at most about ``most`` bits: (symbol of each bit, its node, bit)."""
-    n = LENGTH[s.byte]
-    upto = np.cumsum(n)
+    """Pieces of at most about ``most`` bits: (which of all bits, symbol of each, its bit)."""
+    upto = np.cumsum(LENGTH[s.byte])
     at = 0
-    while at < len(n):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most)))
-        m = n[at:to]
-        sym = np.repeat(np.arange(at, to), m)
-        entry = np.arange(len(sym)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(FIRST[s.byte[at:to]], m)
-        yield sym, NODE[entry], BIT[entry]
+    while at < len(upto):
+        begin = int(upto[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, begin + most)))
+        sym, entry = _entry(s.byte[at:to])
+        yield slice(begin, int(upto[to - 1])), sym + at, BIT[entry]
         at = to
 
 
@@ -187,18 +192,17 @@ class Exact:
     """Counts of the bits behind beginnings, from counts of the bytes behind them."""
 
     def __init__(self, pair: np.ndarray, n: np.ndarray):
-        length = LENGTH[(pair & _LOW).astype(np.uint8)]
-        sym = np.repeat(np.arange(len(pair)), length)
-        entry = np.arange(len(sym)) + np.repeat(FIRST[(pair & _LOW).astype(np.uint8)] - np.cumsum(length) + length, length)
+        sym, entry = _entry((pair & _LOW).astype(np.uint8))
         self.keys, which = np.unique((pair & ~_LOW)[sym] | NODE[entry], return_inverse=True)
         self.codes = _codes(*(np.bincount(which, weights=n[sym] * (BIT[entry] == b), minlength=len(self.keys))
                               for b in (0, 1)))
 
-    def look(self, pair: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Codes of counts; 0 behind a beginning that isn't here."""
+    def look(self, pair: np.ndarray) -> np.ndarray:
+        """Codes of counts of all bits of some symbols; 0 behind a beginning that isn't here."""
+        sym, entry = _entry((pair & _LOW).astype(np.uint8))
         if not len(self.keys):
-            return np.zeros(len(pair), np.uint16)
-        key = (pair & ~_LOW) | node
+            return np.zeros(len(sym), np.uint16)
+        key = (pair & ~_LOW)[sym] | NODE[entry]
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.codes[at], 0)
 
@@ -211,35 +215,30 @@ class Counts:
     pair: np.ndarray
     n: np.ndarray
 
-    def of_part(self, s: Symbols):
-        """Look-up of the codes of each predictor for bits of ``s``.
+    def of_part(self, s: Symbols) -> list[np.ndarray]:
+        """The codes of each predictor for all bits of ``s``.
 
         The symbols of a beginning that is in several parts are counted in all of them; behind it the mark is known to
         its table only.
         """
+        sym, entry = _entry(s.byte)
+        node = NODE[entry]
+        out = [t[_hashes(c, sym, node) >> np.uint64(64 - len(t).bit_length() + 1)] for c, t in zip(s.context, self.tables)]
         own = ~_among(s.word, self.beginnings)
-        word, of = np.unique(s.word[own], return_inverse=True)
-        word = Exact(np.append(word, self.pair), np.append(np.bincount(of, weights=s.weight[own], minlength=len(word)),
-                                                           self.n))
-        marked = Exact(s.marked[own], s.weight[own])
-
-        def codes(sym, node):
-            slots = [_hashes(c, sym, node) >> np.uint64(64 - len(t).bit_length() + 1)
-                     for c, t in zip(s.context, self.tables)]
-            return [*(t[i] for t, i in zip(self.tables, slots)), word.look(s.word[sym], node),
-                    marked.look(s.marked[sym], node)]
-
-        return codes
+        word, at, of = np.unique(s.word, return_index=True, return_inverse=True)
+        exact = Exact(np.append(word[own[at]], self.pair),
+                      np.append(np.bincount(of, weights=s.weight, minlength=len(word))[own[at]], self.n)).look(word)
+        upto = np.cumsum(LENGTH[s.byte[at]])
+        begin = np.cumsum(LENGTH[s.byte]) - LENGTH[s.byte]
+        out.append(exact[(upto - LENGTH[s.byte[at]])[of[sym]] + np.arange(len(sym)) - begin[sym]])
+        out.append(Exact(s.marked[own], s.weight[own]).look(s.marked))
+        return out
 
 
 def _among(pair: np.ndarray, beginnings: np.ndarray) -> np.ndarray:
     return np.isin(pair & ~_LOW, beginnings)
 
 
-def _subset(s: Symbols, on: np.ndarray) -> Symbols:
-    return Symbols(s.byte[on], [c[on] for c in s.context], s.start[on], s.weight[on], s.word[on], s.marked[on])
-
-
 def _added(sym: np.ndarray, lp: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n)
     lo = sym[0]
@@ -278,11 +277,11 @@ class Mixer:
         mid = np.tile(mid, GATES)
         return ((self.cells[1] + 4 * mid) / (self.cells.sum(0) + 4)).astype(np.float32)
 
-    def learn(self, s: Symbols, codes) -> None:
+    def learn(self, s: Symbols, codes: list[np.ndarray]) -> None:
         """Refine weights and map over the symbols of ``s``, whose own occurrence doesn't count in what predicts it."""
-        for sym, node, bit in _bits(s, LEARN_BITS):
+        for these, sym, bit in _bits(s, LEARN_BITS):
             without = bit.astype(np.int32) << 16
-            t = [ENTRY_WITHOUT[k][without | c] for k, c in enumerate(codes(sym, node))]
+            t = [ENTRY_WITHOUT[k][without | c[these]] for k, c in enumerate(codes)]
             gate, x, z, cell = self.mix(s.start[sym], t)
             n = s.weight[sym]
             err = (bit - 1 / (1 + np.exp(-z))) * n * np.float32(1 / STRETCH)
@@ -307,11 +306,11 @@ class Mixer:
         self.weight = np.where(self.seen > 0, w.reshape(K, GATES) / 1024 / np.maximum(self.seen, 1),
                                WEIGHT).astype(np.float32)
 
-    def log10(self, s: Symbols, codes, refined: np.ndarray) -> np.ndarray:
+    def log10(self, s: Symbols, codes: list[np.ndarray], refined: np.ndarray) -> np.ndarray:
         """log10 of the probability of each symbol."""
         out = np.zeros(len(s.byte))
-        for sym, node, bit in _bits(s):
-            _, _, z, cell = self.mix(s.start[sym], [ENTRY[k][c] for k, c in enumerate(codes(sym, node))])
+        for these, sym, bit in _bits(s):
+            _, _, z, cell = self.mix(s.start[sym], [ENTRY[k][c[these]] for k, c in enumerate(codes)])
             p = 0.5 * (1 / (1 + np.exp(-z)) + refined[cell])
             p = np.where(bit, p, 1 - p)
             lp = np.log10(np.maximum(p, np.float32(1e-7)))
@@ -375,8 +374,25 @@ def _count_items(batches):
         yield from rows()
 
 
-def _items(part) -> list[bytes]:
-    return [w + m for w, m in zip(part["word"].to_pylist(), part["mark"].to_pylist())]
+_PART = "least binary, most binary, words binary, marks binary, n binary"
+
+
+def _packed(batches):
+    """A part's items as one row, so that they are read again together without an exchange."""
+    table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if table is not None and table.num_rows:
+        words = table["word"].to_pylist()
+        yield pa.RecordBatch.from_pydict({
+            "least": [min(words)], "most": [max(words)], "words": [b"\n".join(words)],  # words hold no line ends
+            "marks": [b"".join(table["mark"].to_pylist())], "n": [table["n"].to_numpy().astype("<i8").tobytes()]})
+
+
+def _parts(batches):
+    """(items, counts) of each part."""
+    for b in batches:
+        for words, marks, n in zip(*(b.column(c).to_pylist() for c in ("words", "marks", "n"))):
+            yield ([w + marks[2 * k:2 * k + 2] for k, w in enumerate(words.split(b"\n"))],
+                   np.frombuffer(n, dtype="<i8").astype(np.int64))
 
 
 def _beginnings(cut: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -397,15 +413,15 @@ def _count(beginnings: np.ndarray):
         word, which = np.unique(s.word[shared], return_inverse=True)
         out = [(np.full(len(word), TABLES, np.int32), word.view(np.int64), np.zeros(len(word), np.int64),
                 np.bincount(which, weights=s.weight[shared], minlength=len(word)).astype(np.int64))]
-        s = _subset(s, s.weight > 0)
-        for k in range(TABLES if len(s.byte) else 0):
+        on = s.weight > 0
+        for k in range(TABLES if on.any() else 0):
             # a context's bytes are counted before its bits
-            pair, first, which = np.unique(s.context[k] & ~_LOW | s.byte, return_index=True, return_inverse=True)
-            c = Symbols(s.byte[first], s.context, s.start, np.bincount(which, weights=s.weight), s.word, s.marked)
-            sym, node, bit = (np.concatenate(x) for x in zip(*_bits(c)))
-            h, which = np.unique(_hashes(s.context[k][first], sym, node), return_inverse=True)
+            pair, first, which = np.unique((s.context[k] & ~_LOW | s.byte)[on], return_index=True, return_inverse=True)
+            weight = np.bincount(which, weights=s.weight[on])
+            sym, entry = _entry(s.byte[on][first])
+            h, which = np.unique(_hashes(s.context[k][on][first], sym, NODE[entry]), return_inverse=True)
             out.append((np.full(len(h), k, np.int32), h.view(np.int64),
-                        *(np.bincount(which, weights=c.weight[sym] * (bit == b), minlength=len(h)).astype(np.int64)
+                        *(np.bincount(which, weights=weight[sym] * (BIT[entry] == b), minlength=len(h)).astype(np.int64)
                           for b in (0, 1))))
         for row in out:
             for at in range(0, len(row[0]), 1 << 17):
@@ -413,15 +429,8 @@ def _count(beginnings: np.ndarray):
                                                  names=["k", "h", "n0", "n1"])
 
     def run(batches):
-        items, ns = [], []
-        for b in batches:
-            items += _items(b)
-            ns.append(b.column("n").to_numpy(zero_copy_only=False))
-            if len(items) >= PART:
-                yield from counted(items, np.concatenate(ns))
-                items, ns = [], []
-        if items:
-            yield from counted(items, np.concatenate(ns))
+        for items, n in _parts(batches):
+            yield from counted(items, n)
 
     return run
 
@@ -433,38 +442,41 @@ def _chunk(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "codes": pa.array([_codes(n0, n1).tobytes()])})
 
 
-def _learn_part(counts):
-    """A part's share of weights and map."""
-    def run(part: pa.Table) -> pa.Table:
-        s, _ = _symbols(_items(part), part["n"].to_numpy())
-        codes = counts.value.of_part(s)
-        learnt = np.flatnonzero(s.weight > 0)
-        mixer = Mixer()
-        on = _subset(s, learnt)
-        mixer.learn(on, lambda sym, node: codes(learnt[sym], node))
-        return pa.table({"share": pa.array([mixer.share()], pa.list_(pa.int64()))})
+def _learn_parts(counts):
+    """Each part's share of weights and map, with the count of its tokens and of its words; they don't cross parts."""
+    def run(batches):
+        for items, n in _parts(batches):
+            s, _ = _symbols(items, n)
+            mixer = Mixer()
+            mixer.learn(s, counts.value.of_part(s))
+            share = np.append(mixer.share(), [n.sum(), len({i[:-2] for i, m in zip(items, n.tolist()) if m})])
+            yield pa.RecordBatch.from_arrays([pa.array([share], pa.list_(pa.int64()))], names=["share"])
     return run
 
 
-def _score_part(counts, mixer: Mixer):
+def _score_parts(counts, mixer: Mixer):
     """Items of a part with the count of their word and the model's log10 probability of their symbols."""
     refined = mixer.refined()
 
-    def run(part: pa.Table) -> pa.Table:
-        n = part["n"].to_numpy()
-        items = _items(part)
-        s, which = _symbols(items, n)
-        lp = mixer.log10(s, counts.value.of_part(s), refined)
-        size = np.array([len(i) - 2 for i in items])
-        score = np.bincount(np.repeat(np.arange(len(n)), size), weights=lp[which], minlength=len(n))
-        word = part["word"].combine_chunks().dictionary_encode().indices.to_numpy()  # a word's items share a part
-        return pa.table({"item": pa.array(items, pa.binary()), "often": part["n"],
-                         "n": pa.array(np.bincount(word, weights=n).astype(np.int64)[word]), "lp": pa.array(score)})
+    def run(batches):
+        for items, n in _parts(batches):
+            s, which = _symbols(items, n)
+            lp = mixer.log10(s, counts.value.of_part(s), refined)
+            size = np.array([len(i) - 2 for i in items])
+            score = np.bincount(np.repeat(np.arange(len(n)), size), weights=lp[which], minlength=len(n))
+            number: dict[bytes, int] = defaultdict(count().__next__)
+            word = np.array([number[i[:-2]] for i in items])
+            of_word = np.bincount(word, weights=n).astype(np.int64)[word]
+            for at in range(0, len(n), 1 << 15):
+                to = at + (1 << 15)
+                yield pa.RecordBatch.from_arrays([pa.array(items[at:to], pa.binary()), pa.array(n[at:to]),
+                                                  pa.array(of_word[at:to]), pa.array(score[at:to])],
+                                                 names=["item", "often", "n", "lp"])
     return run
 
 
 def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame, dict[bytes, tuple[int, float]], int, int]:
-    """(items, most frequent items, N, V): of each (word, mark ahead of it) of ``docs`` the count n of the word in the
+    """(items, most frequent items, N, V), the first without the second: of each (word, mark ahead of it) of ``docs`` the count n of the word in the
     rows that aren't ``held_out`` and log10 of the probability lp that the model learnt from these gives to its bytes.
 
     All counts are of the whole corpus.  Of the last bytes, and of the mark with the last two: a table of (predictor,
@@ -482,11 +494,10 @@ def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame,
                         .mapInArrow(_count_items, "word binary, mark binary, n long")
                         .groupBy("word", "mark").agg(F.sum("n").alias("n")), "lm-items")
     parts = items.count() // PART + 1
-    items = stage_table(items.repartitionByRange(parts, "word").withColumn("part", F.spark_partition_id()), "lm-parts")
-    ends = sorted((r["part"], bytes(r["a"]), bytes(r["z"])) for r in items.groupBy("part").agg(
-        F.min("word").alias("a"), F.max("word").alias("z")).collect())
-    beginnings = _beginnings([(x[2], y[1]) for x, y in zip(ends[:-1], ends[1:])])
-    found = stage_table(items.select("word", "mark", "n").mapInArrow(_count(beginnings), "k int, h long, n0 long, n1 long")
+    items = stage_table(items.repartitionByRange(parts, "word").mapInArrow(_packed, _PART), "lm-parts")
+    ends = sorted((bytes(r["least"]), bytes(r["most"])) for r in items.select("least", "most").collect())
+    beginnings = _beginnings([(x[1], y[0]) for x, y in zip(ends[:-1], ends[1:])])
+    found = stage_table(items.mapInArrow(_count(beginnings), "k int, h long, n0 long, n1 long")
                         .groupBy("k", "h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "lm-counts")
     sizes = {r["k"]: r["count"] for r in found.groupBy("k").count().collect()}
     tables = []
@@ -503,23 +514,24 @@ def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame,
     counts = spark.sparkContext.broadcast(Counts(tables, beginnings, shared["h"].to_numpy().astype(np.int64).view(np.uint64),
                                                  shared["n1"].to_numpy()))
     mixer = Mixer()
-    share = (items.groupBy("part").applyInArrow(_learn_part(counts), "share array<long>")
+    share = (items.mapInArrow(_learn_parts(counts), "share array<long>")
              .select(F.posexplode("share").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).orderBy("at")
              .toArrow()["x"].to_numpy())
+    tokens, words = 0, 0
     if len(share):
-        mixer.take(share)
-    scored = stage_table(items.groupBy("part").applyInArrow(_score_part(counts, mixer),
-                                                            "item binary, often long, n long, lp double"), "lm-scored-items")
-    totals = (items.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
-              .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first())
+        mixer.take(share[:-2])
+        tokens, words = share[-2:].tolist()
+    scored = stage_table(items.mapInArrow(_score_parts(counts, mixer), "item binary, often long, n long, lp double"),
+                         "lm-scored-items")
     # items at least as frequent as the count from which there are at most HEAD; counts sum to the tokens, so there are
     # at most sqrt(2 * tokens) distinct ones
     upto = F.sum("items").over(W.orderBy(F.desc("often")).rowsBetween(W.unboundedPreceding, 0))
     least = (scored.groupBy("often").agg(F.count(F.lit(1)).alias("items")).withColumn("upto", upto)
              .where(F.col("upto") <= HEAD).agg(F.min("often")).first()[0])
     most = scored.where(F.col("often") >= least if least is not None else F.lit(False)).toArrow()
-    return (scored, dict(zip(most["item"].to_pylist(), zip(most["n"].to_pylist(), most["lp"].to_pylist()))),
-            totals["n"] or 0, totals["v"])
+    rest = scored.where(F.col("often") < least) if least is not None else scored
+    return (rest.select("item", "n", "lp"), dict(zip(most["item"].to_pylist(), zip(most["n"].to_pylist(), most["lp"].to_pylist()))),
+            tokens, words)
 
 
 def _score(head):
@@ -583,7 +595,7 @@ def score_language(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "
     times = F.col("times")
     rare = (scored.select("seq", F.explode(F.arrays_zip("rare", "times")).alias("w"))
             .select("seq", F.col("w.rare").alias("item"), F.col("w.times").alias("times"))
-            .join(items.select("item", "n", "lp"), "item").groupBy("seq")
+            .join(items, "item").groupBy("seq")
             .agg(F.sum(F.when(F.col("n") > 0, times)).alias("more"),
                  F.sum(times * F.log10(F.col("n") + 1)).alias("more_logs"),
                  F.sum(times * F.col("lp")).alias("more_score")))

@@ -301,8 +301,8 @@ def counts_of(items, n, borders=None, room=8):
     tables = []
     for c in s.context:
         seen = np.zeros((1 << 20, 2))
-        for sym, node, bit in lm._bits(s):
-            np.add.at(seen, (lm._hashes(c, sym, node) >> np.uint64(44), bit), s.weight[sym])
+        sym, entry = lm._entry(s.byte)
+        np.add.at(seen, (lm._hashes(c, sym, lm.NODE[entry]) >> np.uint64(44), lm.BIT[entry]), s.weight[sym])
         tables.append(lm._codes(seen[:, 0], seen[:, 1]))
     borders = np.zeros(0, np.uint64) if borders is None else borders
     shared = lm._among(s.word, borders)
@@ -353,16 +353,17 @@ def test_words_so_far_are_counted_exactly():
     one, many = counts_of(items, n).of_part(whole), counts_of(items, n, borders)
     shared = set(whole.marked[lm._among(whole.word, borders)].tolist())
     assert 0 < len(shared) < len(whole.marked)
-    place = {m: k for k, m in enumerate(whole.marked.tolist())}
+    sym, _ = lm._entry(whole.byte)
+    want = {}
+    for m, w, k in zip(whole.marked[sym].tolist(), one[3].tolist(), one[4].tolist()):
+        want.setdefault(m, []).append((w, k))
     for part in (slice(0, cut), slice(cut, None)):
         s, _ = lm._symbols(items[part], n[part])
-        of_part = many.of_part(s)
-        same = np.array([place[m] for m in s.marked.tolist()])
-        for sym, node, _ in lm._bits(s):
-            got, want = of_part(sym, node), one(same[sym], node)
-            assert (got[3] == want[3]).all()
-            own = np.array([m not in shared for m in s.marked[sym].tolist()])
-            assert (got[4][own] == want[4][own]).all() and not got[4][~own].any()
+        of_part, got = many.of_part(s), {}
+        for m, w, k in zip(s.marked[lm._entry(s.byte)[0]].tolist(), of_part[3].tolist(), of_part[4].tolist()):
+            got.setdefault(m, []).append((w, k))
+        for m, codes in got.items():
+            assert codes == [(w, 0 if m in shared else k) for w, k in want[m]]
 
 
 def test_language_contexts():
