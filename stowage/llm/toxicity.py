@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from stowage.llm.labelled import labelled_sample
 
 #: n-gram orders, and slots of their hashes.
 ORDERS, SLOTS = (3, 4, 5, 6), 1 << 19
+#: Chi-square (one degree of freedom) that one n-gram in a thousand without any bearing on the label reaches by chance.
+CHANCE = 10.83
 
 
 def _padded(text: bytes) -> bytes:
@@ -35,13 +38,14 @@ def distinct_grams(text: bytes) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.int32)
 
 
-def chosen_grams(texts: list[bytes], place: np.ndarray, features: int) -> np.ndarray:
-    """Which of the chosen n-grams each text has: (texts, features) booleans.  ``place``: slot -> feature or -1."""
-    has = np.zeros((len(texts), features + 1), dtype=bool)  # the last column takes what isn't chosen
+def chosen_grams(texts: list[bytes], place: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of the chosen n-grams of each text, each pair once, in order.  ``place``: slot -> feature or -1."""
+    found = [np.zeros(0, dtype=np.int64)]
     for first, last in groups_by_bytes(texts, PIECE):
         if last - first == 1:
             for h in _hashes(texts[first]):
-                has[first, place[h]] = True
+                p = place[h]
+                found.append(np.unique(p[p >= 0]) + np.int64(first * features))
             continue
         padded = [_padded(t) for t in texts[first:last]]
         lens = np.array([len(t) for t in padded])
@@ -53,8 +57,8 @@ def chosen_grams(texts: list[bytes], place: np.ndarray, features: int) -> np.nda
             p = place[h]
             hit = np.flatnonzero(p >= 0)
             hit = hit[hit + n <= ends[hit]]
-            has[doc[hit], p[hit]] = True
-    return has[:, :features]
+            found.append(np.unique(doc[hit] * features + p[hit]))
+    return np.divmod(np.unique(np.concatenate(found)), max(features, 1))
 
 
 @dataclass
@@ -65,42 +69,47 @@ class ToxicModel:
     bias: float
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        z = chosen_grams(texts, self.place, len(self.weight)) @ self.weight + self.bias
+        doc, feature = chosen_grams(texts, self.place, len(self.weight))
+        z = np.bincount(doc, weights=self.weight[feature], minlength=len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, steps: int = 300, l2: float = 1e-4):
-    """Weights and bias of a logistic regression with row weights, by adaptive full-batch gradients."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    gw, gb = np.full(x.shape[1], 1e-8), 1e-8
+def fit_logistic(doc: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndarray, rows: np.ndarray,
+                 steps: int = 300, l2: float = 1e-4):
+    """Weights and bias of a logistic regression with row weights, by adaptive full-batch gradients.
+
+    Row ``doc`` has the value ``scale[feature]`` at each ``feature`` paired with it, else 0.
+    """
+    w, b = np.zeros(len(scale)), 0.0
+    gw, gb = np.full(len(scale), 1e-8), 1e-8
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g = (p - y) * rows
-        d, e = g @ x + l2 * w, g.sum()
-        gw += d * d
-        gb += e * e
-        w -= 0.5 * d / np.sqrt(gw)
-        b -= 0.5 * e / np.sqrt(gb)
+        z = np.bincount(doc, weights=(w * scale)[feature], minlength=len(y)) + b
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * rows
+        g = np.bincount(feature, weights=e[doc], minlength=len(scale)) * scale + l2 * w
+        gw += g * g
+        gb += e.sum() ** 2
+        w -= 0.5 * g / np.sqrt(gw)
+        b -= 0.5 * e.sum() / np.sqrt(gb)
     return w, b
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", mod: int = 5, held: int = 0,
-                 per_class: int = 2048, features: int = 1000, id_col: str = "doc_id",
-                 text_col: str = "text") -> ToxicModel:
+                 per_class: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Fit on at most ``per_class`` labelled documents of each class.
 
     The n-grams of order 3 to 6 of a lower-cased text count once per text.  Each one's ratio is
-    r = log((p / |p|) / (q / |q|)) of its smoothed document counts in both classes; the ``features``
-    n-grams with the highest chi-square stay, and a logistic regression is fitted on
-    r times presence, rows weighted so that the classes keep their shares.  Counts and presence bits are
-    made where the texts are; the driver gets one count pair per slot and ``features`` bits per text.
+    r = log((p / |p|) / (q / |q|)) of its smoothed document counts in both classes.  All n-grams take part whose
+    chi-square chance doesn't explain (CHANCE; in small samples a quarter of the texts, as none can have more
+    than their number), however many they are, and a logistic regression is fitted on
+    r times presence, rows weighted so that the classes keep their shares.  Counts and presence are
+    found where the texts are; the driver gets one count pair per slot and the features of each sampled text.
     Without documents of both classes the score is the constant share of label 1 (0.5 without labels).
     """
     sample, sizes = labelled_sample(docs, labels, label_col, per_class, mod, held, id_col, text_col)
     docs0, docs1 = (sample.where(F.col("label") == c).count() for c in (0, 1))
     if not (docs0 and docs1):
         share = 0.5 if not sizes else float(np.clip(sizes.get(1, 0) / sum(sizes.values()), 1e-9, 1 - 1e-9))
-        return ToxicModel(np.full(SLOTS, -1, np.int16), np.zeros(0), float(np.log(share / (1 - share))))
+        return ToxicModel(np.full(SLOTS, -1, np.int32), np.zeros(0), float(np.log(share / (1 - share))))
 
     def grams(batches):
         n = np.zeros((2, SLOTS), dtype=np.int64)
@@ -120,23 +129,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", m
     both, total = n0 + n1, docs0 + docs1
     chi = (n1 * (docs0 - n0) - n0 * (docs1 - n1)) ** 2 * total / np.maximum(
         both * (total - both) * docs0 * docs1, 1e-9)
-    top = np.argsort(-chi, kind="stable")[:features]
-    place = np.full(SLOTS, -1, dtype=np.int16)
+    top = np.flatnonzero(chi >= min(CHANCE, total / 4))
+    place = np.full(SLOTS, -1, dtype=np.int32)
     place[top] = np.arange(len(top))
 
-    def bits(batches):
+    def present(batches):
         for b in batches:
-            has = chosen_grams(byte_texts(b.column("text")), place, len(top))
-            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("label"), pa.array(
-                [r.tobytes() for r in np.packbits(has, axis=1)], pa.binary())], names=["sid", "label", "bits"])
+            texts = byte_texts(b.column("text"))
+            doc, feature = chosen_grams(texts, place, len(top))
+            upto = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("label"), pa.ListArray.from_arrays(
+                pa.array(upto), pa.array(feature.astype(np.int32)))], names=["sid", "label", "has"])
 
     kind = dict(sample.dtypes)["sid"]
-    rows = sample.mapInArrow(bits, f"sid {kind}, label int, bits binary").orderBy("sid").toArrow()  # 2 * per_class
-    x = np.unpackbits(np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(rows.num_rows, -1),
-                      axis=1)[:, :len(top)] * ratio[top]
+    rows = (sample.mapInArrow(present, f"sid {kind}, label int, has array<int>").orderBy("sid").toArrow()
+            .combine_chunks())  # 2 * per_class rows at most
+    feature = rows["has"].combine_chunks().flatten().to_numpy()
+    doc = np.repeat(np.arange(rows.num_rows), pa.compute.list_value_length(rows["has"]).to_numpy())
     y = rows["label"].to_numpy().astype(float)
     share = sizes[1] / (sizes[0] + sizes[1])
-    w, b = fit_logistic(x, y, np.where(y == 1, share / max(docs1, 1), (1 - share) / max(docs0, 1)))
+    w, b = fit_logistic(doc, feature, ratio[top], y, np.where(y == 1, share / max(docs1, 1), (1 - share) / max(docs0, 1)))
     return ToxicModel(place, w * ratio[top], float(b))
 
 

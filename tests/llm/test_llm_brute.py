@@ -136,14 +136,63 @@ def test_classifiers_held_out(spark, name, label, least):
 
 
 def test_chosen_grams_agree_with_one_by_one():
-    place = np.full(toxicity.SLOTS, -1, dtype=np.int16)
+    place = np.full(toxicity.SLOTS, -1, dtype=np.int32)
     texts = [b"", b"ab", b"you idiot there", b"x" * 100, "é moron ".encode() * 3]
     place[toxicity.distinct_grams(texts[2])] = np.arange(len(toxicity.distinct_grams(texts[2])))
     n = int(place.max()) + 1
-    got = toxicity.chosen_grams(texts, place, n)
-    for t, row in zip(texts, got):
+    doc, feature = toxicity.chosen_grams(texts, place, n)
+    for k, t in enumerate(texts):
         want = {int(place[g]) for g in toxicity.distinct_grams(t) if place[g] >= 0}
-        assert set(np.flatnonzero(row)) == want
+        assert sorted(feature[doc == k].tolist()) == sorted(want)
+
+
+def test_toxicity_recall(spark):
+    """Held-out toxic texts are found, and clean ones left alone."""
+    got = {r["doc_id"]: r for r in queries.QUERIES["op5_toxicity_nb"](spark, "/root/testdata/sf0.1").where("held_out").collect()}
+    held = [r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r["doc_id"] in got]
+    said = {y: np.mean([got[r["doc_id"]]["predicted"] for r in held if r["toxic"] == y]) for y in (0, 1)}
+    assert said[1] >= 0.8 and said[0] <= 0.02
+
+
+def test_toxicity_takes_every_telling_gram(spark):
+    """A vocabulary of which each toxic text has only one word: no n-gram is left out for being one of many."""
+    r = random.Random(9)
+    def word():
+        return "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(9))
+    bad, plain = [word() for _ in range(150)], [word() for _ in range(400)]
+    docs, labels = [], []
+    for k in range(6000):
+        toxic = int(k % 2)
+        text = r.sample(plain, 10) + ([bad[k // 2 % 150]] if toxic else [])
+        r.shuffle(text)
+        docs.append((k, " ".join(text)))
+        labels.append((k, 0, toxic))
+    got = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"),
+                                  spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
+                                  per_class=3000).where("held_out").collect()
+    right = [r["predicted"] == r["doc_id"] % 2 for r in got]
+    assert len(right) > 1000 and np.mean(right) >= 0.97
+
+
+def test_logistic_against_dense_newton():
+    """The sparse fit reaches the loss of a dense regression fitted by Newton steps."""
+    r = np.random.default_rng(4)
+    x = (r.random((300, 20)) < 0.3) * 1.0
+    y = (r.random(300) < 1 / (1 + np.exp(-x @ r.normal(0, 1, 20)))).astype(float)
+    scale, rows, l2 = r.uniform(0.5, 2, 20), np.full(300, 1 / 300), 1e-2
+    doc, feature = np.nonzero(x)
+    w, b = toxicity.fit_logistic(doc, feature, scale, y, rows, l2=l2)
+    full = np.hstack([x * scale, np.ones((300, 1))])
+    pen = np.append(np.full(20, l2), 0)
+    def loss(v):
+        z = full @ v
+        return (rows * (np.logaddexp(0, z) - y * z)).sum() + (pen * v * v).sum() / 2
+    v = np.zeros(21)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-full @ v))
+        v -= np.linalg.solve((full * (rows * p * (1 - p))[:, None]).T @ full + np.diag(pen) + 1e-12 * np.eye(21),
+                             full.T @ ((p - y) * rows) + pen * v)
+    assert abs(loss(np.append(w, b)) - loss(v)) < 1e-4
 
 
 def test_hashed_counts_agree_with_one_by_one():
