@@ -11,6 +11,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -352,11 +353,11 @@ def _step(texts: list[bytes]) -> Step:
 
 def _count_items(batches):
     """Items and their counts in learnt texts, 0 for those of others."""
-    held = Counter()
+    held: dict[bytes, int] = {}
 
     def rows():
-        yield pa.RecordBatch.from_arrays([pa.array([i[:-2] for i in held], pa.binary()),
-                                          pa.array([i[-2:] for i in held], pa.binary()),
+        items = pa.array(list(held), pa.binary())
+        yield pa.RecordBatch.from_arrays([pc.binary_slice(items, 0, -2), pc.binary_slice(items, -2),
                                           pa.array(list(held.values()), pa.int64())], names=["word", "mark", "n"])
         held.clear()
 
@@ -366,8 +367,9 @@ def _count_items(batches):
             some = [t for t, o in zip(texts, out) if o != learnt]
             for lo, hi in groups_by_bytes(some, STEP_BYTES):
                 step = _step(some[lo:hi])
-                for i, m in zip(step.items, np.bincount(step.ids, minlength=len(step.items)).tolist()):
-                    held[i] += m if learnt else 0
+                times = np.bincount(step.ids, minlength=len(step.items)) * int(learnt)
+                for i, m in zip(step.items, times.tolist()):
+                    held[i] = held.get(i, 0) + m
                 if len(held) > HELD:
                     yield from rows()
     if held:
@@ -378,12 +380,13 @@ _PART = "least binary, most binary, words binary, marks binary, n binary"
 
 
 def _packed(batches):
-    """A part's items as one row, so that they are read again together without an exchange."""
+    """A part's items in order, as one row, so that they are read again together without an exchange."""
     table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
     if table is not None and table.num_rows:
+        table = table.sort_by([("word", "ascending"), ("mark", "ascending")])
         words = table["word"].to_pylist()
         yield pa.RecordBatch.from_pydict({
-            "least": [min(words)], "most": [max(words)], "words": [b"\n".join(words)],  # words hold no line ends
+            "least": [words[0]], "most": [words[-1]], "words": [b"\n".join(words)],  # words hold no line ends
             "marks": [b"".join(table["mark"].to_pylist())], "n": [table["n"].to_numpy().astype("<i8").tobytes()]})
 
 
@@ -475,9 +478,18 @@ def _score_parts(counts, mixer: Mixer):
     return run
 
 
-def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame, dict[bytes, tuple[int, float]], int, int]:
-    """(items, most frequent items, N, V), the first without the second: of each (word, mark ahead of it) of ``docs`` the count n of the word in the
-    rows that aren't ``held_out`` and log10 of the probability lp that the model learnt from these gives to its bytes.
+@dataclass
+class Head:
+    """The most frequent items: place of each in the arrays of counts and scores, whose last entry is for all others."""
+    place: dict[bytes, int]
+    n: np.ndarray
+    lp: np.ndarray
+
+
+def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame, Head, int, int]:
+    """(items, most frequent items, N, V), the first without the second: of each (word, mark ahead of it) of ``docs`` the
+    count n of the word in the rows that aren't ``held_out`` and log10 of the probability lp that the model learnt from
+    these gives to its bytes.
 
     All counts are of the whole corpus.  Of the last bytes, and of the mark with the last two: a table of (predictor,
     context, node) in Spark, from which a table with ROOM slots for each of them is made.  Of the word so far, with and
@@ -528,25 +540,26 @@ def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame,
     upto = F.sum("items").over(W.orderBy(F.desc("often")).rowsBetween(W.unboundedPreceding, 0))
     least = (scored.groupBy("often").agg(F.count(F.lit(1)).alias("items")).withColumn("upto", upto)
              .where(F.col("upto") <= HEAD).agg(F.min("often")).first()[0])
-    most = scored.where(F.col("often") >= least if least is not None else F.lit(False)).toArrow()
+    most = scored.where(F.col("often") >= least if least is not None else F.lit(False)).select("item", "n", "lp").toArrow()
     rest = scored.where(F.col("often") < least) if least is not None else scored
-    return (rest.select("item", "n", "lp"), dict(zip(most["item"].to_pylist(), zip(most["n"].to_pylist(), most["lp"].to_pylist()))),
-            tokens, words)
+    head = Head(dict(zip(most["item"].to_pylist(), range(most.num_rows))), np.append(most["n"].to_numpy(), 0),
+                np.append(most["lp"].to_numpy(), 0.0))
+    return rest.select("item", "n", "lp"), head, tokens, words
 
 
 def _score(head):
     """Of each text: tokens, known tokens, sum of log10(c + 1) and score of the broadcast items, and the other items
     with their counts."""
     def run(batches):
-        known: dict = head.value
+        known: Head = head.value
+        missing = len(known.n) - 1
         for b in batches:
             texts = byte_texts(b.column("t"))
             for lo, hi in groups_by_bytes(texts, STEP_BYTES):
                 s = _step(texts[lo:hi])
                 begin = np.cumsum(s.size) - s.size
-                got = [known.get(i) for i in s.items]
-                there = np.array([g is not None for g in got])
-                n, lp = np.array([g or (0, 0.0) for g in got]).T
+                at = np.fromiter((known.place.get(i, missing) for i in s.items), dtype=np.int64, count=len(s.items))
+                there, n, lp = at < missing, known.n[at], known.lp[at]
                 logs = np.log10(n + 1)
                 per = np.add.reduceat(np.stack([n[s.ids] > 0, logs[s.ids], lp[s.ids]]), begin, axis=1)
                 rare = np.flatnonzero(~there[s.ids])
