@@ -26,8 +26,8 @@ from stowage.operators import dims as dm
 from stowage.operators import master as mst
 from stowage.operators import parts as prt
 from stowage.operators import stock as stk
-from stowage.session import materialize, stage_scope
-from stowage.sources.files import read_export
+from stowage.session import materialize, parts_for, stage_scope
+from stowage.sources.files import export_bytes, read_export
 from stowage.sources.fixtures import ALL_TECHS
 from stowage.sources.workspace import Transaction, Workspace
 
@@ -46,6 +46,8 @@ ORDERED = ("stock", "master")
 PARSED = {"stock": {"total_stock_raw": fn.clean_int},
           "master": {"years": lambda c: fn.clean_float(c, strip_commas=False), "mrp_controller": fn.clean_int_commas},
           "cost_center": {"cost_center": cc.cost_center_key}, "consumption": {"cost_center": cc.cost_center_key}}
+# Least bytes of an order line in an export, so that the size of its files tells how many lines there are at most.
+LINE_BYTES = 20
 # What the parts table is built from; all are cut into buckets of the material.
 PART_INPUTS = ("stock", "master", "material_to_priority", "material_to_movement", "material_to_tech")
 # Tables with a flag for each technology.
@@ -129,7 +131,8 @@ def build_consumption(ws: Workspace, path: str) -> list[str]:
     with stage_scope(ws.spark), ws.transaction() as t:
         rows, seen = _read(ws, path, "consumption")
         techs = technologies(t)
-        lines = materialize(con.consumption_lines(rows), "consumption_lines")
+        parts = parts_for(ws.spark, export_bytes(ws.spark, path) // LINE_BYTES)
+        lines = materialize(con.consumption_lines(rows, parts, by_order=False), "consumption_lines")
         stats = materialize(con.consumption_stats(lines), "consumption_stats")
         tables = {"material_to_priority": con.consumption_priority(stats),
                   "material_to_movement": con.consumption_movement(stats),

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from stowage.functions.contracts import ContractError
 from stowage.sources.workspace import ConflictError, Workspace, align
 
-__all__ = ["ConflictError", "Workspace", "align", "header_report", "normalize_header", "read_export", "write_csv",
-           "write_json_file"]
+__all__ = ["ConflictError", "Workspace", "align", "export_bytes", "header_report", "normalize_header", "read_export",
+           "write_csv", "write_json_file"]
 
 
 def normalize_header(name: str) -> str:
@@ -58,6 +58,11 @@ def read_export(spark: SparkSession, path: str, header_map: dict[str, str], sep:
     return raw.select(*cols, *([input_order().alias(order_col)] if order_col else []))
 
 
+def export_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of an export's files, from their listing; no content is read."""
+    return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """Export a table as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
