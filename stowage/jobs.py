@@ -26,7 +26,7 @@ from stowage.operators import dims as dm
 from stowage.operators import master as mst
 from stowage.operators import parts as prt
 from stowage.operators import stock as stk
-from stowage.session import materialize, parts_for, stage_scope
+from stowage.session import dealt, material_parts, materialize, parts_for, stage_scope
 from stowage.sources.files import export_bytes, read_export
 from stowage.sources.fixtures import ALL_TECHS
 from stowage.sources.workspace import Transaction, Workspace
@@ -46,7 +46,7 @@ ORDERED = ("stock", "master")
 PARSED = {"stock": {"total_stock_raw": fn.clean_int},
           "master": {"years": lambda c: fn.clean_float(c, strip_commas=False), "mrp_controller": fn.clean_int_commas},
           "cost_center": {"cost_center": cc.cost_center_key}, "consumption": {"cost_center": cc.cost_center_key}}
-# Least bytes of an order line in an export, so that the size of its files tells how many lines there are at most.
+# Bytes of a short row of an export, so that the size of its files tells about how many rows there are at most.
 LINE_BYTES = 20
 # What the parts table is built from; all are cut into buckets of the material.
 PART_INPUTS = ("stock", "master", "material_to_priority", "material_to_movement", "material_to_tech")
@@ -98,7 +98,8 @@ def build_stock(ws: Workspace, path: str, location_types: DataFrame | None = Non
     with stage_scope(ws.spark), ws.transaction() as t:
         rows, seen = _read(ws, path, "stock")
         lt = t.read("dim_location_type") if location_types is None else location_types
-        sized = materialize(stk.stock_sized(rows, lt, t.read("dim_size") if sizes is None else sizes), "stock_job")
+        parts = material_parts(ws.spark, export_bytes(ws.spark, path) // LINE_BYTES)
+        sized = materialize(stk.stock_sized(rows, lt, t.read("dim_size") if sizes is None else sizes, parts), "stock_job")
         t.replace("stock_rejects", stk.stock_rejects(sized))
         fine = sized.filter("total_stock IS NOT NULL AND size_id IS NOT NULL")
         t.replace_buckets("stock", _checked(fine, "stock_output"), "material")
@@ -111,7 +112,8 @@ def build_master(ws: Workspace, path: str, token_map: DataFrame | None = None) -
         rows, seen = _read(ws, path, "master")
         techs = technologies(t)
         known = dm.token_map_or_default(t.read("dim_token_map") if token_map is None else token_map)
-        t.replace_buckets("master", _checked(mst.master_flags(rows, known, techs), "master_output", techs), "material")
+        parts = material_parts(ws.spark, export_bytes(ws.spark, path) // LINE_BYTES)
+        t.replace_buckets("master", _checked(mst.master_flags(rows, known, techs, parts), "master_output", techs), "material")
         _report(t, "master", seen)
     return "master"
 
@@ -163,7 +165,9 @@ def build_parts(ws: Workspace) -> list[str]:
         if not touched:
             t.confirm("parts")
             return []
-        stock, master, priority, movement, tech = (t.read(n, touched) for n in PART_INPUTS)
+        tables = [t.read(n, touched) for n in PART_INPUTS]
+        deal = material_parts(ws.spark, max(df.count() for df in tables[:2]) + tables[2].count())  # from the footers
+        stock, master, priority, movement, tech = (dealt(df, deal, "material") for df in tables)
         parts = prt.parts_with_master(prt.parts_from_stock(stock, techs), master, techs)
         parts = prt.parts_with_priority(parts, priority, techs)
         parts = prt.parts_with_movement(parts, movement, techs)

@@ -1,10 +1,13 @@
 """Tasks over the order lines keep their size as the fact grows, with the same results."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from conftest import SF001
 from stowage import jobs, session
 from stowage.operators import consumption as con
+from stowage.operators import stock as stk
 from stowage.pipeline import stages
 from stowage.sources import fixtures as fx
 from stowage.sources.files import export_bytes, write_csv
@@ -54,3 +57,36 @@ def test_job_deals_lines_by_the_size_of_the_export(spark, tmp_path, monkeypatch)
     jobs.build_consumption(ws, path)
     got = sorted(map(tuple, ws.read("material_to_movement").select("material", "movement", "orders").collect()))
     assert got == sorted(map(tuple, stages(spark, SF001).cons_movement().select("material", "movement", "orders").collect()))
+
+
+def test_merge_tasks_dont_grow_with_the_materials(spark, monkeypatch):
+    """However few partitions the session has, no task merges more than its share of the materials; the rows are the same."""
+    want = [sorted(map(repr, df.collect())) for df in _merged(stages(spark, SF001))]
+    monkeypatch.setattr(session, "RECORDS_PER_TASK", 40)
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("2", "64"):  # few; more than are asked for, which would be coalesced to as many as there are cores
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            s = stages(spark, SF001)
+            assert [sorted(map(repr, df.collect())) for df in _merged(s)] == want
+            for df in (s.parts_with_master(), s.parts()):
+                rows = [r.n for r in df.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+                assert len(rows) >= 8 and max(rows) <= 80 < sum(rows) / 2
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
+def _merged(s):
+    return s.parts_with_movement(), s.parts(), s.known_materials(), s.master()
+
+
+def test_first_rows_of_a_hot_key_are_dealt_to_many_tasks(spark):
+    """Most rows have one key: its first row is found from slices, of which no task holds all; null keys are a key."""
+    rows = [("hot", (i * 7919) % 5003, i % 3, f"v{i}") for i in range(5003)]
+    rows += [(None if i % 40 == 0 else f"m{i % 40}", 900 - i, 0, str(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, a long, b int, v string").repartition(6)
+    want = sorted(map(repr, stk.first_per_key(df, "k", "a", "b").collect()))
+    got = stk.first_per_key(df, "k", "a", "b", parts=25)
+    assert sorted(map(repr, got.collect())) == want and len(want) == 41
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(k#\d+, _slice#\d+, 25\), REPARTITION_BY_NUM", plan)
