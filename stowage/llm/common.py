@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -30,6 +31,29 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def drop_table(table: DataFrame) -> None:
+    """Remove a stage table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """The shuffle files of a query that runs inside go when it ends, not when the driver's JVM next collects garbage.
+
+    For queries that run once, such as those that write stage tables.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Rows that Spark's Parquet reader holds at a time; its 4,096 are too many for rows of long texts or packed arrays.
 READ_ROWS = 256
 

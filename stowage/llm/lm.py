@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stowage.llm.common import bound_batches, byte_texts, crc_rest, groups_by_bytes, row_seq, stage_table
+from stowage.llm.common import (bound_batches, byte_texts, crc_rest, drop_table, groups_by_bytes, row_seq, shuffles_dropped,
+                                stage_table)
 
 #: A text is its words, each ended by a blank, and then this unit; UTF-8 lacks the byte 255.
 END = b"\xff"
@@ -502,11 +503,12 @@ def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame,
     weights are averaged by the bits seen at their gate, all in whole numbers, whose sums don't depend on the order.
     """
     spark = docs.sparkSession
-    items = stage_table(docs.select(F.col(text_col).alias("t"), held_out.alias("out"))
-                        .mapInArrow(_count_items, "word binary, mark binary, n long")
-                        .groupBy("word", "mark").agg(F.sum("n").alias("n")), "lm-items")
-    parts = items.count() // PART + 1
-    items = stage_table(items.repartitionByRange(parts, "word").mapInArrow(_packed, _PART), "lm-parts")
+    counted = stage_table(docs.select(F.col(text_col).alias("t"), held_out.alias("out"))
+                          .mapInArrow(_count_items, "word binary, mark binary, n long")
+                          .groupBy("word", "mark").agg(F.sum("n").alias("n")), "lm-items")
+    parts = counted.count() // PART + 1
+    items = stage_table(counted.repartitionByRange(parts, "word").mapInArrow(_packed, _PART), "lm-parts")
+    drop_table(counted)
     ends = sorted((bytes(r["least"]), bytes(r["most"])) for r in items.select("least", "most").collect())
     beginnings = _beginnings([(x[1], y[0]) for x, y in zip(ends[:-1], ends[1:])])
     found = stage_table(items.mapInArrow(_count(beginnings), "k int, h long, n0 long, n1 long")
@@ -523,6 +525,7 @@ def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame,
             codes = np.frombuffer(r["codes"], dtype=np.uint16)[:1 << bits]
             tables[k][r["chunk"] << CHUNK_BITS:][:len(codes)] = codes
     shared = found.where(F.col("k") == TABLES).select("h", "n1").toArrow()
+    drop_table(found)
     counts = spark.sparkContext.broadcast(Counts(tables, beginnings, shared["h"].to_numpy().astype(np.int64).view(np.uint64),
                                                  shared["n1"].to_numpy()))
     mixer = Mixer()
@@ -535,6 +538,7 @@ def train(docs: DataFrame, held_out, text_col: str = "text") -> tuple[DataFrame,
         tokens, words = share[-2:].tolist()
     scored = stage_table(items.mapInArrow(_score_parts(counts, mixer), "item binary, often long, n long, lp double"),
                          "lm-scored-items")
+    drop_table(items)
     # items at least as frequent as the count from which there are at most HEAD; counts sum to the tokens, so there are
     # at most sqrt(2 * tokens) distinct ones
     upto = F.sum("items").over(W.orderBy(F.desc("often")).rowsBetween(W.unboundedPreceding, 0))
@@ -598,7 +602,8 @@ def score_language(docs: DataFrame, mod: int = 7, held: int = 2, id_col: str = "
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    items, most, tokens, kinds = train(docs, crc_rest(F.col(id_col), mod) == held, text_col)
+    with shuffles_dropped(spark):
+        items, most, tokens, kinds = train(docs, crc_rest(F.col(id_col), mod) == held, text_col)
     head = spark.sparkContext.broadcast(most)  # HEAD items at most
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), row_seq().alias("seq"), F.col(text_col).alias("t"))

@@ -1,6 +1,8 @@
 """Edge cases of every operator and pipeline stage: nulls, empty and long texts, repeated rows, empty tables, clashing names."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
@@ -194,3 +196,24 @@ def test_stages_on_edges(spark, docs, none, labels, tmp_path):
             assert out.columns == table.columns
             assert out.count() <= 2 * table.count()
         corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).count()
+
+
+def test_language_model_leaves_no_used_up_files(spark):
+    """What a step has read for the last time goes: shuffle files of the training, and its stage tables but the scored items."""
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {b for b in blocks.mkString(" ").split() if b.startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(k, words(k, 60)) for k in range(40)], "doc_id long, text string")
+    tables, before = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")) / "tables", shuffles()
+    old = {p.name for p in tables.iterdir()} if tables.exists() else set()
+    out = lm.score_language(docs)
+    for _ in range(50):  # they are removed by messages to the executors
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    new = [p.name for p in tables.iterdir() if p.name not in old]
+    assert len(new) == 2 and all(n.startswith("llm-lm-scored") for n in new)
+    assert sorted(r.score for r in out.collect()) == sorted(r.score for r in out.collect()) and out.count() == 40
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
