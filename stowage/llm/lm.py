@@ -5,9 +5,9 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ END = b"\xff"
 #: The mark of a place in a text is the last word ahead of it with so few bytes, hashed to so many bits: short words tell
 #: the language and the kind of text.
 MARK_BYTES, MARK_BITS = 4, 12
+LOW_MARK = (1 << MARK_BITS) - 1
 #: Predictors: the last two bytes, the last four, eight bits of the mark and the last two bytes (hashed tables); the word so
 #: far, the mark and the word so far (exact).
 TABLES, K = 3, 5
@@ -48,6 +49,8 @@ GATES = LEVELS_WORD * SECOND * 2
 CELLS, EDGE = 33, 8.0
 #: Slots (as a power of two) whose codes are made at a time.
 CHUNK_BITS = 16
+#: Beginnings with several bytes behind them whose bits are counted at a time.
+GROUPS_AT_ONCE = 1 << 11
 #: Items held before a task passes their counts on; items of one part.
 HELD, PART = 1_000_000, 1 << 17
 #: Items whose counts and scores are broadcast for look-up; those of all others are joined.
@@ -102,11 +105,32 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 # A count is held in eight bits: small ones as they are, others in steps of a ninth.
 _COUNT = np.concatenate([np.arange(16), np.rint(16 * 1.111 ** np.arange(240))])
 _BETWEEN = (_COUNT[1:] + _COUNT[:-1]) / 2
+_CODE = np.searchsorted(_BETWEEN, np.arange(1 << 12)).astype(np.uint16)
+
+
+def _code_of(n: np.ndarray) -> np.ndarray:
+    """A count (a whole number) in eight bits."""
+    out = _CODE[np.minimum(n, len(_CODE) - 1).astype(np.int32)]
+    large = np.flatnonzero(n >= len(_CODE))
+    out[large] = np.searchsorted(_BETWEEN, n[large])
+    return out
 
 
 def _codes(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Counts of zeros and ones in 16 bits."""
-    return (np.searchsorted(_BETWEEN, n0) << 8 | np.searchsorted(_BETWEEN, n1)).astype(np.uint16)
+    return _code_of(n0) << np.uint16(8) | _code_of(n1)
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the first place of each, and of each place which of them it holds, as by ``np.unique``, whose
+    stable sort takes longer."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[:len(key)]
+    begin = np.flatnonzero(new)
+    which = np.empty(len(key), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[begin], np.minimum.reduceat(order, begin) if len(key) else order, which
 
 
 def _entries(k: int, less: int | None) -> np.ndarray:
@@ -141,10 +165,11 @@ class Symbols:
 def _symbols(items: list[bytes], n: np.ndarray) -> tuple[Symbols, np.ndarray]:
     """(each byte behind the same mark and beginning of a word once, with the sum of counts; of each item's bytes, in
     turn, which of them it is).  An item is a word with its blank, or END, and two bytes of the mark."""
-    lens = np.array([len(i) - 2 for i in items], dtype=np.int64)
-    data = np.frombuffer(b"".join(i[:-2] for i in items), dtype=np.uint8)
-    tail = np.frombuffer(b"".join(i[-2:] for i in items), dtype=np.uint8).reshape(-1, 2).astype(np.uint64)
-    mark = (tail[:, 0] << np.uint64(8)) | tail[:, 1]
+    lens = np.fromiter(map(len, items), dtype=np.int64, count=len(items)) - 2
+    data = np.frombuffer(b"".join(items), dtype=np.uint8)
+    end = np.cumsum(lens + 2)
+    mark = (data[end - 2].astype(np.uint64) << np.uint64(8)) | data[end - 1]
+    data = np.delete(data, np.append(end - 2, end - 1))
     first = np.cumsum(lens) - lens
     unit = np.repeat(np.arange(len(items)), lens)
     place = np.arange(len(data)) - first[unit]
@@ -154,7 +179,7 @@ def _symbols(items: list[bytes], n: np.ndarray) -> tuple[Symbols, np.ndarray]:
     before = _mixed(run - term - (run - term)[first][unit]) if len(data) else term  # hash of the bytes ahead
     byte = data.astype(np.uint64)
     marked = (_mixed(before + (mark[unit] + np.uint64(1)) * _STEP) & ~_LOW) | byte
-    marked, at, which = np.unique(marked, return_index=True, return_inverse=True)
+    marked, at, which = _distinct(marked)
     weight = np.bincount(which, weights=n[unit], minlength=len(marked)).astype(np.int64)
     b1, b2, b3, b4 = (np.where(place[at] >= k, data[np.maximum(at - k, 0)], 0).astype(np.uint64) for k in (1, 2, 3, 4))
     two = b1 | (b2 << np.uint64(8))
@@ -190,23 +215,29 @@ def _hashes(context: np.ndarray, sym, node) -> np.ndarray:
     return _mixed(context[sym] * _NODE_MIX[node])
 
 
-class Exact:
-    """Counts of the bits behind beginnings, from counts of the bytes behind them."""
-
-    def __init__(self, pair: np.ndarray, n: np.ndarray):
-        sym, entry = _entry((pair & _LOW).astype(np.uint8))
-        self.keys, which = np.unique((pair & ~_LOW)[sym] | NODE[entry], return_inverse=True)
-        self.codes = _codes(*(np.bincount(which, weights=n[sym] * (BIT[entry] == b), minlength=len(self.keys))
-                              for b in (0, 1)))
+def _exact(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Codes of the counts of all bits of some bytes, of which each is behind a beginning, ordered by that.
 
-    def look(self, pair: np.ndarray) -> np.ndarray:
-        """Codes of counts of all bits of some symbols; 0 behind a beginning that isn't here."""
-        sym, entry = _entry((pair & _LOW).astype(np.uint8))
-        if not len(self.keys):
-            return np.zeros(len(sym), np.uint16)
-        key = (pair & ~_LOW)[sym] | NODE[entry]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.codes[at], 0)
+    Behind most beginnings is one byte, whose bits all have its count; those of the others are counted for some beginnings
+    at a time.
+    """
+    begin = pair & ~_LOW
+    new = np.append(True, begin[1:] != begin[:-1])[:len(pair)]
+    group = np.cumsum(new) - 1
+    one = np.bincount(group)[group] == 1
+    byte = (pair & _LOW).astype(np.uint8)
+    sym, entry = _entry(byte)
+    bit = BIT[entry]
+    out = _code_of(n)[sym] << ((1 - bit) << 3).astype(np.uint16)
+    many = np.flatnonzero(~one[sym])
+    at = (np.cumsum(new & ~one) - 1)[sym[many]]
+    cuts = np.searchsorted(at, np.arange(0, at[-1] + 1 + GROUPS_AT_ONCE if len(at) else 0, GROUPS_AT_ONCE))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        these = many[lo:hi]
+        cell = ((at[lo:hi] - at[lo]) << 9) | (NODE[entry[these]].astype(np.int64) << 1)
+        total = np.bincount(cell | bit[these], weights=n[sym[these]], minlength=int(cell.max()) + 2)
+        out[these] = _codes(total[cell], total[cell | 1])
+    return out
 
 
 @dataclass
@@ -227,13 +258,18 @@ class Counts:
         node = NODE[entry]
         out = [t[_hashes(c, sym, node) >> np.uint64(64 - len(t).bit_length() + 1)] for c, t in zip(s.context, self.tables)]
         own = ~_among(s.word, self.beginnings)
-        word, at, of = np.unique(s.word, return_index=True, return_inverse=True)
-        exact = Exact(np.append(word[own[at]], self.pair),
-                      np.append(np.bincount(of, weights=s.weight, minlength=len(word))[own[at]], self.n)).look(word)
-        upto = np.cumsum(LENGTH[s.byte[at]])
+        word, at, of = _distinct(s.word)
+        there = _among(self.pair, word & ~_LOW)
+        pair = np.append(word, self.pair[there])
+        order = np.argsort(pair, kind="stable")
+        n = np.append(np.where(own[at], np.bincount(of, weights=s.weight, minlength=len(word)), 0), self.n[there])
+        exact = _exact(pair[order], n[order])
+        length = LENGTH[(pair[order] & _LOW).astype(np.uint8)]
+        first = np.empty(len(pair), dtype=np.int64)
+        first[order] = np.cumsum(length) - length  # first bit of each pair
         begin = np.cumsum(LENGTH[s.byte]) - LENGTH[s.byte]
-        out.append(exact[(upto - LENGTH[s.byte[at]])[of[sym]] + np.arange(len(sym)) - begin[sym]])
-        out.append(Exact(s.marked[own], s.weight[own]).look(s.marked))
+        out.append(exact[(first[of] - begin)[sym] + np.arange(len(sym))])
+        out.append(_exact(s.marked, np.where(own, s.weight, 0)))
         return out
 
 
@@ -323,9 +359,10 @@ class Mixer:
 @dataclass
 class Step:
     """Texts as items: words, each with the mark ahead of it (the empty word ends a text)."""
-    items: list[bytes]
+    codes: np.ndarray  # of each item: number of its word, mark
     ids: np.ndarray  # item of each token
     size: np.ndarray  # tokens of each text
+    items: list[bytes] | None = None
 
 
 def mark_of(word: bytes) -> int:
@@ -333,48 +370,70 @@ def mark_of(word: bytes) -> int:
     return zlib.crc32(word) >> (32 - MARK_BITS) if len(word) <= MARK_BYTES else -1
 
 
+class Words:
+    """Words by number, with the marks that they set; 0 is the empty one, which ends texts."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
+        self.number[b""]
+        self.marks = np.zeros(0, dtype=np.int64)
+
+    def step(self, texts: list[bytes]) -> Step:
+        ids, size = [], []
+        for t in texts:
+            words = t.lower().split()  # splits at the ASCII blanks
+            words.append(b"")
+            size.append(len(words))
+            ids.append(np.fromiter(map(self.number.__getitem__, words), dtype=np.int32, count=len(words)))
+        run = np.concatenate(ids)
+        self.marks = np.append(self.marks, np.array([mark_of(w) for w in islice(self.number, len(self.marks), None)],
+                                                    dtype=np.int64))
+        mark = np.append(0, self.marks[run])
+        mark = mark[np.maximum.accumulate(np.where(mark >= 0, np.arange(len(mark)), 0))][:-1]  # the last one set ahead
+        codes, which = np.unique(run.astype(np.int64) << MARK_BITS | mark, return_inverse=True)
+        return Step(codes, which, np.array(size))
+
+    def units(self) -> list[bytes]:
+        """The words, each with its blank, or END."""
+        return [w + b" " if w else END for w in self.number]
+
+
 def _step(texts: list[bytes]) -> Step:
-    number: dict[bytes, int] = defaultdict(count().__next__)
-    number[b""]  # ends texts
-    ids, size = [], []
-    for t in texts:
-        words = t.lower().split()  # splits at the ASCII blanks
-        words.append(b"")
-        size.append(len(words))
-        ids.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
-    run = np.concatenate(ids)
-    word = list(number)
-    mark = np.append(0, np.array([mark_of(w) for w in word], dtype=np.int64)[run])
-    mark = mark[np.maximum.accumulate(np.where(mark >= 0, np.arange(len(mark)), 0))][:-1]  # the last one set ahead
-    codes, which = np.unique(run.astype(np.int64) << MARK_BITS | mark, return_inverse=True)
-    unit = [w + b" " if w else END for w in word]
-    low = (1 << MARK_BITS) - 1
-    return Step([unit[c >> MARK_BITS] + (c & low).to_bytes(2) for c in codes.tolist()], which, np.array(size))
+    words = Words()
+    step = words.step(texts)
+    unit = words.units()
+    step.items = [unit[c >> MARK_BITS] + (c & LOW_MARK).to_bytes(2) for c in step.codes.tolist()]
+    return step
 
 
 def _count_items(batches):
     """Items and their counts in learnt texts, 0 for those of others."""
-    held: dict[bytes, int] = {}
+    words, held = Words(), []
+
+    def merged():
+        codes, which = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return codes, np.bincount(which, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
-    def rows():
-        items = pa.array(list(held), pa.binary())
-        yield pa.RecordBatch.from_arrays([pc.binary_slice(items, 0, -2), pc.binary_slice(items, -2),
-                                          pa.array(list(held.values()), pa.int64())], names=["word", "mark", "n"])
-        held.clear()
+    def rows(codes, n):
+        word = pa.array(words.units(), pa.binary()).take(pa.array(codes >> MARK_BITS))
+        mark = pa.py_buffer((codes & LOW_MARK).astype(">u2").tobytes())
+        mark = pa.Array.from_buffers(pa.binary(2), len(codes), [None, mark]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([word, mark, pa.array(n, pa.int64())], names=["word", "mark", "n"])
 
     for b in batches:
         texts, out = byte_texts(b.column("t")), b.column("out").to_pylist()
         for learnt in (True, False):
             some = [t for t, o in zip(texts, out) if o != learnt]
             for lo, hi in groups_by_bytes(some, STEP_BYTES):
-                step = _step(some[lo:hi])
-                times = np.bincount(step.ids, minlength=len(step.items)) * int(learnt)
-                for i, m in zip(step.items, times.tolist()):
-                    held[i] = held.get(i, 0) + m
-                if len(held) > HELD:
-                    yield from rows()
+                step = words.step(some[lo:hi])
+                held.append((step.codes, np.bincount(step.ids, minlength=len(step.codes)) * int(learnt)))
+                if sum(len(c) for c, _ in held) > 2 * HELD:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > HELD:
+                        yield rows(*held[0])
+                        words, held = Words(), []
     if held:
-        yield from rows()
+        yield rows(*merged())
 
 
 _PART = "least binary, most binary, words binary, marks binary, n binary"
@@ -420,10 +479,10 @@ def _count(beginnings: np.ndarray):
         on = s.weight > 0
         for k in range(TABLES if on.any() else 0):
             # a context's bytes are counted before its bits
-            pair, first, which = np.unique((s.context[k] & ~_LOW | s.byte)[on], return_index=True, return_inverse=True)
+            pair, first, which = _distinct((s.context[k] & ~_LOW | s.byte)[on])
             weight = np.bincount(which, weights=s.weight[on])
             sym, entry = _entry(s.byte[on][first])
-            h, which = np.unique(_hashes(s.context[k][on][first], sym, NODE[entry]), return_inverse=True)
+            h, _, which = _distinct(_hashes(s.context[k][on][first], sym, NODE[entry]))
             out.append((np.full(len(h), k, np.int32), h.view(np.int64),
                         *(np.bincount(which, weights=weight[sym] * (BIT[entry] == b), minlength=len(h)).astype(np.int64)
                           for b in (0, 1))))
@@ -567,16 +626,14 @@ def _score(head):
                 logs = np.log10(n + 1)
                 per = np.add.reduceat(np.stack([n[s.ids] > 0, logs[s.ids], lp[s.ids]]), begin, axis=1)
                 rare = np.flatnonzero(~there[s.ids])
-                cuts = np.searchsorted(rare, np.append(begin, len(s.ids)))
-                tails, ns = [], []
-                for a, z in zip(cuts[:-1], cuts[1:]):
-                    c = Counter(s.ids[rare[a:z]].tolist())
-                    tails.append([s.items[i] for i in c])
-                    ns.append(list(c.values()))
+                of_text = np.repeat(np.arange(len(s.size)), s.size)[rare]
+                pair, times = np.unique(of_text * len(s.items) + s.ids[rare], return_counts=True)  # (text, item) once
+                cuts = pa.array(np.searchsorted(pair, np.arange(len(s.size) + 1) * len(s.items)), pa.int32())
+                tails = pa.array([s.items[i] for i in (pair % len(s.items)).tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id")[lo:hi], b.column("seq")[lo:hi], pa.array(s.size),
                      pa.array(per[0].astype(np.int64)), pa.array(per[1]), pa.array(per[2]),
-                     pa.array(tails, pa.list_(pa.binary())), pa.array(ns, pa.list_(pa.int64()))],
+                     pa.ListArray.from_arrays(cuts, tails), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int64()))],
                     names=["id", "seq", "n_tokens", "known", "logs", "score", "rare", "times"])
     return run
 

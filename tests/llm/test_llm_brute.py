@@ -358,6 +358,50 @@ def counts_of(items, n, borders=None, room=8):
     return lm.Counts(tables, borders, s.word[shared], s.weight[shared])
 
 
+def test_language_exact_counts_without_sorts_match_dictionaries(monkeypatch):
+    """Bits behind beginnings with one byte, several and none learnt, counted for few beginnings at a time."""
+    monkeypatch.setattr(lm, "GROUPS_AT_ONCE", 3)
+    rng = np.random.default_rng(3)
+    begin = np.sort(rng.integers(0, 1 << 55, 60, dtype=np.uint64)) << np.uint64(8)
+    pair = np.unique(np.concatenate([b | rng.integers(0, 256, 1 + k % 4, dtype=np.uint64) for k, b in enumerate(begin)]))
+    n = rng.choice([0, 1, 2, 15, 16, 40, 4095, 4096, 123_456_789], len(pair))
+    seen = Counter()
+    path = [[(int(p) >> 8, int(lm.NODE[e]), int(lm.BIT[e])) for e in lm._entry(np.array([int(p) & 255]))[1]] for p in pair]
+    for steps, m in zip(path, n.tolist()):
+        for step in steps:
+            seen[step] += m
+    want = [lm._codes(*np.array([[seen[b, node, 0]], [seen[b, node, 1]]]))[0] for steps in path for b, node, _ in steps]
+    assert lm._exact(pair, n).tolist() == want
+    assert all(lm._codes(np.array([m]), np.array([0]))[0] >> 8 == np.searchsorted(lm._BETWEEN, m) for m in n)
+    key = rng.integers(0, 40, 500)
+    for got, of in zip(lm._distinct(key), np.unique(key, return_index=True, return_inverse=True)):
+        assert (got == of).all()
+
+
+def test_language_items_add_up_over_steps(monkeypatch):
+    """However small the steps and what is held, the items of learnt and other texts are counted once per task's share."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, 40)).encode() for _ in range(50)] + [b""]
+    out = [k % 5 == 0 for k in range(51)]
+
+    def counted(size):
+        got, rows = Counter(), 0
+        for at in range(0, 51, size):
+            batch = pa.record_batch({"t": pa.array(texts[at:at + size], pa.binary()), "out": pa.array(out[at:at + size])})
+            for b in lm._count_items([batch]):
+                rows += b.num_rows
+                for w, m, x in zip(*(b.column(c).to_pylist() for c in ("word", "mark", "n"))):
+                    got[w, m] += x
+        return got, rows
+
+    want, items = counted(51)
+    assert items == len(want) and sum(want.values()) == sum(len(t.split()) + 1 for t, o in zip(texts, out) if not o)
+    monkeypatch.setattr(lm, "STEP_BYTES", 300)
+    monkeypatch.setattr(lm, "HELD", 50)
+    got, rows = counted(17)
+    assert got == want and set(got) == set(want) and rows > items
+
+
 def test_language_probabilities_sum_to_one():
     """Over all bytes that may follow a beginning, whatever was learnt."""
     items, n = [b"the \0\1", b"then \0\1", b"of \0\2", b"that \0\1"], np.array([3, 2, 4, 1])
